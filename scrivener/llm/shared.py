@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scrivener.session import prepare
 
 #: Rows and bytes of one Arrow batch, so that a worker holds few long texts at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
 
 
 def arrow_batches(spark: SparkSession) -> SparkSession:
