@@ -5,22 +5,56 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from scrivener.llm.decontaminate import contaminated
 from scrivener.llm.packing import packed_documents
+from scrivener.llm.pseudonyms import pseudonymised
+from scrivener.llm.quality_rules import judged
+from scrivener.llm.simhash import near_duplicates
 from scrivener.llm.token_counts import token_counts
 from scrivener.session import table
 
+#: The key of the registered query; a caller of the operator brings a secret one.
+DEMO_KEY = "a key for demonstration"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymised(docs, DEMO_KEY)
+
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+REGISTERED = (
+    op1_feistel_pseudonyms,
+    op2_best_fit_packing,
+    op3_simhash_near_duplicates,
+    op4_decontamination,
+    op6_quality_rules,
+    op7_token_counts,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op7_token_counts)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
