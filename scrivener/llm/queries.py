@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scrivener.llm.class_model import class_model_scores
 from scrivener.llm.decontaminate import contaminated
 from scrivener.llm.packing import packed_documents
 from scrivener.llm.pseudonyms import pseudonymised
+from scrivener.llm.quality_classifier import scored
 from scrivener.llm.quality_rules import judged
+from scrivener.llm.sentence_spans import deduplicated
 from scrivener.llm.simhash import near_duplicates
 from scrivener.llm.token_counts import token_counts
+from scrivener.llm.url_filter import judged_urls, url_parts
 from scrivener.session import table
 
+#: The rules and the block list of the registered URL query: hosts with one of these words as a label or part of one.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_HOSTS = "(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
+
 #: The key of the registered query; a caller of the operator brings a secret one.
 DEMO_KEY = "a key for demonstration"
 
@@ -34,6 +43,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,19 +56,56 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select(url_parts()[0].alias("key")).distinct().filter(F.col("key").rlike(LISTED_HOSTS))
+    return judged_urls(pages, URL_RULES, listed)
+
+
+def op9_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model_scores(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTERED = (
     op1_feistel_pseudonyms,
     op2_best_fit_packing,
     op3_simhash_near_duplicates,
     op4_decontamination,
+    op5_sentence_spans,
     op6_quality_rules,
     op7_token_counts,
+    op8_url_filter,
+    op9_class_model,
+    op10_quality_classifier,
 )
 
+OP8_SQL = r"""
+WITH parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '^(?:.|\n)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?:.|\n)*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+marked AS (
+  SELECT *, regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') AS listed,
+         CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
+       listed
+FROM marked
+"""
+
 
 def queries() -> dict:
     return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": OP8_SQL}
