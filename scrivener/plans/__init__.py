@@ -1 +1,3 @@
 """Registered queries, by family."""
+
+from scrivener.plans import search  # noqa: F401
