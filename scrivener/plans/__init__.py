@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from scrivener.plans import search  # noqa: F401
+from scrivener.plans import catalog, search  # noqa: F401
