@@ -2,8 +2,8 @@
 
 Training counts every word of every training text, in Spark. The most frequent words, and for the rest their endings,
 are the types that are clustered; the exchange algorithm assigns types to classes so that the likelihood of the class
-bigram model grows. It runs as sweeps over a table of each type's neighbours: in a sweep, every second type moves to
-its best class given the class counts of the last sweep, all in parallel, and the counts are taken anew.
+bigram model grows: one type after another moves to its best class. Several starts run in parallel, each on the whole
+table of neighbouring types, whose size is bounded by the number of types; the likeliest clustering is taken.
 
 A token's probability is weight * P(class | class before) * P(word | class) + (1 - weight) * P0(word). P0 is the
 additively smoothed unigram of the base score. In P(word | class), the share of words seen once goes to unseen words,
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -159,59 +160,73 @@ def best_class(a: int, left: np.ndarray, right: np.ndarray, own: float, matrix:
     return a if gain[a] >= gain.max() - 1e-9 else int(gain.argmax())
 
 
-def cluster(pairs: DataFrame, types: int, classes: int, sweeps: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each type by exchange, and the class bigram counts. The last class is the end token's alone."""
-    spark = pairs.sparkSession
-    after = pairs.groupBy(F.col("a").alias("t")).agg(F.collect_list("b").alias("rb"), F.collect_list("n").alias("rn"))
-    ahead = pairs.groupBy(F.col("b").alias("t")).agg(F.collect_list("a").alias("lb"), F.collect_list("n").alias("ln"))
-    around = scratch.save(after.join(ahead, "t", "full"))
-    of = np.arange(types) % (classes - 1)
-    of[types - 1] = classes - 1
+def exchange(pairs: np.ndarray, classes: int, sweeps: int, start: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Classes of types, class bigram counts and likelihood, from how often type b follows type a.
 
-    def vectors(batch: pa.RecordBatch, of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
-        for r in range(batch.num_rows):
-            t, parts = batch.column("t")[r].as_py(), []
-            for ids, counts in (("lb", "ln"), ("rb", "rn")):
-                x, n = batch.column(ids)[r], batch.column(counts)[r]
-                parts.append((x.values.to_numpy(), n.values.to_numpy()) if x.is_valid else (np.zeros(0, int), np.zeros(0)))
-            (lb, ln), (rb, rn) = parts
-            yield t, np.bincount(of[lb], ln, classes), np.bincount(of[rb], rn, classes), float(rn[rb == t].sum())
-
-    def counted(of: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(of)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((classes, classes))
-            for batch in batches:
-                for t, _, right, _ in vectors(batch, shared.value):
-                    total[shared.value[t]] += right
-            a, b = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b].astype(np.int64))], ["a", "b", "n"])
-
-        rows = around.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
-        out = np.zeros((classes, classes))
-        out[rows["a"], rows["b"]] = rows["n"]
-        return out
-
-    matrix = counted(of)
-    for sweep in range(sweeps):
-        shared = spark.sparkContext.broadcast((of, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            of, matrix = shared.value
-            sizes = matrix.sum(0)
-            for batch in batches:
-                moves = [(t, best_class(of[t], left, right, own, matrix, sizes, left.sum())) for t, left, right, own in vectors(batch, of) if (t * 7919 + sweep) % 2 == 0 and t != types - 1]
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in moves], pa.int32()), pa.array([m[1] for m in moves], pa.int32())], ["t", "c"])
-
-        moves = around.mapInArrow(run, "t int, c int").toPandas()
-        changed = (of[moves["t"]] != moves["c"]).sum()
-        of = of.copy()
-        of[moves["t"]] = moves["c"]
-        matrix = counted(of)
-        if sweep and not changed:
+    Types move one after another, the most frequent first, until a sweep moves none or `sweeps` are done. The last
+    type is the end token, alone in the last class.
+    """
+    types, n = len(pairs), pairs.sum(0)
+    of = np.arange(types) % (classes - 1) if start == 0 else np.random.default_rng(start).integers(0, classes - 1, types)
+    of[types - 1] = classes - 1
+    one = np.zeros((types, classes))
+    one[np.arange(types), of] = 1
+    ahead = np.ascontiguousarray(pairs.T)
+    left, right = ahead @ one, pairs @ one
+    matrix = one.T @ right
+    sizes = matrix.sum(0)
+    for _ in range(sweeps):
+        moved = 0
+        for t in np.argsort(-n, kind="stable"):
+            if t == types - 1 or not n[t]:
+                continue
+            a, own = of[t], pairs[t, t]
+            b = best_class(a, left[t], right[t], own, matrix, sizes, n[t])
+            if a == b:
+                continue
+            from_left, from_right = left[t].copy(), right[t].copy()
+            matrix[a, :] -= from_right
+            matrix[:, a] -= from_left
+            matrix[a, a] += own
+            from_left[a] -= own
+            from_right[a] -= own
+            matrix[b, :] += from_right
+            matrix[:, b] += from_left
+            matrix[b, b] += own
+            sizes[a] -= n[t]
+            sizes[b] += n[t]
+            left[:, a] -= pairs[t]
+            left[:, b] += pairs[t]
+            right[:, a] -= ahead[t]
+            right[:, b] += ahead[t]
+            of[t], moved = b, moved + 1
+        if not moved:
             break
-    return of, matrix
+    return of, matrix, float(xlogx(matrix).sum() - 2 * xlogx(sizes).sum())
+
+
+def cluster(pairs: DataFrame, types: int, classes: int, sweeps: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best clustering of several starts, each in a task of its own.
+
+    What a task gets is bounded by the number of types, whatever the corpus: types * types counts at the most.
+    """
+    rows = pairs.groupBy("a").agg(F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((types, types))
+        for a, b, n in zip(part["a"], part["b"], part["n"], strict=True):
+            table[a, b] = n
+        of, matrix, likelihood = exchange(table, classes, sweeps, int(part["start"].iloc[0]))
+        return pd.DataFrame({"start": [part["start"].iloc[0]], "likelihood": [likelihood], "of": [of.tolist()], "matrix": [matrix.ravel().tolist()]})
+
+    each = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).groupBy("start")
+    found = each.applyInPandas(run, "start int, likelihood double, of array<int>, matrix array<double>").toPandas()
+    if not len(found):
+        of = np.arange(types) % (classes - 1)
+        of[types - 1] = classes - 1
+        return of, np.zeros((classes, classes))
+    best = found.sort_values(["likelihood", "start"], ascending=[False, True]).iloc[0]
+    return np.array(best["of"], np.int64), np.array(best["matrix"]).reshape(classes, classes)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -221,7 +236,7 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(F.col("c") >= int(sizes["c"][inside].min())) if inside.any() else counts.limit(0)
 
 
-def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, heads: int = 2048, sweeps: int = 8, most_lookup: int = 1_000_000, weight: float = 0.95, alpha: float = 0.1) -> DataFrame:
+def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, heads: int = 2048, sweeps: int = 6, starts: int = 2, most_lookup: int = 1_000_000, weight: float = 0.95, alpha: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row (log10)."""
     spark = arrow_batches(docs.sparkSession)
     scratch, context = Scratch(spark), spark.sparkContext
@@ -236,7 +251,7 @@ def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, head
     head = np.sort(counts.orderBy(F.desc("c"), "h").limit(heads).toPandas()["h"].to_numpy(np.int64))
     types = len(head) + ENDINGS + 1
 
-    of, matrix = cluster(scratch.save(neighbour_counts(train, head)), types, classes, sweeps, scratch)
+    of, matrix = cluster(scratch.save(neighbour_counts(train, head)), types, classes, sweeps, starts)
     is_head = F.broadcast(spark.createDataFrame([(int(h), i) for i, h in enumerate(head)], "h long, place int"))
     typed = counts.join(is_head, "h", "left").select("h", "c", F.coalesce("place", F.col("ending") + len(head)).alias("t"))
     per_type = typed.groupBy("t").agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once")).toPandas()
