@@ -14,6 +14,8 @@ result; other columns stay, but for those named like a result column, which the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,8 @@ from scrivener.session import prepare
 
 ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kind and pattern, in the order in which they are tried at a place.
-PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{26,64}(?![\p{L}\p{N}])",
+#: Kind and pattern, in the order in which they are tried at a place. Numbers start with a digit, + or (.
+NUMBERS = {
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "iso": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "dotted": r"(?<![\d.])\d{2}\.\d{2}\.\d{4}(?!\d|\.\d)",
@@ -34,29 +33,43 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+PATTERNS = {
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"(?=[A-Z]{2}\d\d)(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "secret": r"(?=[0-9a-f]{26})(?<![\p{L}\p{N}])[0-9a-f]{26,64}(?![\p{L}\p{N}])",
+    **NUMBERS,
+}
+#: One cheap look at a character rules out most places before any pattern is tried. E-mail is tried where there is an @.
+WITHOUT_EMAIL = f"{PATTERNS['iban']}|{PATTERNS['secret']}|(?=[0-9+(])(?:{'|'.join(f'(?:{p})' for p in NUMBERS.values())})"
+WITH_EMAIL = f"{PATTERNS['email']}|{WITHOUT_EMAIL}"
 #: First character and number of the characters that replace each other.
 ALPHABETS = (("0", 10), ("a", 26), ("A", 26), ("à", 23), ("ø", 8), ("À", 23), ("Ø", 7))
 FIRST_DAY, DAYS, SIDE = "1900-01-01", 73049, 271
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def feistel(xs: Column, radixes: Column, key: str, tweak: str) -> Column:
     """Permutes the vectors xs of symbols 0 <= x < radix; a symbol of radix 1 stays."""
-    half = F.floor(F.size(xs) / 2)
 
-    def one_round(x: Column, k: Column) -> Column:
-        other = F.when(k % 2 == 0, F.slice(x, half + 1, F.size(x) - half)).otherwise(F.slice(x, F.lit(1), half))
-        told = F.array_join(other, ",")
+    def rounds(s: Column) -> Column:
+        half = s["h"]
+
+        def one_round(x: Column, k: Column) -> Column:
+            other = F.when(k % 2 == 0, F.slice(x, half + 1, F.size(x) - half)).otherwise(F.slice(x, F.lit(1), half))
 
-        def shifted(v: Column, i: Column) -> Column:
-            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), k, i, told), 256)
-            by = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-            radix = F.get(radixes, i)
-            return F.when(((i < half) == (k % 2 == 0)) & (radix > 1), F.pmod(v + by, radix).cast("int")).otherwise(v)
+            def shifted(told: Column, v: Column, i: Column) -> Column:
+                by = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), k, i, told), 256), 1, 12), 16, 10).cast("long")
+                return F.when(((i < half) == (k % 2 == 0)) & (F.get(s["r"], i) > 1), F.pmod(v + by, F.get(s["r"], i)).cast("int")).otherwise(v)
 
-        return F.transform(x, shifted)
+            return let(F.array_join(other, ","), lambda told: F.transform(x, lambda v, i: shifted(told, v, i)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), xs, one_round)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), s["x"], one_round)
+
+    return let(xs, lambda x: let(F.struct(x.alias("x"), radixes.alias("r"), F.floor(F.size(x) / 2).cast("int").alias("h")), rounds))
 
 
 def _chars(m: Column) -> Column:
@@ -80,11 +93,15 @@ def _radix(c: Column) -> Column:
 
 def permuted(m: Column, key: str, tweak: str, fixed: Column | None = None) -> Column:
     """The text with its letters and digits permuted within their alphabets, but for the first `fixed` characters."""
-    chars, fixed = _chars(m), F.lit(0) if fixed is None else fixed
-    xs = F.transform(chars, lambda c: F.coalesce(F.ascii(c) - _offset(c), F.lit(0)))
-    radixes = F.transform(chars, lambda c, i: F.when(i < fixed, F.lit(1)).otherwise(_radix(c)))
-    new = feistel(xs, radixes, key, tweak)
-    return F.array_join(F.transform(chars, lambda c, i: F.when(_offset(c).isNull(), c).otherwise(F.char(F.get(new, i) + _offset(c)))), "")
+    fixed = F.lit(0) if fixed is None else fixed
+
+    def body(chars: Column) -> Column:
+        xs = F.transform(chars, lambda c: F.coalesce(F.ascii(c) - _offset(c), F.lit(0)))
+        radixes = F.transform(chars, lambda c, i: F.when(i < fixed, F.lit(1)).otherwise(_radix(c)))
+        written = lambda new: F.transform(chars, lambda c, i: F.when(_offset(c).isNull(), c).otherwise(F.char(F.get(new, i) + _offset(c))))
+        return let(feistel(xs, radixes, key, tweak), lambda new: F.array_join(written(new), ""))
+
+    return let(_chars(m), body)
 
 
 def _digits(m: Column) -> Column:
@@ -107,17 +124,17 @@ def mod97(m: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     """All but the first and the check digit are permuted."""
-    body = permuted(F.expr("NULL") if m is None else F.substring(m, F.lit(1), F.length(m) - 1), key, "card", F.lit(1))
-    check = F.pmod(-luhn_sum(F.concat(_digits(body), F.lit("0"))), F.lit(10))
-    return F.when(luhn_sum(_digits(m)) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(m)
+    body = permuted(F.substring(m, F.lit(1), F.length(m) - 1), key, "card", F.lit(1))
+    check = lambda x: F.pmod(-luhn_sum(F.concat(_digits(x), F.lit("0"))), F.lit(10)).cast("string")
+    return F.when(luhn_sum(_digits(m)) % 10 == 0, let(body, lambda x: F.concat(x, check(x)))).otherwise(m)
 
 
 def _iban(m: Column, key: str) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     valid = mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
     body = permuted(F.substring(m, F.lit(5), F.length(m)), key, "iban")
-    check = 98 - mod97(F.concat(F.replace(body, F.lit(" "), F.lit("")), F.substring(m, 1, 2), F.lit("00")))
-    return F.when(valid, F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), body)).otherwise(m)
+    check = lambda x: 98 - mod97(F.concat(F.replace(x, F.lit(" "), F.lit("")), F.substring(m, 1, 2), F.lit("00")))
+    return F.when(valid, let(body, lambda x: F.concat(F.substring(m, 1, 2), F.lpad(check(x).cast("string"), 2, "0"), x))).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -127,8 +144,6 @@ def _ip(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str, style: str) -> Column:
     """Days from 1900 to 2099 are permuted among themselves; the style is kept."""
-    day = F.datediff(F.try_to_date(m, style), F.lit(FIRST_DAY).cast("date"))
-    start = F.struct(F.array(F.floor(day / SIDE).cast("int"), (day % SIDE).cast("int")).alias("x"), F.lit(0).alias("n"))
 
     def value(s: Column) -> Column:
         return F.get(s["x"], F.lit(0)) * SIDE + F.get(s["x"], F.lit(1))
@@ -137,8 +152,12 @@ def _date(m: Column, key: str, style: str) -> Column:
         step = F.struct(feistel(s["x"], F.array_repeat(F.lit(SIDE), 2), key, "date").alias("x"), (s["n"] + 1).alias("n"))
         return F.when((s["n"] > 0) & (value(s) < DAYS), s).otherwise(step)
 
-    new = F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, walk, value)
-    return F.when((day >= 0) & (day < DAYS), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new), style)).otherwise(m)
+    def body(day: Column) -> Column:
+        start = F.struct(F.array(F.floor(day / SIDE).cast("int"), (day % SIDE).cast("int")).alias("x"), F.lit(0).alias("n"))
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, walk, value)
+        return F.when((day >= 0) & (day < DAYS), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new), style)).otherwise(m)
+
+    return let(F.datediff(F.try_to_date(m, style), F.lit(FIRST_DAY).cast("date")), body)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -166,12 +185,14 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     """Digits stay digits and the letters a to f are permuted among themselves."""
-    chars = _chars(m)
-    xs = F.transform(chars, lambda c: F.when(F.ascii(c) < 58, F.ascii(c) - 48).otherwise(F.ascii(c) - 97))
-    radixes = F.transform(chars, lambda c: F.when(F.ascii(c) < 58, F.lit(10)).otherwise(F.lit(6)))
-    new = feistel(xs, radixes, key, "secret")
-    out = F.array_join(F.transform(chars, lambda c, i: F.char(F.get(new, i) + F.when(F.ascii(c) < 58, F.lit(48)).otherwise(F.lit(97)))), "")
-    return F.when(m.rlike("[0-9]") & m.rlike("[a-f]"), out).otherwise(m)
+
+    def body(chars: Column) -> Column:
+        xs = F.transform(chars, lambda c: F.when(F.ascii(c) < 58, F.ascii(c) - 48).otherwise(F.ascii(c) - 97))
+        radixes = F.transform(chars, lambda c: F.when(F.ascii(c) < 58, F.lit(10)).otherwise(F.lit(6)))
+        written = lambda new: F.transform(chars, lambda c, i: F.char(F.get(new, i) + F.when(F.ascii(c) < 58, F.lit(48)).otherwise(F.lit(97))))
+        return let(feistel(xs, radixes, key, "secret"), lambda new: F.array_join(written(new), ""))
+
+    return F.when(m.rlike("[0-9]") & m.rlike("[a-f]"), let(_chars(m), body)).otherwise(m)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -190,9 +211,15 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with pseudonyms in its text, and n_pseudonyms: how many values were replaced. The key must be kept secret."""
     prepare(docs.sparkSession)
-    marked = docs.withColumn("__found", F.when(F.col(text).rlike(r"[0-9@]") & F.col(text).rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    has_at, has_digit = F.col(text).contains("@"), F.col(text).rlike("[0-9]")
+
+    def by_pattern(f: Callable[[str], Column]) -> Column:
+        return F.when(has_at, f(WITH_EMAIL)).when(has_digit, f(WITHOUT_EMAIL))
+
+    marked = docs.withColumn("__found", by_pattern(lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))))
+    marked = marked.withColumn("__found", F.when(F.size("__found") > 0, F.col("__found")))
     marked = marked.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
-    around = F.split(F.col(text), ANY, -1)
+    around = by_pattern(lambda p: F.split(F.col(text), p, -1))
     joined = F.array_join(F.transform(around, lambda p, i: F.concat(p, F.coalesce(F.get("__new", i), F.lit("")))), "")
     changed = F.coalesce(F.size(F.filter(F.arrays_zip("__found", "__new"), lambda z: z["__found"] != z["__new"])), F.lit(0))
     out = marked.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(joined))
