@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from scrivener.plans import catalog, search, texts  # noqa: F401
+from scrivener.plans import catalog, graphs, jobs, search, texts  # noqa: F401
