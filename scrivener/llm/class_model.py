@@ -263,11 +263,13 @@ def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, head
     unseen[classes - 1] = 0.0
     after = (matrix + 0.5) / (matrix.sum(1, keepdims=True) + 0.5 * classes)
 
-    top = most_frequent(typed, most_lookup).toPandas().sort_values("h")
+    top = most_frequent(typed.select("h", "c", F.col("t").cast("int").alias("t")), most_lookup).toArrow()
+    order = np.argsort(top["h"].to_numpy())
+    top = {k: top[k].to_numpy()[order] for k in ("h", "c", "t")}
     model = context.broadcast(
         {
             "head": head, "of": of, "after": after, "unseen": unseen, "size": size,
-            "h": top["h"].to_numpy(np.int64), "c": top["c"].to_numpy(np.int64).astype(np.float64), "class": of[top["t"].to_numpy(np.int64)].astype(np.int16),
+            "h": top["h"], "c": top["c"].astype(np.float64), "class": of[top["t"]].astype(np.int16),
         }
     )
 

@@ -57,16 +57,16 @@ def contained_passages(texts: DataFrame, passages: DataFrame, text_key: str, pas
 
     Passages shorter than that are compared with every text, which is only done for a broadcast handful.
     """
-    def grams(c: Column) -> Column:
-        w = F.filter(F.split(c, r"\s+"), lambda x: x != "")
-        n = F.size(w) - (words - 1)
-        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(words)), " ")))))
-
     # The first word of a passage may stand behind other signs in a text: the gram starts at the second word.
-    lead = F.xxhash64(F.array_join(F.slice(F.filter(F.split("passage", r"\s+"), lambda x: x != ""), 2, words), " "))
-    sized = passages.select(passage_key, F.col("text").alias("passage")).withColumn("n", F.size(F.filter(F.split("passage", r"\s+"), lambda x: x != "")))
-    long_, short = sized.filter(F.col("n") >= words + 2).withColumn("h", lead), sized.filter(F.col("n") < words + 2)
-    rows = texts.select(text_key, "text", F.explode(grams(F.col("text"))).alias("h")).join(long_.select(passage_key, "passage", "h"), "h").filter(F.contains("text", "passage")).select(text_key, passage_key).distinct()
+    words_of = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    gram = lambda w, at: F.xxhash64(*(F.get(w, at + j) for j in range(words)))
+    sized = passages.select(passage_key, F.col("text").alias("passage")).withColumn("n", F.size(words_of(F.col("passage"))))
+    long_, short = sized.filter(F.col("n") >= words + 2).withColumn("h", gram(words_of(F.col("passage")), F.lit(1))), sized.filter(F.col("n") < words + 2)
+    split = texts.select(text_key, words_of(F.col("text")).alias("w")).filter(F.size("w") >= words)
+    at = split.select(text_key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - words)).alias("i"))
+    grams = at.select(text_key, gram(F.col("w"), F.col("i")).alias("h"))
+    pairs = grams.join(long_.select(passage_key, "h"), "h").select(text_key, passage_key).distinct()
+    rows = texts.select(text_key, "text").join(pairs, text_key).join(long_.select(passage_key, "passage"), passage_key).filter(F.contains("text", "passage")).select(text_key, passage_key)
     few = short.limit(1000)
     return rows.unionByName(texts.select(text_key, "text").join(F.broadcast(few), F.contains("text", "passage")).select(text_key, passage_key))
 
