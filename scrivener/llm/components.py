@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrivener.llm.shared import Scratch
 
 
-def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """links: a, b (long). Returns node and root, the smallest node it is linked to, for every linked node.
 
     Both steps are one minimum per node and one join, so no node's links are gathered in one place: a node with very
@@ -17,7 +17,7 @@ def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int =
     """
     links = scratch.save(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         # Large star: every larger neighbour of a node is linked to the smallest node around it.
         both = links.select("a", "b").union(links.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))

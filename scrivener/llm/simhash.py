@@ -205,10 +205,10 @@ def near_links(fps: DataFrame, scratch: Scratch, most_bits: int = 4, blocks: int
     if most_bits // blocks > 1:
         raise ValueError("a block must have one differing bit at most: use more blocks")
     rows = scratch.save(fps.mapInArrow(_replicate(blocks), "key long, fp long, home boolean"))
-    # Anchors with over a thousandth of what is at home, and over a part: a thousand keys at most, so they can be broadcast.
+    # Anchors with more than a part at home are salted. The covering code has 3 * 2^18 anchors at most, whatever the
+    # corpus, so their list can be broadcast.
     homes = rows.filter("home").groupBy("key").count().filter(F.col("count") > part)
-    total = fps.count() * blocks
-    hot = homes.filter(F.col("count") > total / 1000).select("key", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    hot = homes.select("key", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     salted = rows.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     salted = salted.withColumn(
         "salt", F.explode(F.when(F.col("home"), F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
