@@ -13,7 +13,7 @@ from scrivener.llm.decontaminate import decontaminated
 from scrivener.llm.packing import packed_documents
 from scrivener.llm.pseudonyms import pseudonymised
 from scrivener.llm.quality_rules import judged
-from scrivener.llm.shared import Scratch
+from scrivener.llm.shared import Scratch, fresh
 from scrivener.llm.simhash import near_duplicates
 from scrivener.session import table
 
@@ -22,7 +22,8 @@ KEY = "a key for demonstration"
 
 def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is among ids (distinct)."""
-    return docs.join(ids.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    name = fresh(docs, "kept_id")
+    return docs.join(ids.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

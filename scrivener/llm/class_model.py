@@ -282,8 +282,9 @@ def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, head
             count, cls = np.where(at >= 0, m["c"][at] if len(m["c"]) else 0.0, -1.0), np.zeros(len(words), np.int64)
             found = at >= 0
             cls[found] = m["class"][at[found]]
+            place = find(m["head"], hashes)
             for i in np.flatnonzero(~found):
-                cls[i] = m["of"][len(m["head"]) + ending(words[i])]
+                cls[i] = m["of"][place[i] if place[i] >= 0 else len(m["head"]) + ending(words[i])]
             emits = (1 - m["unseen"][cls]) * count / np.maximum(m["size"][cls], 1)
             return [cls, count, emits, hashes]
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.shared import Scratch
+from scrivener.llm.shared import Scratch, fresh
 from scrivener.session import prepare
 
 #: Sketch hashes, and item shingles, up to which the search side is broadcast (24 bytes a row); beyond, it is joined by shuffle.
@@ -105,5 +105,6 @@ def _short_items(texts: DataFrame, items: DataFrame, shingle: int) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of docs that contain no item; a row without a doc_id stays."""
-    hits = contaminated(docs, items, containment, shingle).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, F.col("doc_id") == F.col("__hit"), "left_anti")
+    hit = fresh(docs, "hit")
+    hits = contaminated(docs, items, containment, shingle).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(hits, F.col("doc_id") == F.col(hit), "left_anti")

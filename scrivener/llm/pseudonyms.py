@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivener.llm.shared import fresh
 from scrivener.session import prepare
 
 ROUNDS = 8
@@ -211,16 +212,17 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with pseudonyms in its text, and n_pseudonyms: how many values were replaced. The key must be kept secret."""
     prepare(docs.sparkSession)
+    found, new = fresh(docs, "found"), fresh(docs, "new")
     has_at, has_digit = F.col(text).contains("@"), F.col(text).rlike("[0-9]")
 
     def by_pattern(f: Callable[[str], Column]) -> Column:
         return F.when(has_at, f(WITH_EMAIL)).when(has_digit, f(WITHOUT_EMAIL))
 
-    marked = docs.withColumn("__found", by_pattern(lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))))
-    marked = marked.withColumn("__found", F.when(F.size("__found") > 0, F.col("__found")))
-    marked = marked.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    marked = docs.withColumn(found, by_pattern(lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))))
+    marked = marked.withColumn(found, F.when(F.size(found) > 0, F.col(found)))
+    marked = marked.withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
     around = by_pattern(lambda p: F.split(F.col(text), p, -1))
-    joined = F.array_join(F.transform(around, lambda p, i: F.concat(p, F.coalesce(F.get("__new", i), F.lit("")))), "")
-    changed = F.coalesce(F.size(F.filter(F.arrays_zip("__found", "__new"), lambda z: z["__found"] != z["__new"])), F.lit(0))
-    out = marked.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(joined))
-    return out.withColumn("n_pseudonyms", F.when(F.col("__found").isNull(), F.lit(0)).otherwise(changed).cast("long")).drop("__found", "__new")
+    joined = F.array_join(F.transform(around, lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.lit("")))), "")
+    changed = F.coalesce(F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)), F.lit(0))
+    out = marked.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(joined))
+    return out.withColumn("n_pseudonyms", F.when(F.col(found).isNull(), F.lit(0)).otherwise(changed).cast("long")).drop(found, new)

@@ -1,17 +1,17 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences: after a word that ends with . ! or ? and at line ends, once the sentence has `MIN_WORDS`
-words (shorter ones go on into the next). A sentence that runs past `LONG_WORDS` words is cut after the first word
-whose hash is even, at `MOST_WORDS` words at the latest, so that text without punctuation has sentences too, and the
-same ones wherever it stands. Every run of `run` consecutive sentences is hashed (A-Z lower-cased, words joined by
-blanks). Runs are joined globally on the hash; of each repeated run the occurrence with the smallest (doc_id, position)
-stays, and sentences that any other occurrence covers are removed, with the white space behind them.
-
-Counting pre-aggregates per task. Runs with more than a thousandth of all occurrences are a thousand keys at most; they
+A text is cut into sentences: after a word that ends with . ! or ?, at line ends, and, so that text without stops has
+sentences too, after a word whose hash is the smallest among its `REACH` neighbours on both sides. All of it depends on
+nearby words alone, so a passage has the same sentences wherever it stands. From each sentence on, a span is the
+shortest run of `run` sentences or more with `least` words or more. Every span is hashed (A-Z lower-cased, words joined
+by blanks). Spans are joined globally on the hash; of each repeated span the occurrence with the smallest (doc_id,
+position) stays, and sentences that any other occurrence covers are removed, with the white space behind them.
+
+Counting pre-aggregates per task. Spans with more than a thousandth of all occurrences are a thousand keys at most; they
 are joined by broadcast and the others by shuffle, so no key meets in one task. Nothing is gathered but one document's
 positions.
 
-Null texts stay null, empty ones empty; a text with fewer than `run` sentences is left alone. Rows that share a doc_id
+Null texts stay null, empty ones empty; a text with no whole span is left alone. Rows that share a doc_id
 count as one document; a row with a null doc_id is returned as it is. Other columns stay, but for those named like a
 result column, which the result replaces.
 """
@@ -30,56 +30,56 @@ from pyspark.sql import functions as F
 
 from scrivener.llm.shared import Scratch, arrow_batches, utf8
 
-MIN_WORDS, LONG_WORDS, MOST_WORDS = 4, 8, 16
-STOPS = frozenset(b".!?")
+#: Neighbours on each side that a word's hash is compared with, sentences of a span and words of a span, at the least.
+REACH, RUN, LEAST = 3, 3, 16
+STOPS = np.frombuffer(b".!?", np.uint8)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def sentence_ends(text: bytes) -> tuple[list[bytes], list[int]]:
+def sentence_ends(text: bytes) -> tuple[list[bytes], np.ndarray]:
     """The words of a lower-cased text, and after how many words each sentence ends."""
-    words, ends, start = [], [], 0
-    crc32 = zlib.crc32
-    for line in text.lower().split(b"\n"):
-        here = line.split()
-        at = len(words)
-        words += here
-        for w in here:
-            at += 1
-            n = at - start
-            if n >= MIN_WORDS and (w[-1] in STOPS or n >= LONG_WORDS and (n >= MOST_WORDS or not crc32(w) & 1)):
-                ends.append(at)
-                start = at
-        if at - start >= MIN_WORDS:
-            ends.append(at)
-            start = at
-    if start < len(words):
-        ends.append(len(words))
-    return words, ends
-
-
-def run_hashes(text: bytes, run: int) -> np.ndarray:
-    """Hash of every run of consecutive sentences, by its first sentence."""
+    lines = [x.split() for x in text.lower().split(b"\n")]
+    words = [w for x in lines for w in x]
+    n = len(words)
+    if not n:
+        return words, np.zeros(0, np.int64)
+    cut = np.isin(np.fromiter((w[-1] for w in words), np.uint8, n), STOPS)
+    line_ends = np.cumsum([len(x) for x in lines])
+    cut[line_ends[line_ends > 0] - 1] = True
+    h = np.fromiter(map(zlib.crc32, words), np.uint32, n)
+    low = np.ones(n, bool)
+    for k in range(1, min(REACH, n - 1) + 1):
+        low[k:] &= h[k:] < h[:-k]
+        low[:-k] &= h[:-k] <= h[k:]
+    cut |= low
+    cut[-1] = True
+    return words, np.flatnonzero(cut) + 1
+
+
+def span_ends(ends: np.ndarray, run: int, least: int) -> np.ndarray:
+    """The last sentence of the span that starts with each sentence, as far as there are whole spans."""
+    starts = np.concatenate([[0], ends[:-1]])
+    last = np.maximum(np.searchsorted(ends, starts + least), np.arange(len(ends)) + run - 1)
+    return last[last < len(ends)]
+
+
+def span_hashes(text: bytes, run: int = RUN, least: int = LEAST) -> np.ndarray:
+    """Hash of every span, by its first sentence."""
     words, ends = sentence_ends(text)
-    if len(ends) < run:
+    if not len(ends):
         return np.zeros(0, np.int64)
-    digest, out, start = xxhash.xxh64_intdigest, [], 0
-    for end in ends:
-        out.append(digest(b" ".join(words[start:end])))
-        start = end
-    one = np.array(out, np.uint64)
-    mixed = np.zeros(len(one) - run + 1, np.uint64)
-    for k in range(run):
-        mixed = (mixed ^ one[k : len(one) - run + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return mixed.view(np.int64)
-
-
-def without(text: bytes, positions: list[int], run: int) -> tuple[bytes, int, int]:
-    """The text without the sentences that runs at the positions cover; sentences in all, and removed."""
+    stops = ends[span_ends(ends, run, least)].tolist()
+    digest, starts = xxhash.xxh64_intdigest, [0, *ends.tolist()]
+    return np.fromiter((digest(b" ".join(words[a:b])) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops)).view(np.int64)
+
+
+def without(text: bytes, positions: list[int], run: int = RUN, least: int = LEAST) -> tuple[bytes, int, int]:
+    """The text without the sentences that spans from the positions cover; sentences in all, and removed."""
     _, ends = sentence_ends(text)
-    covered = sorted({p + k for p in positions for k in range(run)})
+    last = span_ends(ends, run, least)
+    covered = sorted({s for p in positions for s in range(p, last[p] + 1)})
     places = [m.start() for m in WORD.finditer(text)] + [len(text)]
-    starts = [0, *ends[:-1]]
+    starts = [0, *ends[:-1].tolist()]
     out, at = [], 0
     for s in covered:
         out.append(text[at : max(at, places[starts[s]])])
@@ -88,12 +88,12 @@ def without(text: bytes, positions: list[int], run: int) -> tuple[bytes, int, in
     return b"".join(out), len(ends), len(covered)
 
 
-def runs(docs: DataFrame, run: int) -> DataFrame:
-    """h, doc_id and pos of every run of every document."""
+def spans(docs: DataFrame, run: int, least: int) -> DataFrame:
+    """h, doc_id and pos of every span of every document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [run_hashes(t, run) for t in utf8(batch.column(1))]
+            hashes = [span_hashes(t, run, least) for t in utf8(batch.column(1))]
             n = np.array([len(h) for h in hashes], np.int64)
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
             pos = [np.arange(k, dtype=np.int32) for k in n]
@@ -104,9 +104,9 @@ def runs(docs: DataFrame, run: int) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "h long, doc_id long, pos int")
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, run: int = 3) -> DataFrame:
-    """doc_id and pos of every run that occurs before, in an earlier document or place."""
-    rows = scratch.save(runs(docs, run))
+def repeated_spans(docs: DataFrame, scratch: Scratch, run: int = RUN, least: int = LEAST) -> DataFrame:
+    """doc_id and pos of every span that occurs before, in an earlier document or place."""
+    rows = scratch.save(spans(docs, run, least))
     total = rows.count()
     groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1")
     groups = scratch.save(groups)
@@ -119,10 +119,10 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, run: int = 3) -> DataFrame:
     return found.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "pos")
 
 
-def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
+def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     """docs with repeated passages cut from its text, n_sentences and n_removed."""
     scratch = Scratch(arrow_batches(docs.sparkSession))
-    found = repeated_runs(docs, scratch, run)
+    found = repeated_spans(docs, scratch, run, least)
     per_doc = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("pos").alias("__pos"))
     kept = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "__id", "__pos")]
     rows = docs.select(*kept, F.col("text").cast("string").alias("text")).join(per_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id")
@@ -137,7 +137,7 @@ def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
                     n.append(len(sentence_ends(t)[1]) if t is not None else 0)
                     gone.append(0)
                 else:
-                    x, total, removed = without(t, p, run)
+                    x, total, removed = without(t, p, run, least)
                     new.append(x)
                     n.append(total)
                     gone.append(removed)
