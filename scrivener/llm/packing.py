@@ -37,6 +37,8 @@ from scrivener.llm.shared import Scratch, arrow_batches
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 #: Missing words that are encoded in one call.
 ENCODE_AT_ONCE = 2000
+#: Tasks of an epoch, at the most; beyond that a task evolves several islands, one after another.
+MOST_TASKS = 20_000
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
 _tokenizers: dict[str, "WordTokenizer"] = {}
@@ -217,10 +219,12 @@ def _islands(capacity: int, population: int, generations: int, epoch: int):
 ISLAND = "block long, island int, lengths array<int>, elite array<int>, n_bins int, done boolean"
 
 
-def pack_lengths(blocks: DataFrame, scratch: Scratch, capacity: int = 4096, islands: int = 3, epochs: int = 3, population: int = 8, generations: int = 12) -> DataFrame:
+def pack_lengths(blocks: DataFrame, scratch: Scratch, n_blocks: int, capacity: int = 4096, islands: int = 3, epochs: int = 3, population: int = 8, generations: int = 12) -> DataFrame:
     """blocks: block long, lengths array<int>. Returns block and elite: the bin of each length."""
     best = None
-    now = blocks.withColumns({"island": F.explode(F.sequence(F.lit(0), F.lit(islands - 1))), "elite": F.lit(None).cast("array<int>")}).repartition("block", "island")
+    # Few bytes but much work: a number of partitions that is stated isn't coalesced.
+    tasks = min(n_blocks * islands, MOST_TASKS)
+    now = blocks.withColumns({"island": F.explode(F.sequence(F.lit(0), F.lit(islands - 1))), "elite": F.lit(None).cast("array<int>")}).repartition(tasks, "block", "island")
     for epoch in range(epochs):
         now = scratch.save(now.select("block", "island", "lengths", "elite").mapInArrow(_islands(capacity, population, generations, epoch), ISLAND))
         best = now if best is None else best.unionByName(now)
@@ -228,7 +232,7 @@ def pack_lengths(blocks: DataFrame, scratch: Scratch, capacity: int = 4096, isla
         if epoch + 1 == epochs or going.isEmpty():
             break
         migrants = now.select("block", ((F.col("island") + 1) % islands).alias("island"), "elite")
-        now = now.drop("elite", "n_bins", "done").join(migrants, ["block", "island"]).join(going, "block", "left_semi").repartition("block", "island")
+        now = now.drop("elite", "n_bins", "done").join(migrants, ["block", "island"]).join(going, "block", "left_semi").repartition(tasks, "block", "island")
     return best.groupBy("block").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
 
 
@@ -256,7 +260,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 4096, block_size:
         items = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(of_round)), F.lit(n)).cast("long"))
         lengths = F.transform(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False), lambda x: x)
         blocks = items.groupBy("block").agg(lengths.alias("lengths"))
-        packing = pack_lengths(blocks, scratch, capacity, **search)
+        packing = pack_lengths(blocks, scratch, n, capacity, **search)
         placed = items.groupBy("block").cogroup(packing.groupBy("block")).applyInPandas(
             _place(capacity, of_round), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
         )
