@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import string
 import zlib
 from bisect import bisect_left, insort
@@ -39,6 +40,8 @@ CACHE_WORDS, CACHE_CHARS = 400_000, 40
 ENCODE_AT_ONCE = 2000
 #: Tasks of an epoch, at the most; beyond that a task evolves several islands, one after another.
 MOST_TASKS = 20_000
+#: str.split() takes these for blanks too, while the tokenizer's \s doesn't: they have tokens of their own.
+SEPARATORS, WORD = "\x1c\x1d\x1e\x1f", re.compile(r"[\S\x1c-\x1f]+")
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
 _tokenizers: dict[str, "WordTokenizer"] = {}
@@ -71,7 +74,7 @@ class WordTokenizer:
         known = self.known
         if len(known) > CACHE_WORDS:  # what came first is mostly what comes often
             known = self.known = dict(islice(known.items(), CACHE_WORDS // 2))
-        split = [t.split() for t in texts]
+        split = [_words(t) for t in texts]
         missing = list({w for words in split for w in words if w not in known})
         here: dict[str, bytes] = {}  # words that are too long to keep
         for at in range(0, len(missing), ENCODE_AT_ONCE):
@@ -93,6 +96,11 @@ class WordTokenizer:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+def _words(text: str) -> list[str]:
+    """The text cut at what the tokenizer drops."""
+    return WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+
+
 def _stem(word: str) -> str:
     """The word without a tail of punctuation and, where it is ASCII, in lower case: the same ids but for the tail's.
 

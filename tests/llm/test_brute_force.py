@@ -87,6 +87,15 @@ def test_op2_sequences_are_gapless_and_few(spark, documents):
     assert got["sequence_id"].nunique() <= math.ceil(got["length"].sum() / 4096) + 1
 
 
+def test_op2_words_equal_the_library_at_all_blanks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\x00", "\x1b", "\x7f", "\u180e", "\u200b", "\u2060", "\ufeff"]
+    texts = [t for c in blanks for t in (f"a{c}b", c, f"x {c} y{c}", f"{c}{c}Ab.{c}it's", f"one.{c}\ttwo{c}\x1d3")]
+    tokenizer = Tokenizer.from_file(path)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.WordTokenizer(path).encode(texts) == want
+
+
 def test_op2_blocks_lose_little(spark):
     rng = random.Random(3)
     rows = [(i, 0, 0, rng.choice([rng.randint(1, 500), rng.randint(300, 4096)]), 0) for i in range(1500)]
