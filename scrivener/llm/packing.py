@@ -1,13 +1,13 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm on islands.
 
 Documents are tokenised, closed with an end id and, only where longer than a sequence, cut. The pieces are dealt by
-hash into blocks of bounded size, since packings of a few thousand pieces already come to within a sequence of the
-bound. Each block is one packing problem, solved by several islands in parallel: an island starts from best-fit
+hash of their place in the written table into blocks of bounded size, since packings of a few thousand pieces already
+come to within a sequence of the bound. A block has some sequences' worth of tokens at least. Each block is one packing problem, solved by several islands in parallel: an island starts from best-fit
 decreasing and shuffled best-fit packings, its crossover injects whole well-filled sequences of one parent into the
 other, removes the sequences that hold duplicates and best-fits the displaced pieces; after each epoch every island's
 elite migrates to the next island of its block. A block ends as soon as it meets the bound ceil(tokens / capacity).
 The least filled sequence of every block is opened again and its pieces are packed together in a further round, so
-that what blocks lose at their ends doesn't add up.
+that what blocks lose at their ends doesn't add up; each round has an eighth of the tokens of the one before, or less.
 
 Null texts are empty; an empty text is the end id alone. Repeated rows are packed each by itself. Ties in length are
 dealt in the order of (doc_id, piece). Columns other than the id and the text are not read. Memory is bounded by a
@@ -40,6 +40,8 @@ CACHE_WORDS, CACHE_CHARS = 400_000, 40
 ENCODE_AT_ONCE = 2000
 #: Tasks of an epoch, at the most; beyond that a task evolves several islands, one after another.
 MOST_TASKS = 20_000
+#: Sequences' worth of tokens in a block, on average and at the least.
+LEAST_SEQUENCES = 8
 #: str.split() takes these for blanks too, while the tokenizer's \s doesn't: they have tokens of their own.
 SEPARATORS, WORD = "\x1c\x1d\x1e\x1f", re.compile(r"[\S\x1c-\x1f]+")
 
@@ -254,34 +256,43 @@ def _place(capacity: int, of_round: int):
         low = items["bin"].iloc[int(np.argmin(fill.to_numpy()))]
         items["open"] = (items["bin"] == low) & (fill < capacity)
         items["sequence_id"] = (of_round << 56) + items["block"] * (1 << 20) + items["bin"]
-        return items[[*NAMES, "sequence_id", "offset", "open"]]
+        return items[[*NAMES, "row", "sequence_id", "offset", "open"]]
 
     return run
 
 
+def n_blocks(count: int, tokens: int, capacity: int, block_size: int) -> int:
+    """Blocks of about block_size pieces, but of LEAST_SEQUENCES sequences' worth of tokens, at the least.
+
+    A round leaves less than a sequence of each block open, so the open tokens fall by that factor from round to round.
+    """
+    return max(1, min(-(-count // block_size), tokens // (LEAST_SEQUENCES * capacity)))
+
+
 def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 4096, block_size: int = 2048, **search: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces (a written table with the columns of token_pieces)."""
-    out, of_round = None, 0
+    """Adds sequence_id and offset to pieces (with the columns of token_pieces)."""
+    # Pieces are dealt by their number, as any number of rows can share an id. Written, the numbers don't change.
+    pieces, out, of_round = scratch.save(pieces.select(*NAMES, F.monotonically_increasing_id().alias("row"))), None, 0
     while True:
-        count = pieces.count()
-        n = max(1, -(-count // block_size))
-        items = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(of_round)), F.lit(n)).cast("long"))
+        size = pieces.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+        n = n_blocks(size["n"], size["tokens"], capacity, block_size)
+        items = pieces.withColumn("block", F.pmod(F.xxhash64("row", F.lit(of_round)), F.lit(n)).cast("long"))
         lengths = F.transform(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False), lambda x: x)
         blocks = items.groupBy("block").agg(lengths.alias("lengths"))
         packing = pack_lengths(blocks, scratch, n, capacity, **search)
         placed = items.groupBy("block").cogroup(packing.groupBy("block")).applyInPandas(
-            _place(capacity, of_round), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
+            _place(capacity, of_round), "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, open boolean"
         )
         if n == 1:
-            placed = placed.drop("open")
+            placed = placed.drop("open", "row")
             return placed if out is None else out.unionByName(placed)
         placed = scratch.save(placed)
-        closed = placed.filter(~F.col("open")).drop("open")
+        closed = placed.filter(~F.col("open")).drop("open", "row")
         out = closed if out is None else out.unionByName(closed)
-        pieces, of_round = placed.filter("open").select(*NAMES), of_round + 1
+        pieces, of_round = placed.filter("open").select(*NAMES, "row"), of_round + 1
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, **search: int) -> DataFrame:
     """All documents in sequences of at most `capacity` tokens."""
     scratch = Scratch(docs.sparkSession)
-    return pack(scratch.save(token_pieces(docs, tokenizer_path, capacity, end_id)), scratch, capacity, **search)
+    return pack(token_pieces(docs, tokenizer_path, capacity, end_id), scratch, capacity, **search)

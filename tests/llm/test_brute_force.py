@@ -106,6 +106,22 @@ def test_op2_blocks_lose_little(spark):
     assert got["sequence_id"].nunique() <= 1.03 * math.ceil(got["length"].sum() / 4096) + 1
 
 
+def test_op2_tiny_pieces_and_shared_ids_end(spark):
+    """Pieces of which a whole block fits one sequence, all with one id: before, no round closed anything."""
+    assert packing.n_blocks(10_000, 10_000, 4096, 300) == 1 and packing.n_blocks(10**6, 10**6, 4096, 2048) == 30
+    scratch = Scratch(spark)
+    for doc_id in (None, 7):
+        rows = [(doc_id, 0, 0, 1 + i % 2, i) for i in range(3000)] + [(doc_id, 0, 0, 150, i) for i in range(3000)]
+        pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        got = packing.pack(pieces, scratch, block_size=300).toPandas()
+        assert sorted(zip(got["length"], got["ids_crc32"], strict=True)) == sorted((r[3], r[4]) for r in rows)
+        assert got.groupby("sequence_id")["length"].sum().max() <= 4096
+        assert got["sequence_id"].nunique() <= math.ceil(got["length"].sum() / 4096) + 1
+        # Round 0 numbers its sequences by block: the one id is dealt over as many blocks as tokens allow.
+        first = got.loc[got["sequence_id"] < 1 << 56, "sequence_id"] // (1 << 20)
+        assert first.nunique() == packing.n_blocks(6000, got["length"].sum(), 4096, 300) > 1
+
+
 def test_op3_equals_all_pairs(spark, documents):
     got = result(spark, "op3_simhash_near_duplicates").set_index("doc_id")
     ids, fps = documents["doc_id"].tolist(), [brute.fingerprint(t) for t in documents["text"]]
