@@ -20,24 +20,31 @@ from scrivener.session import table
 KEY = "a key for demonstration"
 
 
-def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids (distinct)."""
-    name = fresh(docs, "kept_id")
-    return docs.join(ids.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_semi")
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs, written with a number per row, and the name of that column: rows can share an id or have none."""
+    row = fresh(docs, "row_number")
+    return scratch.save(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _semi(docs: DataFrame, rows: DataFrame, row: str) -> DataFrame:
+    """Rows of docs whose number is among rows, without it."""
+    return docs.join(rows.select(row), row, "left_semi").drop(row)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules. Rows that share a doc_id stay if each of them passes; a null doc_id doesn't."""
-    verdicts = judged(docs, table(spark, sf_dir, "labels"))
-    return _semi(docs, verdicts.groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).filter("kept"))
+    """Documents that pass the rules, each row by itself."""
+    numbered, row = _numbered(docs, Scratch(spark))
+    return _semi(numbered, judged(numbered, table(spark, sf_dir, "labels"), row=row).filter("kept"), row)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id, and one row of it."""
-    groups = Scratch(spark).save(near_duplicates(docs))
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").count()
-    out = _semi(docs, kept)
-    return out if kept.filter("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: that with the smallest doc_id (none is the largest), and one row of it."""
+    scratch = Scratch(spark)
+    numbered, row = _numbered(docs, scratch)
+    groups = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    ids = groups.join(numbered.select(row, F.col("doc_id").cast("long").alias("doc_id")), row)
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)).alias("first"))
+    return _semi(numbered, kept.select(F.col(f"first.{row}").alias(row)), row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

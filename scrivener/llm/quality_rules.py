@@ -117,10 +117,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, pseudo_count: float = 1.0) -
     return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.45, target_docs: int = 20_000) -> DataFrame:
-    """Per row of docs: doc_id, the base counts, base_failed, log_ratio and kept."""
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.45, target_docs: int = 20_000, row: str = "doc_id") -> DataFrame:
+    """Per row of docs: doc_id, the base counts, base_failed, log_ratio and kept. Another column can be given instead of
+    doc_id to name the rows by; labels are looked up by doc_id all the same."""
     spark = arrow_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    named, docs = docs.select(F.col(row).cast("long"), F.col("text").cast("string")), docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     shared = spark.sparkContext.broadcast(log_ratios(docs, trusted_ids(labels, target_docs)).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +133,8 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.45, target_
             for i, t in enumerate(texts):
                 total = sum(float(ratios[buckets(part)].sum(dtype=np.float64)) for part in slices(t))
                 score[i] = round(total / max(1, len(t) - NGRAM + 1), 9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T.copy()), pa.array(score)], NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T.copy()), pa.array(score)], [row, *NAMES[1:]])
 
-    rows = docs.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ratio double")
+    rows = named.mapInArrow(run, f"`{row}` long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ratio double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))

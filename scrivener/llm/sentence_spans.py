@@ -5,15 +5,16 @@ sentences too, after a word whose hash is the smallest among its `REACH` neighbo
 nearby words alone, so a passage has the same sentences wherever it stands. From each sentence on, a span is the
 shortest run of `run` sentences or more with `least` words or more. Every span is hashed (A-Z lower-cased, words joined
 by blanks). Spans are joined globally on the hash; of each repeated span the occurrence with the smallest (doc_id,
-position) stays, and sentences that any other occurrence covers are removed, with the white space behind them.
+position) stays, those without an id behind all others, and sentences that any other occurrence covers are removed,
+with the white space behind them.
 
 Counting pre-aggregates per task. Spans with more than a thousandth of all occurrences are a thousand keys at most; they
 are joined by broadcast and the others by shuffle, so no key meets in one task. Nothing is gathered but one document's
 positions.
 
-Null texts stay null, empty ones empty; a text with no whole span is left alone. Rows that share a doc_id
-count as one document; a row with a null doc_id is returned as it is. Other columns stay, but for those named like a
-result column, which the result replaces.
+Null texts stay null, empty ones empty; a text with no whole span is left alone. Rows that share both doc_id (or have
+none) and text count as one document; those that share an id alone are documents of their own, told apart by a hash of
+the text. Other columns stay, but for those named like a result column, which the result replaces.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.llm.shared import Scratch, arrow_batches, utf8
@@ -89,26 +90,35 @@ def without(text: bytes, positions: list[int], run: int = RUN, least: int = LEAS
 
 
 def spans(docs: DataFrame, run: int, least: int) -> DataFrame:
-    """h, doc_id and pos of every span of every document."""
+    """h, doc_id, variant and pos of every span of every document (doc_id, variant, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [span_hashes(t, run, least) for t in utf8(batch.column(1))]
+            hashes = [span_hashes(t, run, least) for t in utf8(batch.column(2))]
             n = np.array([len(h) for h in hashes], np.int64)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
+            row = pa.array(np.repeat(np.arange(len(n)), n))
             pos = [np.arange(k, dtype=np.int32) for k in n]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.int64), *hashes])), pa.array(ids.astype(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int32), *pos]))], ["h", "doc_id", "pos"]
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *hashes])), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate([np.zeros(0, np.int32), *pos]))],
+                ["h", "doc_id", "variant", "pos"],
             )
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "h long, doc_id long, pos int")
+    return docs.select("doc_id", "variant", "text").mapInArrow(each, "h long, doc_id long, variant long, pos int")
+
+
+def variant(docs: DataFrame) -> Column:
+    """What tells rows with one doc_id apart: a hash of the text, or 0 where every id stands for one text."""
+    by_text = F.xxhash64(F.col("text").cast("string"))
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(by_text).alias("a"), F.max(by_text).alias("b"))
+    return F.when(F.col("doc_id").isNull(), by_text).otherwise(F.lit(0) if ids.filter("a <> b").isEmpty() else by_text).cast("long")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, run: int = RUN, least: int = LEAST) -> DataFrame:
-    """doc_id and pos of every span that occurs before, in an earlier document or place."""
+    """doc_id, variant and pos of every span that occurs before, in an earlier document or place."""
     rows = scratch.save(spans(docs, run, least))
     total = rows.count()
-    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "variant", "pos")
+    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     groups = scratch.save(groups)
     # More than a thousandth of all rows: at most a thousand keys.
     is_hot = F.col("n") > max(1000, total / 1000)
@@ -116,16 +126,17 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, run: int = RUN, least: int
     by_hot = rows.join(hot, "h")
     by_rest = rows.join(F.broadcast(groups.filter(is_hot).select("h")), "h", "left_anti").join(groups.filter(~is_hot), "h")
     found = by_hot.unionByName(by_rest)
-    return found.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "pos")
+    return found.filter(place != F.col("first")).select("doc_id", "variant", "pos")
 
 
 def deduplicated(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     """docs with repeated passages cut from its text, n_sentences and n_removed."""
     scratch = Scratch(arrow_batches(docs.sparkSession))
-    found = repeated_spans(docs, scratch, run, least)
-    per_doc = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("pos").alias("__pos"))
-    kept = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "__id", "__pos")]
-    rows = docs.select(*kept, F.col("text").cast("string").alias("text")).join(per_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    which = variant(docs)
+    found = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), which.alias("variant"), F.col("text").cast("string").alias("text")), scratch, run, least)
+    per_doc = found.groupBy(F.col("doc_id").alias("__id"), F.col("variant").alias("__variant")).agg(F.collect_set("pos").alias("__pos"))
+    kept = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "__id", "__variant", "__pos")]
+    rows = docs.select(*kept, F.col("text").cast("string").alias("text")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (which == F.col("__variant")), "left").drop("__id", "__variant")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

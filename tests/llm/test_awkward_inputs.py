@@ -128,3 +128,27 @@ def test_pipeline_stages(spark, tables, tmp_path):
             assert out.count() <= max(rows.count(), 0) + 200
     kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).groupBy("doc_id").count()
     assert kept.filter(F.col("count") > 1).isEmpty()
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    """Before, op5 failed or cut clean sentences where two texts had one id, and the pipeline lost such rows."""
+    passage = " ".join(f"Line {i} of a passage that is found twice." for i in range(30))
+    clean = lambda tag: " ".join(f"{tag} speaks of matter {i} and of {tag} item {i * 7} in turn." for i in range(30))
+    rows = [(0, passage), (1, clean("alpha") + " " + passage), (1, clean("beta")), (1, "short"), (None, clean("gamma") + " " + passage), (None, clean("delta"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in deduplicated(docs).collect()]
+    assert len(got) == len(rows)
+    for i in (0, 2, 3, 5):
+        assert rows[i] in got
+    cut = [t for d, t in got if t.startswith(("alpha", "gamma"))]
+    assert len(cut) == 2 and all(t.count("passage") < 5 for t in cut)
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = ["The old mill by the river was sold to a young painter from the north.", "Trade in copper and tin fell sharply after the harbour froze last winter.", "Our cousin teaches seven children to read music on a borrowed violin."]
+    prose = [" ".join(" ".join(w + str(k * j) for j, w in enumerate(t.split())) for k in range(1, 9)) for t in texts]
+    rows = [(1, prose[0]), (1, prose[1]), (1, "no"), (None, prose[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[1], rows[3]}
+    kept = corpus_pipeline.near_dedup(spark, docs.union(docs), str(tmp_path))
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect() if r[0]) == sorted(rows[:3]) and kept.filter("doc_id is null").count() == 1
