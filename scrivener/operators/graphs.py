@@ -53,22 +53,42 @@ def verify_quotes(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def contained_passages(texts: DataFrame, passages: DataFrame, text_key: str, passage_key: str, words: int = 5) -> DataFrame:
-    """Pairs of texts and passages that they hold verbatim. Both meet on the hash of the passage's first words.
+    """Pairs of texts and passages that they hold verbatim. Both meet on the hash of the passage's first whole words.
 
-    Passages shorter than that are compared with every text, which is only done for a broadcast handful.
+    Passages too short for that meet on their inner words, one to four, or, with one or two words, on their first
+    characters, eight at the most. Texts are only cut into grams of the sizes that occur among the passages.
     """
     # The first word of a passage may stand behind other signs in a text: the gram starts at the second word.
     words_of = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
     gram = lambda w, at: F.xxhash64(*(F.get(w, at + j) for j in range(words)))
-    sized = passages.select(passage_key, F.col("text").alias("passage")).withColumn("n", F.size(words_of(F.col("passage"))))
+    sized = passages.select(passage_key, F.col("text").alias("passage")).withColumn("n", F.size(words_of(F.col("passage")))).filter("passage is not null")
     long_, short = sized.filter(F.col("n") >= words + 2).withColumn("h", gram(words_of(F.col("passage")), F.lit(1))), sized.filter(F.col("n") < words + 2)
     split = texts.select(text_key, words_of(F.col("text")).alias("w")).filter(F.size("w") >= words)
     at = split.select(text_key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - words)).alias("i"))
     grams = at.select(text_key, gram(F.col("w"), F.col("i")).alias("h"))
     pairs = grams.join(long_.select(passage_key, "h"), "h").select(text_key, passage_key).distinct()
     rows = texts.select(text_key, "text").join(pairs, text_key).join(long_.select(passage_key, "passage"), passage_key).filter(F.contains("text", "passage")).select(text_key, passage_key)
-    few = short.limit(1000)
-    return rows.unionByName(texts.select(text_key, "text").join(F.broadcast(few), F.contains("text", "passage")).select(text_key, passage_key))
+    out = rows.unionByName(texts.filter("text is not null").select(text_key).crossJoin(short.filter("passage = ''").select(passage_key)))  # in every text
+    # Grams of few words or characters; the kinds of grams that occur are a dozen at most.
+    inner = F.array_join(F.slice(words_of(F.col("passage")), F.lit(2), F.greatest(F.col("n") - 2, F.lit(0))), " ")
+    keyed = short.filter("passage <> ''").withColumn("by_word", F.col("n") > 2)
+    keyed = keyed.withColumn("size", F.when(F.col("by_word"), F.col("n") - 2).otherwise(F.least(F.length("passage"), F.lit(8))))
+    keyed = keyed.withColumn("gram", F.when(F.col("by_word"), inner).otherwise(F.substring("passage", 1, 8)))
+    cut = texts.filter("text <> ''").select(text_key, "text", words_of(F.col("text")).alias("w"))
+    seen = None
+    for kind in keyed.select("by_word", "size").distinct().collect():
+        n = kind["size"]
+        length = F.size("w") if kind["by_word"] else F.length("text")
+        at = cut.filter(length >= n).select(text_key, "text", "w", F.explode(F.sequence(F.lit(1), length - n + 1)).alias("i"))
+        gram_at = F.array_join(F.slice("w", F.col("i"), F.lit(n)), " ") if kind["by_word"] else F.substring(F.col("text"), F.col("i"), F.lit(n))
+        found = at.select(text_key, F.lit(kind["by_word"]).alias("by_word"), F.lit(n).alias("size"), gram_at.alias("gram"))
+        seen = found if seen is None else seen.unionByName(found)
+    if seen is None:
+        return out
+    on = ["by_word", "size", "gram"]
+    seen = seen.join(keyed.select(*on).distinct(), on, "left_semi").distinct()
+    maybe = seen.join(keyed.select(*on, passage_key, "passage"), on).select(text_key, passage_key, "passage")
+    return out.unionByName(texts.select(text_key, "text").join(maybe, text_key).filter(F.contains("text", "passage")).select(text_key, passage_key))
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, width: int) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from scrivener import registry
+from scrivener.operators import graphs
 
 SQL = registry.oracle_sql()
 
@@ -28,3 +29,12 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_more_short_passages_than_a_thousand(spark):
+    """Before, only an arbitrary thousand of the passages of few words were looked for."""
+    texts = [(i, f"head w{i} tail{i} x{i} and so, on\tit goes{i}. Ends") for i in range(1500)] + [(2000, ""), (2001, None), (2002, "ab"), (2003, "one  two")]
+    short = [(i, f"w{i} tail{i} x{i}") for i in range(1200)] + [(3000 + i, p) for i, p in enumerate(["", "a", "ab", "goes7", "es7.", "so, on", "so, on\tit goes3", "tail5 x5 and so, on", " ", "e  t", "w1 tail1 x1 and so, on", "nowhere"])] + [(4000, None)]
+    got = graphs.contained_passages(spark.createDataFrame(texts, "t long, text string"), spark.createDataFrame(short, "p long, text string"), "t", "p").collect()
+    want = [(t, p) for t, text in texts if text is not None for p, passage in short if passage is not None and passage in text]
+    assert sorted(tuple(r) for r in got) == sorted(want)
