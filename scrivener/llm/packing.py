@@ -2,16 +2,22 @@
 
 Documents are tokenised, closed with an end id and, only where longer than a sequence, cut. The pieces are dealt by
 hash of their place in the written table into blocks of bounded size, since packings of a few thousand pieces already
-come to within a sequence of the bound. A block has some sequences' worth of tokens at least. Each block is one packing problem, solved by several islands in parallel: an island starts from best-fit
-decreasing and shuffled best-fit packings, its crossover injects whole well-filled sequences of one parent into the
-other, removes the sequences that hold duplicates and best-fits the displaced pieces; after each epoch every island's
-elite migrates to the next island of its block. A block ends as soon as it meets the bound ceil(tokens / capacity).
+come to within a sequence of the bound. A block has some sequences' worth of tokens at least.
+
+A block's goal is ceil(tokens / capacity) sequences of which all but one are full: then nothing is lost but what the
+last sequence lacks. Best-fit decreasing is tried first, once. Blocks that miss the goal, mostly by sequences that
+lack a few tokens, are solved by several islands in parallel. An island starts from that packing, its neighbour's elite
+and noisy best-fit packings. Its crossover injects whole well-filled sequences of one parent into the other, removes
+the sequences that hold duplicates, opens some with room, exchanges pieces of the others for displaced ones that fill
+them better, and best-fits what is left. After each epoch every island's elite migrates to the next island of its
+block. A block ends as soon as an island meets the goal.
+
 The least filled sequence of every block is opened again and its pieces are packed together in a further round, so
 that what blocks lose at their ends doesn't add up; each round has an eighth of the tokens of the one before, or less.
 
-Null texts are empty; an empty text is the end id alone. Repeated rows are packed each by itself. Ties in length are
-dealt in the order of (doc_id, piece). Columns other than the id and the text are not read. Memory is bounded by a
-block, the largest text and a word cache of fixed size.
+Null texts are empty; an empty text is the end id alone; an empty table gives no rows. Repeated rows are packed each by
+itself. Ties in length are dealt in the order of (doc_id, piece), no id first. Columns other than the id and the text
+are not read. Memory is bounded by a block, the largest text and a word cache of fixed size.
 """
 
 from __future__ import annotations
@@ -21,29 +27,28 @@ import random
 import re
 import string
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scrivener.llm.shared import Scratch, arrow_batches
+from scrivener.llm.shared import Scratch, arrow_batches, ranges
 
 #: Words that a worker keeps with their ids, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
 #: Missing words that are encoded in one call.
 ENCODE_AT_ONCE = 2000
-#: Tasks of an epoch, at the most; beyond that a task evolves several islands, one after another.
-MOST_TASKS = 20_000
 #: Sequences' worth of tokens in a block, on average and at the least.
 LEAST_SEQUENCES = 8
-#: str.split() takes these for blanks too, while the tokenizer's \s doesn't: they have tokens of their own.
-SEPARATORS, WORD = "\x1c\x1d\x1e\x1f", re.compile(r"[\S\x1c-\x1f]+")
+#: Unicode's white space without these, which str.split() and Arrow take for blanks too: they have tokens of their own.
+SEPARATORS, WORD = "[\x1c-\x1f]", re.compile(r"[\S\x1c-\x1f]+")
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
 _tokenizers: dict[str, "WordTokenizer"] = {}
@@ -56,29 +61,18 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.model = self.tokenizer.model
 
     def _ids(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters alone yield one token each that ends a word, so many can be encoded in one text."""
-        plain, out = [w for w in words if w.isalpha()], {}
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
-        if len(cuts) == len(plain):
-            raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()] if len(ids) else [0]
-            out = {w: raw[a:b] for w, a, b in zip(plain, cuts, cuts[1:], strict=False)}
+        """Words of small ASCII letters are one unit of the model, as they are; others take all its steps."""
+        out = {w: np.array([t.id for t in self.model.tokenize(w)], "<u4").tobytes() for w in words if w.isascii() and w.isalpha() and w.islower()}
         rest = [w for w in words if w not in out]
-        return out | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True)}
+        return out | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE_WORDS:  # what came first is mostly what comes often
-            known = self.known = dict(islice(known.items(), CACHE_WORDS // 2))
-        split = [_words(t) for t in texts]
-        missing = list({w for words in split for w in words if w not in known})
-        here: dict[str, bytes] = {}  # words that are too long to keep
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Encode words that aren't known; returns those that are too long to keep."""
+        known, here = self.known, {}
         for at in range(0, len(missing), ENCODE_AT_ONCE):
             part = missing[at : at + ENCODE_AT_ONCE]
             stems = [_stem(w) for w in part]
@@ -87,32 +81,48 @@ class WordTokenizer:
                 (known if len(s) <= CACHE_CHARS else here)[s] = ids
             for w, s in zip(part, stems, strict=True):
                 ids = known[s] if s in known else here[s]
-                if s is not w and len(s) < len(w):
+                if len(s) < len(w):
                     tail = w[len(s) :]
                     if tail not in known:
                         known[tail] = self._ids([tail])[tail]
                     ids += known[tail]
                 (known if len(w) <= CACHE_CHARS else here)[w] = ids
-        if here:
-            return [b"".join([known[w] if w in known else here[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
-
-
-def _words(text: str) -> list[str]:
-    """The text cut at what the tokenizer drops."""
-    return WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+        return here
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text ends."""
+        if len(self.known) > CACHE_WORDS:  # what came first is mostly what comes often
+            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, SEPARATORS)).as_py():
+            split = pa.array([WORD.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.known
+        parts = [known.get(w) for w in words]
+        if missing := [w for w, x in zip(words, parts, strict=True) if x is None]:
+            here = self._learn(missing)
+            parts = [known[w] if x is None and w in known else here[w] if x is None else x for w, x in zip(words, parts, strict=True)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        firsts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), "<u4")
+        ids = pool[ranges(firsts[at], sizes[at])]
+        token_ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        word_ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return ids, token_ends[word_ends.astype(np.int64)]
 
 
 def _stem(word: str) -> str:
     """The word without a tail of punctuation and, where it is ASCII, in lower case: the same ids but for the tail's.
 
-    The tokenizer lower-cases and never joins a letter or digit to punctuation. Words with an apostrophe or the start
-    of a special token are left whole.
+    The tokenizer lower-cases and never joins a letter or digit to punctuation. Left whole are words with an apostrophe,
+    with the start of a special token, or whose last sign, in lower case, ends in a mark.
     """
     if "'" in word or "<|" in word:
         return word
     stem = word.rstrip(string.punctuation)
-    if not stem or not (stem[-1].isalpha() or stem[-1] in string.digits) or len(word) - len(stem) > 8:
+    if not stem or not (stem[-1].lower().isalpha() or stem[-1] in string.digits) or len(word) - len(stem) > 8:
         stem = word
     return stem.lower() if stem.isascii() else stem
 
@@ -123,6 +133,10 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
     arrow_batches(docs.sparkSession)
@@ -130,88 +144,140 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = _tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for at in range(0, len(texts), 100):
-                for doc, x in zip(ids[at : at + 100], tokenizer.encode([t or "" for t in texts[at : at + 100]]), strict=True):
-                    x += end
-                    for piece, start in enumerate(range(0, len(x), 4 * capacity)):
-                        part = x[start : start + 4 * capacity]
-                        rows.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+            ids, ends = tokenizer.encode(batch.column(1))
+            raw, rows, begin = memoryview(ids.tobytes()), [], 0
+            for doc, stop in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                for piece, start in enumerate(range(0, stop - begin + 1, capacity)):
+                    stops = min(stop - begin, start + capacity)
+                    crc, last = zlib.crc32(raw[4 * (begin + start) : 4 * (begin + stops)]), stops - start < capacity
+                    rows.append((doc, piece, start, stops - start + last, zlib.crc32(end, crc) if last else crc))
+                begin = stop
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)] if rows else [pa.array([], t) for t in KINDS]
             yield pa.RecordBatch.from_arrays(columns, NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
-KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+Bin = tuple[int, tuple[int, ...]]  # how full it is, and its pieces
 
 
-def best_fit(lengths: list[int], items: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+def best_fit(lengths: list[int], items: list[int], bins: list[Bin], capacity: int) -> list[Bin]:
     """Put each item, in the order given, into the fullest bin that has room, else into a new one."""
-    spaces = sorted((capacity - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
+    held = [list(b) for _, b in bins]
+    spaces = sorted((capacity - fill, k) for k, (fill, _) in enumerate(bins) if fill < capacity)
+    left = [capacity - fill for fill, _ in bins]
     for i in items:
         need = lengths[i]
         at = bisect_left(spaces, (need, -1))
         if at < len(spaces):
             space, k = spaces.pop(at)
-            bins[k].append(i)
+            held[k].append(i)
         else:
-            space, k = capacity, len(bins)
-            bins.append([i])
+            space, k = capacity, len(held)
+            held.append([i])
+            left.append(space)
+        left[k] = space - need
         if space > need:
             insort(spaces, (space - need, k))
-    return bins
-
-
-def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then more uneven filling, which leaves a bin that can be emptied."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
-
-
-def crossover(lengths: list[int], into: list[list[int]], donor: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Inject well-filled bins of the donor, drop the bins with duplicates, best-fit what is displaced."""
-    good = sorted(donor, key=lambda b: -sum(lengths[i] for i in b))[: max(1, len(donor) // 2)]
-    injected = [list(b) for b in rng.sample(good, max(1, len(good) // 2))]
-    held = {i for b in injected for i in b}
+    return [(capacity - s, tuple(b)) for s, b in zip(left, held, strict=True)]
+
+
+def fitness(bins: list[Bin]) -> tuple[int, int]:
+    """Fewer bins first, then more uneven filling: full bins, and one that is as empty as can be."""
+    return -len(bins), sum(fill * fill for fill, _ in bins)
+
+
+def exchange_pieces(lengths: list[int], bins: list[Bin], free: list[int], capacity: int) -> tuple[list[Bin], list[int]]:
+    """In each bin with room change one piece for the longest free one that fits, if that fills the bin better. Returns
+    the bins and what is free then."""
+    sizes, out = sorted((lengths[i], i) for i in free), []
+    for fill, items in bins:
+        room, best = capacity - fill, None
+        if room and sizes:
+            for k, i in enumerate(items):
+                at = bisect_right(sizes, (lengths[i] + room, 1 << 40)) - 1
+                if at >= 0 and sizes[at][0] > lengths[i] and (best is None or sizes[at][0] - lengths[i] > best[0]):
+                    best = sizes[at][0] - lengths[i], at, k
+            if best:
+                gain, at, k = best
+                _, new = sizes.pop(at)
+                insort(sizes, (lengths[items[k]], items[k]))
+                fill, items = fill + gain, (*items[:k], new, *items[k + 1 :])
+        out.append((fill, items))
+    return out, [i for _, i in sizes]
+
+
+def crossover(lengths: list[int], into: list[Bin], donor: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
+    """Inject well-filled bins of the donor, drop the bins with duplicates, fit what is displaced."""
+    good = [b for b in donor if b[0] == capacity] or sorted(donor, reverse=True)[: max(1, len(donor) // 2)]
+    injected = rng.sample(good, max(1, int(len(good) * rng.uniform(0.1, 0.5))))
+    held = {i for _, b in injected for i in b}
     kept, displaced = [], []
-    for b in into:
-        if held.isdisjoint(b):
-            kept.append(list(b))
+    for bin_ in into:
+        if held.isdisjoint(bin_[1]):
+            kept.append(bin_)
         else:
-            displaced += [i for i in b if i not in held]
-    kept.sort(key=lambda b: sum(lengths[i] for i in b))
-    for b in kept[: max(1, len(kept) // 20)]:  # mutation: the least filled bins are opened too
-        displaced += b
+            displaced += [i for i in bin_[1] if i not in held]
+    # Mutation: the least filled bins, and some more of those with room, are opened too.
+    kept.sort()
+    few = max(1, len(kept) // 20)
+    displaced += [i for _, b in kept[:few] for i in b]
+    opened = set(rng.sample(range(few, len(kept)), few)) if len(kept) > 2 * few else set()
+    displaced += [i for k in opened for i in kept[k][1]]
+    kept = [b for k, b in enumerate(kept) if k >= few and k not in opened]
+    kept, displaced = exchange_pieces(lengths, kept, displaced, capacity)
     displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(lengths, displaced, injected + kept[max(1, len(kept) // 20) :], capacity)
+    return best_fit(lengths, displaced, injected + kept, capacity)
+
 
+def meets_goal(bins: list[Bin], capacity: int) -> bool:
+    """As few bins as can be, and all but one of them full."""
+    return sum(fill < capacity for fill, _ in bins) <= 1
 
-def evolve(lengths: list[int], elite: list[int] | None, seed: int, capacity: int, population: int, generations: int) -> tuple[list[int], int]:
-    """One epoch of one island: the bin of each item in its best packing, and the number of bins."""
-    rng, order, bound = random.Random(seed), sorted(range(len(lengths)), key=lambda i: -lengths[i]), -(-sum(lengths) // capacity)
-    people = [best_fit(lengths, order, [], capacity)]
-    if elite is not None:
+
+def evolve(lengths: list[int], elites: list[list[int]], seed: int, capacity: int, population: int, generations: int) -> list[Bin]:
+    """One epoch of one island: its best packing. Elites are given as the bin of each item."""
+    rng, order, people = random.Random(seed), sorted(range(len(lengths)), key=lambda i: -lengths[i]), []
+    for elite in elites:
         bins: dict[int, list[int]] = {}
         for i, k in enumerate(elite):
             bins.setdefault(k, []).append(i)
-        people.append(list(bins.values()))
-    if min(map(len, people)) > bound:
-        while len(people) < population:
-            people.append(best_fit(lengths, sorted(order, key=lambda i: -lengths[i] * rng.uniform(0.7, 1)), [], capacity))
-    key = lambda p: fitness(lengths, p, capacity)
-    people.sort(key=key, reverse=True)
+        people.append([(sum(lengths[i] for i in b), tuple(b)) for b in bins.values()])
+    while len(people) < population:
+        people.append(best_fit(lengths, sorted(order, key=lambda i: -lengths[i] * rng.uniform(0.7, 1)), [], capacity))
+    people.sort(key=fitness, reverse=True)
     for _ in range(generations):
-        if len(people[0]) <= bound:
+        if meets_goal(people[0], capacity):
             break
         parents = people[: max(2, population // 2)]
         children = [crossover(lengths, *rng.sample(parents, 2), capacity, rng) for _ in range(population // 2)]
-        people = sorted(people + children, key=key, reverse=True)[:population]
-    out = [0] * len(lengths)
-    for k, b in enumerate(people[0]):
-        for i in b:
+        people = sorted(people + children, key=fitness, reverse=True)[:population]
+    return people[0]
+
+
+def numbered(bins: list[Bin], n: int) -> list[int]:
+    """The bin of each item; the least filled bin comes last."""
+    out = [0] * n
+    for k, (_, items) in enumerate(sorted(bins, reverse=True)):
+        for i in items:
             out[i] = k
-    return out, len(people[0])
+    return out
+
+
+def _first(capacity: int):
+    """Best-fit decreasing of one block: adds nth (its place in the order of lengths), bin and goal."""
+
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["length", *(c for c in NAMES if c != "length")], ascending=[False] + [True] * 4, kind="stable", na_position="first").reset_index(drop=True)
+        lengths = items["length"].tolist()
+        bins = best_fit(lengths, list(range(len(lengths))), [], capacity)
+        items["nth"], items["bin"], items["goal"] = np.arange(len(lengths)), numbered(bins, len(lengths)), meets_goal(bins, capacity)
+        return items
+
+    return run
+
+
+ISLAND = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("elite", pa.list_(pa.int32())), ("rank", pa.int64()), ("goal", pa.bool_())])
 
 
 def _islands(capacity: int, population: int, generations: int, epoch: int):
@@ -219,46 +285,32 @@ def _islands(capacity: int, population: int, generations: int, epoch: int):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                bins, n = evolve(r["lengths"], r["elite"], hash((r["block"], r["island"], epoch)), capacity, population, generations)
-                rows.append(r | {"elite": bins, "n_bins": n, "done": n <= -(-sum(r["lengths"]) // capacity)})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("elite", pa.list_(pa.int32())), ("n_bins", pa.int32()), ("done", pa.bool_())]))
+                best = evolve(r["lengths"], r["elites"], hash((r["block"], r["island"], epoch)), capacity, population, generations)
+                # What a packing loses: whole sequences, then what its least filled sequence holds.
+                rank = len(best) * capacity + min(fill for fill, _ in best)
+                rows.append({"block": r["block"], "island": r["island"], "lengths": r["lengths"], "elite": numbered(best, len(r["lengths"])), "rank": rank, "goal": meets_goal(best, capacity)})
+            yield pa.RecordBatch.from_pylist(rows, schema=ISLAND)
 
     return run
 
 
-ISLAND = "block long, island int, lengths array<int>, elite array<int>, n_bins int, done boolean"
-
-
-def pack_lengths(blocks: DataFrame, scratch: Scratch, n_blocks: int, capacity: int = 4096, islands: int = 3, epochs: int = 3, population: int = 8, generations: int = 12) -> DataFrame:
-    """blocks: block long, lengths array<int>. Returns block and elite: the bin of each length."""
-    best = None
-    # Few bytes but much work: a number of partitions that is stated isn't coalesced.
-    tasks = min(n_blocks * islands, MOST_TASKS)
-    now = blocks.withColumns({"island": F.explode(F.sequence(F.lit(0), F.lit(islands - 1))), "elite": F.lit(None).cast("array<int>")}).repartition(tasks, "block", "island")
+def pack_lengths(blocks: DataFrame, scratch: Scratch, capacity: int = 4096, islands: int = 3, epochs: int = 2, population: int = 6, generations: int = 10) -> DataFrame:
+    """blocks: block long, lengths array<int>, elite array<int> (the bin of each length in a first packing). Returns
+    block and elite: the best packing that an island found."""
+    best, cores = None, 4 * blocks.sparkSession.sparkContext.defaultParallelism
+    now = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.array("elite").alias("elites"))
     for epoch in range(epochs):
-        now = scratch.save(now.select("block", "island", "lengths", "elite").mapInArrow(_islands(capacity, population, generations, epoch), ISLAND))
+        # Few bytes but much work: a number of partitions that is stated isn't coalesced.
+        tasks = max(1, min(cores, now.select("block").count()))
+        now = now.select("block", "island", "lengths", "elites").repartition(tasks, "block", "island")
+        now = scratch.save(now.mapInArrow(_islands(capacity, population, generations, epoch), "block long, island int, lengths array<int>, elite array<int>, rank long, goal boolean"))
         best = now if best is None else best.unionByName(now)
-        going = now.groupBy("block").agg(F.bool_or("done").alias("any")).filter(~F.col("any")).select("block")
+        going = now.groupBy("block").agg(F.bool_or("goal").alias("any")).filter(~F.col("any")).select("block")
         if epoch + 1 == epochs or going.isEmpty():
             break
-        migrants = now.select("block", ((F.col("island") + 1) % islands).alias("island"), "elite")
-        now = now.drop("elite", "n_bins", "done").join(migrants, ["block", "island"]).join(going, "block", "left_semi").repartition(tasks, "block", "island")
-    return best.groupBy("block").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
-
-
-def _place(capacity: int, of_round: int):
-    def run(items: pd.DataFrame, packing: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-        items["bin"] = np.array(packing["elite"].iloc[0], np.int64)
-        items = items.sort_values("bin", kind="stable")
-        items["offset"] = items.groupby("bin")["length"].cumsum() - items["length"]
-        fill = items.groupby("bin")["length"].transform("sum")
-        low = items["bin"].iloc[int(np.argmin(fill.to_numpy()))]
-        items["open"] = (items["bin"] == low) & (fill < capacity)
-        items["sequence_id"] = (of_round << 56) + items["block"] * (1 << 20) + items["bin"]
-        return items[[*NAMES, "row", "sequence_id", "offset", "open"]]
-
-    return run
+        migrants = now.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("guest"))
+        now = now.join(migrants, ["block", "island"]).join(going, "block", "left_semi").withColumn("elites", F.array("elite", "guest"))
+    return best.groupBy("block").agg(F.min_by("elite", F.struct("rank", "island")).alias("elite"))
 
 
 def n_blocks(count: int, tokens: int, capacity: int, block_size: int) -> int:
@@ -277,17 +329,21 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 4096, block_size:
         size = pieces.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
         n = n_blocks(size["n"], size["tokens"], capacity, block_size)
         items = pieces.withColumn("block", F.pmod(F.xxhash64("row", F.lit(of_round)), F.lit(n)).cast("long"))
-        lengths = F.transform(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False), lambda x: x)
-        blocks = items.groupBy("block").agg(lengths.alias("lengths"))
-        packing = pack_lengths(blocks, scratch, n, capacity, **search)
-        placed = items.groupBy("block").cogroup(packing.groupBy("block")).applyInPandas(
-            _place(capacity, of_round), "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, open boolean"
-        )
+        kind = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, block long, nth int, bin int, goal boolean"
+        placed = scratch.save(items.groupBy("block").applyInPandas(_first(capacity), kind))
+        of_block = F.array_sort(F.collect_list(F.struct("nth", F.col("length").cast("int").alias("length"), "bin")))  # a block is bounded
+        missed = placed.filter(~F.col("goal")).groupBy("block").agg(of_block.alias("x")).select("block", F.transform("x", lambda s: s["length"]).alias("lengths"), F.transform("x", lambda s: s["bin"]).alias("elite"))
+        evolved = pack_lengths(missed, scratch, capacity, **search).select("block", F.posexplode("elite").alias("nth", "new"))
+        placed = placed.join(evolved, ["block", "nth"], "left").withColumn("bin", F.coalesce("new", "bin"))
+        # A bin's pieces: one sequence's worth at most. The least filled bin of a block has the last number.
+        in_bin = Window.partitionBy("block", "bin").orderBy("nth")
+        placed = placed.withColumn("offset", F.sum("length").over(in_bin) - F.col("length")).withColumn("sequence_id", F.lit(of_round << 56) + F.col("block") * (1 << 20) + F.col("bin"))
         if n == 1:
-            placed = placed.drop("open", "row")
-            return placed if out is None else out.unionByName(placed)
-        placed = scratch.save(placed)
-        closed = placed.filter(~F.col("open")).drop("open", "row")
+            closed = placed.select(*NAMES, "sequence_id", "offset")
+            return closed if out is None else out.unionByName(closed)
+        fill, last = F.sum("length").over(Window.partitionBy("block", "bin")), F.max("bin").over(Window.partitionBy("block"))
+        placed = scratch.save(placed.withColumn("open", (F.col("bin") == last) & (fill < capacity)).select(*NAMES, "row", "sequence_id", "offset", "open"))
+        closed = placed.filter(~F.col("open")).select(*NAMES, "sequence_id", "offset")
         out = closed if out is None else out.unionByName(closed)
         pieces, of_round = placed.filter("open").select(*NAMES, "row"), of_round + 1
 

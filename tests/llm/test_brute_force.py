@@ -12,6 +12,7 @@ import corpus_pipeline
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -87,13 +88,42 @@ def test_op2_sequences_are_gapless_and_few(spark, documents):
     assert got["sequence_id"].nunique() <= math.ceil(got["length"].sum() / 4096) + 1
 
 
-def test_op2_words_equal_the_library_at_all_blanks():
-    path = public_tokenizers.path("word_bpe_49k.json")
+def test_op2_words_equal_the_library():
+    """At all blanks and their like, with signs that change their length in lower case, and over random texts."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
     blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\x00", "\x1b", "\x7f", "\u180e", "\u200b", "\u2060", "\ufeff"]
     texts = [t for c in blanks for t in (f"a{c}b", c, f"x {c} y{c}", f"{c}{c}Ab.{c}it's", f"one.{c}\ttwo{c}\x1d3")]
+    signs = ["İ", "İ.", "I", "ß", "ǅ", "é", "e\u0301", "\u0301", "\u0345", "ﬁ", "Ω", "ς.", "\x1c", "\x1f", "'s", "'", "<|", "|>", "<|endoftext|>", "42", "٣", "½", "!!", "...", "。", "the", "The", "on", "ſ", "K", "中文", "👍🏽", "_", "-", " ", " ", "\n"]
+    texts += ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000)]
     tokenizer = Tokenizer.from_file(path)
-    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert packing.WordTokenizer(path).encode(texts) == want
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
+    words = packing.WordTokenizer(path)
+    for at in range(0, len(texts), 500):
+        ids, ends = words.encode(pa.array(texts[at : at + 500]))
+        assert ids.tolist() == np.concatenate(want[at : at + 500]).tolist()
+        assert ends.tolist() == np.cumsum([len(x) for x in want[at : at + 500]]).tolist()
+    ids, ends = words.encode(pa.array([], pa.string()))
+    assert not len(ids) and not len(ends)
+
+
+def test_op2_crossover_beats_best_fit_decreasing():
+    """Lengths of a third to a half of a sequence, where best-fit decreasing leaves room everywhere; and real ones,
+    where it needs as few sequences but leaves more tokens lost in them."""
+    saved = []
+    for seed in range(4):
+        rng = random.Random(seed)
+        lengths = sorted((rng.randint(900, 2000) for _ in range(240)), reverse=True)
+        first = packing.best_fit(lengths, list(range(240)), [], 4096)
+        elite, bound = packing.numbered(first, 240), math.ceil(sum(lengths) / 4096)
+        best = first
+        for epoch in range(4):
+            best = packing.evolve(lengths, [packing.numbered(best, 240)], epoch, 4096, 8, 30)
+        assert sorted(i for _, b in best for i in b) == list(range(240)) == sorted(i for _, b in first for i in b)
+        assert all(fill == sum(lengths[i] for i in b) <= 4096 for fill, b in best)
+        assert bound <= len(best) <= len(first) == max(elite) + 1
+        saved.append((len(first), len(best), packing.fitness(best) > packing.fitness(first)))
+    print(saved)
+    assert all(better for _, _, better in saved) and sum(a - b for a, b, _ in saved) > 0
 
 
 def test_op2_blocks_lose_little(spark):
