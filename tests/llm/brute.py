@@ -133,6 +133,23 @@ def log_ratios(texts: list[str], good: list[bool]) -> list[float]:
 # Pseudonyms
 
 
+IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?!\.?[0-9])"
+#: What is looked for, stated here anew, in the order in which kinds are tried at a place.
+KINDS = {
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z][A-Z][0-9][0-9](?:[ ]?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9]){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{26,64}(?![\p{L}\p{N}])",
+    "ip": IP,
+    "iso": r"(?<![0-9\-])[0-9]{4}-[0-9][0-9]-[0-9][0-9](?![0-9\-])",
+    "dotted": r"(?<![0-9.])[0-9][0-9]\.[0-9][0-9]\.[0-9]{4}(?!\.?[0-9])",
+    "slashed": r"(?<![0-9/])[0-9][0-9]/[0-9][0-9]/[0-9]{4}(?![0-9/])",
+    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+    "phone": r"(?<![0-9+])(?:\+1[ .\-]?[(]?[0-9]{3}[)]?[ .\-]{0,2}[0-9]{3}[ .\-]?[0-9]{4}|\+(?:[ .()\-]?[ .()\-]?[0-9]){8,13}|(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9])",
+}
+LONG_CODES = {2: {20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98}}
+
+
 def feistel(xs: list[int], radixes: list[int], key: str, tweak: str) -> list[int]:
     x, half = list(xs), len(xs) // 2
     for k in range(P.ROUNDS):
@@ -148,10 +165,11 @@ def _alphabet(c: str) -> tuple[int, int] | None:
 
 
 def permuted(m: str, key: str, tweak: str, fixed: int = 0) -> str:
-    a = [_alphabet(c) for c in m]
-    xs = [ord(c) - x[0] if x else 0 for c, x in zip(m, a, strict=True)]
-    radixes = [1 if i < fixed or not x else x[1] for i, x in enumerate(a)]
-    return "".join(chr(v + x[0]) if x else c for c, x, v in zip(m, a, feistel(xs, radixes, key, tweak), strict=True))
+    core = [c for c in m if _alphabet(c)]
+    a = [_alphabet(c) for c in core]
+    xs = feistel([ord(c) - x[0] for c, x in zip(core, a, strict=True)], [1 if i < fixed else x[1] for i, x in enumerate(a)], key, tweak)
+    new = iter([chr(v + x[0]) for v, x in zip(xs, a, strict=True)])
+    return "".join(next(new) if _alphabet(c) else c for c in m)
 
 
 def luhn(digits: str) -> int:
@@ -168,24 +186,26 @@ def mod97(m: str) -> int:
 
 def _date(m: str, key: str, order: str) -> str:
     parts = [int(x) for x in re.split(r"\D", m)]
-    y, mo, d = {"iso": parts, "dotted": parts[::-1], "slashed": [parts[2], parts[0], parts[1]]}[order]
-    try:
-        day = (date(y, mo, d) - date(1900, 1, 1)).days
-    except ValueError:
-        return m
-    if not 0 <= day < P.DAYS:
-        return m
-    x = [day // P.SIDE, day % P.SIDE]
-    while True:
-        x = feistel(x, [P.SIDE] * 2, key, "date")
-        if x[0] * P.SIDE + x[1] < P.DAYS:
-            break
-    new = date(1900, 1, 1) + timedelta(days=x[0] * P.SIDE + x[1])
-    return new.strftime({"iso": "%Y-%m-%d", "dotted": "%d.%m.%Y", "slashed": "%m/%d/%Y"}[order])
+    styles = {"iso": ["%Y-%m-%d"], "dotted": ["%d.%m.%Y"], "slashed": ["%m/%d/%Y", "%d/%m/%Y"]}[order]
+    for style in styles:
+        y, mo, d = {"%Y": parts, "%d.": parts[::-1], "%m": [parts[2], parts[0], parts[1]], "%d/": parts[::-1]}[style[:3] if style[1] == "d" else style[:2]]
+        try:
+            day = (date(y, mo, d) - date(1900, 1, 1)).days
+        except ValueError:
+            continue
+        if not 0 <= day < P.DAYS:
+            return m
+        x = [day // P.SIDE, day % P.SIDE]
+        while True:
+            x = feistel(x, [P.SIDE] * 2, key, "date")
+            new = date(1900, 1, 1) + timedelta(days=x[0] * P.SIDE + x[1])
+            if new.year < 2100 and (style != "%d/%m/%Y" or new.day > 12):
+                return new.strftime(style)
+    return m
 
 
 def pseudonym(m: str, key: str) -> str:
-    kind = next(k for k, p in P.PATTERNS.items() if regex.fullmatch(p, m))
+    kind = next(k for k, p in KINDS.items() if regex.fullmatch(p, m))
     digits = re.sub(r"\D", "", m)
     if kind == "email":
         name = m.split("@")[0]
@@ -215,10 +235,12 @@ def pseudonym(m: str, key: str) -> str:
             if not invalid.search(m):
                 return m
     if kind == "phone":
-        if not 8 <= len(digits) <= 15:
-            return m
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", m)
-        return permuted(m, key, "phone", len(code[0]) if code else 3 if m[0] == "+" else 0)
+        if m[0] != "+":
+            return permuted(m, key, "phone")
+        plain = re.match(r"\+(\d{0,3})", m)[1]
+        n = 1 if plain[:1] in ("1", "7") else 2 if plain[:2] and int(plain[:2]) in LONG_CODES[2] else len(plain)
+        # A plus with no digit behind it has no code.
+        return m[: n + 1] + permuted(m[n + 1 :], key, "phone") if plain else permuted(m, key, "phone")
     if luhn(digits) % 10:
         return m
     body = permuted(m[:-1], key, "card", 1)
@@ -228,8 +250,8 @@ def pseudonym(m: str, key: str) -> str:
 def pseudonymised(text: str | None, key: str) -> tuple[str | None, int]:
     if text is None:
         return None, 0
-    pattern = P.WITH_EMAIL if "@" in text else P.WITHOUT_EMAIL
-    n = 0
+    n, key = 0, hashlib.sha256(f"pseudonyms|{key}".encode()).hexdigest()
+    pattern = "|".join(f"(?:{p})" for p in KINDS.values())
 
     def swap(m) -> str:
         nonlocal n

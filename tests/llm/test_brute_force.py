@@ -66,6 +66,45 @@ def test_op1_samples_keep_format_and_links(spark):
         assert got[i] == (SAMPLES[i], 0)
 
 
+#: Spellings of one value in each row; they get one pseudonym, digit by digit and letter by letter.
+LINKED = [
+    ["4539 1488 0343 6467", "4539148803436467", "4539-1488-0343-6467"], ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    ["212-555-0187", "(212) 555 0187", "(212) 555-0187", "+1 212 555 0187", "+12125550187", "+1 (212) 555-0187"], ["+49 30 1234567", "+49301234567"],
+    ["1999-12-31", "31.12.1999"], ["3782 822463 10005", "378282246310005"],
+]
+#: Numbers beside others: each is recognised by itself.
+BESIDE = ["{} 123", "No 12 {}", "{}-01", "{}, 2024", "id 77 {} 8"]
+
+
+def test_op1_links_spellings(spark):
+    texts = [f"a {v}, b" for row in LINKED for v in row]
+    got = iter(r["text"] for r in pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect())
+    for row in LINKED:
+        new = [next(got)[2:-3] for _ in row]
+        assert all(a != b and [c.isalnum() for c in a] == [c.isalnum() for c in b] for a, b in zip(row, new, strict=True))
+        if "-12-" in row[0]:
+            assert new[0] == "-".join(new[1].split(".")[::-1])
+        else:
+            tails = {"".join(c for c in x if c.isalnum()) for x in new}
+            assert len({t[-10:] for t in tails}) == 1 and len(tails) <= 2
+
+
+def test_op1_numbers_beside_numbers(spark):
+    texts = [f"x {form.format(v)} y" for form in BESIDE for v in ("4539148803436467", "4539 1488 0343 6467", "+1 (487) 555-7209")] + ["+1 (487) 555-7209 2024", "31/12/1999", "13/13/1999"]
+    got = [r["text"] for r in pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got == [brute.pseudonymised(t, "k")[0] for t in texts]
+    alone = {v: brute.pseudonymised(v, "k")[0] for v in ("4539148803436467", "4539 1488 0343 6467", "+1 (487) 555-7209")}
+    for t, new in zip(texts[:12], got[:12], strict=True):
+        value = next(v for v in alone if v in t)
+        assert new == t.replace(value, alone[value])
+    assert got[-3] == alone["+1 (487) 555-7209"] + " 2024" and got[-2] != texts[-2] and int(got[-2][:2]) > 12 and got[-1] == texts[-1]
+
+
+def test_op1_plan_does_not_hold_the_key(spark):
+    plan = pseudonymised(spark.createDataFrame([(1, "a@b.de")], "doc_id long, text string"), "hidden words")._jdf.queryExecution().toString()
+    assert "hidden words" not in plan
+
+
 def test_op1_is_a_permutation(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.format_string("200-55-%04d", F.col("id") + 1).alias("text"))
     assert pseudonymised(df, "k").select("text").distinct().count() == 1000
