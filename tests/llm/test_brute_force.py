@@ -284,18 +284,18 @@ def test_op5_cuts_planted_passages(spark, documents):
 
 
 def plain_sentences(text: str | None) -> list[list[str]]:
-    """Sentences as lists of lower-cased words."""
-    words, ends = [], set()
+    """Sentences as lists of lower-cased words; those of more than LONG words cut after words of the smallest hash around."""
+    words, ends = [], {0}
     for line in brute.lowered(text or "").split("\n"):
         words += brute.WORD.findall(line)
         ends.add(len(words))
-    h = [zlib.crc32(w.encode()) for w in words]
-    r = sentence_spans.REACH
-    for i, w in enumerate(words):
-        if w[-1] in ".!?" or all(h[i] < x for x in h[max(0, i - r) : i]) and all(h[i] <= x for x in h[i + 1 : i + 1 + r]):
-            ends.add(i + 1)
-    ends = sorted(ends - {0})
-    return [words[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    ends |= {i + 1 for i, w in enumerate(words) if (w.rstrip("\"')]}") or w)[-1] in ".!?"}
+    h, r, cuts = [zlib.crc32(w.encode()) for w in words], sentence_spans.REACH, set(ends)
+    for a, b in zip(sorted(ends), sorted(ends)[1:], strict=False):
+        if b - a > sentence_spans.LONG:
+            cuts |= {i + 1 for i in range(a, b) if all(h[i] < x for x in h[max(0, i - r) : i]) and all(h[i] <= x for x in h[i + 1 : i + 1 + r])}
+    cuts = sorted(cuts)
+    return [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def test_op5_equals_a_plain_join(spark, documents):
