@@ -1,50 +1,48 @@
 """Language-model scores by Brown's class-based bigrams.
 
-Training counts every word of every training text, in Spark. The most frequent words, and for the rest their endings,
-are the types that are clustered; the exchange algorithm assigns types to classes so that the likelihood of the class
-bigram model grows: one type after another moves to its best class. Several starts run in parallel, each on the whole
-table of neighbouring types, whose size is bounded by the number of types; the likeliest clustering is taken.
+Training counts every word of every training text, in Spark. The most frequent words, `heads`, and the endings of all
+others are the types of a first clustering by exchange: one type after another moves to the class where the likelihood
+of the class bigram model grows most. Several starts run in parallel, each on the whole table of neighbouring types,
+whose size is bounded by the number of types; the likeliest clustering is taken. Then every other training word, however
+rare, is exchanged too: its counts of classes before and behind are summed in Spark, and it moves from the class of its
+ending to its own best class. These words are judged in parallel, each against the class bigram counts as they stand,
+less its own. Only words that training doesn't have keep the class of their ending.
 
 A token's probability is weight * P(class | class before) * P(word | class) + (1 - weight) * P0(word). P0 is the
 additively smoothed unigram of the base score. In P(word | class), the share of words seen once goes to unseen words,
 which count as one event per class. The text before the first token, and the end of a text, are the end token.
 
-Three passes read the texts: word counts, counts of neighbouring types, scores. The counts of all words needn't fit
-anywhere: scoring looks up the `most_lookup` most frequent words in a broadcast table of that bounded size, and each
-token with a rarer word becomes a row that is joined with the counts by shuffle and summed per text. Words are carried
-as 64-bit hashes.
+Five passes read the texts: word counts, neighbouring types, neighbouring classes of each word, class bigrams, scores.
+The counts and classes of all words are a table and needn't fit anywhere: the last two passes look up the `most_lookup`
+most frequent words in a broadcast table of that bounded size; a token that is, or follows, a rarer word becomes a row
+that is joined with the table by shuffle. Words are carried as 64-bit hashes.
 
 Null texts are empty; an empty text is its end token alone. Repeated rows are counted and scored each by itself. Ties
-in frequency are broken by hash. Without training texts all counts are zero. Other columns are not read.
+in frequency are broken by hash. Without training texts all counts are zero; an empty table gives no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.shared import Scratch, arrow_batches, crc32_of_id, utf8
+from scrivener.llm.shared import Scratch, arrow_batches, crc32_of_id
 
 ENDINGS = 256
 PUNCTUATION = string.punctuation.encode()
-#: Words that a worker remembers, and words counted before it hands its counts on.
-REMEMBERED, COUNTED = 500_000, 1_000_000
-TOGETHER = 200  # texts whose new words are looked up at once
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+#: Counts up to which a word's gains are looked up, and words judged at once.
+TABLED, JUDGED = 16, 4096
 
 
 def ending(word: bytes) -> int:
@@ -52,26 +50,30 @@ def ending(word: bytes) -> int:
     return zlib.crc32((word.rstrip(PUNCTUATION) or word)[-3:]) % ENDINGS
 
 
-class Lexicon:
-    """Local numbers for words, with arrays of what is known about each."""
+class Tokens:
+    """The words of some texts: each different one once, and for each token its number among them and its text."""
 
-    def __init__(self, describe) -> None:
-        self.describe, self.number, self.columns = describe, {}, None
+    def __init__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        self.words = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.at, self.text = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        if b"" in self.words:  # before white space at the start of a text, or behind it at the end
+            inside = self.at != self.words.index(b"")
+            self.at, self.text = self.at[inside], self.text[inside]
+        self.sizes = np.bincount(self.text, minlength=len(texts)).astype(np.int64)
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)).view(np.int64)
 
-    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The numbers of the words of each text."""
-        if len(self.number) > REMEMBERED:  # what came first is mostly what comes often
-            self.number = dict(islice(self.number.items(), REMEMBERED // 2))
-            self.columns = [c[: len(self.number)] for c in self.columns]
-        number = self.number
-        new = list({w for words in texts for w in words if w not in number})
-        if new:
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            hashes = np.fromiter(map(word_hash, new), np.uint64, len(new)).view(np.int64)
-            made = self.describe(new, hashes)
-            self.columns = made if self.columns is None else [np.concatenate(x) for x in zip(self.columns, made, strict=True)]
-        get = number.__getitem__
-        return [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
+    def endings(self, chosen: np.ndarray) -> np.ndarray:
+        """Numbers of the endings of the chosen words."""
+        return np.fromiter((ending(self.words[i]) for i in chosen.tolist()), np.int64, len(chosen))
+
+    def path(self, values: np.ndarray, end) -> np.ndarray:
+        """The value of each token, with the end's before the first text and behind each."""
+        out = np.full(len(self.at) + len(self.sizes) + 1, end, values.dtype)
+        out[np.arange(len(self.at)) + self.text + 1] = values[self.at]
+        return out
 
 
 def find(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -86,48 +88,34 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """h, ending and c of every word of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words = list(counts)
-            h = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
-            e = np.fromiter(map(ending, words), np.int16, len(words))
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(e), pa.array(list(counts.values()), pa.int64())], ["h", "ending", "c"])
-
         for batch in batches:
-            for t in utf8(batch.column(0)):
-                counts.update(t.lower().split())
-                if len(counts) > COUNTED:
-                    yield flush()
-                    counts.clear()
-        yield flush()
+            t = Tokens(batch.column(0))
+            c = np.bincount(t.at, minlength=len(t.words))
+            used = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(t.hashes[used]), pa.array(t.endings(used).astype(np.int16)), pa.array(c[used])], ["h", "ending", "c"])
 
     return texts.select("text").mapInArrow(run, "h long, ending short, c long").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
+def types_of(t: Tokens, heads: np.ndarray) -> np.ndarray:
+    """The type of each word: its place among the sorted heads, or its ending behind them."""
+    out = find(heads, t.hashes)
+    tail = np.flatnonzero(out < 0)
+    out[tail] = len(heads) + t.endings(tail)
+    return out
+
+
 def neighbour_counts(texts: DataFrame, heads: np.ndarray) -> DataFrame:
     """a, b and n: how often type b follows type a. Types: the sorted heads, then the endings, then the end token."""
     types = len(heads) + ENDINGS + 1
     shared = texts.sparkSession.sparkContext.broadcast(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = shared.value
-
-        def describe(words: list[bytes], hashes: np.ndarray) -> list[np.ndarray]:
-            at = find(heads, hashes)
-            for i in np.flatnonzero(at < 0):
-                at[i] = len(heads) + ending(words[i])
-            return [at]
-
-        lexicon, total, end = Lexicon(describe), np.zeros(types * types, np.int64), np.array([types - 1])
+        total = np.zeros(types * types, np.int64)
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for at in range(0, len(texts), TOGETHER):
-                tokens = [end]
-                for x in lexicon([t.lower().split() for t in texts[at : at + TOGETHER]]):
-                    tokens += [lexicon.columns[0][x] if len(x) else x, end]
-                one = np.concatenate(tokens)
-                total += np.bincount(one[:-1] * types + one[1:], minlength=types * types)
+            t = Tokens(batch.column(0))
+            one = t.path(types_of(t, shared.value), types - 1)
+            total += np.bincount(one[:-1] * types + one[1:], minlength=types * types)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((used // types).astype(np.int32)), pa.array((used % types).astype(np.int32)), pa.array(total[used])], ["a", "b", "n"])
 
@@ -236,8 +224,169 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(F.col("c") >= int(sizes["c"][inside].min())) if inside.any() else counts.limit(0)
 
 
+def neighbouring_classes(texts: DataFrame, heads: np.ndarray, of: np.ndarray, classes: int) -> DataFrame:
+    """h, first (the class of the ending), slots and counts of every word but the heads: how often each class stands
+    before it (slot: the class) and behind it (slot: classes + the class). Packed: a byte and two bytes a slot."""
+    shared = texts.sparkSession.sparkContext.broadcast((heads, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, of = shared.value
+        for batch in batches:
+            t = Tokens(batch.column(0))
+            type_ = types_of(t, heads)
+            path, words = t.path(of[type_].astype(np.int64), classes - 1), t.path(np.where(type_ < len(heads), -1, np.arange(len(type_))), -1)
+            here = np.flatnonzero(words >= 0)
+            key, n = np.unique(np.concatenate([words[here] * 2 * classes + path[here - 1], words[here] * 2 * classes + classes + path[here + 1]]), return_counts=True)
+            times = -(-n // 0xFFFF)  # a count beyond two bytes takes several slots
+            key, part = np.repeat(key, times), np.minimum(np.repeat(n, times) - 0xFFFF * (np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)), 0xFFFF)
+            word, starts = np.unique(key // (2 * classes), return_index=True)
+            ends = np.append(starts, len(key)).astype(np.int32)
+            slots = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer((key % (2 * classes)).astype(np.uint8).tobytes())])
+            counts = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer((2 * ends).tobytes()), pa.py_buffer(part.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(t.hashes[word]), pa.array(of[type_[word]].astype(np.int16)), slots, counts], ["h", "first", "slots", "counts"])
+
+    return texts.select("text").mapInArrow(run, "h long, first short, slots binary, counts binary")
+
+
+def best_classes(word: np.ndarray, slot: np.ndarray, n: np.ndarray, first: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The class of the highest likelihood for each word, by its counts n of slots; word numbers ascend from 0.
+
+    A word's gain in a class is what its counts add to the sums of x log x over the class bigrams and sizes; its present
+    class, `first`, is taken without the word. Of equals the present class stays, else the smallest is taken.
+    """
+    classes = len(matrix)
+    table = np.concatenate([matrix, matrix.T])  # row: slot; column: the word's class
+    base = xlogx(table)
+    steps = np.stack([xlogx(table + k) - base for k in range(TABLED)])
+    gain = np.empty((len(word), classes))
+    low = n < TABLED
+    gain[low] = steps[n[low], slot[low]]
+    gain[~low] = xlogx(table[slot[~low]] + n[~low, None]) - base[slot[~low]]
+    own = first[word]
+    at = np.arange(len(word))
+    gain[at, own] = base[slot, own] - xlogx(np.maximum(table[slot, own] - n, 0))
+    total = np.add.reduceat(gain, np.flatnonzero(np.diff(word, prepend=-1)), axis=0)
+    count, sizes = np.bincount(word, n * (slot < classes))[:, None], matrix.sum(0)
+    each, me = np.arange(len(first)), first
+    cost = 2 * (xlogx(sizes + count) - xlogx(sizes))
+    cost[each, me] = 2 * (xlogx(sizes[me]) - xlogx(np.maximum(sizes[me] - count[:, 0], 0)))
+    total -= cost
+    total[:, -1] = -np.inf  # the end token's class is its own
+    best = total.argmax(1)
+    return np.where(total[each, me] >= total[each, best] - 1e-9, me, best)
+
+
+def exchanged(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """h, c and class of every word of neighbouring_classes. A word's rows follow each other, so that sums need no group."""
+    classes = len(matrix)
+    shared = rows.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # h, first, and the sums of slots of the word that may go on
+
+        def judge(h: np.ndarray, first: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            word, slot = np.nonzero(sums)
+            cls = best_classes(word, slot, sums[word, slot], first, shared.value)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(sums[:, :classes].sum(1)), pa.array(cls.astype(np.int16))], ["h", "c", "class"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, JUDGED):
+                part = batch.slice(at, JUDGED)
+                h, first = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = pc.binary_length(part.column(2)).to_numpy(zero_copy_only=False)
+                slot = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).astype(np.int64)
+                n = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").astype(np.int64)
+                starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                word = np.repeat(np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])), sizes)
+                sums = np.bincount(word * 2 * classes + slot, n, 2 * classes * len(starts)).astype(np.int64).reshape(-1, 2 * classes)
+                h, first = h[starts], first[starts]
+                if held is not None and held[0][0] == h[0]:
+                    sums[0] += held[2][0]
+                elif held is not None:
+                    yield judge(*held)
+                if len(h) > 1:
+                    yield judge(h[:-1], first[:-1], sums[:-1])
+                held = [h[-1:], first[-1:], sums[-1:]]
+        if held is not None:
+            yield judge(*held)
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, c long, class short")
+
+
+class Lookup:
+    """What a task knows of words: count and class of the most frequent ones, the class of every ending."""
+
+    def __init__(self, top: pa.Table, ending_class: np.ndarray):
+        order = np.argsort(top["h"].to_numpy())
+        self.h, self.c, self.cls = (top[k].to_numpy()[order] for k in ("h", "c", "class"))
+        self.ending_class = ending_class
+
+    def __call__(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Class and count of each word; the count is -1 where only the ending is known."""
+        at = find(self.h, t.hashes)
+        rare = np.flatnonzero(at < 0)
+        cls, count = (x[at].copy() if len(x) else np.zeros(len(at), np.int64) for x in (self.cls.astype(np.int64), self.c.astype(np.int64)))
+        cls[rare], count[rare] = self.ending_class[t.endings(rare)], -1
+        return cls, count
+
+
+def hidden(h: np.ndarray, rare: np.ndarray) -> pa.Array:
+    """Hashes of rare words; null for others."""
+    return pa.array(h, mask=~rare)
+
+
+def class_bigrams(texts: DataFrame, words: DataFrame, lookup, classes: int) -> np.ndarray:
+    """How often a word of class b follows one of class a, by the classes of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            t = Tokens(batch.column(0))
+            cls, count = lookup.value(t)
+            path, known, h = t.path(cls, classes - 1), t.path(count >= 0, True), t.path(t.hashes, 0)
+            both = known[1:] & known[:-1]
+            total += np.bincount((path[:-1] * classes + path[1:])[both], minlength=classes * classes)
+            open_ = np.flatnonzero(~both)
+            yield pa.RecordBatch.from_arrays(
+                [hidden(h[open_], ~known[open_]), pa.array(path[open_].astype(np.int16)), hidden(h[open_ + 1], ~known[open_ + 1]), pa.array(path[open_ + 1].astype(np.int16)), pa.array(np.ones(len(open_), np.int64))], ["ha", "a", "hb", "b", "n"]
+            )
+        used = np.flatnonzero(total)
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array((used // classes).astype(np.int16)), none, pa.array((used % classes).astype(np.int16)), pa.array(total[used])], ["ha", "a", "hb", "b", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "ha long, a short, hb long, b short, n long")
+    # First one row per pair of classes and rare words, then their classes.
+    rows = rows.groupBy("ha", "a", "hb", "b").agg(F.sum("n").alias("n"))
+    found = with_classes(rows, words.select("h", "class"), "ha", "a", "hb", "b").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((classes, classes))
+    out[found["a"], found["b"]] = found["n"]
+    return out
+
+
+def with_classes(rows: DataFrame, words: DataFrame, *pairs: str) -> DataFrame:
+    """Rows with the classes that words has for their hashes. pairs: hash column, class column, and so on. Rows without a
+    hash take no part in its join, so they aren't a hot key; other columns of words are joined at the last pair."""
+    for at in range(0, len(pairs), 2):
+        h, cls = pairs[at : at + 2]
+        more = [c for c in words.columns if c not in ("h", "class")] if at + 2 == len(pairs) else []
+        known = words.select(F.col("h").alias(h), F.col("class").alias("__found"), *more)
+        joined = rows.filter(F.col(h).isNotNull()).join(known, h, "left").withColumn(cls, F.coalesce("__found", cls)).drop("__found")
+        others = rows.filter(F.col(h).isNull())
+        for c in more:
+            others = others.withColumn(c, F.lit(None).cast(words.schema[c].dataType))
+        rows = joined.unionByName(others)
+    return rows
+
+
+def by_class(values: np.ndarray, cls: str) -> Column:
+    """A number for each class: classes are few."""
+    return F.get(F.array(*(F.lit(float(v)) for v in values)), F.col(cls).cast("int"))
+
+
 def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, heads: int = 2048, sweeps: int = 6, starts: int = 2, most_lookup: int = 1_000_000, weight: float = 0.95, alpha: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row (log10)."""
+    if not 2 <= classes <= 128:
+        raise ValueError("classes must be 2 to 128")
     spark = arrow_batches(docs.sparkSession)
     scratch, context = Scratch(spark), spark.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.pmod(crc32_of_id(), F.lit(folds)) == 0).alias("held_out"))
@@ -252,89 +401,63 @@ def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, head
     types = len(head) + ENDINGS + 1
 
     of, matrix = cluster(scratch.save(neighbour_counts(train, head)), types, classes, sweeps, starts)
-    is_head = F.broadcast(spark.createDataFrame([(int(h), i) for i, h in enumerate(head)], "h long, place int"))
-    typed = counts.join(is_head, "h", "left").select("h", "c", F.coalesce("place", F.col("ending") + len(head)).alias("t"))
-    per_type = typed.groupBy("t").agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once")).toPandas()
+    is_head = F.broadcast(spark.createDataFrame([(int(h), int(of[i])) for i, h in enumerate(head)], "h long, class short"))
+    words = scratch.save(exchanged(neighbouring_classes(train, head, of, classes), matrix).unionByName(counts.join(is_head, "h").select("h", "c", "class")))
+    per_class = words.groupBy("class").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).toPandas()
     size, once = np.zeros(classes), np.zeros(classes)
-    np.add.at(size, of[per_type["t"]], per_type["c"])
-    np.add.at(once, of[per_type["t"]], per_type["once"])
+    size[per_class["class"]], once[per_class["class"]] = per_class["c"], per_class["once"]
     size[classes - 1] += texts
     unseen = (once + 0.5) / (size + 1)
     unseen[classes - 1] = 0.0
-    after = (matrix + 0.5) / (matrix.sum(1, keepdims=True) + 0.5 * classes)
 
-    top = most_frequent(typed.select("h", "c", F.col("t").cast("int").alias("t")), most_lookup).toArrow()
-    order = np.argsort(top["h"].to_numpy())
-    top = {k: top[k].to_numpy()[order] for k in ("h", "c", "t")}
-    model = context.broadcast(
-        {
-            "head": head, "of": of, "after": after, "unseen": unseen, "size": size,
-            "h": top["h"], "c": top["c"].astype(np.float64), "class": of[top["t"]].astype(np.int16),
-        }
-    )
+    lookup = context.broadcast(Lookup(most_frequent(words, most_lookup).toArrow(), of[len(head) : len(head) + ENDINGS]))
+    matrix = class_bigrams(train, words, lookup, classes)
+    after = (matrix + 0.5) / (matrix.sum(1, keepdims=True) + 0.5 * classes)
+    model = context.broadcast((after, unseen, np.maximum(size, 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        last = classes - 1
-
-        def describe(words: list[bytes], hashes: np.ndarray) -> list[np.ndarray]:
-            at = find(m["h"], hashes)
-            count, cls = np.where(at >= 0, m["c"][at] if len(m["c"]) else 0.0, -1.0), np.zeros(len(words), np.int64)
-            found = at >= 0
-            cls[found] = m["class"][at[found]]
-            place = find(m["head"], hashes)
-            for i in np.flatnonzero(~found):
-                cls[i] = m["of"][place[i] if place[i] >= 0 else len(m["head"]) + ending(words[i])]
-            emits = (1 - m["unseen"][cls]) * count / np.maximum(m["size"][cls], 1)
-            return [cls, count, emits, hashes]
-
-        lexicon = Lexicon(describe)
-        row, part = 0, TaskContext.get().partitionId() << 40
+        after, unseen, size = model.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, held, every = batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(1))
-            for start in range(0, len(every), TOGETHER):
-                out = {k: [] for k in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")}
-                tail = {"row": [], "h": [], "step": [], "class": []}
-                for k, x in enumerate(lexicon([t.lower().split() for t in every[start : start + TOGETHER]])):
-                    cls, count, emits, hashes = (c[x] for c in lexicon.columns) if len(x) else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
-                    path = np.concatenate([[last], cls, [last]])
-                    step = m["after"][path[:-1], path[1:]]
-                    known = count >= 0
-                    p0 = (count[known] + alpha) / floor
-                    p0_end = (texts + alpha) / floor
-                    p = weight * step[:-1][known] * emits[known] + (1 - weight) * p0
-                    out["row"].append(part + row)
-                    out["doc_id"].append(ids[start + k])
-                    out["held_out"].append(held[start + k])
-                    out["n_tokens"].append(len(x) + 1)
-                    out["n_known"].append(int(known.sum()) + (texts > 0))
-                    out["base"].append(float(np.log10(p0).sum() + np.log10(p0_end)))
-                    out["score"].append(float(np.log10(p).sum() + np.log10(weight * step[-1] + (1 - weight) * p0_end)))
-                    tail["row"].append(np.full(int((~known).sum()), part + row))
-                    tail["h"].append(hashes[~known])
-                    tail["step"].append(step[:-1][~known])
-                    tail["class"].append(cls[~known])
-                    row += 1
-                rare = {k: np.concatenate(c) for k, c in tail.items()}
-                docs_, rares = len(out["row"]), len(rare["row"])
-                columns = [
-                    pa.array(np.concatenate([np.array(out["row"], np.int64), rare["row"].astype(np.int64)])),
-                    *(pa.array([*out[k], *([None] * rares)], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))),
-                    *(pa.concat_arrays([pa.nulls(docs_, t), pa.array(rare[k].astype(t.to_pandas_dtype()))]) for k, t in (("h", pa.int64()), ("step", pa.float32()), ("class", pa.int16()))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["row", *list(out)[1:], "h", "step", "class"])
-
-    made = scratch.save(rows.select("doc_id", "text", "held_out").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, step float, class short"))
-    rare = made.filter("h is not null").select("row", "h", "step", "class").join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    constants = F.broadcast(spark.createDataFrame([(i, float(unseen[i]), float(max(size[i], 1))) for i in range(classes)], "class short, unseen double, size double"))
-    p0 = (F.col("c") + alpha) / F.lit(float(floor))
-    emits = F.when(F.col("c") > 0, (1 - F.col("unseen")) * F.col("c") / F.col("size")).otherwise(F.col("unseen"))
-    p = weight * F.col("step") * emits + (1 - weight) * p0
-    sums = rare.join(constants, "class").groupBy("row").agg(
-        F.sum((F.col("c") > 0).cast("long")).alias("r_known"), F.sum(F.log10(p0)).alias("r_base"), F.sum(F.log10(p)).alias("r_score")
+            t = Tokens(batch.column(1))
+            cls, count = lookup.value(t)
+            # One place per token and per end; the end before the first text only precedes.
+            path, seen, h = t.path(cls, classes - 1), t.path(count, texts), t.path(t.hashes, 0)
+            emits = t.path((1 - unseen[cls]) * count / size[cls], 1.0)
+            text, known = np.repeat(np.arange(len(t.sizes)), t.sizes + 1), seen >= 0
+            p0 = np.where(known, (seen + alpha) / floor, 1.0)[1:]
+            both = known[1:] & known[:-1]
+            p = np.where(both, weight * after[path[:-1], path[1:]] * emits[1:] + (1 - weight) * p0, 1.0)
+            sums = [np.bincount(text, x, len(t.sizes)) for x in (known[1:] & (seen[1:] > 0), np.log10(p0), np.log10(p))]
+            ids = np.arange(row, row + len(t.sizes))
+            open_ = np.flatnonzero(~both)
+            known_ = known[open_ + 1]
+            k, m = len(ids), len(open_)
+            head = [batch.column(0), batch.column(2), pa.array(t.sizes + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            rare = [
+                hidden(h[open_], ~known[open_]), pa.array(path[open_].astype(np.int16)), hidden(h[open_ + 1], ~known_), pa.array(path[open_ + 1].astype(np.int16)),
+                pa.array(emits[open_ + 1], mask=~known_), pa.array(p0[open_], mask=~known_),
+            ]
+            columns = [pa.array(np.concatenate([ids, ids[text[open_]]])), *(pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in head), *(pa.concat_arrays([pa.nulls(k, c.type), c]) for c in rare)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(k + m) >= k)], [c.split()[0] for c in MADE.split(", ")])
+            row += k
+
+    made = scratch.save(rows.select("doc_id", "text", "held_out").mapInArrow(score, MADE))
+    rare = with_classes(made.filter("rare").select("row", "ha", "a", "hb", "b", "emits", "p0"), words, "ha", "a", "hb", "b")
+    step = F.broadcast(spark.createDataFrame([(a, b, float(after[a, b])) for a in range(classes) for b in range(classes)], "a short, b short, step double"))
+    count, is_rare = F.coalesce("c", F.lit(0)), F.col("hb").isNotNull()
+    emits = F.when(count > 0, (1 - by_class(unseen, "b")) * count / by_class(np.maximum(size, 1), "b")).otherwise(by_class(unseen, "b"))
+    rare = rare.select("row", "a", "b", is_rare.alias("is_rare"), count.alias("c"), F.when(is_rare, emits).otherwise(F.col("emits")).alias("emits"), F.when(is_rare, (count + alpha) / F.lit(float(floor))).otherwise(F.col("p0")).alias("p0"))
+    p = weight * F.col("step") * F.col("emits") + (1 - weight) * F.col("p0")
+    sums = rare.join(step, ["a", "b"]).groupBy("row").agg(
+        F.count_if(F.col("is_rare") & (F.col("c") > 0)).alias("r_known"), F.sum(F.when(F.col("is_rare"), F.log10("p0")).otherwise(0.0)).alias("r_base"), F.sum(F.log10(p)).alias("r_score")
     )
-    whole = made.filter("h is null").join(sums, "row", "left")
+    whole = made.filter("not rare").join(sums, "row", "left")
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         F.round(F.col("base") + F.coalesce("r_base", F.lit(0.0)), 6).alias("base_score"), F.round(F.col("score") + F.coalesce("r_score", F.lit(0.0)), 6).alias("score"),
     )
+
+
+#: Rows of the last pass: one per text, then one per token that is or follows a rare word.
+MADE = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, ha long, a short, hb long, b short, emits double, p0 double, rare boolean"

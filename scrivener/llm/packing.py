@@ -294,7 +294,7 @@ def _islands(capacity: int, population: int, generations: int, epoch: int):
     return run
 
 
-def pack_lengths(blocks: DataFrame, scratch: Scratch, capacity: int = 4096, islands: int = 3, epochs: int = 2, population: int = 6, generations: int = 10) -> DataFrame:
+def pack_lengths(blocks: DataFrame, scratch: Scratch, capacity: int = 4096, islands: int = 3, epochs: int = 2, population: int = 6, generations: int = 8) -> DataFrame:
     """blocks: block long, lengths array<int>, elite array<int> (the bin of each length in a first packing). Returns
     block and elite: the best packing that an island found."""
     best, cores = None, 4 * blocks.sparkSession.sparkContext.defaultParallelism

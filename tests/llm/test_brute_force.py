@@ -15,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -404,6 +405,82 @@ def test_op9_base_scores_and_counts(spark, documents):
     assert held["score"].sum() > held["base_score"].sum()
 
 
+def plain_class_model(rows: list[tuple], classes: int, heads: int, sweeps: int, starts: int, weight: float = 0.95) -> dict[int, float]:
+    """Scores of all texts by plain counting. The clustering of the heads is the operator's, all else is stated anew."""
+    from scrivener.llm import class_model as M
+
+    def h(w: str) -> int:
+        return int(np.uint64(xxhash.xxh64_intdigest(w.encode())).astype(np.int64))
+
+    tokens = {d: brute.WORD.findall(brute.lowered(t or "")) for d, t in rows}
+    train = [x for d, x in tokens.items() if brute.id_crc(d) % 10]
+    count = Counter(w for x in train for w in x)
+    top = sorted(sorted(count, key=lambda w: (-count[w], h(w)))[:heads], key=h)
+    last = classes - 1
+    kind = lambda w: top.index(w) if w in top else len(top) + zlib.crc32((w.encode().rstrip(M.PUNCTUATION) or w.encode())[-3:]) % 256
+    types = len(top) + 257
+    kinds, pairs = {w: kind(w) for x in tokens.values() for w in x}, np.zeros((types, types))
+    for x in train:
+        path = [types - 1, *(kinds[w] for w in x), types - 1]
+        for a, b in zip(path, path[1:]):
+            pairs[a, b] += 1
+    of, matrix, _ = max((M.exchange(pairs, classes, sweeps, s) for s in range(starts)), key=lambda r: r[2])
+    first = {w: int(of[kinds[w]]) for w in kinds}
+    xlx = lambda v: v * math.log(v) if v > 1 else 0.0
+    before, behind = defaultdict(Counter), defaultdict(Counter)
+    for x in train:
+        path = [last, *(first[w] for w in x), last]
+        for i, w in enumerate(x):
+            before[w][path[i]] += 1
+            behind[w][path[i + 2]] += 1
+    cls = dict(first)
+    for w in count:
+        if w in top:
+            continue
+        gains = []
+        for c in range(last):
+            sign = -1 if c == first[w] else 1
+            add = lambda v, n: sign * (xlx(v + sign * n) - xlx(v))  # noqa: B023, E731
+            gains.append(sum(add(matrix[a, c], n) for a, n in sorted(before[w].items())) + sum(add(matrix[c, b], n) for b, n in sorted(behind[w].items())) - 2 * add(matrix.sum(0)[c], count[w]))
+        if max(gains) > gains[first[w]] + 1e-9:
+            cls[w] = int(np.argmax(gains))
+    assert any(cls[w] != first[w] for w in cls)
+    big, size, once = np.zeros((classes, classes)), np.zeros(classes), np.zeros(classes)
+    for x in train:
+        path = [last, *(cls[w] for w in x), last]
+        for a, b in zip(path, path[1:]):
+            big[a, b] += 1
+    for w, n in count.items():
+        size[cls[w]] += n
+        once[cls[w]] += n == 1
+    size[last] += len(train)
+    n, v = sum(count.values()) + len(train), len(count) + 1
+    out = {}
+    for d, x in tokens.items():
+        total, path = 0.0, [last, *(cls[w] for w in x), last]
+        for w, a, b in zip([*x, None], path, path[1:]):
+            c = len(train) if w is None else count[w]
+            lost = 0.0 if b == last else (once[b] + 0.5) / (size[b] + 1)
+            emits = 1.0 if w is None else (1 - lost) * c / size[b] if c else lost
+            step = (big[a, b] + 0.5) / (big[a].sum() + 0.5 * classes)
+            total += math.log10(weight * step * emits + (1 - weight) * (c + 0.1) / (n + 0.1 * (v + 1)))
+        out[d] = total
+    return out
+
+
+def test_op9_scores_equal_plain_counting(spark, documents):
+    from scrivener.llm.class_model import class_model_scores
+
+    rows = [(int(d), t) for d, t in zip(documents["doc_id"][:80], documents["text"][:80], strict=True)] + [(9001, None), (9002, "  a\tb  "), (9003, "seldom words here")]
+    few = dict(classes=6, heads=40, sweeps=2, starts=2)
+    want = plain_class_model(rows, **few)
+    for lookup in (1_000_000, 60):
+        got = class_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), most_lookup=lookup, **few).toPandas()
+        assert len(got) == len(rows)
+        for d, score in zip(got["doc_id"], got["score"], strict=True):
+            assert score == pytest.approx(want[d], abs=1e-4)
+
+
 def test_op9_a_small_lookup_changes_nothing(spark, sf_dir):
     from scrivener.llm.class_model import class_model_scores
 
