@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from scrivener.operators import graphs as G
 from scrivener.operators import search as S
+from scrivener.plans.search import BM25_CTE
 from scrivener.registry import query
-from scrivener.session import table
+from scrivener.session import spread, table
 
 
 @query(
@@ -283,10 +284,20 @@ def top_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(6)
 
 
-@query("graph_ranking")
+@query(
+    "graph_ranking",
+    f"""{BM25_CTE},
+b2 AS (SELECT doc_id, sum(CASE WHEN tf > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a)) ELSE 0 END) AS score FROM tf JOIN df USING (term), n WHERE term IN ('the', 'that', 'moron') GROUP BY doc_id),
+l1 AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 0 AS channel FROM b2 ORDER BY r LIMIT 50),
+h AS (SELECT doc_id, count(*)::DOUBLE AS score FROM documents d, benchmark b WHERE contains(d.text, b.text) GROUP BY doc_id),
+l2 AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 1 AS channel FROM h ORDER BY r LIMIT 50)
+SELECT doc_id, round(sum(1.0 / (60 + r)), 8) AS fusion, round(max(score), 5) AS score, count(DISTINCT channel) AS channels FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY doc_id
+ORDER BY sum(1.0 / (60 + r)) DESC, max(score) DESC, doc_id LIMIT 12""",
+)
 def graph_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and graph evidence fused: documents by BM25 and by the passages that they hold."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lexical = S.ranked(S.bm25(docs, ["the", "that", "moron"]).withColumnRenamed("bm25", "score"), "score", "doc_id", 50)
     held = G.contained_passages(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id").groupBy("doc_id").agg(F.count("*").cast("double").alias("score"))
-    return S.rrf([lexical, S.ranked(held, "score", "doc_id", 50)], "doc_id", "score").orderBy(F.desc("fusion"), F.desc("score"), "doc_id").limit(12)
+    best = S.rrf([lexical, S.ranked(held, "score", "doc_id", 50)], "doc_id", "score").orderBy(F.desc("fusion"), F.desc("score"), "doc_id").limit(12)
+    return best.select("doc_id", F.round("fusion", 8).alias("fusion"), F.round("score", 5).alias("score"), "channels")
