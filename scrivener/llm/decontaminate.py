@@ -7,10 +7,12 @@ The MinHash sketch of an item is its k smallest shingle hashes, k one more than
 a document that contains the item has at least one of them: the search loses nothing. Documents are partitioned by
 size, in powers of two of their shingle count. A partition is searched only for items that fit its documents, and its
 sketch limit - the largest hash in those items' sketches - says which of a document's hashes can be in any of them;
-only these leave the scan. Candidates are then verified: of the item's shingles those found in the document are counted.
+only these leave the scan. Candidates are then verified: of the item's shingles those whose words are found in the
+document are counted.
 
 All of it is DataFrame operations. Null and empty texts contain nothing and no item without a word is searched for.
-Repeated document rows are one document, repeated items one item; other columns are not read.
+Repeated document rows are one document, repeated items one item; an empty table on either side gives no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,19 +32,21 @@ def words_of(text: str = "text") -> Column:
     return F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingle_hashes(texts: DataFrame, key: str, shingle: int, short: bool) -> DataFrame:
-    """key, n (shingles with repeats) and h, one row per shingle. Texts of fewer words: one shingle if short, else none."""
+def shingle_hashes(texts: DataFrame, key: str, shingle: int, short: bool, spelled: bool = False) -> DataFrame:
+    """key, n (shingles with repeats), h and, if spelled, the words joined by blanks, one row per shingle. Texts of fewer
+    words: one shingle if short, else none."""
     words = texts.select(key, words_of().alias("w")).withColumn("words", F.size("w"))
     most = F.greatest(F.col("words") - (shingle - 1), F.lit(1)) if short else F.col("words") - (shingle - 1)
     words = words.filter(F.col("words") >= (1 if short else shingle)).select(key, "w", most.alias("n"))
     at = words.select(key, "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return at.select(key, "n", F.xxhash64(*(F.get("w", F.col("i") + j) for j in range(shingle))).alias("h"))
+    words_at = [F.array_join(F.slice("w", F.col("i") + 1, F.lit(shingle)), " ").alias("words")] if spelled else []
+    return at.select(key, "n", F.xxhash64(*(F.get("w", F.col("i") + j) for j in range(shingle))).alias("h"), *words_at)
 
 
 def item_sketches(items: DataFrame, containment: float, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct shingles (item_id, h) and the sketch rows (item_id, h, size class, shingles of the item)."""
-    shingles = shingle_hashes(items.select(F.col("item_id").cast("long"), "text"), "item_id", shingle, True).select("item_id", "h").distinct()
-    listed = shingles.groupBy("item_id").agg(F.sort_array(F.collect_list("h")).alias("hs")).withColumn("size", F.size("hs"))
+    """Distinct shingles (item_id, h, words) and the sketch rows (item_id, h, size class, shingles of the item)."""
+    shingles = shingle_hashes(items.select(F.col("item_id").cast("long"), "text"), "item_id", shingle, True, True).select("item_id", "h", "words").distinct()
+    listed = shingles.groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hs")).withColumn("size", F.size("hs"))
     # A hundredth of a shingle of slack, so that rounding can't drop one that is needed.
     sketch = listed.withColumn("k", F.least("size", F.floor(F.col("size") * F.lit(1 - containment) + 0.01).cast("int") + 1))
     return shingles, sketch.select("item_id", "size", F.explode(F.slice("hs", F.lit(1), F.col("k"))).alias("h"))
@@ -68,13 +72,14 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, sh
     found = sketched.join(hint(sized.select("item_id", "h", "least")), "h").filter(F.col("n") >= F.col("least"))
     candidates = found.select("doc_id", "item_id").distinct()
     # Items that are one short shingle can't meet a five-word shingle: they are looked for as word sequences.
-    candidates = scratch.save(candidates.union(_short_items(texts, items, shingle)).distinct())
+    candidates = scratch.save(candidates.union(_short_items(texts, items, shingle, hint)).distinct())
 
     again = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    present = shingle_hashes(again, "doc_id", shingle, False).select("doc_id", "h")
-    wanted = present.join(hint(shingles), "h").select("doc_id", "item_id", "h").distinct()
+    # The words themselves are compared, so that no two shingles with one hash are taken for each other.
+    present = shingle_hashes(again, "doc_id", shingle, False, True).select("doc_id", "h", "words")
+    wanted = present.join(hint(shingles), ["h", "words"]).select("doc_id", "item_id", "h", "words").distinct()
     counts = wanted.join(candidates, ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    sizes = sketch.select("item_id", "size").distinct()
+    sizes = shingles.groupBy("item_id").agg(F.count("*").alias("size"))
     checked = candidates.join(counts, ["doc_id", "item_id"], "left").join(sizes, "item_id").join(_short_ids(items, shingle), "item_id", "left")
     shared = F.when(F.col("short"), F.lit(1)).otherwise(F.coalesce("shared", F.lit(0))).cast("long")
     out = checked.select("doc_id", "item_id", shared.alias("shared"), F.col("size").cast("long").alias("item_shingles"))
@@ -90,21 +95,23 @@ def _short_ids(items: DataFrame, shingle: int) -> DataFrame:
     return _short(items, shingle).select("item_id", F.lit(True).alias("short")).distinct()
 
 
-def _short_items(texts: DataFrame, items: DataFrame, shingle: int) -> DataFrame:
-    """Pairs for items of one to four words: the phrase stands in the document as consecutive words."""
+def _short_items(texts: DataFrame, items: DataFrame, shingle: int, hint) -> DataFrame:
+    """Pairs for items of one to four words: the phrase stands in the document as consecutive words. The items are
+    broadcast where their number allows, so that a common word isn't a hot key."""
     pairs = None
     short = _short(items, shingle)
     for m in [r["m"] for r in short.select("m").distinct().collect()]:
-        grams = shingle_hashes(texts, "doc_id", m, False).select("doc_id", "h")
-        sought = short.filter(F.col("m") == m).withColumn("w", F.split("phrase", " "))
-        sought = sought.select("item_id", F.xxhash64(*(F.get("w", F.lit(j)) for j in range(m))).alias("h"))
-        hit = grams.join(sought, "h").select("doc_id", "item_id").distinct()
+        grams = shingle_hashes(texts, "doc_id", m, False, True).select("doc_id", "words")
+        sought = short.filter(F.col("m") == m).select("item_id", F.col("phrase").alias("words"))
+        hit = grams.join(hint(sought), "words").select("doc_id", "item_id").distinct()
         pairs = hit if pairs is None else pairs.union(hit)
     return pairs if pairs is not None else texts.sparkSession.createDataFrame([], "doc_id long, item_id long")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of docs that contain no item; a row without a doc_id stays."""
+def decontaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, shingle: int = 5, row: str = "doc_id") -> DataFrame:
+    """The rows of docs that contain no item. Another column can be given instead of doc_id to tell rows apart by; a row
+    without it stays."""
     hit = fresh(docs, "hit")
-    hits = contaminated(docs, items, containment, shingle).select(F.col("doc_id").alias(hit)).distinct()
-    return docs.join(hits, F.col("doc_id") == F.col(hit), "left_anti")
+    texts = docs.select(F.col(row).cast("long").alias("doc_id"), "text")
+    hits = contaminated(texts, items, containment, shingle).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(hits, F.col(row) == F.col(hit), "left_anti")

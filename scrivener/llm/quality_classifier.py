@@ -3,16 +3,18 @@
 A text's features are indicators of its hashed byte n-grams, and of n-grams over the marks "same word as before" and
 "line seen before". Each indicator is scaled by its class log-count ratio, r = log((p / |p|) / (q / |q|)) with p and q
 the smoothed document counts in the good and the bad class; rows are scaled to length one. A linear hinge-loss model
-is fitted by dual coordinate descent on each of several shards of the sample, in parallel, and the shards' weights are
-averaged. The margin becomes a probability by a logistic curve, fitted to margins that each shard got from the models
-of the other shards.
+is fitted by dual coordinate descent in rounds: each shard of the sample descends on its own dual variables, against the
+weights of all, and the shards' steps are added up. Each shard takes its steps as if the others took the same ones, so
+that the sum never overshoots, and the rounds converge to the one solution for all rows; the last step's duality gap is
+known. The margin becomes a probability by a logistic curve, fitted to margins that each shard's rows get from the
+weights without that shard's share.
 
 Labelled rows are a bounded sample: those with the smallest hash of their id, `most_labelled` at most. Ids whose CRC-32
 modulo `folds` is 0 are held out and never learned from. Only the text is an input of a score.
 
 Null texts count as empty, and an empty text gets the score of a text without features. Repeated rows are scored each
 by itself; a doc_id that labels name twice counts once, as good only if no row says otherwise. Without labels of both
-classes every score is the smoothed share of good rows. Columns other than the id and the text are not read.
+classes every score is the smoothed share of good rows; an empty table gives no rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -49,31 +51,80 @@ def features(text: bytes) -> np.ndarray:
     return np.concatenate([hashed.astype(np.int32), *(HASHED + m.astype(np.int32) for m in marks)])
 
 
-def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int) -> np.ndarray:
-    """Weights (over scaled indicators, the last for the constant) of the hinge-loss model, by dual coordinate descent."""
-    w = np.zeros(SIZE + 1)
-    values = [ratio[x] / max(1e-9, np.sqrt((ratio[x] ** 2).sum())) for x in rows]
-    alpha, rng = np.zeros(len(rows)), np.random.default_rng(seed)
+def scaled(x: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """The values of a row's indicators, of length one."""
+    v = ratio[x]
+    return v / max(1e-9, np.sqrt((v**2).sum()))
+
+
+def descend(rows: list[np.ndarray], labels: np.ndarray, alpha: np.ndarray, w: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round of a shard: its dual variables and its share of the weights after some epochs, against the weights w.
+
+    A step counts `shards` times in the shard's own view of the weights, which makes it safe to add all shards' steps.
+    """
+    values, rng = [scaled(x, ratio) for x in rows], np.random.default_rng(seed)
+    view, alpha = w.copy(), alpha.copy()
     for _ in range(epochs):
-        moved = 0.0
         for i in rng.permutation(len(rows)):
             x, v, y = rows[i], values[i], labels[i]
-            gradient = y * (w[x] @ v + w[SIZE]) - 1
-            new = min(max(alpha[i] - gradient / 2, 0.0), cost)  # a row's length with the constant is two
+            gradient = y * (view[x] @ v + view[SIZE]) - 1
+            # A row's squared length with the constant is two; a row without indicators has the constant alone.
+            new = min(max(alpha[i] - gradient / (shards * (2 if len(x) else 1)), 0.0), cost)
             if new != alpha[i]:
-                step = (new - alpha[i]) * y
-                w[x] += step * v
-                w[SIZE] += step
-                moved += abs(step)
+                step = shards * (new - alpha[i]) * y
+                view[x] += step * v
+                view[SIZE] += step
                 alpha[i] = new
-        if moved < 1e-3 * len(rows):
-            break
-    return w
+    share = np.zeros(SIZE + 1)
+    for x, v, y, a in zip(rows, values, labels, alpha, strict=True):
+        if a:
+            share[x] += a * y * v
+            share[SIZE] += a * y
+    return alpha, share
+
+
+def _round(shared, cost: float, epochs: int, shards: int, seed: int):
+    def run(part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("order", kind="stable")
+        ratio, w = shared.value
+        x, y = [np.asarray(f, np.int64) for f in part["feats"]], np.where(part["good"].to_numpy() > 0, 1.0, -1.0)
+        alpha = np.array(before["alpha"].iloc[0]) if len(before) else np.zeros(len(x))
+        alpha, share = descend(x, y, alpha, w, ratio, cost, epochs, shards, seed)
+        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "alpha": [alpha], "share": [share]})
+
+    return run
+
+
+def descended(rows: DataFrame, ratio: np.ndarray, scratch: Scratch, cost: float, rounds: int, epochs: int) -> tuple[np.ndarray, dict[int, np.ndarray], float]:
+    """Weights (over scaled indicators, the last for the constant), each shard's share of them, and the duality gap
+    relative to the objective. rows: good, shard, feats and order, by which a shard's rows are sorted."""
+    context = rows.sparkSession.sparkContext
+    shards = rows.select("shard").distinct().count()
+    w, state, shares, gap = np.zeros(SIZE + 1), None, {}, 0.0
+    for k in range(rounds):
+        shared = context.broadcast((ratio, w))
+
+        prior = state.select("shard", "alpha") if state is not None else rows.sparkSession.createDataFrame([], "shard int, alpha array<double>")
+        state = scratch.save(rows.select("good", "shard", "feats", "order").groupBy("shard").cogroup(prior.groupBy("shard")).applyInPandas(_round(shared, cost, epochs, shards, 7 + k), "shard int, alpha array<double>, share array<double>"))
+        found = state.orderBy("shard").toPandas()
+        shares = {int(s): np.array(x) for s, x in zip(found["shard"], found["share"], strict=True)}
+        w = sum(shares.values())
+        dual = float(sum(np.sum(a) for a in found["alpha"])) - float(w @ w) / 2
+    last = context.broadcast((ratio, w))
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio, w = last.value
+        for batch in batches:
+            out = [max(0.0, 1 - (1 if g else -1) * margin(x.values.to_numpy(), ratio, w)) for g, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["loss"])
+
+    primal = float(w @ w) / 2 + cost * rows.select("good", "feats").mapInArrow(losses, "loss double").agg(F.sum("loss")).first()[0]
+    gap = (primal - dual) / max(primal, 1e-9)
+    return w, shares, gap
 
 
 def margin(x: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> float:
-    v = ratio[x]
-    return float((w[x] @ v) / max(1e-9, np.sqrt((v**2).sum())) + w[SIZE])
+    return float(w[x] @ scaled(x, ratio) + w[SIZE])
 
 
 def logistic(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -94,17 +145,17 @@ def logistic(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int, most_labelled: int, shards: int) -> DataFrame:
-    """good, shard and feats of the sampled labelled rows."""
+    """good, shard, feats and order of the sampled labelled rows. Rows of equal order are copies."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"))
     known = known.filter(F.pmod(crc32_of_id(), F.lit(folds)) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "good", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"))
+    rows = docs.join(F.broadcast(known), "doc_id").select("text", "good", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", "text").alias("order"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             feats = pa.array([features(t) for t in utf8(batch.column(0))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), feats], ["good", "shard", "feats"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), feats, batch.column(3)], ["good", "shard", "feats", "order"])
 
-    return rows.mapInArrow(run, "good int, shard int, feats array<int>")
+    return rows.mapInArrow(run, "good int, shard int, feats array<int>, order long")
 
 
 def count_ratio(rows: DataFrame, smoothing: float) -> tuple[np.ndarray, int, int]:
@@ -126,26 +177,17 @@ def count_ratio(rows: DataFrame, smoothing: float) -> tuple[np.ndarray, int, int
     return np.log(p / p.sum()) - np.log(q / q.sum()), int(counts[1, SIZE]), int(counts[0, SIZE])
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int, most_labelled: int, shards: int = 8, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 15) -> tuple:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int, most_labelled: int, shards: int = 8, smoothing: float = 1.0, cost: float = 1.0, rounds: int = 8, epochs: int = 3) -> tuple:
     """ratio, weights, slope and offset of the model."""
     rows = scratch.save(sample(docs, labels, folds, most_labelled, shards))
     ratio, n_good, n_bad = count_ratio(rows, smoothing)
     if not n_good or not n_bad:
         return np.zeros(SIZE), np.zeros(SIZE + 1), 0.0, float(np.log((n_good + 1) / (n_bad + 1)))
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(ratio)
-
-    def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.iloc[np.argsort([hash(tuple(x[:20])) for x in part["feats"]], kind="stable")]
-        y = np.where(part["good"].to_numpy() > 0, 1.0, -1.0)
-        w = descend([np.asarray(x) for x in part["feats"]], y, shared.value, cost, epochs, 7)
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "w": [w], "n": [len(part)]})
-
-    models = rows.groupBy("shard").applyInPandas(train, "shard int, w array<double>, n long").toPandas()
-    weights, sizes = np.array(models["w"].tolist()), models["n"].to_numpy(float)
-    mean = (weights * sizes[:, None]).sum(0) / sizes.sum()
-    others = {int(s): (mean * sizes.sum() - weights[i] * sizes[i]) / max(1.0, sizes.sum() - sizes[i]) for i, s in enumerate(models["shard"])}
-    crossed = context.broadcast(others if len(others) > 1 else {k: mean for k in others})
+    w, shares, _ = descended(rows, ratio, scratch, cost, rounds, epochs)
+    # Without a shard's share the weights are smaller by as much as the shard is of the sample.
+    grown = len(shares) / max(1, len(shares) - 1)
+    shared, crossed = context.broadcast(ratio), context.broadcast({k: (w - x) * grown if len(shares) > 1 else w for k, x in shares.items()})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int, most_l
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(0)], ["m", "good"])
 
     seen = rows.select("good", "shard", "feats").mapInArrow(judge, "m double, good int").toPandas()
-    return ratio, mean, *logistic(seen["m"].to_numpy(), seen["good"].to_numpy(float))
+    return ratio, w, *logistic(seen["m"].to_numpy(), seen["good"].to_numpy(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, most_labelled: int = 20_000, **fitting: float) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.session import prepare
+from scrivener.session import Scratch, fresh, prepare
+
+__all__ = ["Scratch", "arrow_batches", "crc32_of_id", "fresh", "low_labels", "ranges", "utf8"]
 
 #: Rows and bytes of one Arrow batch, so that a worker holds few long texts at once.
 BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
@@ -24,43 +23,6 @@ def arrow_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-class Scratch:
-    """Intermediate tables, written as Parquet below the cluster's checkpoint folder.
-
-    The folder is read from ``spark.checkpoint.dir``; only where none is set, as in tests, one is made.
-    A written table cuts the lineage, survives lost executors and gives the optimizer exact sizes.
-    """
-
-    def __init__(self, spark: SparkSession):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scrivener-"))
-        self.spark, self.path, self.made = spark, f"{context.getCheckpointDir()}/scrivener-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write df and return a reader of what was written."""
-        self.made += 1
-        to = f"{self.path}/{self.made}"
-        df.write.option("compression", "zstd").parquet(to)
-        return self.spark.read.schema(df.schema).parquet(to)
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete scratch tables that no later step reads."""
-        jvm = self.spark._jvm
-        for df in frames:
-            for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def crc32_of_id(column: str = "doc_id") -> Column:
     """CRC-32 of an id written as decimal text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

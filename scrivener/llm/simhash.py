@@ -1,19 +1,21 @@
 """SimHash near-duplicates by anchor-point covering.
 
 A fingerprint has 64 bits; bit i is 1 if more than half of the document's shingle hashes have it. To find all pairs
-with at most four differing bits, the bits are cut into three blocks: two such fingerprints differ by at most one bit
-in one of them (the threshold t within a block). In a block, the anchors are the words of a covering code: the [15, 11]
-Hamming code on the first fifteen bits, every word on the rest. The code's covering radius is R = 1, so each
-fingerprint has a home anchor within R, and whatever differs from it by t bits or fewer lies within R + t = 2 of that
-anchor. Fingerprints are replicated to every anchor within R + t, and compared per anchor with those at home there.
-
-Equal fingerprints are compared once. An anchor with very many fingerprints at home is salted: those are dealt into
-parts and whoever visits is sent to each part. In a part, matches are reduced to a spanning forest, so a group of n
+with at most four differing bits, the bits are cut into m blocks, of which s together make a window: in one of the
+windows two such fingerprints differ by at most t = 4 s / m rounded down, here one bit. The more fingerprints there are,
+the wider the windows: (m, s) is (3, 1), (5, 2) or (7, 3), which changes the work and not the result. In a window, the
+anchors are the words of a covering code: the [15, 11] Hamming code on the first fifteen bits, every word on the rest.
+The code's covering radius is R = 1, so each fingerprint has a home anchor within R, and whatever differs from it by t
+bits or fewer lies within R + t = 2 of that anchor. Fingerprints are replicated to every anchor within R + t, and
+compared per anchor with those at home there.
+
+Equal fingerprints are compared once. At an anchor with very many fingerprints, both those at home and those that visit
+are dealt into parts, and each part of the one is compared with each part of the other. In a pair of parts, matches are reduced to a spanning forest, so a group of n
 near copies yields about n links rather than n * n. Components come from large-star/small-star steps.
 
 Null and wordless texts have fingerprint zero and are linked like others. Repeated rows get one result each. A null
-doc_id gets its fingerprint and the component of its group, which is null only if the group has no other id. Columns
-other than the id and the text are not read.
+doc_id gets its fingerprint and the component of its group, which is null only if the group has no other id. An empty
+table gives no rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -66,10 +68,29 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks_of(bits: int = 64, n: int = 3) -> list[tuple[int, int]]:
-    """Offset and width of n blocks that together hold all bits."""
-    edges = [round(i * bits / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+#: Blocks and blocks of a window, and the number of fingerprints up to which they are used: a window of 21, 26 or 27 bits.
+LAYOUTS = ((3, 1, 20_000_000), (5, 2, 2_000_000_000), (7, 3, None))
+Window = list[tuple[int, int]]
+
+
+def windows_of(blocks: int, chosen: int, bits: int = 64) -> list[Window]:
+    """For every choice of blocks the offset and width of each."""
+    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
+    return [list(w) for w in combinations([(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], chosen)]
+
+
+def layout(n: int) -> list[Window]:
+    """The windows for n fingerprints."""
+    return next(windows_of(m, s) for m, s, most in LAYOUTS if most is None or n <= most)
+
+
+def in_window(fps: np.ndarray, window: Window) -> tuple[np.ndarray, int]:
+    """The bits of each fingerprint in a window, one after another, and how many they are."""
+    out, at = np.zeros(len(fps), np.int64), 0
+    for start, width in window:
+        out |= ((fps.view(np.uint64) >> np.uint64(start)).view(np.int64) & ((1 << width) - 1)) << at
+        at += width
+    return out, at
 
 
 def anchor_masks(width: int, reach: int) -> list[np.ndarray]:
@@ -92,11 +113,11 @@ def syndromes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(fps: np.ndarray, blocks: int, radius: int = 1, threshold: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key (block and anchor), fingerprint and whether it is at home there, for all anchors that it is sent to."""
+def anchors(fps: np.ndarray, windows: list[Window], radius: int = 1, threshold: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key (window and anchor), fingerprint and whether it is at home there, for all anchors that it is sent to."""
     keys, owners, home = [], [], []
-    for k, (at, width) in enumerate(blocks_of(n=blocks)):
-        words = (fps.view(np.uint64) >> np.uint64(at)).view(np.int64) & ((1 << width) - 1)
+    for k, window in enumerate(windows):
+        words, width = in_window(fps, window)
         syndrome = syndromes(words)
         own = np.where(syndrome > 0, words ^ (1 << np.maximum(syndrome - 1, 0)), words)
         keys.append((k << 40) | own)
@@ -110,12 +131,12 @@ def anchors(fps: np.ndarray, blocks: int, radius: int = 1, threshold: int = 1) -
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(home)
 
 
-def _replicate(blocks: int):
+def _replicate(windows: list[Window]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(fps), 2000):
-                key, fp, home = anchors(fps[at : at + 2000], blocks)
+                key, fp, home = anchors(fps[at : at + 2000], windows)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(home)], ["key", "fp", "home"])
 
     return run
@@ -200,22 +221,25 @@ def ranges_(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(ends - lengths, lengths)
 
 
-def near_links(fps: DataFrame, scratch: Scratch, most_bits: int = 4, blocks: int = 3, part: int = 2048) -> DataFrame:
+def near_links(fps: DataFrame, scratch: Scratch, most_bits: int = 4, windows: list[Window] | None = None, part: int = 2048) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints fp with at most most_bits differing bits."""
-    if most_bits // blocks > 1:
-        raise ValueError("a block must have one differing bit at most: use more blocks")
-    rows = scratch.save(fps.mapInArrow(_replicate(blocks), "key long, fp long, home boolean"))
-    # Anchors with more than a part at home are salted. The covering code has 3 * 2^18 anchors at most, whatever the
-    # corpus, so their list can be broadcast.
-    homes = rows.filter("home").groupBy("key").count().filter(F.col("count") > part)
-    hot = homes.select("key", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    salted = rows.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    salted = salted.withColumn(
-        "salt", F.explode(F.when(F.col("home"), F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
-    place = ((F.col("key") * (1 << 20)) + F.col("salt")).alias("place")
-    dealt = salted.select(place, "fp", "home").repartition("place").sortWithinPartitions("place", F.desc("home"))
-    return dealt.mapInArrow(_compare(most_bits), "a long, b long")
+    windows = windows or layout(fps.count())
+    covered = sum(width for w in windows for _, width in w)
+    if most_bits * covered // (64 * len(windows)) > 1:
+        raise ValueError("some window must have one differing bit at most: use narrower ones")
+    rows = scratch.save(fps.mapInArrow(_replicate(windows), "key long, fp long, home boolean"))
+    # Anchors beyond a part are dealt into a grid of parts: of those at home times of those that visit.
+    sizes = rows.groupBy("key").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visits")).filter((F.col("homes") > part) | ((F.col("visits") > 16 * part) & (F.col("homes") > 0)))
+    grid = scratch.save(sizes.select("key", F.ceil(F.col("homes") / part).cast("int").alias("rows_"), F.ceil(F.col("visits") / (16 * part)).cast("int").alias("columns_")))
+    dealt = rows.join(grid, "key", "left").withColumns({"rows_": F.coalesce("rows_", F.lit(1)), "columns_": F.coalesce(F.greatest("columns_", F.lit(1)), F.lit(1))})
+    one = lambda n, seed: F.array(F.pmod(F.xxhash64("fp", F.lit(seed)), n).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    dealt = dealt.withColumn("row", F.explode(F.when(F.col("home"), one(F.col("rows_"), 1)).otherwise(every(F.col("rows_")))))
+    dealt = dealt.withColumn("column", F.explode(F.when(F.col("home"), every(F.col("columns_"))).otherwise(one(F.col("columns_"), 2))))
+    # Places of an anchor beyond the first are told apart by a hash; a clash only compares more.
+    place = F.when((F.col("row") == 0) & (F.col("column") == 0), F.col("key")).otherwise(F.xxhash64("key", "row", "column")).alias("place")
+    sorted_ = dealt.select(place, "fp", "home").repartition("place").sortWithinPartitions("place", F.desc("home"))
+    return sorted_.mapInArrow(_compare(most_bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = 4, shingle: int = 4) -> DataFrame:

@@ -4,11 +4,12 @@ The cascade is built over the complete universe of keys, all hosts of the corpus
 level 1 encodes the other keys that level 0 lets pass by mistake; level 2 the listed keys that level 1 lets pass by
 mistake, and so on until a level makes no mistake. A key's membership is read off the first level that doesn't have
 it, exactly, for every key of the universe and without a join. Levels are built by Spark: each one is a bit_or over
-words of 64 bits. They are broadcast if together they stay below `most_bytes`; beyond that, membership is a left join
-with the listed keys.
+words of 64 bits. What is broadcast at once is bounded by `most_bytes`: a cascade that would exceed it is cut into parts
+by key hash, each a cascade of its own, and each part judges its keys in a pass of its own.
 
 Null urls and urls without `://` have an empty host and path, no rule, and the empty host is never listed. Repeated
-rows are judged each by itself; other columns are not read. An empty list blocks nothing.
+rows are judged each by itself; other columns are not read. An empty list blocks nothing, nor do listed keys that no url
+has; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,15 +82,12 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
     return keys.select("h1", "h2", *columns).mapInArrow(run, "h1 long, h2 long")
 
 
-def cascade(keys: DataFrame, scratch: Scratch, most_bytes: int = 64 << 20) -> list[Level] | None:
-    """Levels for keys (key, listed), one row per key of the universe; None if they would exceed most_bytes."""
-    hashed = scratch.save(keys.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("second")).alias("h2"), "listed"))
+def cascade(hashed: DataFrame, scratch: Scratch) -> list[Level]:
+    """Levels for hashed keys (h1, h2, listed), one row per key of the universe."""
     own, other = hashed.filter("listed").select("h1", "h2"), hashed.filter("not listed").select("h1", "h2")
     levels: list[Level] = []
     while n := own.count():
         words, hashes = _sizes(n, FIRST_RATE if not levels else NEXT_RATE)
-        if 8 * (words + sum(len(x.bits) for x in levels)) > most_bytes:
-            return None
         if len(levels) == MOST_LEVELS:
             raise ValueError("two keys of the universe share both hashes")
         place = own.select(F.explode(F.array(*_places(len(levels), words, hashes))).alias("p"))
@@ -101,6 +99,13 @@ def cascade(keys: DataFrame, scratch: Scratch, most_bytes: int = 64 << 20) -> li
     return levels
 
 
+def n_parts(listed: int, others: int, most_bytes: int) -> int:
+    """Parts of which each one's cascade, and its levels while they are built, stay below most_bytes, on average."""
+    # The first level, the others that it lets pass, and as much again for all further levels.
+    bits = listed * -math.log(FIRST_RATE) / math.log(2) ** 2 + 3 * (FIRST_RATE * others + NEXT_RATE * listed) / math.log(2)
+    return max(1, math.ceil(bits / 8 / most_bytes))
+
+
 def member(levels: list[Level], places: list[np.ndarray]) -> np.ndarray:
     """Whether keys of the universe are listed; places: per level, one row per hash function."""
     n = places[0].shape[1] if places else 0
@@ -112,34 +117,44 @@ def member(levels: list[Level], places: list[np.ndarray]) -> np.ndarray:
     return verdict
 
 
+def hashes_of(key: str) -> list[Column]:
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2")]
+
+
+def _marked(rows: DataFrame, levels: list[Level]) -> DataFrame:
+    """rows (page_id, host, path, h1, h2) with listed instead of the hashes."""
+    if not levels:
+        return rows.select("page_id", "host", "path", F.lit(False).alias("listed"))
+    shared = rows.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places = 3, []
+            for level in shared.value:
+                places.append(np.array([batch.column(at + j).to_numpy(zero_copy_only=False) for j in range(level.hashes)]))
+                at += level.hashes
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(member(shared.value, places))], ["page_id", "host", "path", "listed"])
+
+    columns = [c.alias(f"p{x.level}_{j}") for x in levels for j, c in enumerate(_places(x.level, len(x.bits), x.hashes))]
+    return rows.select("page_id", "host", "path", *columns).mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, host string, path string, listed boolean")
+
+
 def judged_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """Per row of pages: page_id, host, path, rule, verdict and listed. rules: (block or allow, host, path); listed: key."""
     scratch = Scratch(arrow_batches(pages.sparkSession))
     host, path = url_parts()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     blocked = listed.filter("key is not null and key <> ''").select("key").distinct().withColumn("listed", F.lit(True))
-    keys = rows.select(F.col("host").alias("key")).distinct().join(blocked, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    levels = cascade(keys, scratch, most_bytes)
-    if levels is None:
-        marked = rows.join(blocked.withColumnRenamed("key", "host"), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    elif not levels:
-        marked = rows.withColumn("listed", F.lit(False))
-    else:
-        shared = pages.sparkSession.sparkContext.broadcast(levels)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, places = 3, []
-                for level in shared.value:
-                    places.append(np.array([batch.column(at + j).to_numpy(zero_copy_only=False) for j in range(level.hashes)]))
-                    at += level.hashes
-                kept = [batch.column(i) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(member(shared.value, places))], ["page_id", "host", "path", "listed"])
-
-        hashed = rows.withColumns({"h1": F.xxhash64("host"), "h2": F.xxhash64("host", F.lit("second"))})
-        columns = [c.alias(f"p{x.level}_{j}") for x in levels for j, c in enumerate(_places(x.level, len(x.bits), x.hashes))]
-        kind = rows.schema["page_id"].dataType.simpleString()
-        marked = hashed.select("page_id", "host", "path", *columns).mapInArrow(run, f"page_id {kind}, host string, path string, listed boolean")
+    keys = rows.select(F.col("host").alias("key")).distinct().join(blocked, "key", "left")
+    hashed = scratch.save(keys.select(*hashes_of("key"), F.coalesce("listed", F.lit(False)).alias("listed")))
+    sizes = hashed.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("others")).first()
+    parts = n_parts(sizes["listed"], sizes["others"], most_bytes)
+    rows, marked = rows.select("*", *hashes_of("host")), None
+    for k in range(parts):
+        mine = F.pmod("h2", F.lit(parts)) == k
+        levels = cascade(hashed.filter(mine) if parts > 1 else hashed, scratch)
+        part = _marked(rows.filter(mine) if parts > 1 else rows, levels)
+        marked = part if marked is None else marked.unionByName(part)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_list = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed")
