@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage takes what its predecessor kept; all but the last return the columns of documents.
+Each stage takes what its predecessor kept; all but the last return the columns of documents. An empty table, or one of
+which a stage keeps nothing, passes through the stages as an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def _semi(docs: DataFrame, rows: DataFrame, row: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, each row by itself."""
+    """Documents that pass the rules, each row by itself. Null and empty texts fail them."""
     numbered, row = _numbered(docs, Scratch(spark))
     return _semi(numbered, judged(numbered, table(spark, sf_dir, "labels"), row=row).filter("kept"), row)
 
@@ -48,12 +49,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that contain no benchmark item, each row by itself. Null and empty texts contain none."""
+    numbered, row = _numbered(docs, Scratch(spark))
+    return decontaminated(numbered, table(spark, sf_dir, "benchmark"), row=row).drop(row)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced; n_chars is that of the new text."""
+    """All documents, personal data replaced; n_chars is that of the new text. Null texts stay null; rows that are repeated
+    stay so."""
     out = pseudonymised(docs, KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_pseudonyms") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -61,7 +64,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, each with its sequence and place there."""
+    """Token pieces of all documents, each with its sequence and place there. A null or empty text is an end id; repeated
+    rows are packed each by itself."""
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
