@@ -335,7 +335,7 @@ def hidden(h: np.ndarray, rare: np.ndarray) -> pa.Array:
     return pa.array(h, mask=~rare)
 
 
-def class_bigrams(texts: DataFrame, words: DataFrame, lookup, classes: int) -> np.ndarray:
+def class_bigrams(texts: DataFrame, words: DataFrame, lookup, classes: int, scratch: Scratch) -> np.ndarray:
     """How often a word of class b follows one of class a, by the classes of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,8 +355,8 @@ def class_bigrams(texts: DataFrame, words: DataFrame, lookup, classes: int) -> n
         yield pa.RecordBatch.from_arrays([none, pa.array((used // classes).astype(np.int16)), none, pa.array((used % classes).astype(np.int16)), pa.array(total[used])], ["ha", "a", "hb", "b", "n"])
 
     rows = texts.select("text").mapInArrow(run, "ha long, a short, hb long, b short, n long")
-    # First one row per pair of classes and rare words, then their classes.
-    rows = rows.groupBy("ha", "a", "hb", "b").agg(F.sum("n").alias("n"))
+    # First one row per pair of classes and rare words, written as it is read four times; then their classes.
+    rows = scratch.save(rows.groupBy("ha", "a", "hb", "b").agg(F.sum("n").alias("n")))
     found = with_classes(rows, words.select("h", "class"), "ha", "a", "hb", "b").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((classes, classes))
     out[found["a"], found["b"]] = found["n"]
@@ -411,7 +411,7 @@ def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, head
     unseen[classes - 1] = 0.0
 
     lookup = context.broadcast(Lookup(most_frequent(words, most_lookup).toArrow(), of[len(head) : len(head) + ENDINGS]))
-    matrix = class_bigrams(train, words, lookup, classes)
+    matrix = class_bigrams(train, words, lookup, classes, scratch)
     after = (matrix + 0.5) / (matrix.sum(1, keepdims=True) + 0.5 * classes)
     model = context.broadcast((after, unseen, np.maximum(size, 1)))
 
