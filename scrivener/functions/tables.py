@@ -10,6 +10,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,15 +44,20 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def heading_paths(df: DataFrame, key: str) -> DataFrame:
-    """Sections with the path of the headings above them, outermost first."""
-    above = F.collect_list(F.struct("section", "level", "heading")).over(Window.partitionBy(key).orderBy("section"))
-
-    def push(stack: Column, h: Column) -> Column:
-        return F.concat(F.filter(stack, lambda s: s["level"] < h["level"]), F.array(h))
-
-    kind = "array<struct<section:bigint,level:int,heading:string>>"
-    folded = F.aggregate(F.filter(F.col("__above"), lambda h: h["level"] > 0), F.array().cast(kind), lambda s, h: push(s, h.cast(kind[6:-1])))
-    return df.withColumn("__above", above).withColumn("path", F.array_join(F.transform(folded, lambda h: h["heading"]), " > ")).drop("__above")
+    """Sections with the path of the headings above them, outermost first.
+
+    Per level the last heading, which counts as long as no heading of a higher level came after it: six windows over one
+    text's sections, and no list of what came before.
+    """
+    w = Window.partitionBy(key).orderBy("section")
+    last = lambda level: F.last(F.when(F.col("level") == level, F.struct("section", "heading")), True).over(w)
+    out = df.withColumns({f"__h{level}": last(level) for level in range(1, 7)})
+    kept = []
+    for level in range(1, 7):
+        above = [F.coalesce(F.col(f"__h{k}.section"), F.lit(-1)) for k in range(1, level)]
+        open_ = F.col(f"__h{level}.section") > (F.greatest(*above) if len(above) > 1 else above[0] if above else F.lit(-1))
+        kept.append(F.when(open_, F.col(f"__h{level}.heading")))
+    return out.withColumn("path", F.concat_ws(" > ", *kept)).drop(*(f"__h{level}" for level in range(1, 7)))
 
 
 def continuity(df: DataFrame, structure: list[str], sequence: str) -> DataFrame:
@@ -90,17 +96,16 @@ def weight(text: str) -> int:
 
 def hard_split(text: str, limit: int) -> list[str]:
     """A text in parts of at most `limit` tokens; a longer token in parts of four characters each."""
-    out, start, end, total = [], None, 0, 0
-    for m in WEIGHED.finditer(text):
-        w = weight(m.group())
-        if start is not None and total + w > limit:
-            out.append(text[start:end])
-            start, total = None, 0
-        if w > limit:
-            out += [m.group()[i : i + 4 * limit] for i in range(0, len(m.group()), 4 * limit)]
-            continue
-        start, end, total = (m.start() if start is None else start), m.end(), total + w
-    return [p.strip() for p in [*out, *([text[start:end]] if start is not None else [])] if p.strip()]
+    found = list(WEIGHED.finditer(text))
+    spans = [(m.start() + i, min(m.end(), m.start() + i + 4 * limit)) for m in found for i in range(0, len(m.group()), 4 * limit)]
+    sums = np.cumsum([0, *(weight(text[a:b]) for a, b in spans)])
+    out, first = [], 0
+    while first < len(spans):
+        # As many tokens as fit, by their running sum; one at the least.
+        last = max(first + 1, int(np.searchsorted(sums, sums[first] + limit, "right")) - 1)
+        out.append(text[spans[first][0] : spans[last - 1][1]].strip())
+        first = last
+    return [p for p in out if p]
 
 
 def semantic_units(text: str, limit: int) -> list[str]:
@@ -114,27 +119,21 @@ def semantic_units(text: str, limit: int) -> list[str]:
 
 
 def pack_units(units: list[str], target: int, most: int, overlap: int) -> list[tuple[str, int, int]]:
-    """Chunks of units up to the target and never over the limit; each starts with the tail of the one before."""
-    sizes, out, here, carried = [weight(u) for u in units], [], [], 0
-
-    def close() -> None:
-        out.append(("\n\n".join(units[i] for i in here), sum(sizes[i] for i in here), sum(sizes[i] for i in here[:carried])))
-
-    for i, size in enumerate(sizes):
-        full = sum(sizes[j] for j in here)
-        if len(here) > carried and (full + size > most or full >= target):
-            close()
-            tail: list[int] = []
-            for j in reversed(here):
-                if sizes[j] + sum(sizes[k] for k in tail) > overlap:
-                    break
-                tail.insert(0, j)
-            while tail and sum(sizes[j] for j in tail) + size > most:
-                tail.pop(0)
-            here, carried = tail, len(tail)
-        here.append(i)
-    if len(here) > carried:
-        close()
+    """Chunks of units up to the target and never over the limit; each starts with the tail of the one before, whole
+    units of `overlap` tokens at most. Text, tokens and tokens of the tail; all sums are differences of running sums."""
+    sums, out = np.cumsum([0, *map(weight, units)]), []
+    first, fresh_ = 0, 0  # where the chunk starts, and its first unit that no chunk had before
+    while fresh_ < len(units):
+        # Units are added while the chunk is below the target and the next one fits; one new unit at the least.
+        below = int(np.searchsorted(sums, sums[first] + target, "left"))
+        fits = int(np.searchsorted(sums, sums[first] + most, "right")) - 1
+        last = min(max(fresh_ + 1, min(below, fits)), len(units))
+        out.append(("\n\n".join(units[first:last]), int(sums[last] - sums[first]), int(sums[fresh_] - sums[first])))
+        if last == len(units):
+            break
+        tail = int(np.searchsorted(sums, sums[last] - overlap, "left"))  # the tail has `overlap` tokens or fewer
+        room = int(np.searchsorted(sums, sums[last + 1] - most, "left"))  # and leaves room for the next unit
+        first, fresh_ = min(last, max(first, tail, room)), last
     return out
 
 
@@ -143,21 +142,26 @@ def token_chunks(df: DataFrame, key: str, text: str, target: int = 500, most: in
     return _per_text(df, key, text, "chunk int, content string, tokens int, overlap_tokens int", lambda t: [(i, *c) for i, c in enumerate(pack_units(semantic_units(t, most), target, most, overlap))])
 
 
+BREAKS = {"paragraph": re.compile(r"\n\n"), "sentence": re.compile(r"。|\. ")}
+
+
 def windows(text: str, size: int, overlap: int) -> list[tuple[int, str, int]]:
-    """Character windows with overlap that rather end at a paragraph or sentence in their second half."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + size)
-        if end < len(text):
-            half = at + size // 2
-            paragraph, sentence = text.rfind("\n\n", half, end), max(text.rfind("。", at, end), text.rfind(". ", at, end)) + 1
-            cut = paragraph if paragraph > at else sentence
-            end = cut if cut > half else end
-        if part := text[at:end].strip():
-            out.append((len(out) + 1, part, 1 + text.count("\n", 0, at)))
-        if end >= len(text):
-            break
-        at = max(at + 1, end - overlap)
+    """Character windows with overlap: number, text and line. All places where a window may end are listed once; a
+    window takes the last paragraph break in its second half, else the last sentence end there, else its full size."""
+    ends = [np.fromiter((m.start() + (name == "sentence") for m in p.finditer(text)), np.int64) for name, p in BREAKS.items()]
+    newlines = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
+    out, start = [], 0
+    while start < len(text):
+        stop = start + size
+        if stop < len(text):
+            # The last place of each list that is below the full size, and in the second half.
+            lasts = [e[k - 1] for e in ends if (k := np.searchsorted(e, stop)) and e[k - 1] > start + size // 2]
+            stop = int(lasts[0]) if lasts else stop
+        if part := text[start:stop].strip():
+            out.append((len(out) + 1, part, 1 + int(np.searchsorted(newlines, start))))
+        if stop >= len(text):
+            return out
+        start = max(start + 1, stop - overlap)
     return out
 
 

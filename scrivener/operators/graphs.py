@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as X
+from scrivener.session import Scratch
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
@@ -99,21 +100,31 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b:
     return left.join(right, [*keys, "__bucket"]).filter(F.abs(F.col(a) - F.col(b)) <= width).drop("__bucket")
 
 
-def closure(edges: DataFrame, node: str, parent: str, most_depth: int = 64) -> DataFrame:
-    """ancestor, node and depth (0 for itself) of a forest; a node whose ancestors form a cycle ends where it began.
+def closure(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """ancestor, node and depth (0 for itself) of a forest of any depth; a node that is its own ancestor, in a cycle, has
+    each node of the cycle once.
 
-    One join per level of the tree.
+    Pairs are doubled: those up to depth d join the pairs of depth d or less of their ancestors, so that a tree of depth d
+    takes log2 d rounds, each a written table.
     """
+    scratch = Scratch(edges.sparkSession)
     pairs = edges.select(F.col(node).alias("node"), F.col(parent).alias("up")).distinct()
-    level = pairs.select(F.col("node").alias("ancestor"), "node", "up", F.lit(0).alias("depth"))
-    out = level.select("ancestor", "node", "depth")
-    parents = pairs.select(F.col("node").alias("__n"), F.col("up").alias("__up"))
-    for depth in range(1, most_depth):
-        level = level.join(parents, F.col("up") == F.col("__n")).filter(F.col("up") != F.col("node")).select(F.col("up").alias("ancestor"), "node", F.col("__up").alias("up"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level.select("ancestor", "node", "depth"))
-    return out.distinct()
+    nodes = pairs.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth")).distinct()
+    known = pairs.select("node").distinct()
+    first = pairs.filter("up is not null and up <> node").join(known.withColumnRenamed("node", "up"), "up", "left_semi").select(F.col("up").alias("ancestor"), "node", F.lit(1).alias("depth"))
+    found, n = scratch.save(nodes.unionByName(first)), -1
+    reach = 1
+    while True:
+        size = found.count()
+        if size == n:
+            return found
+        n = size
+        # Only pairs of the full reach can lead further.
+        far = found.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("__mid"))
+        on = found.filter("depth > 0").select(F.col("node").alias("__mid"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        longer = far.join(on, "__mid").filter("ancestor <> node").select("ancestor", "node", "depth")
+        found = scratch.save(found.unionByName(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
+        reach *= 2
 
 
 def subtree_counts(edges: DataFrame, members: DataFrame, node: str, parent: str, member: str) -> DataFrame:
@@ -158,7 +169,7 @@ def bind_citations(claims: DataFrame, contexts: DataFrame, citations: DataFrame,
     by_number = numbers.join(citations, ["document", "number"]).select("claim_id", "id")
     near = band_join(claims.select("claim_id", "document", F.col("line").alias("at")), contexts.select("document", "number", F.col("line").alias("ctx")), ["document"], "at", "ctx", band)
     by_line = near.join(citations, ["document", "number"]).select("claim_id", "id")
-    years = claims.select("claim_id", "document", "quote", F.explode(F.array_distinct(F.regexp_extract_all("quote", F.lit(r"(?:19|20)\d{2}"), F.lit(0)))).cast("int").alias("year"))
+    years = claims.select("claim_id", "document", "quote", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("quote", F.lit(r"(?:19|20)\d{2}"), F.lit(0)), lambda y: y.cast("int")))).alias("year"))
     named = F.exists("surnames", lambda s: F.contains(F.lower("quote"), F.lower(s)))
     by_year = years.join(citations, ["document", "year"]).filter(named).select("claim_id", "id")
     found = by_number.unionByName(by_line).unionByName(by_year)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,29 +60,56 @@ def failure_window(events: DataFrame, group: str, order: str, failed: Column, wi
 
 
 def overflow(jobs: DataFrame, status: Column, newest: Column, keep: int, expired: Column, group: Sequence[str] = ()) -> DataFrame:
-    """Terminal jobs beyond the newest `keep` of their group, or expired."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(newest.desc()))
-    return jobs.filter(status.isin(*TERMINAL)).withColumn("__rank", rank).filter((F.col("__rank") > keep) | expired).drop("__rank")
+    """Terminal jobs beyond the newest `keep` of their group, or expired. Without a group the jobs of the newest `keep`
+    values are found by a limit, so that no task ranks all jobs."""
+    ended = jobs.filter(status.isin(*TERMINAL))
+    if group:
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(newest.desc()))
+        return ended.withColumn("__rank", rank).filter((F.col("__rank") > keep) | expired).drop("__rank")
+    last = ended.select(newest.alias("__v")).orderBy(F.desc("__v")).limit(keep).agg(F.min("__v").alias("__v"), F.count("*").alias("__n"))
+    return ended.crossJoin(F.broadcast(last)).filter(((F.col("__n") >= keep) & (newest < F.col("__v"))) | expired).drop("__v", "__n")  # one row
+
+
+def admit(held: list[tuple[int, str]], kind: str, capacity: int) -> tuple[bool, int | None]:
+    """Whether an event enters a buffer, and the place in held of the one that leaves for it.
+
+    Critical events always enter. Of the others capacity - 4 have room; beyond, only a progress event enters, in the place
+    of the newest one. If the buffer is full when an event enters, the oldest event that isn't critical leaves.
+    """
+    capacity = max(8, capacity)
+    others = [k for k, (_, x) in enumerate(held) if x not in CRITICAL]
+    if kind in CRITICAL or len(others) < capacity - 4:
+        return True, others[0] if others and len(held) >= capacity else None
+    progress = [k for k in others if held[k][1] == "progress"]
+    return (True, progress[-1]) if kind == "progress" and progress else (False, None)
 
 
 def bounded_buffer(events: DataFrame, job: str, sequence: str, kind: str, capacity: int) -> DataFrame:
-    """What a reader that comes late finds in each job's buffer.
+    """What a reader that comes late finds in each job's buffer: sequence, kind, and dropped, the logs lost before it.
 
-    Critical events are always there. Of the others the first capacity - 4 are, but a progress event that finds the
-    buffer full takes the place of the newest progress event in it. A log that finds it full is dropped.
+    Events pass sorted by job and sequence, and a task holds one job's buffer at a time.
     """
-    room = max(8, capacity) - 4
-    w = Window.partitionBy(job).orderBy(sequence)
-    rows = events.withColumn("__critical", F.col(kind).isin(*CRITICAL))
-    rows = rows.withColumn("__nth", F.sum((~F.col("__critical")).cast("int")).over(w))
-    early, late = ~F.col("__critical") & (F.col("__nth") <= room), ~F.col("__critical") & (F.col("__nth") > room)
-    per = rows.groupBy(job).agg(
-        F.max(F.when(early & (F.col(kind) == "progress"), F.col(sequence))).alias("__taken"), F.max(F.when(late & (F.col(kind) == "progress"), F.col(sequence))).alias("__last")
-    )
-    rows = rows.join(per, job)
-    replaced = F.col("__taken").isNotNull() & F.col("__last").isNotNull()
-    stays = F.col("__critical") | (early & ~(replaced & (F.col(sequence) == F.col("__taken")))) | (replaced & (F.col(sequence) == F.col("__last")))
-    return rows.filter(stays).drop("__critical", "__nth", "__taken", "__last")
+    rows = events.select(job, F.col(sequence).cast("long").alias(sequence), kind).repartition(job).sortWithinPartitions(job, sequence)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, lost, dropped = None, [], [], 0
+        for batch in batches:
+            out = []
+            for j, s, k in batch.itertuples(index=False):
+                if j != at:
+                    out += [(at, *x, n) for x, n in zip(held, lost, strict=True)]
+                    at, held, lost, dropped = j, [], [], 0
+                enters, leaves = admit(held, k, capacity)
+                if leaves is not None:
+                    del held[leaves], lost[leaves]
+                if enters:
+                    held.append((s, k))
+                    lost.append(dropped)
+                dropped += not enters and k == "log"
+            yield pd.DataFrame(out, columns=[job, sequence, kind, "dropped"])
+        yield pd.DataFrame([(at, *x, n) for x, n in zip(held, lost, strict=True)], columns=[job, sequence, kind, "dropped"])
+
+    return rows.mapInPandas(run, f"`{job}` {events.schema[job].dataType.simpleString()}, `{sequence}` long, `{kind}` string, dropped long")
 
 
 def auto_resume(failures: DataFrame, group: str, category: str, n: str, transient: Sequence[str], most_fatal: int = 0) -> DataFrame:

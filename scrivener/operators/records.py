@@ -108,22 +108,28 @@ def candidate_filter(df: DataFrame, tokens: Sequence[str], years: tuple[int, int
     return df.filter(keep).withColumn("relevance", F.round(hits / len(tokens), 3))
 
 
-def longest_phrase(df: DataFrame, key: str, text: Column, phrases: DataFrame, phrase: str, order: str, words: bool = True, most_phrases: int = 100_000) -> DataFrame:
+def _grams(text: str, n: int) -> Column:
+    """All runs of n characters; none in a shorter text."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))
+
+
+def longest_phrase(df: DataFrame, key: str, text: Column, phrases: DataFrame, phrase: str, order: str, words: bool = True, gram: int = 4) -> DataFrame:
     """Per row the longest phrase that the text contains, the first by order among equals; null without one.
 
-    Catalogs of up to `most_phrases` are broadcast for a nested-loop match. Beyond, with whole words, the phrases are
-    joined by their first word, an equi-join. Texts and phrases are compared as words of letters and digits.
+    Texts and phrases are compared as words of letters and digits, and meet by an equi-join, whatever the number of
+    phrases: with whole words on a phrase's first word, else on its first `gram` characters, or all of a shorter one.
     """
     pad = (lambda c: F.concat(F.lit(" "), X.catalog_key(c), F.lit(" "))) if words else X.catalog_key
     sought = phrases.select(pad(F.col(phrase)).alias("__p"), F.col(phrase).alias("__as"), F.col(order).alias("__o")).filter(F.trim("__p") != "")
     texts = df.select(key, pad(text).alias("__t"))
-    if phrases.limit(most_phrases + 1).count() <= most_phrases:
-        pairs = texts.join(F.broadcast(sought), F.contains("__t", "__p"))
-    elif words:
-        firsts = texts.select(key, "__t", F.explode(F.array_distinct(F.split(F.trim("__t"), " "))).alias("__w"))
-        pairs = firsts.join(sought.withColumn("__w", F.split(F.trim("__p"), " ")[0]), "__w").filter(F.contains("__t", "__p"))
+    if words:
+        at = texts.select(key, "__t", F.explode(F.array_distinct(F.split(F.trim("__t"), " "))).alias("__w"))
+        keyed = sought.withColumn("__w", F.split(F.trim("__p"), " ")[0])
     else:
-        raise ValueError("a catalog of this size needs whole words")
+        at = texts.select(key, "__t", F.explode(F.array_distinct(F.concat(*(_grams("__t", n) for n in range(1, gram + 1))))).alias("__w"))
+        keyed = sought.withColumn("__w", F.substring("__p", 1, gram))
+    pairs = at.join(keyed.select("__w").distinct(), "__w", "left_semi").join(keyed, "__w").filter(F.contains("__t", "__p"))
     best = pairs.groupBy(key).agg(F.max_by("__as", F.struct(F.length("__p"), -F.col("__o"))).alias("matched"))
     return df.select(key).join(best, key, "left")
 
@@ -148,14 +154,16 @@ def resolve(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("cand", status.alias("status"), F.when(one, F.col("target")).alias("target"), confidence.alias("confidence"))
 
 
-def metadata_warnings(title: Column, year: Column, venue: Column, doi: Column, low: int = 1900, high: int = 2100) -> Column:
-    """What looks wrong with a record, as an array of names."""
+def metadata_warnings(title: Column, year: Column, venue: Column, doi: Column, low: int = 1900, high: int = 2100, longest_venue: int = 200) -> Column:
+    """What looks wrong with a record's texts, as an array of names."""
+    text = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    y, v, d = text(year), text(venue), text(doi)
+    is_body = (F.length(v) > longest_venue) | F.contains(v, F.lit("\n"))
     checks = [
-        F.when(year.isNotNull() & ~year.between(low, high), "year_out_of_range"),
-        F.when(F.length(venue) > 200, "venue_looks_like_body_text"),
-        F.when(venue.rlike(r"(?:\b(?:of|and|the|in|for|on)|[-,:])$"), "venue_may_be_truncated"),
-        F.when(doi.isNotNull() & (doi != "") & ~doi.rlike(r"^10\.\d{4,9}/\S+$"), "doi_format_invalid"),
-        F.when(F.coalesce(F.trim(title), F.lit("")) == "", "title_missing"),
+        F.when((y != "") & ~(y.rlike(r"^\d{4}$") & F.coalesce(y.try_cast("int").between(low, high), F.lit(False))), "year_out_of_range"),
+        F.when(is_body, "venue_looks_like_body_text").when(v.rlike(r"^\p{Ll}"), "venue_may_be_truncated"),
+        F.when((d != "") & ~d.rlike(r"^10\.\d{4,9}/\S+$"), "doi_format_invalid"),
+        F.when(text(title) == "", "title_missing"),
     ]
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 

@@ -213,16 +213,25 @@ def entity_resolution_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resolve(candidates, keys.filter("p_partkey % 3 <> 0").drop("p_partkey"))
 
 
+METADATA_CTE = """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_name END AS title, CASE p_partkey % 4 WHEN 0 THEN '19' WHEN 1 THEN NULL ELSE (1980 + p_size)::VARCHAR END AS year,
+ CASE p_partkey % 5 WHEN 0 THEN lower(p_type) WHEN 1 THEN p_type || chr(10) || p_name WHEN 2 THEN repeat(p_type, 30) ELSE p_type END AS venue, CASE p_partkey % 3 WHEN 0 THEN '10.1234/' || p_partkey WHEN 1 THEN p_brand ELSE '' END AS doi FROM part)"""
+
+
 @query(
     "metadata_warnings",
-    """SELECT p_partkey, array_to_string(list_filter([CASE WHEN NOT 1990 + p_size BETWEEN 2000 AND 2030 THEN 'year_out_of_range' END, CASE WHEN length(p_type) > 200 THEN 'venue_looks_like_body_text' END,
- CASE WHEN regexp_matches(p_type, '(?:\\b(?:of|and|the|in|for|on)|[-,:])$') THEN 'venue_may_be_truncated' END, CASE WHEN p_brand <> '' AND NOT regexp_matches(p_brand, '^10\\.\\d{4,9}/\\S+$') THEN 'doi_format_invalid' END,
- CASE WHEN trim(coalesce(p_name, '')) = '' THEN 'title_missing' END], lambda x: x IS NOT NULL), ',') AS warnings FROM part""".replace("\\\\", "\\"),
+    METADATA_CTE + r"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN trim(coalesce(year, '')) <> '' AND NOT (regexp_full_match(trim(year), '\d{4}') AND coalesce(try_cast(trim(year) AS INT) BETWEEN 2000 AND 2030, false)) THEN 'year_out_of_range' END,
+ CASE WHEN length(trim(venue)) > 200 OR contains(trim(venue), chr(10)) THEN 'venue_looks_like_body_text' WHEN regexp_matches(trim(venue), '^\p{Ll}') THEN 'venue_may_be_truncated' END,
+ CASE WHEN trim(doi) <> '' AND NOT regexp_full_match(trim(doi), '10\.\d{4,9}/\S+') THEN 'doi_format_invalid' END,
+ CASE WHEN trim(coalesce(title, '')) = '' THEN 'title_missing' END], lambda x: x IS NOT NULL), ',') AS warnings FROM r""",
 )
 def metadata_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What looks wrong with each record's fields."""
-    found = R.metadata_warnings(F.col("p_name"), F.lit(1990) + F.col("p_size"), F.col("p_type"), F.col("p_brand"), 2000, 2030)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("warnings"))
+    part, n = table(spark, sf_dir, "part"), F.col("p_partkey")
+    title = F.when(n % 9 == 0, "").otherwise(F.col("p_name"))
+    year = F.when(n % 4 == 0, "19").when(n % 4 != 1, (1980 + F.col("p_size")).cast("string"))
+    venue = F.when(n % 5 == 0, F.lower("p_type")).when(n % 5 == 1, F.concat("p_type", F.lit("\n"), "p_name")).when(n % 5 == 2, F.repeat("p_type", 30)).otherwise(F.col("p_type"))
+    doi = F.when(n % 3 == 0, F.concat(F.lit("10.1234/"), n.cast("string"))).when(n % 3 == 1, F.col("p_brand")).otherwise("")
+    return part.select("p_partkey", F.array_join(R.metadata_warnings(title, year, venue, doi, 2000, 2030), ",").alias("warnings"))
 
 
 @query(
@@ -258,7 +267,7 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.stable_id("entity", F.col("p_name"), F.col("p_brand")).alias("id"), X.record_id(F.lower("p_name")).alias("record"))
 
 
-@query("record_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'steel')")
+@query("record_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'bolt')")
 def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with a text in any of their fields."""
-    return table(spark, sf_dir, "part").filter(F.contains(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit("steel"))).select("p_partkey")
+    return table(spark, sf_dir, "part").filter(F.contains(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit("bolt"))).select("p_partkey")

@@ -97,11 +97,19 @@ def history_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.overflow(_events(spark, sf_dir), F.col("status"), F.col("event_id"), 20, F.col("value") < 1, ["user_id"]).select("user_id", "event_id")
 
 
+CRITICAL_SQL = "('job', 'result', 'error', 'done')"
+
+
 @query(
     "event_buffer_twin",
-    f"""WITH e AS (SELECT user_id, event_id, {KIND_SQL} AS kind FROM events), n AS (SELECT *, kind IN ('job', 'result', 'error', 'done') AS critical, sum((kind NOT IN ('job', 'result', 'error', 'done'))::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM e),
-p AS (SELECT user_id, max(event_id) FILTER (NOT critical AND nth <= 28 AND kind = 'progress') AS taken, max(event_id) FILTER (NOT critical AND nth > 28 AND kind = 'progress') AS last FROM n GROUP BY user_id)
-SELECT user_id, event_id, kind FROM n JOIN p USING (user_id) WHERE critical OR (nth <= 28 AND NOT (taken IS NOT NULL AND last IS NOT NULL AND event_id = taken)) OR (taken IS NOT NULL AND event_id = last)""",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS s, {KIND_SQL} AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT user_id, 0::BIGINT AS r, []::STRUCT(s BIGINT, k VARCHAR, d BIGINT)[] AS held, 0::BIGINT AS dropped FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, r, CASE WHEN kept IS NULL THEN held ELSE list_append(kept, {{'s': s, 'k': k, 'd': dropped}}) END, dropped + (crowded AND k = 'log')::BIGINT FROM (
+ SELECT *, CASE WHEN k IN {CRITICAL_SQL} OR NOT crowded THEN CASE WHEN len(held) >= 32 AND oldest IS NOT NULL THEN list_filter(held, lambda x: x.s <> oldest) ELSE held END
+   WHEN k = 'progress' AND newest IS NOT NULL THEN list_filter(held, lambda x: x.s <> newest) END AS kept FROM (
+ SELECT f.user_id, e.r, f.held, f.dropped, e.s, e.k, len(list_filter(f.held, lambda x: x.k NOT IN {CRITICAL_SQL})) >= 28 AS crowded, list_min(list_transform(list_filter(f.held, lambda x: x.k NOT IN {CRITICAL_SQL}), lambda x: x.s)) AS oldest,
+   list_max(list_transform(list_filter(f.held, lambda x: x.k = 'progress'), lambda x: x.s)) AS newest FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)))
+SELECT user_id, h.s AS event_id, h.k AS kind, h.d AS dropped FROM (SELECT user_id, unnest(held) AS h FROM (SELECT user_id, arg_max(held, r) AS held FROM f GROUP BY user_id))""",
 )
 def event_buffer_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a bounded buffer of thirty-two events holds for each job."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrivener.functions import tables as T
 from scrivener.functions import text as X
 from scrivener.registry import query
-from scrivener.session import table
+from scrivener.session import spread, table
 
 
 @query("line_sections", "SELECT doc_id, i AS line, length(content)::INT AS chars FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))")
@@ -163,7 +163,19 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(counted, ["doc_id", "section"]).select("doc_id", "section", "level", "line", "lines")
 
 
-@query("heading_paths")
+PATH_PARTS = ", ".join(f"CASE WHEN s{k} > greatest(-1{''.join(f', coalesce(s{j}, -1)' for j in range(1, k))}) THEN h{k} END" for k in range(1, 7))
+LAST_PARTS = ", ".join(f"max(CASE WHEN level = {k} THEN section END) OVER w AS s{k}, last_value(CASE WHEN level = {k} THEN heading END IGNORE NULLS) OVER w AS h{k}" for k in range(1, 7))
+
+
+@query(
+    "heading_paths",
+    rf"""WITH l AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split({MARKDOWN_SQL}, chr(10)) AS l FROM documents)),
+h AS (SELECT *, regexp_matches(c, '^\s{{0,3}}(#{{1,6}})\s+(.+?)\s*#*\s*$') AS is_h FROM l),
+n AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h),
+s AS (SELECT doc_id, section::BIGINT AS section, coalesce(max(CASE WHEN is_h THEN length(regexp_extract(c, '^\s{{0,3}}(#{{1,6}})', 1)) END), 0)::INT AS level, max(CASE WHEN is_h THEN regexp_extract(c, '^\s{{0,3}}(#{{1,6}})\s+(.+?)\s*#*\s*$', 2) END) AS heading FROM n GROUP BY doc_id, section),
+w AS (SELECT doc_id, section, {LAST_PARTS} FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY section))
+SELECT doc_id, section, concat_ws(' > ', {PATH_PARTS}) AS path FROM w""",
+)
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with the headings above them."""
     return T.heading_paths(T.sections(_markdown(spark, sf_dir), "doc_id", "text"), "doc_id").select("doc_id", "section", "path")
@@ -171,14 +183,14 @@ def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_pack")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents packed into chunks of about five hundred tokens with overlap."""
-    return T.token_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk", "tokens", "overlap_tokens", F.sha2("content", 256).alias("content"))
+    """Documents packed into chunks of about five hundred tokens with overlap. Each chunk depends on the one before."""
+    return T.token_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "chunk", "tokens", "overlap_tokens", F.sha2("content", 256).alias("content"))
 
 
 @query("text_windows")
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut into overlapping character windows."""
-    return T.text_windows(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "window", "line", F.length("content").alias("chars"))
+    """Documents cut into overlapping character windows. Each window depends on the one before."""
+    return T.text_windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "window", "line", F.length("content").alias("chars"))
 
 
 @query(

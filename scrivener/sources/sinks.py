@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from scrivener.operators import records
 
 
-def publish_sharded(df: DataFrame, path: str, key: str) -> None:
-    """Parquet in folders by the first two hex digits of the key's hash; each shard is written by one task at most."""
+def publish_sharded(df: DataFrame, path: str, key: str, rows_per_file: int = 5_000_000) -> None:
+    """Parquet in folders by the first two hex digits of the key's hash; a shard is written by as many tasks as its rows need."""
     sharded = df.withColumn("shard", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2))
-    sharded.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    parts = max(1, -(-df.count() // (256 * rows_per_file)))
+    salted = sharded.repartition(256 * parts, "shard", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts))) if parts > 1 else sharded.repartition("shard")
+    salted.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def merge_into(df: DataFrame, old_path: str, new_path: str, keys: list[str]) -> None:

@@ -1,6 +1,6 @@
 """Job and event streams: bounded buffers, one active job per key, latest state, silent jobs.
 
-Order within a job is its sequence number. State is small: a few numbers per job, none of them a list of events.
+Order within a job is its sequence number. State is small: a few numbers per job, or its bounded buffer.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scrivener.operators.jobs import CRITICAL
+from scrivener.operators.jobs import admit
 
 EVENT = "job string, sequence long, kind string, payload string, ts timestamp"
 ADMITTED = "job string, sequence long, kind string, admitted boolean, replaces long"
@@ -34,35 +34,23 @@ def latest_states(events: DataFrame) -> DataFrame:
 
 
 def bounded_buffer(events: DataFrame, capacity: int = 256) -> DataFrame:
-    """Whether each event enters its job's buffer, and which event it replaces there.
+    """Whether each event enters its job's buffer, and which event leaves it for that. The state of a job is its buffer."""
 
-    Critical events always enter. Of the others capacity - 4 do; beyond that a progress event replaces the newest
-    progress event in the buffer, if there is one, and anything else is dropped.
-    """
-    room = max(8, capacity) - 4
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, newest = state.get if state.exists else (0, -1)
+    def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("sequence", kind="stable")
         admitted, replaces = [], []
         for sequence, kind in zip(rows["sequence"], rows["kind"], strict=True):
-            old = None
-            if kind in CRITICAL:
-                enters = True
-            elif held < room:
-                enters, held = True, held + 1
-            else:
-                enters = kind == "progress" and newest >= 0
-                old = newest if enters else None
-            if enters and kind == "progress":
-                newest = int(sequence)
+            enters, leaves = admit(held, kind, capacity)
             admitted.append(enters)
-            replaces.append(old)
-        state.update((held, newest))
+            replaces.append(held.pop(leaves)[0] if leaves is not None else None)
+            if enters:
+                held.append((int(sequence), kind))
+        state.update(([s for s, _ in held], [k for _, k in held]))
         yield rows[["job", "sequence", "kind"]].assign(admitted=admitted, replaces=pd.array(replaces, dtype="Int64"))
 
     rows = events.select("job", "sequence", "kind").filter("job is not null and sequence is not null")
-    return rows.groupBy("job").applyInPandasWithState(admit, ADMITTED, "held long, newest long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("job").applyInPandasWithState(each, ADMITTED, "sequences array<long>, kinds array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def silent_jobs(events: DataFrame, ts: str = "ts", silence: str = "20 seconds", late: str = "10 seconds") -> DataFrame:
