@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from scrivener.plans import catalog, evidence, functions, graphs, jobs, library, search, texts  # noqa: F401
+from scrivener.plans import catalog, evidence, functions, graphs, jobs, library, readers, search, texts, topics  # noqa: F401

@@ -125,3 +125,59 @@ def full_texts(spark: SparkSession, path: str) -> DataFrame:
 def usable_text(text: Column, least: int = 800) -> Column:
     """Whether a text has enough characters that aren't white space."""
     return F.coalesce(F.length(F.regexp_replace(text, r"\s+", "")) >= least, F.lit(False))
+
+
+IEEE = (
+    "articles array<struct<article_number: string, title: string, abstract: string, publication_year: string, publication_title: string, doi: string, html_url: string, pdf_url: string, "
+    "authors: struct<authors: array<struct<full_name: string>>>>>"
+)
+
+
+def ieee(spark: SparkSession, path: str) -> DataFrame:
+    """Articles; a page's address falls back to the file's. The newest come first where the caller sorts by year."""
+    df = spark.read.schema(IEEE).option("multiLine", True).json(path).select(F.inline("articles"))
+    names = F.filter(F.transform("authors.authors", lambda a: squeezed(a["full_name"])), lambda n: n.isNotNull())
+    return _record(
+        df, "ieee", external_id=F.col("article_number"), title=squeezed(F.col("title")), authors=names, abstract=squeezed(F.col("abstract")), year=F.col("publication_year").try_cast("int"),
+        venue=squeezed(F.col("publication_title")), doi=plain_doi(F.col("doi")), url=F.coalesce(F.nullif("html_url", F.lit("")), "pdf_url"), pdf_url=F.nullif("pdf_url", F.lit("")),
+    )
+
+
+READERS["ieee"] = ieee
+#: A catalogue's line: number, short name, full name, level, kind, field.
+CATALOG_LINE = r"^\d+ (\S+) (.+) ([ABC]) (会议|期刊) (.+)$"
+
+
+def catalog_page(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, short_name, full_name, level, kind and field of every entry in pages of tables, whether an entry is one line of
+    text or each of its cells is.
+
+    Tags end lines. An entry of cells is found by its level and kind, which follow each other; its names are the two cells
+    before them, and its field the one behind.
+    """
+    text = F.regexp_replace(F.col(html), r"<[^>]+>", "\n")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    listed = pages.select(key, lines.alias("__l"))
+    whole = listed.select(key, F.explode(F.filter("__l", lambda x: x.rlike(CATALOG_LINE))).alias("__x"))
+    part = lambda i: F.regexp_extract("__x", CATALOG_LINE, i)
+    whole = whole.select(key, part(1).alias("short_name"), part(2).alias("full_name"), part(3).alias("level"), part(4).alias("kind"), part(5).alias("field"))
+    at = listed.select(key, "__l", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("__l") - 3))).alias("__i"))
+    cell = lambda k: F.get("__l", F.col("__i") + k)
+    short = F.regexp_replace(cell(-2), r"^\d+ (?=\S)", "")
+    numbered = cell(-2).rlike(r"^\d+ \S") | cell(-3).rlike(r"^\d+$")
+    cells = at.filter(cell(0).isin("A", "B", "C") & cell(1).isin("会议", "期刊") & cell(2).isNotNull() & F.coalesce(numbered, F.lit(False)))
+    return whole.unionByName(cells.select(key, short.alias("short_name"), cell(-1).alias("full_name"), cell(0).alias("level"), cell(1).alias("kind"), cell(2).alias("field")))
+
+
+def local_files(records: DataFrame, files: DataFrame, key: str, title: str) -> DataFrame:
+    """Per record the best file of files (path), if any fits: 4 for its id in the file's name, 3 for all of its title's first
+    words there; ties by path. Names meet records on their words, by an equi-join."""
+    stem = F.lower(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    named = files.select("path", words(stem).alias("__w"))
+    wanted = records.select(key, F.lower(F.col(key).cast("string")).alias("__id"), F.slice(words(F.col(title)), 1, 3).alias("__t"))
+    tokens = named.select("path", F.col("__w").alias("__all"), F.explode("__w").alias("__k"))
+    hits = wanted.select(key, "__id", "__t", F.explode(F.array_distinct(F.concat(F.array("__id"), F.slice("__t", 1, 1)))).alias("__k")).join(tokens, "__k")
+    score = F.when(F.array_contains("__all", F.col("__id")), 4).otherwise(0) + F.when((F.size("__t") > 0) & (F.size(F.array_except("__t", "__all")) == 0), 3).otherwise(0)
+    scored = hits.withColumn("score", score).filter("score > 0")
+    return scored.groupBy(key).agg(F.min_by(F.struct("path", "score"), F.struct(-F.col("score"), F.col("path"))).alias("b")).select(key, "b.path", "b.score")
