@@ -124,13 +124,14 @@ def longest_phrase(df: DataFrame, key: str, text: Column, phrases: DataFrame, ph
     sought = phrases.select(pad(F.col(phrase)).alias("__p"), F.col(phrase).alias("__as"), F.col(order).alias("__o")).filter(F.trim("__p") != "")
     texts = df.select(key, pad(text).alias("__t"))
     if words:
-        at = texts.select(key, "__t", F.explode(F.array_distinct(F.split(F.trim("__t"), " "))).alias("__w"))
+        at = texts.select(key, F.explode(F.array_distinct(F.split(F.trim("__t"), " "))).alias("__w"))
         keyed = sought.withColumn("__w", F.split(F.trim("__p"), " ")[0])
     else:
-        at = texts.select(key, "__t", F.explode(F.array_distinct(F.concat(*(_grams("__t", n) for n in range(1, gram + 1))))).alias("__w"))
+        at = texts.select(key, F.explode(F.array_distinct(F.concat(*(_grams("__t", n) for n in range(1, gram + 1))))).alias("__w"))
         keyed = sought.withColumn("__w", F.substring("__p", 1, gram))
-    pairs = at.join(keyed.select("__w").distinct(), "__w", "left_semi").join(keyed, "__w").filter(F.contains("__t", "__p"))
-    best = pairs.groupBy(key).agg(F.max_by("__as", F.struct(F.length("__p"), -F.col("__o"))).alias("matched"))
+    # The texts meet their candidates once, on the key; they aren't carried with each word.
+    maybe = at.join(keyed, "__w").select(key, "__p", "__as", "__o")
+    best = maybe.join(texts, key).filter(F.contains("__t", "__p")).groupBy(key).agg(F.max_by("__as", F.struct(F.length("__p"), -F.col("__o"))).alias("matched"))
     return df.select(key).join(best, key, "left")
 
 

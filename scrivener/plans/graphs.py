@@ -162,7 +162,7 @@ def version_rebuild_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.rebuild_decision(now, was, "doc_id", ["version"])
 
 
-MATRIX_SQL = """WITH refs AS (SELECT doc_id AS ref, source, lang AS period FROM documents WHERE doc_id % 4 = 0),
+MATRIX_SQL = """WITH refs AS (SELECT doc_id AS ref, source, lang AS period FROM documents),
 slots(slot, requirement, need, sources, periods) AS (VALUES ('a', 'x', 2, 2, 1), ('b', 'x', 1, 2, 1), ('c', 'y', 3, 1, 2), ('d', 'z', 100000, 1, 1), ('e', 'w', 1, 1, 1)),
 m AS (SELECT d.doc_id AS ref, CASE d.doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE CASE WHEN d.doc_id % 2 = 0 THEN 'c' ELSE 'd' END END AS slot, CASE WHEN quality = 1 THEN 'direct' WHEN toxic = 1 THEN 'partial' ELSE 'unsupported' END AS status, round(d.n_chars % 100 / 100.0, 2)::DOUBLE AS confidence
  FROM documents d JOIN labels USING (doc_id)),
@@ -171,7 +171,7 @@ cov AS (SELECT ref, slot, coalesce(status, 'unsupported') AS status, coalesce(co
 
 def _coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    refs = docs.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("ref"), "source", F.col("lang").alias("period"))
+    refs = docs.select(F.col("doc_id").alias("ref"), "source", F.col("lang").alias("period"))
     slots = spark.createDataFrame([("a", "x", 2, 2, 1), ("b", "x", 1, 2, 1), ("c", "y", 3, 1, 2), ("d", "z", 100000, 1, 1), ("e", "w", 1, 1, 1)], "slot string, requirement string, need int, sources int, periods int")
     slot = F.expr("CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE CASE WHEN doc_id % 2 = 0 THEN 'c' ELSE 'd' END END")
     matrix = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(

@@ -122,11 +122,11 @@ def citation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.local_document(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("citation"), "text", doi.alias("doi")), docs)
 
 
-@query("topic_documents", "SELECT DISTINCT s_suppkey AS topic, p_partkey AS document FROM supplier, part WHERE list_has_any(string_split(lower(p_name), ' '), [CASE s_suppkey % 3 WHEN 0 THEN 'bolt' WHEN 1 THEN 'red' ELSE 'gear' END, 'x' || s_suppkey]) AND s_suppkey <= 9")
+@query("topic_documents", "SELECT DISTINCT r_regionkey AS topic, p_partkey AS document FROM region, part WHERE list_has_any(string_split(lower(p_name), ' '), [CASE r_regionkey % 3 WHEN 0 THEN 'bolt' WHEN 1 THEN 'red' ELSE 'gear' END, lower(r_name)])")
 def topic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a token with each topic."""
-    key = F.col("s_suppkey")
-    topics = table(spark, sf_dir, "supplier").filter("s_suppkey <= 9").select(key.alias("topic"), F.array(F.when(key % 3 == 0, "bolt").when(key % 3 == 1, "red").otherwise("gear"), F.concat(F.lit("x"), key.cast("string"))).alias("tokens"))
+    key = F.col("r_regionkey")
+    topics = table(spark, sf_dir, "region").select(key.alias("topic"), F.array(F.when(key % 3 == 0, "bolt").when(key % 3 == 1, "red").otherwise("gear"), F.lower("r_name")).alias("tokens"))
     docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document"), F.split(F.lower("p_name"), " ").alias("tokens"))
     return L.sharing_token(topics, docs, "topic", "document", "tokens")
 

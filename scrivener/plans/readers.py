@@ -98,11 +98,11 @@ def read_journal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.journal_metrics(spark, path).withColumn("metric", F.round("metric", 2))
 
 
-@query("read_full_texts", "SELECT sha256(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn), '')) AS text, length(regexp_replace(string_agg(text, '' ORDER BY turn), '\\s+', '', 'g')) >= 800 AS usable FROM conversations WHERE conv_id < 40 AND text IS NOT NULL GROUP BY conv_id".replace("\\\\", "\\"))
+@query("read_full_texts", "SELECT sha256(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn), '')) AS text, length(regexp_replace(string_agg(text, '' ORDER BY turn), '\\s+', '', 'g')) >= 800 AS usable FROM conversations WHERE text IS NOT NULL GROUP BY conv_id".replace("\\\\", "\\"))
 def read_full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole files as texts, and whether they have enough signs."""
     path = f"{Scratch(spark).path}/texts"
-    turns = table(spark, sf_dir, "conversations").filter("conv_id < 40 and text is not null")
+    turns = table(spark, sf_dir, "conversations").filter("text is not null")
     texts = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("value"))
     texts.select("value").write.option("maxRecordsPerFile", 1).option("lineSep", "\u0003").text(path)
     found = landed.full_texts(spark, path).withColumn("text", F.regexp_replace("text", "\u0003$", "")).filter("text <> ''")
