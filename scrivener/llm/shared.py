@@ -15,11 +15,11 @@ __all__ = ["Scratch", "arrow_batches", "crc32_of_id", "fresh", "low_labels", "ra
 BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
 
 
-def arrow_batches(spark: SparkSession) -> SparkSession:
-    """Bound what one Arrow batch brings into a Python worker."""
+def arrow_batches(spark: SparkSession, most_bytes: int = BATCH_BYTES) -> SparkSession:
+    """Bound what one Arrow batch brings into a Python worker. Settings of the session: the next operator sets them anew."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)
     return spark
 
 
