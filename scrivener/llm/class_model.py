@@ -387,8 +387,8 @@ def class_model_scores(docs: DataFrame, folds: int = 10, classes: int = 64, head
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row (log10)."""
     if not 2 <= classes <= 128:
         raise ValueError("classes must be 2 to 128")
-    # A batch's tokens become some arrays of eight bytes each: half the usual size keeps workers small.
-    spark = arrow_batches(docs.sparkSession, 4 << 20)
+    # A batch's tokens become some arrays of eight bytes each: less than the usual size keeps workers small.
+    spark = arrow_batches(docs.sparkSession, 6 << 20)
     scratch, context = Scratch(spark), spark.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.pmod(crc32_of_id(), F.lit(folds)) == 0).alias("held_out"))
     train = rows.filter("not held_out").select("text")
