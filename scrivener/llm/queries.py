@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scrivener.llm.class_model import class_model_scores
+from scrivener.llm.conversation_repair import damaged, repaired
 from scrivener.llm.decontaminate import contaminated
 from scrivener.llm.packing import packed_documents
 from scrivener.llm.pseudonyms import pseudonymised
 from scrivener.llm.quality_classifier import scored
 from scrivener.llm.quality_rules import judged
+from scrivener.llm.resampling import resampled
 from scrivener.llm.sentence_spans import deduplicated
 from scrivener.llm.simhash import near_duplicates
+from scrivener.llm.sql import OP11_SQL, OP13_SQL
 from scrivener.llm.token_counts import token_counts
 from scrivener.llm.url_filter import judged_urls
+from scrivener.llm.vector_tree import nearest
 from scrivener.session import table
 
 #: The rules and the block list of the registered URL query. The list has hosts that the pages have and hosts that they
@@ -75,6 +80,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), wanted=F.col("id") % 50 == 0)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTERED = (
     op1_feistel_pseudonyms,
     op2_best_fit_packing,
@@ -86,6 +103,9 @@ REGISTERED = (
     op8_url_filter,
     op9_class_model,
     op10_quality_classifier,
+    op11_conversation_repair,
+    op12_vector_tree,
+    op13_importance_resampling,
 )
 
 OP8_SQL = r"""
@@ -117,4 +137,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op8_url_filter": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op13_importance_resampling": OP13_SQL}
