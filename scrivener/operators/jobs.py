@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 ACTIVE = ("queued", "running", "cancelling")
 TERMINAL = ("completed", "failed", "cancelled", "interrupted")
 CRITICAL = ("job", "result", "error", "done")
+#: Failures after which another call fails too.
+FATAL = ("authentication", "quota_exhausted", "not_found")
 
 
 def latest_state(events: DataFrame, job: str, sequence: str, state: str) -> DataFrame:
@@ -117,3 +120,80 @@ def auto_resume(failures: DataFrame, group: str, category: str, n: str, transien
     passing = F.col(category).isin(*transient)
     sums = failures.groupBy(group).agg(F.sum(F.when(passing, F.col(n)).otherwise(0)).alias("transient"), F.sum(F.when(~passing, F.col(n)).otherwise(0)).alias("fatal"))
     return sums.withColumn("resume", (F.col("transient") > 0) & (F.col("fatal") <= most_fatal))
+
+
+def heartbeats(events: DataFrame, job: str, sequence: str, ts: str, kind: str, idle: str, until: Column) -> DataFrame:
+    """What a subscriber of each job is sent: its events up to the first `done`, and a heartbeat after each `idle` without
+    an event, as job, at, kind and sequence (null for heartbeats). Jobs without a `done` go on until `until`."""
+    w = Window.partitionBy(job).orderBy(ts, sequence)
+    ended = F.max(F.when(F.col(kind) == "done", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    sent = events.select(job, F.col(ts).alias("at"), F.col(kind).alias("kind"), F.col(sequence).alias("sequence"), F.lead(ts).over(w).alias("__next"), F.coalesce(ended, F.lit(0)).alias("__ended"), until.alias("__until")).filter("__ended = 0")
+    step = F.expr(f"INTERVAL {idle}")
+    # An event at the very end of the silence comes first, so the last heartbeat is before it.
+    last = F.when(F.col("kind") == "done", F.col("at")).otherwise(F.coalesce(F.col("__next") - F.expr("INTERVAL 1 MICROSECOND"), "__until"))
+    beats = sent.filter(F.col("at") + step <= last).select(job, F.explode(F.sequence(F.col("at") + step, last, step)).alias("at"))
+    return sent.select(job, "at", "kind", "sequence").unionByName(beats.withColumns({"kind": F.lit("heartbeat"), "sequence": F.lit(None).cast(events.schema[sequence].dataType)}))
+
+
+def retention(tasks: DataFrame, task: str, group: str, status: Column, finished: Column, created: Column, subscribers: Column, now: Column, ttl: str, most: int) -> DataFrame:
+    """Terminal tasks that go, with `reason`: `expired` after ttl, else `overflow` beyond the group's newest `most`. Tasks with
+    subscribers stay and don't count. Of tasks finished at once the smaller `task` counts as
+    the older. Only the newest `most` of a group are ranked; Spark drops others before the shuffle."""
+    since = F.coalesce(finished, created)
+    rows = tasks.withColumn("__since", since).withColumn("__old", F.coalesce(finished <= now - F.expr(f"INTERVAL {ttl}"), F.lit(False)))
+    able = rows.filter(status.isin(*TERMINAL) & (subscribers == 0)).withColumn("__id", F.struct("__since", task))
+    newest = able.filter(~F.col("__old")).withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col("__id").desc()))).filter(F.col("__rank") <= most)
+    cut = newest.groupBy(group).agg(F.min("__id").alias("__cut"), F.count("*").alias("__n"))
+    beyond = (F.col("__n") >= most) & (F.col("__id") < F.col("__cut"))
+    out = able.join(cut, group, "left").withColumn("reason", F.when(F.col("__old"), "expired").when(beyond, "overflow"))
+    return out.filter("reason is not null").select(*tasks.columns, "reason")
+
+
+class CallGuard:
+    """Budgets and a circuit breaker for one job's calls, fed in order. Once open it stays open.
+
+    A call is refused if it would exceed the number of requests or the sum of input tokens (0: no limit). A call that was
+    made opens the circuit after so many fatal failures in a row, or when of the last `window` calls, `least` at least,
+    more than `rate` failed.
+    """
+
+    def __init__(self, requests: int = 0, tokens: int = 0, window: int = 20, least: int = 10, rate: float = 0.5, fatal: int = 3, fatal_kinds: Sequence[str] = FATAL):
+        self.limits, self.fatal_kinds = (requests, tokens, least, rate, fatal), tuple(fatal_kinds)
+        self.requests = self.tokens = self.fatal = 0
+        self.recent, self.reason = deque(maxlen=window), ""
+
+    def call(self, tokens: int, ok: bool, category: str) -> str:
+        """Why the call is refused; empty if it is made."""
+        most_requests, most_tokens, least, rate, most_fatal = self.limits
+        if not self.reason:
+            if most_requests and self.requests + 1 > most_requests:
+                self.reason = "request_budget_exceeded"
+            elif most_tokens and self.tokens + max(0, tokens) > most_tokens:
+                self.reason = "input_token_budget_exceeded"
+        if self.reason:
+            return self.reason
+        self.requests, self.tokens = self.requests + 1, self.tokens + max(0, tokens)
+        self.recent.append(ok)
+        self.fatal = self.fatal + 1 if not ok and category in self.fatal_kinds else 0
+        if self.fatal >= most_fatal:
+            self.reason = f"consecutive_{category}"
+        elif len(self.recent) >= least and self.recent.count(False) / len(self.recent) > rate:
+            self.reason = "failure_rate_exceeded"
+        return ""
+
+
+def guarded(calls: DataFrame, job: str, order: str, tokens: Column, ok: Column, category: Column, requests: int = 0, most_tokens: int = 0, window: int = 20, least: int = 10, rate: float = 0.5, fatal: int = 3, fatal_kinds: Sequence[str] = FATAL) -> DataFrame:
+    """Adds refused and reason, as CallGuard gives them to each call of a job in order.
+
+    Up to the call at which a circuit opens all calls are made, so their counts, sums and rates are running ones; the first
+    reason in order then holds for all later calls.
+    """
+    w = Window.partitionBy(job).orderBy(order)
+    last = w.rowsBetween(1 - window, 0)
+    out = calls.withColumns({"__n": F.row_number().over(w), "__t": F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)), "__bad": (~ok).cast("int"), "__fatal": ~ok & F.coalesce(category.isin(*fatal_kinds), F.lit(False)), "__c": category})
+    out = out.withColumns({"__sum": F.sum("__t").over(w), "__run": F.col("__n") - F.coalesce(F.max(F.when(~F.col("__fatal"), F.col("__n"))).over(w), F.lit(0)), "__seen": F.count("*").over(last), "__rate": F.sum("__bad").over(last) / F.count("*").over(last)})
+    before = F.when(F.lit(requests > 0) & (F.col("__n") > requests), "request_budget_exceeded").when(F.lit(most_tokens > 0) & (F.col("__sum") > most_tokens), "input_token_budget_exceeded")
+    after = F.when(F.col("__run") >= fatal, F.concat(F.lit("consecutive_"), "__c")).when((F.col("__seen") >= least) & (F.col("__rate") > rate), "failure_rate_exceeded")
+    out = out.withColumn("__after", after).withColumn("__first", F.coalesce(F.lag("__after").over(w), before))
+    reason = F.coalesce(F.first("__first", ignorenulls=True).over(w), F.lit(""))
+    return out.withColumn("reason", reason).withColumn("refused", F.col("reason") != "").drop("__n", "__t", "__bad", "__fatal", "__c", "__sum", "__run", "__seen", "__rate", "__after", "__first")
