@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrivener.functions import chunks as C
 from scrivener.functions import tables as T
 from scrivener.functions import text as X
 from scrivener.registry import query
@@ -223,3 +224,47 @@ def section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by the kind of section that their heading path names."""
     path = F.concat(F.lit("A Framework for Training > "), F.get(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % 6).cast("int")))
     return table(spark, sf_dir, "part").groupBy(X.section_kind(path).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents below headings as blocks; lines that number steps belong to a structure of their section."""
+    found = T.heading_paths(T.sections(_markdown(spark, sf_dir), "doc_id", "text"), "doc_id").filter("content <> ''")
+    lines = found.select("doc_id", "section", "path", "heading", F.posexplode(F.split("content", "\n")).alias("at", "content"))
+    numbered = F.col("content").rlike(r"^\s*(?:[-*]|\d+[.)])\s")
+    return lines.select(
+        "doc_id", (F.col("section") * 1_000_000 + F.col("at")).alias("ordinal"), "path", "content", F.col("heading").alias("summary"),
+        F.when(numbered, "list").otherwise("prose").alias("kind"), F.when(numbered, F.concat(F.lit("list-"), F.col("section").cast("string"))).alias("structure"),
+    )
+
+
+@query("structured_chunks")
+def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks of one heading path, structure and kind each. Each chunk depends on the one before."""
+    chunks = C.structured_chunks(_blocks(spark, sf_dir), "doc_id")
+    return chunks.select("doc_id", "chunk", "section", "kind", "structure", F.sha2("content", 256).alias("content"), "tokens", "overlap_tokens", F.size("blocks").alias("blocks"), "summary", "continues_from", "continues_to")
+
+
+@query("chunk_overlaps")
+def chunk_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that each packed chunk shares with the one before it, as measured on the texts."""
+    chunks = T.token_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    return C.with_overlaps(chunks, "doc_id", "chunk", "content").select("doc_id", "chunk", "tokens", F.col("overlap_tokens").alias("carried"), "shared")
+
+
+PIECES_SQL = "SELECT doc_id, source, i AS piece, list_slice(w, 60 * i + 1, 60 * i + 80) AS w FROM (SELECT doc_id, source, w, unnest(range(0, greatest(ceil((len(w) - 20) / 60.0), 1)::INT)) AS i FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[㐀-䶿一-鿿]|[A-Za-z0-9]+(?:[+._/\\-][A-Za-z0-9]+)*|[^ \\t\\n\\x0B\\f\\r]') AS w FROM documents) WHERE len(w) > 0)"
+
+
+@query(
+    "measured_overlap_stats",
+    f"""WITH p AS ({PIECES_SQL}), l AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY piece) AS b FROM p),
+s AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(1, least(len(w), len(b)) + 1), lambda k: b[len(b) - k + 1:] = w[:k])), 0) END AS shared FROM l)
+SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents, round(avg(len(w)), 4) AS mean_tokens, max(len(w))::INT AS most_tokens, count(*) FILTER (shared > 0) AS overlapping, sum(shared)::BIGINT AS shared_tokens, count(*) FILTER (len(w) < 80) AS structured FROM s GROUP BY source""",
+)
+def measured_overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of pieces of eighty tokens that begin every sixty, as measured on their texts: more where a text repeats itself."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.WEIGHED.pattern), F.lit(0))
+    words = table(spark, sf_dir, "documents").select("doc_id", "source", found.alias("w")).filter(F.size("w") > 0)
+    many = F.greatest(F.ceil((F.size("w") - 20) / 60), F.lit(1)).cast("int")
+    pieces = words.select("doc_id", "source", "w", F.explode(F.sequence(F.lit(0), many - 1)).alias("piece")).select("doc_id", "source", "piece", F.slice("w", F.col("piece") * 60 + 1, F.lit(80)).alias("w"))
+    chunks = C.with_overlaps(pieces.withColumn("content", F.array_join("w", " ")).withColumn("tokens", F.size("w")).drop("w"), "doc_id", "piece", "content")
+    return C.overlap_statistics(chunks, ["source"], "doc_id", "tokens", F.col("tokens") < 80)
