@@ -15,7 +15,7 @@ from scrivener.functions.tables import SENTENCE, _per_text
 
 FENCE, ATX = re.compile(r"^\s{0,3}(```|~~~)"), re.compile(r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$")
 NUMBERED, NUMBER = re.compile(r"^(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+(\S.{1,98})$"), re.compile(r"^(\d{1,2}(?:\.\d{1,2}){0,3})\.?$")
-# Headings that stand without a number, and the categories of sections.
+# Headings that stand without a number, and the categories of sections, of this plain splitter; splitter.py has the full ones.
 COMMON = ("abstract", "introduction", "background", "related work", "methods", "method", "results", "discussion", "conclusion", "conclusions", "acknowledgements", "acknowledgments", "references", "bibliography", "appendix")
 CATEGORIES = (
     ("references", ("references", "bibliography", "参考文献")), ("abstract", ("abstract", "摘要")), ("introduction", ("introduction", "引言")),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.functions import markdown as M
+from scrivener.functions import splitter as P
 from scrivener.functions import tables as T
 from scrivener.functions import text as X
 from scrivener.operators import evidence as E
@@ -121,6 +122,13 @@ def context_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rendered(turns, "conv_id", "turn", F.col("role"), F.substring("text", 1, 40))
 
 
+@query("section_pieces")
+def section_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in pieces by section, small sections together, structures apart. Each piece depends on what waits before it."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return P.section_pieces(docs, "doc_id", "text").select("doc_id", "piece", "headings", "category", "kind", "structure", "part", "parts", "continues_from", "continues_to", "content")
+
+
 @query("document_pieces")
 def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents split at headings, by size and by kind of text. A fold over lines, so not in SQL."""
