@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first through a priority queue.
 
 Building. Vectors are compared by direction (their cosine). The tree grows in rounds: every round sends all vectors down
-the tree, counts the rows of each leaf, and splits the leaves above `leaf_rows` by k-means, each in a task of its own over
-a bounded sample of its rows (`sample_rows`, those of the smallest hash of their row number). All vectors are then indexed
-under their leaf. The tree stops growing at `most_leaves`, so that it can be broadcast (65,536 leaves of 1,024 dimensions
-are 256 MB); beyond that, leaves have more rows. A leaf that k-means can't split, as its vectors are equal, stays as it is.
+the tree, counts the rows of each leaf, and splits the leaves above twice `leaf_rows` by k-means, each in a task of its own
+over a bounded sample of its rows (`sample_rows`, those of the smallest hash of their row number). All vectors are then
+indexed under their leaf. The tree stops growing at `most_leaves`, so that it can be broadcast (65,536 leaves of 1,024
+dimensions are 256 MB), and after `depth` rounds, in which 32 branches reach that many leaves; beyond that, leaves have more
+rows, as leaves of equal or nearly equal vectors do.
 
 Searching. A query walks the tree through a priority queue of branches, the one of the nearest centroid first, and visits
 leaves in that order. How many it visits is calibrated: up to 200 of the queries (of the smallest hash) are compared with
@@ -169,20 +170,21 @@ def splits(rows: DataFrame, tree: Tree, large: dict[int, int], leaf_rows: int, b
     return {leaf: np.array(c, np.float32) for leaf, c in found.items()}
 
 
-def grow(rows: DataFrame, total: int, dimensions: int, leaf_rows: int, branches: int, sample_rows: int, most_leaves: int) -> tuple[Tree, dict[int, int]]:
+def grow(rows: DataFrame, total: int, dimensions: int, leaf_rows: int, branches: int, sample_rows: int, most_leaves: int, depth: int) -> tuple[Tree, dict[int, int]]:
     """The tree over all rows, and the number of rows of each leaf."""
     tree, counts, final = Tree.root(dimensions), {0: total}, set()
-    while True:
-        large = {leaf: n for leaf, n in counts.items() if n > leaf_rows and leaf not in final}
+    for _ in range(depth):
+        large = {leaf: n for leaf, n in counts.items() if n > 2 * leaf_rows and leaf not in final}
         room = (most_leaves - len(tree.leaves())) // branches
         if not large or not room:
-            return tree, counts
+            break
         large = dict(sorted(large.items(), key=lambda x: (-x[1], x[0]))[:room])
         found = {leaf: c for leaf, c in splits(rows, tree, large, leaf_rows, branches, sample_rows).items() if len(c) > 1}
         final |= large.keys() - found.keys()
         if found:
             tree = tree.grown(found)
             counts = {r["leaf"]: r["n"] for r in under_leaves(rows, tree).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    return tree, counts
 
 
 def under_leaves(rows: DataFrame, tree: Tree) -> DataFrame:
@@ -283,7 +285,7 @@ def visits(queries: DataFrame, tree: Tree, counts: dict[int, int], most: int, k:
 
 def nearest(
     vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", wanted: Column | None = None, k: int = 5, recall: float = 0.97,
-    leaf_rows: int = 512, branches: int = 32, sample_rows: int = 8192, most_leaves: int = 65_536, calibration: int = 200, cell_rows: int = 16_384, cell_queries: int = 1024,
+    leaf_rows: int = 512, branches: int = 32, sample_rows: int = 8192, most_leaves: int = 65_536, depth: int = 4, calibration: int = 200, cell_rows: int = 16_384, cell_queries: int = 1024,
 ) -> DataFrame:
     """The k nearest vectors of every wanted row, as query_id, rank, vec_id and score (cosine). wanted is a condition on
     `id`; the default takes all rows that have an id."""
@@ -293,7 +295,7 @@ def nearest(
     first = rows.limit(1).collect()
     if not first:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree, counts = grow(rows, rows.count(), len(first[0]["packed"]) // 8, leaf_rows, branches, sample_rows, most_leaves)
+    tree, counts = grow(rows, rows.count(), len(first[0]["packed"]) // 8, leaf_rows, branches, sample_rows, most_leaves, depth)
     index = scratch.save(under_leaves(rows, tree))
     queries = index.filter(F.col("id").isNotNull() & (F.lit(True) if wanted is None else wanted))
     most = calibrated(index, queries, tree, k, recall, calibration)
