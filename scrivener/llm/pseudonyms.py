@@ -47,7 +47,8 @@ NUMBERS = {
 #: Country codes: one, two or three digits.
 COUNTRY_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # A name has 64 characters at most and a host 127 labels: Java's matcher recurses in repeated groups.
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}",
     "iban": r"(?=[A-Z]{2}\d\d)(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?=[0-9a-f]{26})(?<![\p{L}\p{N}])[0-9a-f]{26,64}(?![\p{L}\p{N}])",
     **NUMBERS,

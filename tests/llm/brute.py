@@ -136,7 +136,7 @@ def log_ratios(texts: list[str], good: list[bool]) -> list[float]:
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?!\.?[0-9])"
 #: What is looked for, stated here anew, in the order in which kinds are tried at a place.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[A-Za-z0-9\-]+\.){1,126}[A-Za-z]{2,}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z][A-Z][0-9][0-9](?:[ ]?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9]){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{26,64}(?![\p{L}\p{N}])",
     "ip": IP,

@@ -152,3 +152,12 @@ def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
     assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[1], rows[3]}
     kept = corpus_pipeline.near_dedup(spark, docs.union(docs), str(tmp_path))
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect() if r[0]) == sorted(rows[:3]) and kept.filter("doc_id is null").count() == 1
+
+
+def test_op1_long_names_and_hosts(spark):
+    """Before, a host of some thousand labels ended the JVM by its matcher's recursion."""
+    texts = ["x@" + "a." * 20_000 + "com", "x@" + "ab." * 20_000 + "com", "n" * 1_000_000 + "@mail.com", "@" * 100_000, "a@" * 50_000, "b" * 64 + "@mail.com", "c" * 65 + "@mail.com", "mail ann@" + "sub." * 126 + "org", "x@" + "-" * 500_000, "ann@mail." + "o" * 300_000]
+    got = [tuple(r) for r in pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").select("text", "n_pseudonyms").collect()]
+    assert [n for _, n in got] == [0, 1, 0, 0, 0, 1, 0, 1, 0, 1]
+    for (new, n), old in zip(got, texts, strict=True):
+        assert len(new) == len(old) and (new == old) == (n == 0) and new.partition("@")[2] == old.partition("@")[2]
