@@ -166,6 +166,17 @@ def test_op2_crossover_beats_best_fit_decreasing():
     assert all(better for _, _, better in saved) and sum(a - b for a, b, _ in saved) > 0
 
 
+def test_op2_search_saves_sequences_at_the_query_settings(spark):
+    """As the registered query calls it: pieces of a quarter to a half of a sequence, against best-fit decreasing."""
+    rng, scratch, saved = random.Random(0), Scratch(spark), 0
+    for of_set in range(2):
+        rows = [(i, 0, 0, rng.randint(900, 2000), i) for i in range(240)]
+        got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), scratch).toPandas()
+        assert sorted(got["length"]) == sorted(r[3] for r in rows) and got.groupby("sequence_id")["length"].sum().max() <= 4096
+        saved += len(packing.best_fit(sorted((r[3] for r in rows), reverse=True), list(range(240)), [], 4096)) - got["sequence_id"].nunique()
+    assert saved > 0
+
+
 def test_op2_blocks_lose_little(spark):
     rng = random.Random(3)
     rows = [(i, 0, 0, rng.choice([rng.randint(1, 500), rng.randint(300, 4096)]), 0) for i in range(1500)]
