@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from scrivener.plans import catalog, evidence, functions, graphs, jobs, library, readers, search, stores, streams, texts, topics  # noqa: F401
+from scrivener.plans import catalog, evidence, functions, graphs, jobs, library, readers, search, stores, streams, texts, topics, trees  # noqa: F401
