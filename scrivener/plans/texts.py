@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import chunks as C
+from scrivener.functions import metadata as D
 from scrivener.functions import tables as T
 from scrivener.functions import text as X
 from scrivener.registry import query
@@ -268,3 +269,17 @@ def measured_overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = words.select("doc_id", "source", "w", F.explode(F.sequence(F.lit(0), many - 1)).alias("piece")).select("doc_id", "source", "piece", F.slice("w", F.col("piece") * 60 + 1, F.lit(80)).alias("w"))
     chunks = C.with_overlaps(pieces.withColumn("content", F.array_join("w", " ")).withColumn("tokens", F.size("w")).drop("w"), "doc_id", "piece", "content")
     return C.overlap_statistics(chunks, ["source"], "doc_id", "tokens", F.col("tokens") < 80)
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers in Markdown: authors below the title, an abstract, keywords, and a place where it appeared."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    head = F.concat(F.lit("# "), F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "), F.lit("\n"), F.initcap("source"), F.lit(" A., Ann and "), F.upper("lang"), F.lit("\n\n"))
+    place = F.when(F.col("n_chars") > 2000, F.lit("> IEEE Transactions on `Data` Streams ")).when(F.col("n_chars") > 800, F.lit("In Proceedings of the [tenth](http://x.org) Meeting, ")).otherwise(F.lit("Letters "))
+    return docs.select("doc_id", F.concat(head, place, (1950 + F.col("n_chars") % 70).cast("string"), F.lit(", doi:10.1234/ab."), F.col("doc_id").cast("string"), F.lit(".\n\nAbstract: "), "text", F.lit("\n  Keywords: a\n"), "text").alias("text"))
+
+
+@query("markdown_metadata")
+def markdown_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, authors, year, DOI, venue and abstract of papers in Markdown."""
+    return _papers(spark, sf_dir).select("doc_id", *D.with_fields(D.markdown_fields(F.col("text"))))
