@@ -295,3 +295,16 @@ def section_pieces(df: DataFrame, key: str, text: str, least: int = 800, most: i
 
     schema = "piece int, headings array<string>, category string, kind string, structure string, part int, parts int, continues_from string, continues_to string, content string"
     return _per_text(df, key, text, schema, rows)
+
+
+def section_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, section (from 0), level, heading and content of every section. Null and empty texts give no rows."""
+
+    def rows(t: str) -> list[tuple]:
+        out = []
+        for i, s in enumerate(sections_of(t)):
+            level, heading = s.headings[0] if s.headings else (0, "")
+            out.append((i, level, heading, s.text.partition("\n")[2].strip() if heading else s.text))
+        return out
+
+    return _per_text(df, key, text, "section int, level int, heading string, content string", rows)
