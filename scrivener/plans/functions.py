@@ -70,14 +70,14 @@ for _name, _value, _sql, _doc in (
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with citation marks at their first sentences, and a reference list behind them."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(r"concat(regexp_replace(left(text, 400), '[.]\n', ' [2, 4-5].\n'), '\n\n', '## References\n[1] First ', left(text, 20), '\n[2] Second (2001)\n', '[3]  Third\nline\n')").alias("text"))
+    """Documents with citation marks at the ends of their lines, and a reference list behind them."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(r"concat(regexp_replace(text, '[.]\n', ' [2, 4-5].\n'), '\n\n', '## References\n[1] First ', left(text, 20), '\n[2] Second (2001)\n', '[3]  Third\nline\n')").alias("text"))
 
 
-CITED_SQL = r"concat(regexp_replace(left(text, 400), '[.]\n', ' [2, 4-5].' || chr(10), 'g'), chr(10), chr(10), '## References', chr(10), '[1] First ', left(text, 20), chr(10), '[2] Second (2001)', chr(10), '[3]  Third', chr(10), 'line', chr(10))"
+CITED_SQL = r"concat(regexp_replace(text, '[.]\n', ' [2, 4-5].' || chr(10), 'g'), chr(10), chr(10), '## References', chr(10), '[1] First ', left(text, 20), chr(10), '[2] Second (2001)', chr(10), '[3]  Third', chr(10), 'line', chr(10))"
 
 
-@query("reference_split", r"SELECT doc_id, length(regexp_replace(regexp_replace(left(text, 400), '[.]\n', ' [2, 4-5].' || chr(10), 'g'), '\s+$', ''))::INT AS body FROM documents")
+@query("reference_split", r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '[.]\n', ' [2, 4-5].' || chr(10), 'g'), '\s+$', ''))::INT AS body FROM documents")
 def reference_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the reference list of each document starts."""
     body, _ = T.split_references(F.col("text"))
@@ -91,7 +91,7 @@ def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.reference_entries(_cited(spark, sf_dir).filter("text is not null").select("doc_id", refs.alias("refs")), "doc_id", "refs").select("doc_id", "number", "entry")
 
 
-@query("citation_contexts", rf"SELECT doc_id, n::INT AS number, count(*) AS places FROM (SELECT doc_id, unnest([2, 4, 5]) AS n, unnest(range(len(regexp_extract_all(left(text, 400), '[.]\n')))) AS k FROM documents) AS a(doc_id, n, k) GROUP BY ALL".replace("SELECT doc_id, unnest([2, 4, 5]) AS n, unnest(range(len(regexp_extract_all(left(text, 400), '[.]\\n')))) AS k FROM documents) AS a(doc_id, n, k)", r"SELECT doc_id, n, k FROM (SELECT doc_id, unnest(range(len(regexp_extract_all(left(text, 400), '[.]\n')))) AS k FROM documents), (VALUES (2), (4), (5)) AS v(n))"))
+@query("citation_contexts", rf"SELECT doc_id, n::INT AS number, count(*) AS places FROM (SELECT doc_id, unnest([2, 4, 5]) AS n, unnest(range(len(regexp_extract_all(text, '[.]\n')))) AS k FROM documents) AS a(doc_id, n, k) GROUP BY ALL".replace("SELECT doc_id, unnest([2, 4, 5]) AS n, unnest(range(len(regexp_extract_all(text, '[.]\\n')))) AS k FROM documents) AS a(doc_id, n, k)", r"SELECT doc_id, n, k FROM (SELECT doc_id, unnest(range(len(regexp_extract_all(text, '[.]\n')))) AS k FROM documents), (VALUES (2), (4), (5)) AS v(n))"))
 def citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document cites each number."""
     body, _ = T.split_references(F.col("text"))

@@ -109,7 +109,7 @@ def tree_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy("r_name", "c")).cast("long")).select("node", "place")  # the few that are left
 
 
-@query("citations_per_document", "SELECT doc_id, 3 AS entries, (n * 2)::BIGINT AS cited FROM (SELECT doc_id, len(regexp_extract_all(left(text, 400), '[.]\\n')) AS n FROM documents WHERE text IS NOT NULL)".replace("\\\\", "\\").replace("(n * 2)", "CASE WHEN n > 0 THEN 1 ELSE 0 END"))
+@query("citations_per_document", "SELECT doc_id, 3 AS entries, (n * 2)::BIGINT AS cited FROM (SELECT doc_id, len(regexp_extract_all(text, '[.]\\n')) AS n FROM documents WHERE text IS NOT NULL)".replace("\\\\", "\\").replace("(n * 2)", "CASE WHEN n > 0 THEN 1 ELSE 0 END"))
 def citations_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of each document's reference list, and how many of them its body cites."""
     from scrivener.plans.functions import _cited
