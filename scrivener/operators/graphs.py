@@ -165,7 +165,7 @@ def bind_citations(claims: DataFrame, contexts: DataFrame, citations: DataFrame,
     surnames). A citation is bound by its number in the quote, by a context within the band of lines, or by its year
     in the quote next to a surname.
     """
-    numbers = claims.select("claim_id", "document", F.explode(F.flatten(F.transform(F.regexp_extract_all("quote", F.lit(r"\[([\d,\s–-]+)\]"), F.lit(1)), X.expand_numbers))).alias("number"))
+    numbers = claims.select("claim_id", "document", F.explode(F.flatten(F.transform(F.regexp_extract_all("quote", F.lit(r"\[([\d,\s–-]+)\]"), F.lit(1)), lambda m: X.expand_numbers(m)))).alias("number"))
     by_number = numbers.join(citations, ["document", "number"]).select("claim_id", "id")
     near = band_join(claims.select("claim_id", "document", F.col("line").alias("at")), contexts.select("document", "number", F.col("line").alias("ctx")), ["document"], "at", "ctx", band)
     by_line = near.join(citations, ["document", "number"]).select("claim_id", "id")

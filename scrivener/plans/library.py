@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as X
+from scrivener.operators import citations as C
 from scrivener.operators import library as L
 from scrivener.operators import records as R
 from scrivener.registry import query
@@ -320,3 +321,41 @@ def bind_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     contexts = numbers.withColumn("line", F.col("number") * 3)
     citations = numbers.select(F.concat_ws(":", F.col("document").cast("string"), F.col("number").cast("string")).alias("id"), "document", "number", F.when(F.col("number") == 5, 1995).otherwise(1800).alias("year"), F.array(F.lit("miller")).alias("surnames"))
     return G.bind_citations(claims, contexts, citations, 2).select("claim_id", F.array_join("citation_ids", ",").alias("citation_ids"))
+
+
+def _cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines cite by number and by name, with three references: one to another document, by its first line."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    title = F.regexp_replace(F.substring(F.substring_index("text", "\n", 1), 1, 60), r"\s+", " ")
+    named = docs.select("doc_id", "lang", "source", title.alias("title"), "text")
+    one = named.groupBy("lang", "source").agg(F.min_by("title", "doc_id").alias("cited_title"))
+    body = F.regexp_replace("text", r"[.]\n", " [2, 4-5], as Lee et al. (2001) say [1].\n## Part\n")
+    refs = F.concat(F.lit("[1] Miller, J. 1999. "), "cited_title", F.lit(". In Proceedings\n[2] Lee, Ann: A study of "), "source", F.lit(" things 2001. doi:10.1/x"), F.lit("\n[3]  Third 2010. doi:10.1000/no."), "source")
+    return named.join(one, ["lang", "source"]).select("doc_id", "title", "cited_title", body.alias("body"), refs.alias("refs"))
+
+
+@query("document_citations")
+def document_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of documents, what they are, and how often the text cites them; read from whole texts."""
+    docs = _cited_documents(spark, sf_dir)
+    library = docs.select(F.col("doc_id").alias("record"), "title", F.lit("").alias("doi"), F.lit(None).cast("int").alias("year"), F.array().cast("array<string>").alias("authors"))
+    return C.citations_of(docs, library, "doc_id", "body", "refs").select("doc_id", "number", "title", "authors", "year", "doi", "document", "source", "quality", "contexts")
+
+
+@query(
+    "bound_claims",
+    r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS text FROM conversations WHERE text IS NOT NULL), q AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS w FROM t),
+n AS (SELECT conv_id, turn AS number, list_distinct(w) AS cw, turn * 3 + 1 AS ctx FROM q)
+SELECT DISTINCT q.conv_id * 100 + q.turn AS claim, q.conv_id || ':' || n.number AS citation FROM q JOIN n ON n.conv_id = q.conv_id AND abs(q.turn + 1 - ctx) <= 4 WHERE len(w) >= 6 AND len(list_filter(w, lambda x: list_contains(cw, x))) / len(w) >= 0.72
+UNION SELECT conv_id * 100 + turn, conv_id || ':' || (turn % 3) FROM t WHERE trim(text) <> '' AND turn % 3 IN (SELECT turn FROM t u WHERE u.conv_id = t.conv_id)""",
+)
+def bound_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as claims that cite a number; turns as contexts of citations, three lines apart."""
+    turns = table(spark, sf_dir, "conversations").filter("text is not null")
+    plain = turns.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    claims = plain.select((F.col("conv_id") * 100 + F.col("turn")).alias("claim"), F.col("conv_id").alias("document"), (F.col("turn") + 1).cast("int").alias("line"), "text", "turn")
+    marked = claims.select(F.col("claim"), "document", F.lit(None).cast("int").alias("line"), F.format_string("[%s]", (F.col("turn") % 3).cast("string")).alias("quote"))
+    both = claims.select("claim", "document", "line", F.col("text").alias("quote")).unionByName(marked)
+    contexts = turns.select(F.col("conv_id").alias("document"), F.col("turn").cast("int").alias("number"), (F.col("turn") * 3 + 1).cast("int").alias("line"), F.col("text").alias("quote"))
+    citations = turns.select(F.format_string("%s:%s", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("citation"), F.col("conv_id").alias("document"), F.col("turn").cast("int").alias("number"), F.lit(None).cast("int").alias("year"), F.array().cast("array<string>").alias("author_keys"))
+    return C.bound(both, contexts, citations)
