@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrivener.functions import labels as B
 from scrivener.functions import text as X
+from scrivener.operators import grounding as V
 from scrivener.operators import library as L
 from scrivener.registry import query
 from scrivener.session import table
@@ -290,3 +292,36 @@ def imported_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split(raw, "\n"), lambda x: F.trim(x) != "")
     doi = X.normalize_doi(F.regexp_extract(raw, r"(10\.\d{1,9}/\S+)", 1))
     return table(spark, sf_dir, "part").select("p_partkey", doi.alias("doi"), X.parse_year(F.regexp_extract(raw, r"Venue .*", 0)).alias("year"), F.get(lines, F.lit(0)).alias("title"), F.array_join(X.author_names(F.get(lines, F.lit(1))), "|").alias("authors"))
+
+
+GENERIC_SQL = ", ".join(f"'{t}'" for t in B.GENERIC_TITLES)
+TOPIC_CTE = rf"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^,;:.()\n]+')) AS phrase FROM documents),
+s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(phrase), '^\d+(?:\.\d+)*\s*', ''), '^[A-Z]\s+', ''), '\s+', ' ', 'g'), ' -_#') AS plain FROM l),
+k AS (SELECT doc_id, plain, lower(plain) AS low, lower(trim(regexp_replace(regexp_replace(trim(plain), '^\d+(?:\.\d+)*\s*', ''), '\s+', ' ', 'g'), ' -_#:.')) AS core FROM s),
+t AS (SELECT doc_id, plain, low FROM k WHERE NOT (low IN ('', {GENERIC_SQL}) OR starts_with(low, 'appendix') OR starts_with(low, 'additional ') OR low IN ('action', 'camera', 'implementation', 'derivation', 'study') OR length(plain) < 3
+ OR core IN ('', {GENERIC_SQL}) OR starts_with(core, 'appendix') OR starts_with(core, 'additional ') OR regexp_matches(core, '{"|".join(B.NON_CORE)}')))"""
+
+
+@query("phrase_topics", f"{TOPIC_CTE} SELECT doc_id, count(*) AS topics, count(DISTINCT low) AS different, count(*) FILTER (low IN ({', '.join(repr(w) for w in B.LABEL_WORDS)})) AS generic FROM t GROUP BY doc_id")
+def phrase_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of whole texts that are topics, and how many of them are generic labels."""
+    phrases = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^,;:.()\n]+"), F.lit(0))).alias("phrase"))
+    found = phrases.select("doc_id", B.topic(F.col("phrase")).alias("topic"), B.is_generic_label(F.col("phrase")).alias("generic")).filter("topic is not null")
+    return found.groupBy("doc_id").agg(F.count("*").alias("topics"), F.countDistinct(F.lower("topic")).alias("different"), F.count_if("generic").alias("generic"))
+
+
+@query(
+    "validated_answers",
+    r"""WITH a AS (SELECT conv_id, turn, text || CASE WHEN length(text) > 500 THEN ' 12 % more.' || chr(10) || 'It is the first [2-3]!' WHEN length(text) > 200 THEN ' the fastest [1, 9]' ELSE ' end' END AS t FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+c AS (SELECT *, list_sort(list_distinct(list_filter([CASE WHEN contains(t, '[2-3]') THEN 2 END, CASE WHEN contains(t, '[2-3]') THEN 3 END, CASE WHEN contains(t, '[1, 9]') THEN 1 END], lambda x: x IS NOT NULL))) AS cited, string_split_regex(regexp_replace(t, '([。！？!?])', '\1' || chr(10), 'g'), '\n+') AS s FROM a),
+u AS (SELECT *, len(list_filter(s, lambda x: x <> '' AND regexp_matches(x, '(?i)(?:\d+(?:\.\d+)?\s*(?:倍|%|％)|\bfirst\b|\bfastest\b|\bstate[- ]of[- ]the[- ]art\b)') AND NOT contains(x, '[2-3]') AND NOT contains(x, '[1, 9]'))) AS n FROM c)
+SELECT conv_id * 1000 + turn AS answer, cited, n::INT AS uncited, array_to_string(list_filter([CASE WHEN len(cited) = 0 THEN 'no_citation' END, CASE WHEN NOT list_contains(cited, 3) THEN 'missing_group:3' END, CASE WHEN n > 0 THEN 'uncited_claim' END], lambda x: x IS NOT NULL), ' ') AS reasons FROM u""",
+)
+def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that cite some of three sources, of which the last must be cited, with claims that need a citation."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null")
+    size = F.length("text")
+    text = F.concat("text", F.when(size > 500, " 12 % more.\nIt is the first [2-3]!").when(size > 200, " the fastest [1, 9]").otherwise(" end"))
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer"), text.alias("text"), F.lit(3).alias("n"), F.array(F.array(F.lit(3), F.lit(8)), F.array(F.lit(7))).alias("groups"))
+    found = V.validated(rows, "answer", "text", "n", None, F.col("groups"), F.lit(True))
+    return found.select("answer", "cited", F.size("uncited").alias("uncited"), F.array_join("reasons", " ").alias("reasons"))
