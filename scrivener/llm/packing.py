@@ -6,11 +6,10 @@ come to within a sequence of the bound. A block has some sequences' worth of tok
 
 A block's goal is ceil(tokens / capacity) sequences of which all but one are full: then nothing is lost but what the
 last sequence lacks. Best-fit decreasing is tried first, once. Blocks that miss the goal, mostly by sequences that
-lack a few tokens, are solved by several islands in parallel. An island starts from that packing, its neighbour's elite
-and noisy best-fit packings. Its crossover injects whole well-filled sequences of one parent into the other, removes
+lack a few tokens, are solved by several islands in parallel. An island starts from that packing and noisy best-fit packings. Its crossover injects whole well-filled sequences of one parent into the other, removes
 the sequences that hold duplicates, opens some with room, exchanges pieces of the others for displaced ones that fill
-them better, and best-fits what is left. After each epoch every island's elite migrates to the next island of its
-block. A block ends as soon as an island meets the goal.
+them better, and best-fits what is left. After each epoch every island's elite takes the place of the worst packing of the
+next island of its block. A block ends as soon as an island meets the goal.
 
 The least filled sequence of every block is opened again and its pieces are packed together in a further round, so
 that what blocks lose at their ends doesn't add up; each round has an eighth of the tokens of the one before, or less.
@@ -30,6 +29,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -162,23 +162,24 @@ Bin = tuple[int, tuple[int, ...]]  # how full it is, and its pieces
 
 
 def best_fit(lengths: list[int], items: list[int], bins: list[Bin], capacity: int) -> list[Bin]:
-    """Put each item, in the order given, into the fullest bin that has room, else into a new one."""
-    held = [list(b) for _, b in bins]
-    spaces = sorted((capacity - fill, k) for k, (fill, _) in enumerate(bins) if fill < capacity)
-    left = [capacity - fill for fill, _ in bins]
+    """Put each item, in the order given, into the fullest bin that has room, else into a new one. Room and bin are one
+    number each, in order."""
+    held, left = [list(b) for _, b in bins], [capacity - fill for fill, _ in bins]
+    spaces = sorted(space << 20 | k for k, space in enumerate(left) if space)
     for i in items:
         need = lengths[i]
-        at = bisect_left(spaces, (need, -1))
+        at = bisect_left(spaces, need << 20)
         if at < len(spaces):
-            space, k = spaces.pop(at)
+            code = spaces.pop(at)
+            k, space = code & 0xFFFFF, (code >> 20) - need
             held[k].append(i)
+            left[k] = space
         else:
-            space, k = capacity, len(held)
+            k, space = len(held), capacity - need
             held.append([i])
             left.append(space)
-        left[k] = space - need
-        if space > need:
-            insort(spaces, (space - need, k))
+        if space:
+            insort(spaces, space << 20 | k)
     return [(capacity - s, tuple(b)) for s, b in zip(left, held, strict=True)]
 
 
@@ -208,26 +209,33 @@ def exchange_pieces(lengths: list[int], bins: list[Bin], free: list[int], capaci
 
 
 def crossover(lengths: list[int], into: list[Bin], donor: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
-    """Inject well-filled bins of the donor, drop the bins with duplicates, fit what is displaced."""
+    """Inject well-filled bins of the donor, drop the bins with duplicates, fit what is displaced. Full bins that stay are
+    passed on as they are; only those with room are looked at again."""
     good = [b for b in donor if b[0] == capacity] or sorted(donor, reverse=True)[: max(1, len(donor) // 2)]
     injected = rng.sample(good, max(1, int(len(good) * rng.uniform(0.1, 0.5))))
     held = {i for _, b in injected for i in b}
-    kept, displaced = [], []
+    full, part, displaced = [], [], []
     for bin_ in into:
-        if held.isdisjoint(bin_[1]):
-            kept.append(bin_)
-        else:
+        if not held.isdisjoint(bin_[1]):
             displaced += [i for i in bin_[1] if i not in held]
-    # Mutation: the least filled bins, and some more of those with room, are opened too.
-    kept.sort()
-    few = max(1, len(kept) // 20)
-    displaced += [i for _, b in kept[:few] for i in b]
-    opened = set(rng.sample(range(few, len(kept)), few)) if len(kept) > 2 * few else set()
-    displaced += [i for k in opened for i in kept[k][1]]
-    kept = [b for k, b in enumerate(kept) if k >= few and k not in opened]
-    kept, displaced = exchange_pieces(lengths, kept, displaced, capacity)
-    displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(lengths, displaced, injected + kept, capacity)
+        elif bin_[0] == capacity:
+            full.append(bin_)
+        else:
+            part.append(bin_)
+    # Mutation: the least filled bins, and some more, are opened too.
+    part.sort()
+    n = len(part) + len(full)
+    few = max(1, n // 20)
+    opened = {*range(min(few, n)), *(rng.sample(range(few, n), few) if n > 2 * few else ())}
+    for k in opened:
+        displaced += (part[k] if k < len(part) else full[k - len(part)])[1]
+    first = len(part)
+    part = [b for k, b in enumerate(part) if k not in opened]
+    full = [b for k, b in enumerate(full, first) if k not in opened]
+    part, displaced = exchange_pieces(lengths, part, displaced, capacity)
+    displaced.sort(key=lengths.__getitem__, reverse=True)
+    room = [b for b in injected if b[0] < capacity]
+    return [b for b in injected if b[0] == capacity] + full + best_fit(lengths, displaced, room + part, capacity)
 
 
 def meets_goal(bins: list[Bin], capacity: int) -> bool:
@@ -235,24 +243,30 @@ def meets_goal(bins: list[Bin], capacity: int) -> bool:
     return sum(fill < capacity for fill, _ in bins) <= 1
 
 
-def evolve(lengths: list[int], elites: list[list[int]], seed: int, capacity: int, population: int, generations: int) -> list[Bin]:
-    """One epoch of one island: its best packing. Elites are given as the bin of each item."""
+def evolved(lengths: list[int], given: list[list[int]], seed: int, capacity: int, population: int, generations: int) -> list[list[Bin]]:
+    """One epoch of one island: its packings, the best first. Those that it begins with are given as the bin of each item;
+    noisy best-fit packings fill them up."""
     rng, order, people = random.Random(seed), sorted(range(len(lengths)), key=lambda i: -lengths[i]), []
-    for elite in elites:
+    for one in given:
         bins: dict[int, list[int]] = {}
-        for i, k in enumerate(elite):
+        for i, k in enumerate(one):
             bins.setdefault(k, []).append(i)
         people.append([(sum(lengths[i] for i in b), tuple(b)) for b in bins.values()])
     while len(people) < population:
-        people.append(best_fit(lengths, sorted(order, key=lambda i: -lengths[i] * rng.uniform(0.7, 1)), [], capacity))
-    people.sort(key=fitness, reverse=True)
+        people.append(best_fit(lengths, sorted(order, key=[-n * rng.uniform(0.7, 1) for n in lengths].__getitem__), [], capacity))
+    fit = sorted(((fitness(p), p) for p in people), key=itemgetter(0), reverse=True)
     for _ in range(generations):
-        if meets_goal(people[0], capacity):
+        if meets_goal(fit[0][1], capacity):
             break
-        parents = people[: max(2, population // 2)]
+        parents = [p for _, p in fit[: max(2, population // 2)]]
         children = [crossover(lengths, *rng.sample(parents, 2), capacity, rng) for _ in range(population // 2)]
-        people = sorted(people + children, key=fitness, reverse=True)[:population]
-    return people[0]
+        fit = sorted([*fit, *((fitness(p), p) for p in children)], key=itemgetter(0), reverse=True)[:population]
+    return [p for _, p in fit[:population]]
+
+
+def evolve(lengths: list[int], elites: list[list[int]], seed: int, capacity: int, population: int, generations: int) -> list[Bin]:
+    """The best packing of one island's epoch."""
+    return evolved(lengths, elites, seed, capacity, population, generations)[0]
 
 
 def numbered(bins: list[Bin], n: int) -> list[int]:
@@ -277,39 +291,40 @@ def _first(capacity: int):
     return run
 
 
-ISLAND = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("elite", pa.list_(pa.int32())), ("rank", pa.int64()), ("goal", pa.bool_())])
+ISLAND = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("people", pa.list_(pa.list_(pa.int32()))), ("rank", pa.int64()), ("goal", pa.bool_())])
 
 
 def _islands(capacity: int, population: int, generations: int, epoch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for r in batch.to_pylist():
-                best = evolve(r["lengths"], r["elites"], hash((r["block"], r["island"], epoch)), capacity, population, generations)
+                people = evolved(r["lengths"], r["people"], hash((r["block"], r["island"], epoch)), capacity, population, generations)
                 # What a packing loses: whole sequences, then what its least filled sequence holds.
-                rank = len(best) * capacity + min(fill for fill, _ in best)
-                rows.append({"block": r["block"], "island": r["island"], "lengths": r["lengths"], "elite": numbered(best, len(r["lengths"])), "rank": rank, "goal": meets_goal(best, capacity)})
-            yield pa.RecordBatch.from_pylist(rows, schema=ISLAND)
+                rank = len(people[0]) * capacity + min(fill for fill, _ in people[0])
+                row = {"block": r["block"], "island": r["island"], "lengths": r["lengths"], "people": [numbered(p, len(r["lengths"])) for p in people], "rank": rank, "goal": meets_goal(people[0], capacity)}
+                yield pa.RecordBatch.from_pylist([row], schema=ISLAND)
 
     return run
 
 
 def pack_lengths(blocks: DataFrame, scratch: Scratch, capacity: int = 4096, islands: int = 3, epochs: int = 3, population: int = 8, generations: int = 12) -> DataFrame:
     """blocks: block long, lengths array<int>, elite array<int> (the bin of each length in a first packing). Returns
-    block and elite: the best packing that an island found."""
+    block and elite: the best packing that an island found. An island keeps its packings from epoch to epoch; its neighbour's
+    best one takes the place of its worst."""
     best, cores = None, 4 * blocks.sparkSession.sparkContext.defaultParallelism
-    now = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.array("elite").alias("elites"))
+    now = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.array("elite").alias("people"))
     for epoch in range(epochs):
         # Few bytes but much work: a number of partitions that is stated isn't coalesced.
         tasks = max(1, min(cores, now.select("block").count()))
-        now = now.select("block", "island", "lengths", "elites").repartition(tasks, "block", "island")
-        now = scratch.save(now.mapInArrow(_islands(capacity, population, generations, epoch), "block long, island int, lengths array<int>, elite array<int>, rank long, goal boolean"))
-        best = now if best is None else best.unionByName(now)
+        now = now.select("block", "island", "lengths", "people").repartition(tasks, "block", "island")
+        now = scratch.save(now.mapInArrow(_islands(capacity, population, generations, epoch), "block long, island int, lengths array<int>, people array<array<int>>, rank long, goal boolean"))
+        found = now.select("block", "island", "rank", F.element_at("people", 1).alias("elite"))
+        best = found if best is None else best.unionByName(found)
         going = now.groupBy("block").agg(F.bool_or("goal").alias("any")).filter(~F.col("any")).select("block")
         if epoch + 1 == epochs or going.isEmpty():
             break
-        migrants = now.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("guest"))
-        now = now.join(migrants, ["block", "island"]).join(going, "block", "left_semi").withColumn("elites", F.array("elite", "guest"))
+        migrants = found.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("guest"))
+        now = now.join(migrants, ["block", "island"]).join(going, "block", "left_semi").withColumn("people", F.concat(F.slice("people", 1, population - 1), F.array("guest")))
     return best.groupBy("block").agg(F.min_by("elite", F.struct("rank", "island")).alias("elite"))
 
 
