@@ -226,7 +226,9 @@ def part_summary(summary: Column, part: Column, parts: Column) -> Column:
 
 def document_version(documents: DataFrame, chunks: DataFrame, key: str, fields: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Per document a hash of its fields in the order of their names and of its chunks in theirs."""
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "content"))), lambda c: F.concat_ws("\x1f", *(c[o].cast("string") for o in order), F.sha2(c["content"], 256))), "\x1e")
-    per = chunks.groupBy(key).agg(parts.alias("__chunks"))
+    # Contents are hashed before a document's chunks meet.
+    hashed = chunks.select(key, *order, F.sha2("content", 256).alias("__h"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "__h"))), lambda c: F.concat_ws("\x1f", *(c[o].cast("string") for o in order), c["__h"])), "\x1e")
+    per = hashed.groupBy(key).agg(parts.alias("__chunks"))
     head = F.concat_ws("\x1f", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in sorted(fields)))
     return documents.join(per, key, "left").select(key, F.sha2(F.concat_ws("\x1e", head, F.coalesce("__chunks", F.lit(""))), 256).alias("version"))
