@@ -11,7 +11,8 @@ only these leave the scan. Candidates are then verified: of the item's shingles
 document are counted.
 
 All of it is DataFrame operations. Null and empty texts contain nothing and no item without a word is searched for.
-Repeated document rows are one document, repeated items one item; an empty table on either side gives no rows. Other
+Rows that share both doc_id (or have none) and text are one document; those that share an id alone are documents of their
+own, told apart by a hash of the text. Repeated items are one item; an empty table on either side gives no rows. Other
 columns are not read.
 """
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from scrivener.llm.shared import Scratch, fresh
 from scrivener.session import prepare
 
-#: Sketch hashes, and item shingles, up to which the search side is broadcast (24 bytes a row); beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of sketch hashes (24 a row), and of item shingles with their words, up to which the search side is broadcast; beyond,
+#: it is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 MOST_WORDS = 1 << 30
 
 
@@ -61,28 +63,30 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, sh
     sized = sketch.withColumn("least", F.ceil(F.col("size") * F.lit(containment) - 0.01))
     # The sketch limit of each partition of documents: class c holds documents of 2^c to 2^(c+1) - 1 shingles.
     limits = {r["c"]: r["top"] for r in sized.select(F.explode(F.sequence(F.lit(0), F.lit(31))).alias("c"), "h", "least").filter("least < shiftleft(1L, c + 1)").groupBy("c").agg(F.max("h").alias("top")).collect()}
-    small = sketch.count() <= BROADCAST_ROWS and shingles.count() <= BROADCAST_ROWS
+    spelled = shingles.agg(F.coalesce(F.sum(24 + F.octet_length("words")), F.lit(0)).alias("bytes")).first()["bytes"]
+    small = 24 * sketch.count() <= BROADCAST_BYTES and spelled <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda df: df)
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
-    hashed = shingle_hashes(texts, "doc_id", shingle, False)
+    one = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text"))
+    texts = docs.select(one.alias("doc"), "text").filter("text is not null")
+    hashed = shingle_hashes(texts, "doc", shingle, False)
     size_class = F.floor(F.log2("n")).cast("int")
     limit = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(limits.items()) for x in kv)), size_class) if limits else F.lit(None).cast("long")
     sketched = hashed.filter(F.col("h") <= limit)
     found = sketched.join(hint(sized.select("item_id", "h", "least")), "h").filter(F.col("n") >= F.col("least"))
-    candidates = found.select("doc_id", "item_id").distinct()
+    candidates = found.select("doc", "item_id").distinct()
     # Items that are one short shingle can't meet a five-word shingle: they are looked for as word sequences.
     candidates = scratch.save(candidates.union(_short_items(texts, items, shingle, hint)).distinct())
 
-    again = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    again = texts.join(candidates.select("doc").distinct(), "doc", "left_semi")
     # The words themselves are compared, so that no two shingles with one hash are taken for each other.
-    present = shingle_hashes(again, "doc_id", shingle, False, True).select("doc_id", "h", "words")
-    wanted = present.join(hint(shingles), ["h", "words"]).select("doc_id", "item_id", "h", "words").distinct()
-    counts = wanted.join(candidates, ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    present = shingle_hashes(again, "doc", shingle, False, True).select("doc", "h", "words")
+    wanted = present.join(hint(shingles), ["h", "words"]).select("doc", "item_id", "h", "words").distinct()
+    counts = wanted.join(candidates, ["doc", "item_id"]).groupBy("doc", "item_id").agg(F.count("*").alias("shared"))
     sizes = shingles.groupBy("item_id").agg(F.count("*").alias("size"))
-    checked = candidates.join(counts, ["doc_id", "item_id"], "left").join(sizes, "item_id").join(_short_ids(items, shingle), "item_id", "left")
+    checked = candidates.join(counts, ["doc", "item_id"], "left").join(sizes, "item_id").join(_short_ids(items, shingle), "item_id", "left")
     shared = F.when(F.col("short"), F.lit(1)).otherwise(F.coalesce("shared", F.lit(0))).cast("long")
-    out = checked.select("doc_id", "item_id", shared.alias("shared"), F.col("size").cast("long").alias("item_shingles"))
+    out = checked.select(F.col("doc.doc_id").alias("doc_id"), "item_id", shared.alias("shared"), F.col("size").cast("long").alias("item_shingles"))
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles")).filter(F.col("containment") >= containment)
 
 
@@ -101,11 +105,11 @@ def _short_items(texts: DataFrame, items: DataFrame, shingle: int, hint) -> Data
     pairs = None
     short = _short(items, shingle)
     for m in [r["m"] for r in short.select("m").distinct().collect()]:
-        grams = shingle_hashes(texts, "doc_id", m, False, True).select("doc_id", "words")
+        grams = shingle_hashes(texts, "doc", m, False, True).select("doc", "words")
         sought = short.filter(F.col("m") == m).select("item_id", F.col("phrase").alias("words"))
-        hit = grams.join(hint(sought), "words").select("doc_id", "item_id").distinct()
+        hit = grams.join(hint(sought), "words").select("doc", "item_id").distinct()
         pairs = hit if pairs is None else pairs.union(hit)
-    return pairs if pairs is not None else texts.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    return pairs if pairs is not None else texts.sparkSession.createDataFrame([], "doc struct<doc_id:long,text:long>, item_id long")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, shingle: int = 5, row: str = "doc_id") -> DataFrame:

@@ -161,3 +161,12 @@ def test_op1_long_names_and_hosts(spark):
     assert [n for _, n in got] == [0, 1, 0, 0, 0, 1, 0, 1, 0, 1]
     for (new, n), old in zip(got, texts, strict=True):
         assert len(new) == len(old) and (new == old) == (n == 0) and new.partition("@")[2] == old.partition("@")[2]
+
+
+def test_op4_rows_that_share_an_id_or_have_none(spark):
+    """Before, rows without an id were left out, and an item could be found across two texts of one id."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    first, second = "one two three four five six seven eight", "five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(None, f"x {item} y"), (1, first), (1, second), (2, item), (2, item), (None, "nothing of it")], "doc_id long, text string")
+    hits = contaminated(docs, spark.createDataFrame([(5, item), (6, "ten eleven twelve")], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in hits) == [("1", 6), ("2", 5), ("2", 6), ("None", 5), ("None", 6)]
