@@ -4,9 +4,8 @@ Two multinomials over hashed byte n-grams are estimated: one from all documents
 documents (the target). A document's verdict is the mean over its n-grams of log p(target) - log p(raw): the
 log-likelihood ratio, normalised by length. It is kept if the ratio reaches the threshold; nothing is drawn at random.
 
-The target is estimated from a bounded sample: of the documents that labels mark as good, the `target_docs` with the
-smallest hash of their id. Raw counts are taken over the whole corpus. The tables have one entry per bucket, whatever
-the size of the corpus, which bounds what is gathered and broadcast.
+The target is all documents that labels mark as good; raw counts are taken over the whole corpus. The tables have one
+entry per bucket, whatever the size of the corpus, which bounds what is gathered and broadcast.
 
 Null texts have no words. Texts of fewer bytes than an n-gram have ratio 0. Repeated rows are judged each by itself.
 Without trusted documents the ratio of every document is 0. A doc_id that labels name twice counts once, and as good
@@ -28,6 +27,8 @@ from scrivener.llm.shared import arrow_batches, utf8
 #: Fixed by the contract of the base rules.
 SYMBOLS, MIN_WORDS, MOST_REPEATS_PERCENT = b"#*$%&|<>", 50, 50
 BUCKET_BITS, NGRAM, SLICE = 16, 4, 1 << 20
+#: Trusted ids up to which they are sent to the documents (16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ratio"]
 
 
@@ -96,15 +97,17 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-def trusted_ids(labels: DataFrame, target_docs: int) -> DataFrame:
-    """A bounded sample of the ids that labels mark as good."""
-    good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter("quality = 1")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids that labels mark as good."""
+    known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    return known.filter("quality = 1").select("doc_id")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, pseudo_count: float = 1.0) -> np.ndarray:
     """log p(target) - log p(raw) per bucket: a table of fixed size."""
-    marked = docs.join(F.broadcast(trusted.withColumn("target", F.lit(True))), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    small = trusted.count() <= BROADCAST_IDS
+    marks = trusted.withColumn("target", F.lit(True))
+    marked = docs.join(F.broadcast(marks) if small else marks, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     table = ngram_counts(marked).toPandas()
     size = 1 << BUCKET_BITS
     if not table["n_target"].sum():
@@ -117,12 +120,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, pseudo_count: float = 1.0) -
     return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.45, target_docs: int = 20_000, row: str = "doc_id") -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.45, row: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, the base counts, base_failed, log_ratio and kept. Another column can be given instead of
     doc_id to name the rows by; labels are looked up by doc_id all the same."""
     spark = arrow_batches(docs.sparkSession)
     named, docs = docs.select(F.col(row).cast("long"), F.col("text").cast("string")), docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shared = spark.sparkContext.broadcast(log_ratios(docs, trusted_ids(labels, target_docs)).astype(np.float32))
+    shared = spark.sparkContext.broadcast(log_ratios(docs, trusted_ids(labels)).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = shared.value
