@@ -3,14 +3,17 @@
 A text's features are indicators of its hashed byte n-grams, and of n-grams over the marks "same word as before" and
 "line seen before". Each indicator is scaled by its class log-count ratio, r = log((p / |p|) / (q / |q|)) with p and q
 the smoothed document counts in the good and the bad class; rows are scaled to length one. A linear hinge-loss model
-is fitted by dual coordinate descent in rounds: each shard of the sample descends on its own dual variables, against the
+is fitted by dual coordinate descent over all rows of the sample, until the duality gap is at most `gap` of the objective.
+The margin becomes a probability by a logistic curve, fitted to margins of rows that a model hasn't seen: the rows are in
+three parts, and each part's margins come from a model of the other two. The four models are four tasks.
+
+A sample beyond `shard_rows` is descended on in rounds instead, by shards: each on its own dual variables, against the
 weights of all, and the shards' steps are added up. Each shard takes its steps as if the others took the same ones, so
-that the sum never overshoots, and the rounds converge to the one solution for all rows; the last step's duality gap is
-known. The margin becomes a probability by a logistic curve, fitted to margins that each shard's rows get from the
-weights without that shard's share.
+that the sum never overshoots, and the rounds come to the one solution for all rows; they too go on until the gap is met.
 
-Labelled rows are a bounded sample: those with the smallest hash of their id, `most_labelled` at most. Ids whose CRC-32
-modulo `folds` is 0 are held out and never learned from. Only the text is an input of a score.
+Labelled rows are a bounded sample: those with the smallest hash of their id, `most_labelled` at most; equal rows count
+once, with a weight. Ids whose CRC-32 modulo `folds` is 0 are held out and never learned from. Only the text is an input
+of a score.
 
 Null texts count as empty, and an empty text gets the score of a text without features. Repeated rows are scored each
 by itself; a doc_id that labels name twice counts once, as good only if no row says otherwise. Without labels of both
@@ -31,6 +34,7 @@ from scrivener.llm.quality_rules import BUCKET_BITS, buckets, slices
 from scrivener.llm.shared import Scratch, arrow_batches, crc32_of_id, utf8
 
 HASHED = 1 << BUCKET_BITS
+PARTS = 3  # of the sample, for margins of rows that a model hasn't seen
 MARKS = 16  # eight 3-grams of equal words, eight of repeated lines
 SIZE = HASHED + MARKS
 
@@ -95,9 +99,10 @@ def _round(shared, cost: float, epochs: int, shards: int, seed: int):
     return run
 
 
-def descended(rows: DataFrame, ratio: np.ndarray, scratch: Scratch, cost: float, rounds: int, epochs: int) -> tuple[np.ndarray, dict[int, np.ndarray], float]:
+def descended(rows: DataFrame, ratio: np.ndarray, scratch: Scratch, cost: float, rounds: int, epochs: int, enough: float = 0.0) -> tuple[np.ndarray, dict[int, np.ndarray], float]:
     """Weights (over scaled indicators, the last for the constant), each shard's share of them, and the duality gap
-    relative to the objective. rows: good, shard, feats and order, by which a shard's rows are sorted."""
+    relative to the objective, after so many rounds or once the gap is small enough. rows: good, shard, feats and order, by
+    which a shard's rows are sorted."""
     context = rows.sparkSession.sparkContext
     shards = rows.select("shard").distinct().count()
     w, state, shares, gap = np.zeros(SIZE + 1), None, {}, 0.0
@@ -110,7 +115,16 @@ def descended(rows: DataFrame, ratio: np.ndarray, scratch: Scratch, cost: float,
         shares = {int(s): np.array(x) for s, x in zip(found["shard"], found["share"], strict=True)}
         w = sum(shares.values())
         dual = float(sum(np.sum(a) for a in found["alpha"])) - float(w @ w) / 2
-    last = context.broadcast((ratio, w))
+        if k + 1 == rounds or enough and k % 8 == 7:
+            gap = _gap(rows, ratio, w, cost, dual)
+            if gap <= enough:
+                break
+    return w, shares, gap
+
+
+def _gap(rows: DataFrame, ratio: np.ndarray, w: np.ndarray, cost: float, dual: float) -> float:
+    """How far the weights' objective is above the dual one, relative to it."""
+    last = rows.sparkSession.sparkContext.broadcast((ratio, w))
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, w = last.value
@@ -119,8 +133,7 @@ def descended(rows: DataFrame, ratio: np.ndarray, scratch: Scratch, cost: float,
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["loss"])
 
     primal = float(w @ w) / 2 + cost * rows.select("good", "feats").mapInArrow(losses, "loss double").agg(F.sum("loss")).first()[0]
-    gap = (primal - dual) / max(primal, 1e-9)
-    return w, shares, gap
+    return (primal - dual) / max(primal, 1e-9)
 
 
 def margin(x: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> float:
@@ -144,18 +157,20 @@ def logistic(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: int, most_labelled: int, shards: int) -> DataFrame:
-    """good, shard, feats and order of the sampled labelled rows. Rows of equal order are copies."""
+def sample(docs: DataFrame, labels: DataFrame, folds: int, most_labelled: int) -> DataFrame:
+    """good, part (0 to 2), feats, order and weight of the sampled labelled rows: equal rows of one id are one, with their number
+    as its weight."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"))
     known = known.filter(F.pmod(crc32_of_id(), F.lit(folds)) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "good", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", "text").alias("order"))
+    rows = docs.join(F.broadcast(known), "doc_id").select("good", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).cast("int").alias("part"), "text", F.xxhash64("doc_id", "text").alias("order"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats = pa.array([features(t) for t in utf8(batch.column(0))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), feats, batch.column(3)], ["good", "shard", "feats", "order"])
+            feats = pa.array([features(t) for t in utf8(batch.column(2))], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), feats, batch.column(3)], ["good", "part", "feats", "order"])
 
-    return rows.mapInArrow(run, "good int, shard int, feats array<int>, order long")
+    found = rows.mapInArrow(run, "good int, part int, feats array<int>, order long")
+    return found.groupBy("order", "good", "part").agg(F.first("feats").alias("feats"), F.count("*").cast("int").alias("weight"))
 
 
 def count_ratio(rows: DataFrame, smoothing: float) -> tuple[np.ndarray, int, int]:
@@ -164,38 +179,91 @@ def count_ratio(rows: DataFrame, smoothing: float) -> tuple[np.ndarray, int, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, SIZE + 1), np.int64)
         for batch in batches:
-            for good, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts[good, x.values.to_numpy()] += 1
-                counts[good, SIZE] += 1
+            for good, x, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                counts[good, x.values.to_numpy()] += n
+                counts[good, SIZE] += n
         at = np.flatnonzero(counts.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["f", "bad", "good"])
 
-    table = rows.select("good", "feats").mapInArrow(run, "f int, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
+    table = rows.select("good", "feats", "weight").mapInArrow(run, "f int, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
     counts = np.zeros((2, SIZE + 1))
     counts[0, table["f"]], counts[1, table["f"]] = table["bad"], table["good"]
     p, q = counts[1, :SIZE] + smoothing, counts[0, :SIZE] + smoothing
     return np.log(p / p.sum()) - np.log(q / q.sum()), int(counts[1, SIZE]), int(counts[0, SIZE])
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int, most_labelled: int, shards: int = 8, smoothing: float = 1.0, cost: float = 1.0, rounds: int = 8, epochs: int = 3) -> tuple:
+def solved(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, cost: float, gap: float, most_epochs: int, seed: int) -> tuple[np.ndarray, float, int]:
+    """The weights of all rows' hinge-loss model, its duality gap relative to the objective, and the epochs that it took. Rows are
+    the features flat[ends[i - 1]:ends[i]]; a row of weight n is n rows."""
+    n, values = len(ends), ratio[flat].astype(np.float32)
+    starts = np.concatenate([[0], ends[:-1]])
+    full = ends > starts
+    norms = np.ones(n)
+    norms[full] = np.maximum(1e-9, np.sqrt(np.add.reduceat(values.astype(float) ** 2, starts[full])))
+    values /= np.repeat(norms, ends - starts).astype(np.float32)
+    rows = [(flat[a:b], values[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    squares = np.where(full, 2.0, 1.0)  # with the constant
+    w, alpha, most, rng = np.zeros(SIZE), np.zeros(n), cost * weight, np.random.default_rng(seed)
+    bias, reached = 0.0, np.inf
+    for epoch in range(1, most_epochs + 1):
+        for i in rng.permutation(n).tolist():
+            x, v = rows[i]
+            new = min(max(alpha[i] - (y[i] * (float(w[x] @ v) + bias) - 1) / squares[i], 0.0), most[i])
+            if new != alpha[i]:
+                step = (new - alpha[i]) * y[i]
+                w[x] += step * v
+                bias += step
+                alpha[i] = new
+        margins = np.full(n, bias)
+        margins[full] += np.add.reduceat(w[flat] * values, starts[full])
+        square = float(w @ w) + bias * bias
+        primal = square / 2 + cost * float(weight @ np.maximum(0.0, 1 - y * margins))
+        reached = (primal - (float(alpha.sum()) - square / 2)) / max(primal, 1e-9)
+        if reached <= gap:
+            break
+    return np.append(w, bias), reached, epoch
+
+
+def models(rows: DataFrame, ratio: np.ndarray, cost: float, gap: float, most_epochs: int) -> dict[int, tuple[np.ndarray, float, int]]:
+    """A model of each pair of the sample's parts, by the part that it lacks, and one of all, by PARTS: weights, gap, epochs. A
+    model is one task, over a sample that is bounded."""
+    shared = rows.sparkSession.sparkContext.broadcast(ratio)
+
+    def each(key, group):
+        group = group.combine_chunks().sort_by("order")
+        feats = group.column("feats").combine_chunks()
+        flat, ends = feats.flatten().to_numpy(), np.cumsum(feats.value_lengths().to_numpy())
+        y = np.where(group.column("good").to_numpy() > 0, 1.0, -1.0)
+        w, reached, epochs = solved(flat, ends, y, group.column("weight").to_numpy().astype(float), shared.value, cost, gap, most_epochs, 7)
+        return pa.table({"model": key[0].cast(pa.int32()).as_py() * np.ones(1, np.int32), "w": pa.array([w]), "gap": [reached], "epochs": pa.array([epochs], pa.int32())})
+
+    every = F.filter(F.sequence(F.lit(0), F.lit(PARTS)), lambda m: m != F.col("part"))
+    found = rows.withColumn("model", F.explode(every)).groupBy("model").applyInArrow(each, "model int, w array<double>, gap double, epochs int")
+    return {r["model"]: (np.array(r["w"]), r["gap"], r["epochs"]) for r in found.collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int, most_labelled: int, smoothing: float = 1.0, cost: float = 1.0, gap: float = 0.01, most_epochs: int = 300, shard_rows: int = 20_000, most_rounds: int = 200) -> tuple:
     """ratio, weights, slope and offset of the model."""
-    rows = scratch.save(sample(docs, labels, folds, most_labelled, shards))
+    rows = scratch.save(sample(docs, labels, folds, most_labelled))
     ratio, n_good, n_bad = count_ratio(rows, smoothing)
     if not n_good or not n_bad:
         return np.zeros(SIZE), np.zeros(SIZE + 1), 0.0, float(np.log((n_good + 1) / (n_bad + 1)))
-    context = docs.sparkSession.sparkContext
-    w, shares, _ = descended(rows, ratio, scratch, cost, rounds, epochs)
-    # Without a shard's share the weights are smaller by as much as the shard is of the sample.
-    grown = len(shares) / max(1, len(shares) - 1)
-    shared, crossed = context.broadcast(ratio), context.broadcast({k: (w - x) * grown if len(shares) > 1 else w for k, x in shares.items()})
+    context, n = docs.sparkSession.sparkContext, rows.count()
+    if n <= shard_rows:
+        found = {k: x[0] for k, x in models(rows, ratio, cost, gap, most_epochs).items()}
+    else:
+        each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight")))).withColumn("shard", F.pmod(F.xxhash64("order", "copy"), F.lit(-(-n // shard_rows))).cast("int"))
+        found = {k: descended(each.filter(F.col("part") != k), ratio, scratch, cost, most_rounds, 3, gap)[0] for k in range(PARTS + 1)}
+    w = found[PARTS]
+    shared, crossed = context.broadcast(ratio), context.broadcast({k: found.get(k, w) for k in range(PARTS)})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [margin(x.values.to_numpy(), shared.value, crossed.value[s]) for s, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(0)], ["m", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(0), batch.column(3)], ["m", "good", "weight"])
 
-    seen = rows.select("good", "shard", "feats").mapInArrow(judge, "m double, good int").toPandas()
-    return ratio, w, *logistic(seen["m"].to_numpy(), seen["good"].to_numpy(float))
+    seen = rows.select("good", "part", "feats", "weight").mapInArrow(judge, "m double, good int, weight int").toPandas()
+    return ratio, w, *logistic(*(np.repeat(seen[c].to_numpy(float), seen["weight"]) for c in ("m", "good")))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, most_labelled: int = 20_000, **fitting: float) -> DataFrame:

@@ -571,3 +571,65 @@ def test_pipeline_equals_plain_stages(spark, documents):
             ids = np.array([*tokenizer.encode(brute.pseudonymised(t, corpus_pipeline.KEY)[0], add_special_tokens=False).ids, 1], "<u4")
             want |= {(d, k): zlib.crc32(ids[s : s + 4096].tobytes()) for k, s in enumerate(range(0, len(ids), 4096))}
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in got.itertuples()} == want and len(got) == len(want)
+
+
+def plain_features(text: str | None) -> set[int]:
+    """Hashed 4-byte grams, and the patterns of three over "same word as before" and "line seen before"."""
+    raw = (text or "").encode()
+    out, words = set(brute.byte_ngrams(text or "")), raw.split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    for base, flags in ((0, [a == b for a, b in zip(words, words[1:])]), (8, [x in lines[:i] for i, x in enumerate(lines)])):
+        out |= {65536 + base + 4 * a + 2 * b + c for a, b, c in zip(flags, flags[1:], flags[2:])}
+    return out
+
+
+def test_op10_features_ratios_models_and_scores_at_the_query_settings(spark, documents):
+    from scrivener.llm import quality_classifier as C
+
+    labels = pd.read_parquet(f"{SF}/labels.parquet")
+    docs = spark.createDataFrame(pd.concat([documents[["doc_id", "text"]], documents[["doc_id", "text"]].iloc[:40]]))
+    rows = C.sample(docs, spark.createDataFrame(labels), 5, 20_000).collect()
+    texts, marks = dict(zip(documents["doc_id"], documents["text"], strict=True)), labels.groupby("doc_id")["quality"].min().to_dict()
+    learned = {d: q for d, q in marks.items() if d in texts and brute.id_crc(d) % 5}
+    feats = {d: plain_features(texts[d]) for d in learned}
+    twice = set(documents["doc_id"].iloc[:40])
+    assert sorted((tuple(r["feats"]), r["good"], r["weight"]) for r in rows) == sorted((tuple(sorted(feats[d])), int(q), 2 if d in twice else 1) for d, q in learned.items())
+
+    frame = Scratch(spark).save(C.sample(docs, spark.createDataFrame(labels), 5, 20_000))
+    ratio, n_good, n_bad = C.count_ratio(frame, 1.0)
+    weight = {d: 2 if d in twice else 1 for d in learned}
+    counts = {q: Counter(f for d in learned if learned[d] == q for f in feats[d] for _ in range(weight[d])) for q in (0, 1)}
+    total = {q: counts[q].total() + C.SIZE for q in (0, 1)}
+    for f in [*list(counts[1])[:300], *list(counts[0])[:300], 5]:
+        assert ratio[f] == pytest.approx(math.log((counts[1][f] + 1) / total[1]) - math.log((counts[0][f] + 1) / total[0]))
+    assert (n_good, n_bad) == tuple(sum(weight[d] for d in learned if learned[d] == q) for q in (1, 0))
+
+    part = {tuple(r["feats"]): r["part"] for r in rows}
+    values = {d: C.scaled(np.array(sorted(feats[d]), np.int64), ratio) for d in learned}
+
+    def objective(w: np.ndarray, lacks: int) -> float:
+        used = [d for d in learned if part[tuple(sorted(feats[d]))] != lacks]
+        return float(w @ w) / 2 + sum(weight[d] * max(0.0, 1 - (1 if learned[d] else -1) * (w[sorted(feats[d])] @ values[d] + w[C.SIZE])) for d in used)
+
+    found, close = C.models(frame, ratio, 1.0, 0.01, 300), C.models(frame, ratio, 1.0, 1e-5, 3000)
+    for lacks in range(C.PARTS + 1):
+        w, gap, _ = found[lacks]
+        best = objective(close[lacks][0], lacks)
+        assert 0 <= gap <= 0.01 and close[lacks][1] <= 1e-5 and best <= objective(w, lacks) + 1e-6 and objective(w, lacks) <= best * 1.0102
+
+    ratio, w, slope, offset = C.fit(docs, spark.createDataFrame(labels), Scratch(spark), 5, 20_000)
+    got = C.scored(docs, spark.createDataFrame(labels)).toPandas().drop_duplicates("doc_id").set_index("doc_id")["score"]
+    for d in list(texts)[::7]:
+        x = np.array(sorted(plain_features(texts[d])), np.int64)
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-(slope * (w[x] @ C.scaled(x, ratio) + w[C.SIZE]) + offset))), abs=1e-4)
+    assert slope > 0
+
+
+def test_op10_larger_samples_are_solved_by_shards(spark, documents):
+    """The rounds over shards end at the same gap as one descent, and their scores rank rows alike."""
+    from scrivener.llm import quality_classifier as C
+
+    docs, labels = spark.createDataFrame(documents[["doc_id", "text"]]), spark.createDataFrame(pd.read_parquet(f"{SF}/labels.parquet"))
+    one = C.scored(docs, labels).toPandas().set_index("doc_id")["score"]
+    many = C.scored(docs, labels, shard_rows=25, gap=0.05, most_rounds=40).toPandas().set_index("doc_id")["score"]
+    assert one.rank().corr(many.rank()) > 0.95
