@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions.markdown import FENCE
-from scrivener.functions.tables import SENTENCE, WEIGHED, continuity, hard_split, islands, weight
+from scrivener.functions.tables import SENTENCE, WEIGHED, _per_text, continuity, hard_split, islands, weight
 
 #: The path of text without headings, what joins summaries, and their longest.
 NO_HEADING, GLUE, LONGEST_SUMMARY = "正文", "；", 500
@@ -184,3 +184,49 @@ def overlap_statistics(chunks: DataFrame, by: list[str], key: str, tokens_column
         F.count("*").alias("chunks"), F.countDistinct(key).alias("documents"), F.round(F.avg(tokens_column), 4).alias("mean_tokens"), F.max(tokens_column).alias("most_tokens"),
         F.count_if(F.col("shared") > 0).alias("overlapping"), F.sum("shared").alias("shared_tokens"), F.count_if(structure).alias("structured"),
     )
+
+
+# The names of text without a heading of its own.
+FRONT, WHOLE_TEXT = "文档首页", NO_HEADING
+SECTION_HEADING = re.compile(r"(?m)^(#{1,6})\s+(.+?)\s*$")
+
+
+def section_windows(text: str, size: int, overlap: int) -> list[tuple[int, str, int, str]]:
+    """Number, section, line and text of windows of at most `size` characters: sections by heading, each cut at the last
+    paragraph break in the second half of a window, else at the last sentence end there, else where it is full; the next window
+    begins `overlap` characters before."""
+    heads = list(SECTION_HEADING.finditer(text))
+    newlines = [m.start() for m in re.finditer("\n", text)]
+    line_of = lambda at: int(np.searchsorted(newlines, at)) + 1
+    stops = [m.start() for m in heads[1:]] + [len(text)]
+    parts = [(m[2].strip(), text[m.end() : stop].strip(), line_of(m.start())) for m, stop in zip(heads, stops, strict=False)]
+    front = text[: heads[0].start()].strip() if heads else text.strip()
+    parts.insert(0, (FRONT if heads else WHOLE_TEXT, front, 1))
+    out: list[tuple[int, str, int, str]] = []
+    for name, body, line in parts:
+        breaks = [np.fromiter((m.start() for m in re.finditer(r"(?=\n\n)", body)), np.int64), np.sort(np.fromiter((m.start() + 1 for m in re.finditer(r"(?=。|\. )", body)), np.int64))]
+        lines, at = np.fromiter((m.start() for m in re.finditer("\n", body)), np.int64), 0
+        while at < len(body):
+            full, half = at + size, at + size // 2
+            end = min(len(body), full)
+            if full < len(body):
+                # A break of two signs lies in the window as a whole; a sentence's end may be the window's.
+                for places, last in ((breaks[0], full - 2), (breaks[1], full)):
+                    k = int(np.searchsorted(places, last, "right"))
+                    found = int(places[k - 1]) if k else -1
+                    if places is breaks[1] and k and body[found - 1] == "." and found + 1 > full:
+                        found = int(places[k - 2]) if k > 1 else -1
+                    if found > half or places is breaks[0] and found == half and half > at:
+                        end = found if found > half else end
+                        break
+            if piece := body[at:end].strip():
+                out.append((len(out) + 1, name, line + int(np.searchsorted(lines, at)), piece))
+            if end >= len(body):
+                break
+            at = max(at + 1, end - overlap)
+    return out
+
+
+def graph_windows(df: DataFrame, key: str, text: str, size: int = 6000, overlap: int = 400) -> DataFrame:
+    """key, window, section, line and content of the windows of each text. Null and blank texts give no rows."""
+    return _per_text(df, key, text, "window int, section string, line int, content string", lambda t: section_windows(t, size, overlap))

@@ -133,3 +133,18 @@ def sharded_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark).path}/sharded"
     sinks.publish_sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), path, "doc_id")
     return spark.read.schema("doc_id long, text string, shard string").parquet(path).select("doc_id", F.sha2("text", 256).alias("text"), "shard")
+
+
+@query(
+    "best_files",
+    """WITH f AS (SELECT '/files/' || n_name || '/' || lower(s_name) || '-' || n_name || '.pdf' AS path, lower(s_name) || '-' || lower(n_name) AS stem FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+r AS (SELECT s_suppkey, lower(s_name) AS id, lower(n_name) AS ext FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+s AS (SELECT s_suppkey, path, CASE WHEN contains(stem, id) THEN 4 ELSE 0 END + CASE WHEN contains(stem, ext) THEN 3 ELSE 0 END AS score FROM r, f)
+SELECT s_suppkey, arg_min(path, (-score, path)) AS path, max(score)::INT AS score FROM s WHERE score > 0 GROUP BY s_suppkey""",
+)
+def best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of each supplier, by its name and its nation in the file's name."""
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    files = rows.select(F.concat(F.lit("/files/"), "n_name", F.lit("/"), F.lower("s_name"), F.lit("-"), "n_name", F.lit(".pdf")).alias("path"))
+    records = rows.select("s_suppkey", F.col("s_name").alias("record"), F.lit("").alias("title"), F.col("n_name").alias("external_id"), F.lit(None).cast("string").alias("doi"))
+    return records.select("s_suppkey", "record").join(landed.best_files(records, files), "record").select("s_suppkey", "path", "score")

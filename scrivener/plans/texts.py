@@ -283,3 +283,9 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, authors, year, DOI, venue and abstract of papers in Markdown."""
     return _papers(spark, sf_dir).select("doc_id", *D.with_fields(D.markdown_fields(F.col("text"))))
+
+
+@query("graph_windows")
+def graph_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into windows by section, with a little overlap. Each window depends on the one before."""
+    return C.graph_windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", 2000, 200)

@@ -181,3 +181,32 @@ def local_files(records: DataFrame, files: DataFrame, key: str, title: str) -> D
     score = F.when(F.array_contains("__all", F.col("__id")), 4).otherwise(0) + F.when((F.size("__t") > 0) & (F.size(F.array_except("__t", "__all")) == 0), 3).otherwise(0)
     scored = hits.withColumn("score", score).filter("score > 0")
     return scored.groupBy(key).agg(F.min_by(F.struct("path", "score"), F.struct(-F.col("score"), F.col("path"))).alias("b")).select(key, "b.path", "b.score")
+
+
+def within(needles: DataFrame, hays: DataFrame, needle_key: str, needle: str, hay_key: str, hay: str, gram: int = 6) -> DataFrame:
+    """Pairs of keys of needles that stand somewhere in hays. They meet on a needle's first signs, `gram` or as many as it has, so
+    hays are cut into grams of the lengths that occur; hays are short, as names and titles are. Empty needles are nowhere."""
+    wanted = needles.select(needle_key, F.col(needle).alias("__n")).filter("__n <> ''").withColumn("__g", F.substring("__n", 1, gram))
+    signs = hays.select(hay_key, F.col(hay).alias("__h")).filter("__h <> ''")
+    at = F.explode(F.sequence(F.lit(1), F.length("__h")))
+    cut = signs.withColumn("__i", at).withColumn("__m", F.explode(F.sequence(F.lit(1), F.lit(gram)))).filter(F.col("__i") + F.col("__m") - 1 <= F.length("__h"))
+    grams = cut.select(hay_key, "__h", F.substring(F.col("__h"), F.col("__i"), F.col("__m")).alias("__g")).distinct()
+    return grams.join(wanted, "__g").filter(F.contains("__h", "__n")).select(needle_key, hay_key).distinct()
+
+
+def best_files(records: DataFrame, files: DataFrame, key: str = "record", title: str = "title", external: str = "external_id", doi: str = "doi") -> DataFrame:
+    """Per record the best file of files (path) by its name without folder and ending: 4 for the record's id in it, 3 for its
+    external id, 3 for its DOI with underscores, 2 for its title in the name or the name in the title; ties by path."""
+    from scrivener.functions.text import normalize_identifier, normalize_title
+
+    stems = files.select("path", F.lower(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("stem")).withColumn("plain", normalize_title(F.col("stem")))
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    rows = records.select(F.col(key), low(key).alias("id"), low(external).alias("ext"), F.regexp_replace(normalize_identifier(F.coalesce(F.col(doi), F.lit(""))), "/", "_").alias("doi"), normalize_title(F.coalesce(F.col(title), F.lit(""))).alias("title"))
+    found = None
+    for column, worth in (("id", 4), ("ext", 3), ("doi", 3)):
+        hit = within(rows, stems, key, column, "path", "stem").withColumns({"kind": F.lit(column), "worth": F.lit(worth)})
+        found = hit if found is None else found.unionByName(hit)
+    both = within(rows, stems, key, "title", "path", "plain").unionByName(within(stems, rows, "path", "plain", key, "title")).distinct()
+    found = found.unionByName(both.withColumns({"kind": F.lit("title"), "worth": F.lit(2)}))
+    scores = found.groupBy(key, "path").agg(F.sum("worth").cast("int").alias("score"))
+    return scores.groupBy(key).agg(F.min_by(F.struct("path", "score"), F.struct(-F.col("score"), F.col("path"))).alias("b")).select(key, "b.path", "b.score")
