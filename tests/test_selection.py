@@ -190,3 +190,30 @@ def test_window_around_the_seed(seed):
             assert (begin, end) == (0, 0)
         else:
             assert begin <= at < end and end - begin <= chunks and sum(sizes[begin:end]) <= chars
+
+
+def test_facets_first_equals_the_plain_walk(spark):
+    from scrivener.operators import evidence as E
+
+    rng = random.Random(8)
+    rows = [(f"q{q}", i, rng.choice("abc"), rng.choice(["p", "r"]), rng.choice(["1", "2"]), rng.choice([100, 900, 5000]), rng.random()) for q in range(8) for i in range(rng.choice([1, 10, 60]))]
+    df = spark.createDataFrame(rows, "question string, id int, facet string, paper string, section string, chars int, relevance double")
+    got: dict[str, list[int]] = {}
+    for r in E.facets_first(df, [F.desc("relevance"), F.col("id")], 2, 2, 9, 9000).orderBy("question", "place").collect():
+        got.setdefault(r["question"], []).append(r["id"])
+    for q in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[6], r[1]))
+        taken: list[tuple] = []
+
+        def fits(r, taken=taken):
+            return r not in taken and len(taken) < 9 and sum(t[5] for t in taken) + r[5] <= 9000 and sum(t[3:5] == r[3:5] for t in taken) < 2
+
+        for facet in sorted({r[2] for r in mine}):
+            before = len(taken)
+            for r in mine:
+                if r[2] == facet and len(taken) - before < 2 and fits(r):
+                    taken.append(r)
+        for r in mine:
+            if fits(r):
+                taken.append(r)
+        assert got.get(q, []) == [r[1] for r in taken]
