@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from scrivener.plans import adapters, catalog, evidence, functions, graphs, jobs, knowledge, library, readers, search, stores, streams, texts, topics, trees  # noqa: F401
+from scrivener.plans import adapters, cards, catalog, evidence, functions, graphs, jobs, knowledge, library, readers, search, stores, streams, texts, topics, trees  # noqa: F401
