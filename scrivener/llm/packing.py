@@ -41,8 +41,8 @@ from tokenizers import Tokenizer
 
 from scrivener.llm.shared import Scratch, arrow_batches, ranges
 
-#: Words that a worker keeps with their ids, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
+#: Words that a worker keeps with their ids, words without their punctuation, and the longest word that it keeps.
+CACHE_WORDS, CACHE_STEMS, CACHE_CHARS = 1_000_000, 500_000, 40
 #: Missing words that are encoded in one call.
 ENCODE_AT_ONCE = 2000
 #: Sequences' worth of tokens in a block, on average and at the least.
@@ -57,12 +57,15 @@ _tokenizers: dict[str, "WordTokenizer"] = {}
 class WordTokenizer:
     """A tokenizer that drops white space, applied word by word: no token spans a blank, so words can be cached.
 
-    Ids are kept as little-endian unsigned 32-bit bytes.
+    The cache is columns: the words, and for each where its ids stand in one array of ids, and how many there are. A batch's
+    distinct words are looked up in one call, and only those that aren't known become Python's.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.words, self.first, self.many, self.pool = pa.array([""]), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.stems: dict[str, bytes] = {"": b""}
 
     def _ids(self, words: list[str]) -> dict[str, bytes]:
         """Words of small ASCII letters are one unit of the model, as they are; others take all its steps."""
@@ -70,45 +73,54 @@ class WordTokenizer:
         rest = [w for w in words if w not in out]
         return out | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Encode words that aren't known; returns those that are too long to keep."""
-        known, here = self.known, {}
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        """The ids of words that aren't known, little-endian unsigned 32-bit numbers."""
+        if len(self.stems) > CACHE_STEMS:  # what came first is mostly what comes often
+            self.stems = dict(islice(self.stems.items(), CACHE_STEMS // 2))
+        stems, out = self.stems, []
         for at in range(0, len(missing), ENCODE_AT_ONCE):
             part = missing[at : at + ENCODE_AT_ONCE]
-            stems = [_stem(w) for w in part]
-            new = list({s for s in stems if s not in known and s not in here})
-            for s, ids in self._ids(new).items():
-                (known if len(s) <= CACHE_CHARS else here)[s] = ids
-            for w, s in zip(part, stems, strict=True):
-                ids = known[s] if s in known else here[s]
-                if len(s) < len(w):
-                    tail = w[len(s) :]
-                    if tail not in known:
-                        known[tail] = self._ids([tail])[tail]
-                    ids += known[tail]
-                (known if len(w) <= CACHE_CHARS else here)[w] = ids
-        return here
+            cut = [_stem(w) for w in part]
+            tails = [w[len(s) :] for w, s in zip(part, cut, strict=True)]
+            new = self._ids(list({x for x in (*cut, *tails) if x not in stems}))
+            out += [(new[s] if s in new else stems[s]) + (new[t] if t in new else stems[t]) for s, t in zip(cut, tails, strict=True)]
+            stems.update((x, ids) for x, ids in new.items() if len(x) <= CACHE_CHARS)
+        return out
+
+    def _keep(self, words: list[str], first: np.ndarray, many: np.ndarray, ids: np.ndarray) -> None:
+        """Learn words for later batches; what came last goes where there are too many."""
+        short = np.fromiter((len(w) <= CACHE_CHARS for w in words), bool, len(words))
+        kept = ids[ranges(first[short], many[short])]
+        self.words = pa.concat_arrays([self.words, pa.array([w for w, k in zip(words, short.tolist(), strict=True) if k], pa.string())])
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(many[short]) - many[short]])
+        self.many, self.pool = np.concatenate([self.many, many[short]]), np.concatenate([self.pool, kept])
+        if len(self.words) > CACHE_WORDS:
+            n = CACHE_WORDS // 2
+            self.words, self.pool = pa.concat_arrays([self.words.slice(0, n)]), self.pool[: self.first[n]].copy()
+            self.first, self.many = self.first[:n].copy(), self.many[:n].copy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text ends."""
-        if len(self.known) > CACHE_WORDS:  # what came first is mostly what comes often
-            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
         texts = texts.fill_null("")
         if pc.any(pc.match_substring_regex(texts, SEPARATORS)).as_py():
             split = pa.array([WORD.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
             split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.known
-        parts = [known.get(w) for w in words]
-        if missing := [w for w, x in zip(words, parts, strict=True) if x is None]:
-            here = self._learn(missing)
-            parts = [known[w] if x is None and w in known else here[w] if x is None else x for w, x in zip(words, parts, strict=True)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        firsts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), "<u4")
-        ids = pool[ranges(firsts[at], sizes[at])]
-        token_ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        place = pc.index_in(words, value_set=self.words)
+        known = place.fill_null(0).to_numpy()
+        first, many, pool = self.first[known], self.many[known], self.pool
+        if place.null_count:
+            unknown = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+            missing = words.take(pa.array(unknown)).to_pylist()
+            found = self._learn(missing)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+            first[unknown], many[unknown], pool = len(pool) + starts, sizes, np.concatenate([pool, ids])
+            self._keep(missing, starts, sizes, ids)
+        ids = pool[ranges(first[at], many[at])]
+        token_ends = np.concatenate([[0], np.cumsum(many[at])])
         word_ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         return ids, token_ends[word_ends.astype(np.int64)]
 
