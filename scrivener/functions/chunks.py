@@ -1,7 +1,7 @@
 """The structure-aware chunker: blocks of a document to retrieval chunks, and how much neighbouring chunks share.
 
 An island is a run of neighbouring blocks with the same heading path, structure and kind. Islands are found by windows;
-each is packed by a fold of its own, in parallel, so no chunk spans two of them. A tail of the chunk before begins the next
+each is packed by a fold of its own, so no chunk spans two of them; a task streams its documents' islands and holds one at a time. A tail of the chunk before begins the next
 one, but not within a structure (an algorithm, a table, code), whose chunks name their neighbours instead.
 """
 
@@ -129,28 +129,45 @@ def structured_chunks(blocks: DataFrame, key: str, target: int = 500, most: int
     cleaned = rows.mapInPandas(clean, rows.schema).filter("content <> ''")
     grouped = islands(cleaned, [key], "ordinal", ["path", "structure", "kind"])
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ordinal", kind="stable")
+    def pack(head: tuple, blocks: list[tuple[int, str, str]]) -> list[tuple]:
+        """The chunks of one island: head is its key, number, path, kind and structure, blocks its ordinals, texts and summaries."""
         owner: list[int] = []
         texts: list[str] = []
-        for n, t in zip(group["ordinal"], group["content"], strict=True):
+        for n, t, _ in blocks:
             found = units(t, most)
             texts += found
-            owner += [int(n)] * len(found)
-        first = group.iloc[0]
-        summary = GLUE.join(dict.fromkeys(s for s in group["summary"] if s))[:LONGEST_SUMMARY]
+            owner += [n] * len(found)
+        who, island, path, what, structure = head
+        summary = GLUE.join(dict.fromkeys(s for _, _, s in blocks if s))[:LONGEST_SUMMARY]
         out, before, used = [], [], 0
-        for held in packed(texts, target, most, 0 if first["structure"] else overlap):
+        for held in packed(texts, target, most, 0 if structure else overlap):
             content = "\n\n".join(t for t, _ in held).strip()
             now = tokens(content)
             fresh = next(k for k in range(len(held), 0, -1) if [t for t, _ in held[-k:]] == texts[used : used + k])  # units that no chunk had before
             carried = owner[max(0, used - (len(held) - fresh)) : used] if len(held) > fresh else []
-            out.append((first[key], first["island"], len(out), first["path"], first["kind"], first["structure"], content, sum(s for _, s in held), shared(before, now, overlap), sorted({*carried, *owner[used : used + fresh]}), summary))
+            out.append((who, island, len(out), path, what, structure, content, sum(s for _, s in held), shared(before, now, overlap), sorted({*carried, *owner[used : used + fresh]}), summary))
             before, used = now, used + fresh
-        return pd.DataFrame(out, columns=[key, "island", "part_of_island", "section", "kind", "structure", "content", "tokens", "overlap_tokens", "blocks", "summary"])
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Islands follow each other, sorted by document and ordinal; one is held at a time."""
+        names = [key, "island", "part_of_island", "section", "kind", "structure", "content", "tokens", "overlap_tokens", "blocks", "summary"]
+        head, blocks = None, []
+        for pdf in batches:
+            out = []
+            for who, island, path, what, structure, n, t, s in pdf.itertuples(index=False, name=None):
+                if head is None or (who, island) != head[:2]:
+                    out += pack(head, blocks) if head else []
+                    head, blocks = (who, island, path, what, structure), []
+                blocks.append((int(n), t, s))
+            yield pd.DataFrame(out, columns=names)
+        if head:
+            yield pd.DataFrame(pack(head, blocks), columns=names)
 
     schema = f"`{key}` {kind}, island long, part_of_island int, section string, kind string, structure string, content string, tokens int, overlap_tokens int, blocks array<long>, summary string"
-    out = grouped.groupBy(key, "island").applyInPandas(pack, schema)
+    # The windows above have dealt the rows by document already.
+    ordered = grouped.select(key, "island", "path", "kind", "structure", "ordinal", "content", "summary").repartition(key).sortWithinPartitions(key, "island", "ordinal")
+    out = ordered.mapInPandas(run, schema)
     numbered = out.withColumn("chunk", F.row_number().over(Window.partitionBy(key).orderBy("island", "part_of_island")) - 1)
     within = continuity(numbered, [key, "structure"], "chunk")
     named = F.col("structure") != ""
