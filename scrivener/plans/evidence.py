@@ -10,6 +10,7 @@ from scrivener.functions import splitter as P
 from scrivener.functions import tables as T
 from scrivener.functions import text as X
 from scrivener.operators import evidence as E
+from scrivener.operators import selection as L
 from scrivener.registry import query
 from scrivener.session import spread, table
 
@@ -150,3 +151,37 @@ def algorithm_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("p_name", F.lit("\n\n1: do\n2: so\n3: end\n\n"), "p_type")
     rows = T._per_text(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text", "kind string, content string", M.units_of)
     return rows.groupBy("p_partkey").agg(F.count("*").cast("int").alias("units"))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as evidence groups for a question per language: whole texts, all of them candidates."""
+    docs = table(spark, sf_dir, "documents").filter("text <> ''").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
+    says = lambda slot, status: F.struct(F.lit(slot).alias("slot"), status.alias("status"), F.round(F.col("n_chars") % 100 / 100.0, 2).alias("confidence"), F.col("source").alias("period"))
+    support = F.array(
+        says("long", F.when(F.col("n_chars") > 3000, "direct").when(F.col("n_chars") > 1000, "partial").otherwise("unsupported")), says("good", F.when(F.col("quality") == 1, "direct").otherwise("unsupported")),
+        says("short", F.when(F.col("n_chars") < 200, "direct").otherwise("partial")),
+    )
+    return docs.select(
+        F.col("lang").alias("question"), F.col("doc_id").cast("string").alias("grp"), F.col("source").alias("record"), F.col("doc_id").alias("ord"), F.array_distinct(X.retrieval_tokens(F.col("text"))).alias("tokens"),
+        F.length("text").cast("long").alias("chars"), (F.col("n_chars") % 37 / 10.0).alias("relevance"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("locked"), support.cast(L.SUPPORT).alias("support"),
+    )
+
+
+def _budget(spark: SparkSession, groups: DataFrame) -> DataFrame:
+    needs = groups.select("question").distinct().withColumn("s", F.explode(F.array(*(F.struct(F.lit(slot).alias("slot"), F.lit(parent).alias("parent"), F.lit(n).alias("need"), F.lit(2).alias("sources"), F.lit(p).alias("periods")) for slot, parent, n, p in (("long", "size", 2, 2), ("short", "size", 1, 2), ("good", "worth", 3, 1))))))
+    return L.budgets(needs.select("question", "s.*"), groups.select("question").distinct(), 4, 12, 18_000)
+
+
+@query("coverage_rounds")
+def coverage_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of each question that covers its requirements, chosen among all documents. Greedy, so not in SQL."""
+    groups = _groups(spark, sf_dir)
+    return L.select_covering(groups, _budget(spark, groups))
+
+
+@query("assembly_rounds")
+def assembly_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of each question from all documents, best first, by papers, likeness and budgets. Greedy, so not in SQL."""
+    groups = _groups(spark, sf_dir)
+    members = groups.select("question", "grp", "record", F.col("ord").alias("chunk"), F.lit(0).alias("seq"), "ord", F.lit(False).alias("structured"), "tokens", F.col("chars").cast("int").alias("chars"))
+    return L.assemble(members, L.per_paper(members, 2, 8), 0.5, 12, 18_000)

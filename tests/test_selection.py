@@ -217,3 +217,24 @@ def test_facets_first_equals_the_plain_walk(spark):
             if fits(r):
                 taken.append(r)
         assert got.get(q, []) == [r[1] for r in taken]
+
+
+def test_queries_over_whole_tables_equal_the_plain_loops(spark, sf_dir):
+    from scrivener import registry
+    from scrivener.plans import evidence as plan
+
+    rows = [r.asDict(recursive=True) for r in plan._groups(spark, sf_dir).collect()]
+    budget = {b["question"]: b.asDict() for b in plan._budget(spark, plan._groups(spark, sf_dir)).collect()}
+    got: dict[str, list] = {}
+    for r in registry.queries()["coverage_rounds"](spark, sf_dir).orderBy("question", "place").collect():
+        got.setdefault(r["question"], []).append(r["grp"])
+    assert len(rows) > 100 and len(got) == 4
+    for q, b in budget.items():
+        assert got[q] == plain_selection([r for r in rows if r["question"] == q], b)
+    put: dict[str, list] = {}
+    for r in registry.queries()["assembly_rounds"](spark, sf_dir).orderBy("question", "place").collect():
+        put.setdefault(r["question"], []).append((r["grp"], r["chunk"]))
+    for q in budget:
+        mine = [{**r, "chunk": r["ord"], "seq": 0, "structured": False} for r in rows if r["question"] == q]
+        cap = max(2, math.ceil(8 / len({r["record"] for r in mine})))
+        assert put[q] == plain_assembly(mine, cap, 0.5, 12, 18_000)
