@@ -149,3 +149,24 @@ def context(evidence: DataFrame, group: str, order: str) -> DataFrame:
     block = F.concat(F.lit("["), F.col("__n").cast("string"), F.lit("] "), marks, F.lit("\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))
     listed = F.array_sort(F.collect_list(F.struct(F.col("__n").alias("o"), block.alias("b"))))
     return evidence.withColumn("__n", n).groupBy(group).agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n---\n\n").alias("context"))
+
+
+# Builds
+
+
+def build_states(log: DataFrame, paper: str, sequence: str, kind: str, versions: Sequence[str], status: str, error: str, at: str, longest_error: int = 4000) -> DataFrame:
+    """Per paper its build after a log of `started` and `finished`: the versions of the last start, status, error, started_at and
+    completed_at. A start begins a build anew as `running`; what finishes afterwards, the last of several, ends it. What finishes
+    without a start is no build."""
+    begun = log.filter(F.col(kind) == "started").groupBy(paper).agg(F.max_by(F.struct(F.col(sequence).alias("__s"), *versions, F.col(at).alias("started_at")), sequence).alias("b"))
+    ends = log.filter(F.col(kind) == "finished").join(begun.select(paper, F.col("b.__s").alias("__from")), paper).filter(F.col(sequence) > F.col("__from"))
+    done = ends.groupBy(paper).agg(F.max_by(F.struct(F.col(status).alias("status"), F.substring(F.coalesce(error, F.lit("")), 1, longest_error).alias("error"), F.col(at).alias("completed_at")), sequence).alias("e"))
+    out = begun.join(done, paper, "left")
+    return out.select(paper, *(F.col(f"b.{v}").alias(v) for v in versions), F.coalesce("e.status", F.lit("running")).alias("status"), F.coalesce("e.error", F.lit("")).alias("error"), "b.started_at", F.col("e.completed_at").alias("completed_at"))
+
+
+def statuses_of(builds: DataFrame, paper: str, asked: Sequence[str]) -> DataFrame:
+    """The builds of some papers in the order in which they are asked for, each once; those without a build are left out."""
+    wanted = list(dict.fromkeys(k for a in asked if (k := str(a or "").strip())))
+    places = builds.sparkSession.createDataFrame([(k, i) for i, k in enumerate(wanted)], f"`{paper}` string, place int")
+    return builds.join(F.broadcast(places), paper).orderBy("place")  # the papers that are asked for

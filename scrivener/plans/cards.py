@@ -84,3 +84,18 @@ def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(answer & (F.col("turn") > 1), "s:0").alias("continues_from"), F.lit("").alias("continues_to"), (F.length("text") > 900).alias("by_graph"), "text",
     )
     return K.context(rows, "conv_id", "turn").select("conv_id", F.sha2("context", 256).alias("context"))
+
+
+@query(
+    "build_states",
+    """WITH e AS (SELECT user_id, event_id, ts, value, event_type FROM events), s AS (SELECT user_id, max(event_id) AS m FROM e WHERE event_type = 'view' GROUP BY user_id),
+f AS (SELECT user_id, arg_max(event_type, event_id) AS kind, arg_max(ts, event_id) AS completed_at FROM e JOIN s USING (user_id) WHERE event_type IN ('signup', 'error') AND event_id > m GROUP BY user_id)
+SELECT s.user_id, e.value AS version, CASE kind WHEN 'signup' THEN 'ready' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, CASE kind WHEN 'error' THEN 'it failed' ELSE '' END AS error, e.ts AS started_at, completed_at
+FROM s JOIN e ON e.user_id = s.user_id AND e.event_id = m LEFT JOIN f ON f.user_id = s.user_id""",
+)
+def build_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds after a log of starts and ends: a user is a paper, a view a start, a sign-up or an error an end."""
+    events = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "view", "started").when(F.col("event_type").isin("signup", "error"), "finished")
+    log = events.select("user_id", "event_id", "ts", F.col("value").alias("version"), kind.alias("kind"), F.when(F.col("event_type") == "signup", "ready").otherwise("failed").alias("status"), F.when(F.col("event_type") == "error", "it failed").alias("error"))
+    return K.build_states(log, "user_id", "event_id", "kind", ["version"], "status", "error", "ts")

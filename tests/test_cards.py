@@ -94,3 +94,11 @@ def test_context(spark):
     rows = [("q", 2, None, None, None, "s", None, 1, "s:0", "s:2", True, " two "), ("q", 1, "T", "1999", "Intro", None, None, None, None, None, False, "one\n"), ("q", 3, "U", "", "", "s", "table", 0, None, "s:1", None, "three")]
     df = spark.createDataFrame(rows, "g string, o int, title string, year string, section string, structure string, kind string, seq int, continues_from string, continues_to string, by_graph boolean, text string")
     assert K.context(df, "g", "o").first()["context"] == "[1] T · 1999 · 章节：Intro\none\n\n---\n\n[2] 未命名文献 · 连续结构：structure 第 2 段，前后均有连续片段 · 检索路径：知识图谱导航后已回查原文\ntwo\n\n---\n\n[3] U · 连续结构：table 第 1 段，后续仍有连续片段\nthree"
+
+
+def test_builds(spark):
+    log = [("a", 1, "finished", "v0", "ready", None), ("a", 2, "started", "v1", None, None), ("a", 3, "finished", "v1", "failed", "x" * 9), ("a", 4, "finished", "v1", "ready", None), ("b", 1, "started", "v1", None, None), ("b", 2, "finished", "v1", "ready", None), ("b", 3, "started", "v2", None, None), ("c", 1, "finished", "v1", "ready", None), ("d", 1, "started", "v1", None, None), ("d", 2, "finished", "v1", "failed", "long error")]
+    df = spark.createDataFrame(log, "paper string, n int, kind string, version string, status string, error string").withColumn("at", F.col("n"))
+    builds = K.build_states(df, "paper", "n", "kind", ["version"], "status", "error", "at", 4)
+    assert sorted(map(tuple, builds.collect())) == [("a", "v1", "ready", "", 2, 4), ("b", "v2", "running", "", 3, None), ("d", "v1", "failed", "long", 1, 2)]
+    assert [r["paper"] for r in K.statuses_of(builds, "paper", ["d", " a ", "", None, "zz", "a", "d"]).collect()] == ["d", "a"]
