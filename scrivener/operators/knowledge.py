@@ -127,3 +127,27 @@ def conversation_view(turns: DataFrame, conversation: str, order: str, role: str
     cited = F.slice(F.coalesce(F.col(sources), F.array().cast("array<string>")), 1, most_sources) if sources else F.array().cast("array<string>")
     listed = lambda who, c: F.transform(F.array_sort(F.collect_list(F.when((F.col(role) == who) & (F.col("__r") <= last), F.struct(F.col(order).alias("o"), c.alias("c"))))), lambda s: s["c"])
     return rows.groupBy(conversation).agg(listed("user", F.col("__t")).alias("intents"), listed("assistant", F.struct(F.col("__t").alias("text"), F.lit(False).alias("trusted"), cited.alias("sources"))).alias("answers"))
+
+
+def histograms(nodes: DataFrame, entities: DataFrame, cards: DataFrame, node_type: str = "type", entity_type: str = "type", claims: str = "claims") -> DataFrame:
+    """kind, type and n: how many nodes and entities there are of each type (`unknown` for a blank one), and the sum of claims."""
+    typed = lambda df, c, kind: df.groupBy(F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("unknown")).alias("type")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+    total = cards.agg(F.coalesce(F.sum(claims), F.lit(0)).cast("long").alias("n")).select(F.lit("claims").alias("kind"), F.lit("all").alias("type"), "n")
+    return typed(nodes, node_type, "node").unionByName(typed(entities, entity_type, "entity")).unionByName(total)
+
+
+def restricted(requested: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """What is requested, if all of it is allowed; an error names ten that aren't. Nothing requested is all that is allowed."""
+    asked = requested.select(key).distinct()
+    beyond = asked.join(allowed.select(key).distinct(), key, "left_anti").orderBy(key).limit(10).collect()
+    if beyond:
+        raise ValueError("beyond the scope: " + ", ".join(str(r[key]) for r in beyond))
+    return allowed.select(key).distinct() if asked.isEmpty() else asked
+
+
+def sources_within(turns: DataFrame, allowed: DataFrame, keys: list[str], sources: str, record: str = "record") -> DataFrame:
+    """turns with only those of their sources (an array of structs) whose record is allowed."""
+    each = turns.select(*keys, F.posexplode(sources).alias("__i", "__s"))
+    kept = each.join(allowed.select(F.col(record).alias("__r")).distinct(), F.col(f"__s.{record}") == F.col("__r"), "left_semi").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__s"))), lambda x: x["__s"]).alias("__kept"))
+    out = turns.join(kept, keys, "left")
+    return out.withColumn(sources, F.coalesce("__kept", F.filter(sources, lambda s: F.lit(False)))).drop("__kept")

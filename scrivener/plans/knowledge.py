@@ -104,3 +104,27 @@ def conversation_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("sources", F.split(F.substring(F.trim("text"), 1, 60), r"\s+"))
     found = K.conversation_view(turns, "conv_id", "turn", "role", "text", 2, 60, "sources", 1000)
     return found.select("conv_id", "intents", F.transform("answers", lambda a: a["text"]).alias("answers"), F.transform("answers", lambda a: F.size(a["sources"])).alias("sources"))
+
+
+@query(
+    "graph_histograms",
+    "SELECT 'node' AS kind, c_mktsegment AS type, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'entity', p_brand, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'claims', 'all', (SELECT count(*) FROM lineitem)",
+)
+def graph_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and entities by type, and the sum of claims."""
+    cards = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("claims"))
+    return K.histograms(table(spark, sf_dir, "customer"), table(spark, sf_dir, "part"), cards, "c_mktsegment", "p_brand")
+
+
+@query(
+    "sources_in_scope",
+    "WITH a AS (SELECT list(s_suppkey) AS l FROM supplier) SELECT conv_id, turn, list_filter([conv_id, turn, conv_id + turn], lambda x: list_contains(l, x)) AS records FROM conversations, a",
+)
+def sources_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with those of their sources that belong to the scope."""
+    turns = table(spark, sf_dir, "conversations")
+    sources = F.array(*(F.struct(c.cast("long").alias("record"), F.lit("x").alias("title")) for c in (F.col("conv_id"), F.col("turn"), F.col("conv_id") + F.col("turn"))))
+    allowed = K.restricted(table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("record")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record")), "record")
+    scope = allowed.unionByName(table(spark, sf_dir, "supplier").filter("s_acctbal <= 0").select(F.col("s_suppkey").alias("record")))
+    found = K.sources_within(turns.select("conv_id", "turn", sources.alias("sources")), scope, ["conv_id", "turn"], "sources")
+    return found.select("conv_id", "turn", F.transform("sources", lambda s: s["record"]).alias("records"))

@@ -210,3 +210,27 @@ def best_files(records: DataFrame, files: DataFrame, key: str = "record", title:
     found = found.unionByName(both.withColumns({"kind": F.lit("title"), "worth": F.lit(2)}))
     scores = found.groupBy(key, "path").agg(F.sum("worth").cast("int").alias("score"))
     return scores.groupBy(key).agg(F.min_by(F.struct("path", "score"), F.struct(-F.col("score"), F.col("path"))).alias("b")).select(key, "b.path", "b.score")
+
+
+def searched(spark: SparkSession, paths: dict[str, str], limit: int = 50) -> tuple[DataFrame | None, dict[str, str]]:
+    """The records of several sources, of each at most `limit` (1 to 200), the newest first, and why sources gave none: unknown
+    ones, and those that can't be read. One source's failure doesn't spoil the others; no source at all gives None."""
+    limit, out, failed = max(1, min(limit, 200)), None, {}
+    for name, path in paths.items():
+        if name not in READERS:
+            failed[name] = "unknown source"
+            continue
+        try:
+            df = READERS[name](spark, path).orderBy(F.desc_nulls_last("year"), "external_id").limit(limit).cache()
+            df.count()  # what can't be read fails here, by itself
+        except Exception as e:
+            failed[name] = str(e).split("\n")[0][:300]
+            continue
+        out = df if out is None else out.unionByName(df)
+    return out, failed
+
+
+def hashed_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """path, size, modified and sha256 of the contents of files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))

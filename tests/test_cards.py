@@ -102,3 +102,28 @@ def test_builds(spark):
     builds = K.build_states(df, "paper", "n", "kind", ["version"], "status", "error", "at", 4)
     assert sorted(map(tuple, builds.collect())) == [("a", "v1", "ready", "", 2, 4), ("b", "v2", "running", "", 3, None), ("d", "v1", "failed", "long", 1, 2)]
     assert [r["paper"] for r in K.statuses_of(builds, "paper", ["d", " a ", "", None, "zz", "a", "d"]).collect()] == ["d", "a"]
+
+
+def test_scopes_sources_and_files(spark, tmp_path):
+    from scrivener.operators import knowledge as N
+    from scrivener.sources import landed
+
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "record string")
+    assert sorted(r[0] for r in N.restricted(ids("b", "b"), ids("a", "b"), "record").collect()) == ["b"]
+    assert sorted(r[0] for r in N.restricted(ids("b").limit(0), ids("a", "b"), "record").collect()) == ["a", "b"]
+    with pytest.raises(ValueError, match="c, d"):
+        N.restricted(ids("d", "a", "c"), ids("a"), "record")
+    turns = spark.createDataFrame([(1, [("a", 1), ("z", 2), ("b", 3)]), (2, []), (3, None), (4, [("z", 1)])], "k int, sources array<struct<record:string,chunk:int>>")
+    got = {r["k"]: r["sources"] for r in N.sources_within(turns, ids("a", "b"), ["k"], "sources").collect()}
+    assert [x["record"] for x in got[1]] == ["a", "b"] and got[2] == [] and not got[3] and got[4] == []
+
+    items = [{"DOI": f"10.1/{i}", "title": ["T"], "published-online": {"date-parts": [[2000 + i]]}} for i in range(5)]
+    (tmp_path / "c.json").write_text(json.dumps({"message": {"items": items}}))
+    rows, failed = landed.searched(spark, {"crossref": str(tmp_path / "c.json"), "nobody": "x", "atom": str(tmp_path / "missing.xml")}, 2)
+    assert [r["year"] for r in rows.orderBy("year").collect()] == [2003, 2004] and set(failed) == {"nobody", "atom"} and failed["nobody"] == "unknown source"
+    assert landed.searched(spark, {"nobody": "x"}) == (None, {"nobody": "unknown source"})
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.pdf").write_bytes(b"\x00content")
+    (tmp_path / "d/b.txt").write_bytes(b"other")
+    (f,) = landed.hashed_files(spark, str(tmp_path)).collect()
+    assert f["path"].endswith("d/a.pdf") and (f["size"], f["sha256"]) == (8, hashlib.sha256(b"\x00content").hexdigest())
