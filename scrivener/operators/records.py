@@ -139,15 +139,18 @@ def resolve(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """candidates (cand, self_id, id_key, doi_key, title_key) against known (id, doi_key, title_key): status, target, confidence.
 
     One match by id or DOI: resolved, 1.0; one by title: 0.9; the record itself: rejected; several: ambiguous, 0.4;
-    none: candidate, 0.6.
+    none: candidate, 0.6. A key's smallest and largest id say whether it names one record or several, so a key that many
+    share is one row on the side of the known, and pairs are never listed.
     """
     ways = []
     for i, (left, right) in enumerate((("id_key", "id"), ("doi_key", "doi_key"), ("title_key", "title_key"))):
         a = candidates.filter(F.col(left).isNotNull() & (F.col(left) != "")).select("cand", F.col(left).alias("k"))
-        ways.append(a.join(known.select(F.col(right).alias("k"), F.col("id").alias("target")), "k").select("cand", "target", F.lit(i).alias("way")))
+        ids = F.struct("id")  # a known record without an id is one, too
+        ends = known.groupBy(F.col(right).alias("k")).agg(F.min(ids).alias("low"), F.max(ids).alias("high"))
+        ways.append(a.join(ends, "k").select("cand", "low", "high", F.lit(i).alias("way")))
     found = ways[0].unionByName(ways[1]).unionByName(ways[2])
-    best = found.groupBy("cand", "target").agg(F.min("way").alias("way"))
-    per = best.groupBy("cand").agg(F.count("*").alias("n"), F.min("target").alias("target"), F.min("way").alias("way"))
+    per = found.groupBy("cand").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("way").alias("way"))
+    per = per.select("cand", F.when(F.col("low").eqNullSafe(F.col("high")), 1).otherwise(2).alias("n"), F.col("low.id").alias("target"), "way")
     out = candidates.select("cand", "self_id").join(per, "cand", "left")
     one = F.col("n") == 1
     status = F.when(F.col("n").isNull(), "candidate").when(one & (F.col("target") == F.col("self_id")), "rejected").when(one, "resolved").otherwise("ambiguous")
