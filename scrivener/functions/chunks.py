@@ -77,20 +77,28 @@ def tail(held: list[tuple[str, int]], overlap: int) -> list[tuple[str, int]]:
     return [(part, weight(part)) for part in hard_split(held[-1][0], overlap)[-1:]]
 
 
-def packed(texts: list[str], target: int, most: int, overlap: int) -> list[list[tuple[str, int]]]:
+def carried_and_packed(texts: list[str], target: int, most: int, overlap: int) -> Iterator[tuple[int, list[tuple[str, int]]]]:
     """Units in chunks: a chunk is closed when the next unit doesn't fit or the target is reached, and the next one begins
-    with its tail, less what doesn't fit beside the next unit."""
-    out: list[list[tuple[str, int]]] = []
+    with its tail, less what doesn't fit beside the next unit. How many units are such a tail comes with each chunk: texts
+    that repeat don't tell."""
     held: list[tuple[str, int]] = []
+    carried = 0
     for unit in ((t, weight(t)) for t in texts):
         total = sum(size for _, size in held)
         if held and (total >= target or total + unit[1] > most):
-            out.append(held)
+            yield carried, held
             held = tail(held, overlap)
             while held and sum(size for _, size in held) + unit[1] > most:
                 held = held[1:]
+            carried = len(held)
         held = [*held, unit]
-    return [*out, held] if held else out
+    if held:
+        yield carried, held
+
+
+def packed(texts: list[str], target: int, most: int, overlap: int) -> list[list[tuple[str, int]]]:
+    """The chunks alone."""
+    return [held for _, held in carried_and_packed(texts, target, most, overlap)]
 
 
 def shared(before: list[str], after: list[str], most: int) -> int:
@@ -140,11 +148,10 @@ def structured_chunks(blocks: DataFrame, key: str, target: int = 500, most: int
         who, island, path, what, structure = head
         summary = GLUE.join(dict.fromkeys(s for _, _, s in blocks if s))[:LONGEST_SUMMARY]
         out, before, used = [], [], 0
-        for held in packed(texts, target, most, 0 if structure else overlap):
+        for tail_units, held in carried_and_packed(texts, target, most, 0 if structure else overlap):
             content = "\n\n".join(t for t, _ in held).strip()
             now = tokens(content)
-            fresh = next(k for k in range(len(held), 0, -1) if [t for t, _ in held[-k:]] == texts[used : used + k])  # units that no chunk had before
-            carried = owner[max(0, used - (len(held) - fresh)) : used] if len(held) > fresh else []
+            fresh, carried = len(held) - tail_units, owner[used - tail_units : used]
             out.append((who, island, len(out), path, what, structure, content, sum(s for _, s in held), shared(before, now, overlap), sorted({*carried, *owner[used : used + fresh]}), summary))
             before, used = now, used + fresh
         return out

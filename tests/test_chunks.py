@@ -101,3 +101,14 @@ def test_overlap_of_the_whole_table_equals_the_plain_loop(spark, sf_dir):
     want = {(b["doc_id"], b["chunk"]): plain_shared(a["content"], b["content"], 80) if a["doc_id"] == b["doc_id"] else 0 for a, b in zip([chunks[-1], *chunks], chunks)}
     got = registry.queries()["chunk_overlaps"](spark, sf_dir).collect()
     assert {(r["doc_id"], r["chunk"]): r["shared"] for r in got} == want and all(r["shared"] >= min(r["carried"], 1) for r in got)
+
+
+def test_units_that_repeat_are_counted_once(spark):
+    # A tail that equals the units behind it isn't taken for them.
+    rows = [(d, i, "same words here" if d == 1 else f"{'x y z' if i % 3 else 'a b'}") for d in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc int, ordinal int, content string").selectExpr("*", "'' AS path", "'' AS summary", "'' AS kind", "'' AS structure")
+    got = [r.asDict() for r in C.structured_chunks(df, "doc", 10, 14, 6).orderBy("doc", "chunk").collect()]
+    for doc in (1, 2):
+        blocks = [r["blocks"] for r in got if r["doc"] == doc]
+        assert sorted({n for b in blocks for n in b}) == list(range(60)) and all(a[0] < b[0] and a[-1] < b[-1] for a, b in zip(blocks, blocks[1:]))
+        assert all(r["content"] == "\n\n".join(c for d, n, c in rows if d == doc and n in r["blocks"]) for r in got if r["doc"] == doc)
