@@ -147,4 +147,4 @@ def best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     files = rows.select(F.concat(F.lit("/files/"), "n_name", F.lit("/"), F.lower("s_name"), F.lit("-"), "n_name", F.lit(".pdf")).alias("path"))
     records = rows.select("s_suppkey", F.col("s_name").alias("record"), F.lit("").alias("title"), F.col("n_name").alias("external_id"), F.lit(None).cast("string").alias("doi"))
-    return records.select("s_suppkey", "record").join(landed.best_files(records, files), "record").select("s_suppkey", "path", "score")
+    return landed.best_files(records, files, "s_suppkey", name="record")

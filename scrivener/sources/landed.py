@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivener.session import Scratch
+
 RECORD = ("source", "external_id", "title", "authors", "abstract", "year", "venue", "doi", "url", "pdf_url")
 DATE = "struct<`date-parts`: array<array<int>>>"
 ATOM = "id string, title string, summary string, published string, author array<struct<name: string>>, link array<struct<_href: string, _rel: string, _title: string, _type: string>>"
@@ -183,33 +185,72 @@ def local_files(records: DataFrame, files: DataFrame, key: str, title: str) -> D
     return scored.groupBy(key).agg(F.min_by(F.struct("path", "score"), F.struct(-F.col("score"), F.col("path"))).alias("b")).select(key, "b.path", "b.score")
 
 
-def within(needles: DataFrame, hays: DataFrame, needle_key: str, needle: str, hay_key: str, hay: str, gram: int = 6) -> DataFrame:
-    """Pairs of keys of needles that stand somewhere in hays. They meet on a needle's first signs, `gram` or as many as it has, so
-    hays are cut into grams of the lengths that occur; hays are short, as names and titles are. Empty needles are nowhere."""
-    wanted = needles.select(needle_key, F.col(needle).alias("__n")).filter("__n <> ''").withColumn("__g", F.substring("__n", 1, gram))
-    signs = hays.select(hay_key, F.col(hay).alias("__h")).filter("__h <> ''")
-    at = F.explode(F.sequence(F.lit(1), F.length("__h")))
-    cut = signs.withColumn("__i", at).withColumn("__m", F.explode(F.sequence(F.lit(1), F.lit(gram)))).filter(F.col("__i") + F.col("__m") - 1 <= F.length("__h"))
-    grams = cut.select(hay_key, "__h", F.substring(F.col("__h"), F.col("__i"), F.col("__m")).alias("__g")).distinct()
-    return grams.join(wanted, "__g").filter(F.contains("__h", "__n")).select(needle_key, hay_key).distinct()
+GRAMS = (1, 2, 4, 8, 16, 32)
+
+
+def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Pairs of distinct texts of needles (__n) that stand somewhere in hays (__h); empty needles are nowhere.
+
+    A needle's grams are as long as the largest of GRAMS that fits; it meets the hays that have its rarest one, as beginnings
+    are often shared by all. Hays are short, as names and titles are: each is cut at every place into grams of each length.
+    """
+    wanted, signs = needles.filter("__n <> ''").select("__n").distinct(), hays.filter("__h <> ''").select("__h").distinct()
 
+    def grams(text: str, sizes: Column) -> Column:
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.xxhash64(F.substring(F.col(text), i, n)))
+        return F.explode(F.array_distinct(F.flatten(F.transform(sizes, cut)))).alias("__g")
 
-def best_files(records: DataFrame, files: DataFrame, key: str = "record", title: str = "title", external: str = "external_id", doi: str = "doi") -> DataFrame:
-    """Per record the best file of files (path) by its name without folder and ending: 4 for the record's id in it, 3 for its
-    external id, 3 for its DOI with underscores, 2 for its title in the name or the name in the title; ties by path."""
+    fits = lambda text: F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.length(text))
+    of_hays = signs.select("__h", grams("__h", fits("__h")))
+    many = of_hays.groupBy("__g").agg(F.count("*").alias("df"))
+    of_needles = wanted.select("__n", grams("__n", F.array(F.array_max(fits("__n"))))).join(many, "__g", "left")
+    rarest = of_needles.groupBy("__n").agg(F.min_by("__g", "df").alias("__g"), F.count_if(F.col("df").isNull()).alias("missing")).filter("missing = 0").drop("missing")
+    return of_hays.join(rarest, "__g").filter(F.contains("__h", "__n")).select("__n", "__h")
+
+
+def best_files(records: DataFrame, files: DataFrame, key: str = "record", title: str = "title", external: str = "external_id", doi: str = "doi", name: str | None = None) -> DataFrame:
+    """Per record the best file of files (path) by its name without folder and ending: 4 for the record's id (`name`, else
+    its key) in it, 3 for its external id, 3 for its DOI with underscores, 2 for its title in the name or the name in the
+    title; ties by path. Of a key with several rows, the best of them.
+
+    Of the texts that a record looks for, the one in the most names may be in a large part of them, and so may another
+    record's. A file that has that text alone is only of use as the first such path, which is one row per text; all others are
+    looked up through the record's rarer texts.
+    """
     from scrivener.functions.text import normalize_identifier, normalize_title
 
-    stems = files.select("path", F.lower(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("stem")).withColumn("plain", normalize_title(F.col("stem")))
+    scratch = Scratch(records.sparkSession)
+    worth = {"__id": 4, "__ext": 3, "__doi": 3, "__title": 2}
+    stems = files.select("path", F.lower(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("stem"))
+    stems = scratch.save(stems.groupBy("stem").agg(F.min("path").alias("path")).withColumn("plain", normalize_title(F.col("stem"))))
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
-    rows = records.select(F.col(key), low(key).alias("id"), low(external).alias("ext"), F.regexp_replace(normalize_identifier(F.coalesce(F.col(doi), F.lit(""))), "/", "_").alias("doi"), normalize_title(F.coalesce(F.col(title), F.lit(""))).alias("title"))
-    found = None
-    for column, worth in (("id", 4), ("ext", 3), ("doi", 3)):
-        hit = within(rows, stems, key, column, "path", "stem").withColumns({"kind": F.lit(column), "worth": F.lit(worth)})
-        found = hit if found is None else found.unionByName(hit)
-    both = within(rows, stems, key, "title", "path", "plain").unionByName(within(stems, rows, "path", "plain", key, "title")).distinct()
-    found = found.unionByName(both.withColumns({"kind": F.lit("title"), "worth": F.lit(2)}))
-    scores = found.groupBy(key, "path").agg(F.sum("worth").cast("int").alias("score"))
-    return scores.groupBy(key).agg(F.min_by(F.struct("path", "score"), F.struct(-F.col("score"), F.col("path"))).alias("b")).select(key, "b.path", "b.score")
+    looked = {"__id": low(name or key), "__ext": low(external), "__doi": F.coalesce(F.regexp_replace(normalize_identifier(F.coalesce(F.col(doi), F.lit(""))), "/", "_"), F.lit("")), "__title": normalize_title(F.coalesce(F.col(title), F.lit("")))}
+    rows = scratch.save(records.select(F.col(key).alias("__key"), *(c.alias(n) for n, c in looked.items())))
+    different = rows.select(*worth).distinct()
+    # What is looked for, as (by title, text), and the names that have it.
+    texts = rows.select(F.explode(F.array("__id", "__ext", "__doi")).alias("__n"))
+    by_stem = contained(texts, stems.select(F.col("stem").alias("__h"))).select(F.lit(False).alias("titled"), F.col("__n").alias("sought"), F.col("__h").alias("stem"))
+    titles, plains = rows.select("__title"), stems.select("plain")
+    both = contained(titles.toDF("__n"), plains.toDF("__h")).toDF("sought", "plain").unionByName(contained(plains.toDF("__n"), titles.toDF("__h")).toDF("plain", "sought")).distinct()
+    by_title = both.join(stems.select("plain", "stem"), "plain").select(F.lit(True).alias("titled"), "sought", "stem")
+    hits = scratch.save(by_stem.unionByName(by_title).join(stems, "stem"))
+    sizes = scratch.save(hits.groupBy("titled", "sought").agg(F.count("*").alias("n"), F.min("path").alias("first")))
+    counted = different
+    for kind in worth:
+        of_kind = sizes.filter(F.col("titled") == F.lit(kind == "__title")).select(F.col("sought").alias(kind), F.col("n").alias(f"n_{kind}"), F.col("first").alias(f"first_{kind}"))
+        counted = counted.join(of_kind, kind, "left")
+    # The most frequent text last; of equal ones, any.
+    found = F.array_sort(F.filter(F.array(*(F.struct(F.col(f"n_{k}").alias("n"), F.lit(k == "__title").alias("titled"), F.col(k).alias("sought"), F.lit(w).alias("worth"), F.col(f"first_{k}").alias("first")) for k, w in worth.items())), lambda x: x["n"].isNotNull()))
+    counted = scratch.save(counted.select(*worth, found.alias("found")).filter("size(found) > 0"))
+    alone = counted.select(*worth, F.element_at("found", -1).alias("f")).select(*worth, F.col("f.worth").alias("score"), F.col("f.first").alias("path"))
+    rarer = counted.select(*worth, F.explode(F.array_distinct(F.transform(F.slice("found", F.lit(1), F.size("found") - 1), lambda x: F.struct(x["titled"].alias("titled"), x["sought"].alias("sought"))))).alias("f")).select(*worth, "f.titled", "f.sought")
+    has = lambda hay, needle: (F.col(needle) != "") & F.contains(hay, F.col(needle))
+    fits = {"__id": has("stem", "__id"), "__ext": has("stem", "__ext"), "__doi": has("stem", "__doi"), "__title": has("plain", "__title") | ((F.col("__title") != "") & has("__title", "plain"))}
+    score = sum((F.when(fits[k], w).otherwise(0) for k, w in worth.items()), F.lit(0))
+    scored = rarer.join(hits, ["titled", "sought"]).select(*worth, score.alias("score"), "path").unionByName(alone)
+    first = lambda df, *by: df.groupBy(*by).agg(F.min_by(F.struct("path", "score"), F.struct(-F.col("score"), F.col("path"))).alias("b"))
+    best = first(scored, *worth).select(*worth, "b.path", "b.score")
+    return first(rows.join(best, list(worth)), "__key").select(F.col("__key").alias(key), "b.path", F.col("b.score").cast("int").alias("score"))
 
 
 def searched(spark: SparkSession, paths: dict[str, str], limit: int = 50) -> tuple[DataFrame | None, dict[str, str]]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from scrivener.operators import records as R
+from scrivener.sources import landed
 
 
 def plain_resolution(candidates, known):
@@ -35,3 +37,38 @@ def test_resolution_equals_the_plain_loop_and_lists_no_pairs(spark):
     every = rows.select("id", F.lit("d").alias("doi_key"), F.lit("t").alias("title_key"))
     out = R.resolve(every.select(F.col("id").alias("cand"), F.col("id").alias("self_id"), F.col("id").alias("id_key"), "doi_key", "title_key"), every)
     assert [tuple(r) for r in out.groupBy("status").count().collect()] == [("ambiguous", 60_000)] and time.time() - began < 60
+
+
+def plain_files(records, paths):
+    out = {}
+    for key, name, ext, doi, title in records:
+        scored = []
+        for path in paths:
+            stem = re.sub(r"\.[^./]*$", "", path.rsplit("/", 1)[1]).lower()
+            score = 4 * (name != "" and name in stem) + 3 * (ext != "" and ext in stem) + 3 * (doi != "" and doi in stem) + 2 * (title != "" and (title in stem or stem in title))
+            scored += [(-score, path)] if score else []
+        if scored:
+            out[key] = (min(scored)[1], -min(scored)[0])
+    return out
+
+
+def test_best_files_equal_the_plain_loop(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 5)))
+    for _ in range(3):
+        paths = sorted({f"/{word()}/{word()}{word()}{word()}.pdf" for _ in range(60)})
+        some = lambda: rng.choice(["", word(), word() + word()])
+        records = [(i, some(), some(), some(), some()) for i in range(150)]
+        df = spark.createDataFrame(records, "k long, name string, ext string, doi string, title string")
+        got = landed.best_files(df, spark.createDataFrame([(p,) for p in paths], "path string"), "k", "title", "ext", "doi", "name")
+        assert {r["k"]: (r["path"], r["score"]) for r in got.collect()} == plain_files(records, paths)
+
+
+def test_records_and_files_that_share_beginnings_and_a_place(spark):
+    # 20,000 names with one beginning, in 2 places: 200 million pairs by either.
+    rows, began = spark.range(20_000).select("id", F.format_string("Supplier#%09d", "id").alias("name"), F.when(F.col("id") % 2 == 0, "NORWAY").otherwise("FRANCE").alias("place")), time.time()
+    files = rows.filter("id % 3 = 0").select(F.concat(F.lit("/f/"), F.lower("name"), F.lit("-"), "place", F.lit(".pdf")).alias("path"))
+    got = landed.best_files(rows.withColumns({"title": F.lit(""), "doi": F.lit("")}), files, "id", "title", "place", "doi", "name")
+    want = F.when(F.col("id") % 3 == 0, F.concat(F.lit("/f/"), F.lower("name"), F.lit("-"), "place", F.lit(".pdf"))).when(F.col("id") % 2 == 0, "/f/supplier#000000000-NORWAY.pdf").otherwise("/f/supplier#000000003-FRANCE.pdf")
+    same = got.join(rows, "id").filter((F.col("path") == want) & (F.col("score") == F.when(F.col("id") % 3 == 0, 7).otherwise(3)))
+    assert same.count() == got.count() == 20_000 and time.time() - began < 120
