@@ -9,6 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from scrivener.operators import records as R
+from scrivener.operators import search as S
 from scrivener.sources import landed
 
 
@@ -72,3 +73,19 @@ def test_records_and_files_that_share_beginnings_and_a_place(spark):
     want = F.when(F.col("id") % 3 == 0, F.concat(F.lit("/f/"), F.lower("name"), F.lit("-"), "place", F.lit(".pdf"))).when(F.col("id") % 2 == 0, "/f/supplier#000000000-NORWAY.pdf").otherwise("/f/supplier#000000003-FRANCE.pdf")
     same = got.join(rows, "id").filter((F.col("path") == want) & (F.col("score") == F.when(F.col("id") % 3 == 0, 7).otherwise(3)))
     assert same.count() == got.count() == 20_000 and time.time() - began < 120
+
+
+def test_near_sets_equal_all_pairs(spark):
+    # Sets of many sizes, near ones among them, made of few tokens so that maps and prefixes meet often.
+    rng, sets = random.Random(6), []
+    for _ in range(60):
+        base = [f"t{i}" for i in rng.sample(range(400), rng.choice([1, 2, 5, 11, 40, 120, 300]))]
+        sets += [base, *([t for t in base if rng.random() > 0.07] + [f"t{i}" for i in rng.sample(range(400, 500), rng.randint(0, 1 + len(base) // 12))] for _ in range(4))]
+    first: dict[frozenset, int] = {}
+    for k, tokens in enumerate(sets):
+        first.setdefault(frozenset(tokens), k)
+    different = sorted((k, s) for s, k in first.items() if s)
+    for threshold in (0.82, 0.5, 1.0):
+        want = {(a, b) for i, (a, s) in enumerate(different) for b, t in different[i + 1 :] if len(s & t) / len(s | t) >= threshold}
+        got = [(r["a"], r["b"]) for r in S.near_sets(spark.createDataFrame(list(enumerate(sets)), "k long, t array<string>"), threshold, "k", "t").collect()]
+        assert sorted(got) == sorted(want) and (len(want) > 100 or threshold == 1.0)
