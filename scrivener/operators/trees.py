@@ -12,14 +12,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.operators.graphs import closure
+from scrivener.session import Scratch
 
 LIBRARY, UNFILED = "__library__", "__unfiled__"
 
 
+def _on_cycles(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """Edges among which all cycles are. Where each node has one parent, only those of the cycles themselves: the nodes that
+    are reached from others by 1, 3, 7, ... steps are ever fewer, and when they no longer change they are on cycles."""
+    scratch = Scratch(edges.sparkSession)
+    pairs = scratch.save(edges.select(F.col(node).alias("node"), F.col(parent).alias("up")).filter("node is not null and up is not null").distinct())
+    if not pairs.groupBy("node").count().filter("count > 1").isEmpty():
+        return pairs
+    steps, n = pairs, -1
+    while (now := steps.count()) != n:
+        n = now
+        reached = steps.join(steps.select(F.col("up").alias("node")).distinct(), "node", "left_semi")
+        steps = scratch.save(reached.join(steps.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")))
+    return pairs.join(steps.select("node"), "node", "left_semi")
+
+
 def cycles(edges: DataFrame, node: str, parent: str) -> DataFrame:
     """The cycles of a parent relation, one row each: `start`, the smallest node, `members` in the order in which parents
     lead from it, and `size`. A node that is its own parent is a cycle of one."""
-    up = closure(edges, node, parent)
+    up = closure(_on_cycles(edges, node, parent), "node", "up")  # nodes beside the cycles would list all that is above them
     alone = edges.filter(F.col(node) == F.col(parent)).select(F.col(node).alias("start"), F.col(node).alias("member"), F.lit(0).alias("depth")).distinct()
     over = up.filter("depth > 0").select(F.col("node").alias("start"), F.col("ancestor").alias("member"), "depth")
     back = up.filter("depth > 0").select(F.col("ancestor").alias("start"), F.col("node").alias("member"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scrivener.operators import records as R
 from scrivener.operators import search as S
+from scrivener.operators import trees as E
 from scrivener.sources import landed
 
 
@@ -89,3 +90,22 @@ def test_near_sets_equal_all_pairs(spark):
         want = {(a, b) for i, (a, s) in enumerate(different) for b, t in different[i + 1 :] if len(s & t) / len(s | t) >= threshold}
         got = [(r["a"], r["b"]) for r in S.near_sets(spark.createDataFrame(list(enumerate(sets)), "k long, t array<string>"), threshold, "k", "t").collect()]
         assert sorted(got) == sorted(want) and (len(want) > 100 or threshold == 1.0)
+
+
+def test_cycles_far_below_which_are_many_nodes(spark):
+    rng = random.Random(7)
+    for _ in range(3):
+        parents = {i: rng.choice([rng.randrange(80), None, 900]) if rng.random() < 0.3 else rng.randrange(80) for i in range(80)}
+        want = set()
+        for i in parents:
+            path = [i]
+            while (up := parents.get(path[-1])) is not None and up not in path:
+                path.append(up)
+            if up == i and min(path) == i:
+                want.add(tuple(path))
+        got = E.cycles(spark.createDataFrame(list(parents.items()), "n long, up long"), "n", "up").collect()
+        assert {tuple(r["members"]) for r in got} == want and all(r["start"] == r["members"][0] and r["size"] == len(r["members"]) for r in got)
+    # A chain of 6,000 nodes above which is a cycle of three: 18 million pairs of a node and one above it.
+    ids, began = spark.range(6_000).select(F.col("id").alias("n"), F.when(F.col("id") == 0, 2).otherwise(F.col("id") - 1).alias("up")), time.time()
+    assert [tuple(r) for r in E.cycles(ids, "n", "up").collect()] == [(0, [0, 2, 1], 3)]
+    assert E._on_cycles(ids, "n", "up").count() == 3 and time.time() - began < 120
