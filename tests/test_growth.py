@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from scrivener import registry
 from scrivener.operators import records as R
 from scrivener.operators import search as S
 from scrivener.operators import trees as E
@@ -109,3 +110,11 @@ def test_cycles_far_below_which_are_many_nodes(spark):
     ids, began = spark.range(6_000).select(F.col("id").alias("n"), F.when(F.col("id") == 0, 2).otherwise(F.col("id") - 1).alias("up")), time.time()
     assert [tuple(r) for r in E.cycles(ids, "n", "up").collect()] == [(0, [0, 2, 1], 3)]
     assert E._on_cycles(ids, "n", "up").count() == 3 and time.time() - began < 120
+
+
+def test_topic_domains_keep_a_number_per_topic(spark, sf_dir, tmp_path):
+    names = ["red bolt", "bolt gear red", "small large blue green", "x", None, "green ring small", "large"]
+    spark.createDataFrame([(i % 6, n) for i, n in enumerate(names)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    out = registry.queries()["topic_domains"](spark, str(tmp_path))
+    assert {r["p_partkey"]: r["domain"] for r in out.collect()} == {0: "colour", 1: "metal", 2: "colour", 3: None, 4: None, 5: "colour"}
+    assert "SortAggregate" not in registry.queries()["topic_domains"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
