@@ -188,7 +188,9 @@ def structured_chunks(blocks: DataFrame, key: str, target: int = 500, most: int
 def overlap_of(before: Column, after: Column, most: int = 80) -> Column:
     """How many of the last tokens of one text are the first of the next, by comparing slices of the arrays of tokens."""
     n = F.least(F.size(before), F.size(after), F.lit(most))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & (F.slice(before, -k, k) == F.slice(after, F.lit(1), k)))
+    # Slices are only compared where their last tokens are equal.
+    last = F.try_element_at(before, F.lit(-1))
+    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & (F.get(after, k - 1) == last) & (F.slice(before, -k, k) == F.slice(after, F.lit(1), k)))
     return F.when(n >= 1, F.coalesce(F.array_max(same), F.lit(0))).otherwise(0)
 
 

@@ -266,7 +266,9 @@ def measured_overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.WEIGHED.pattern), F.lit(0))
     words = table(spark, sf_dir, "documents").select("doc_id", "source", found.alias("w")).filter(F.size("w") > 0)
     many = F.greatest(F.ceil((F.size("w") - 20) / 60), F.lit(1)).cast("int")
-    pieces = words.select("doc_id", "source", "w", F.explode(F.sequence(F.lit(0), many - 1)).alias("piece")).select("doc_id", "source", "piece", F.slice("w", F.col("piece") * 60 + 1, F.lit(80)).alias("w"))
+    # Texts are cut before they become rows: a row has its piece alone, not all words of its text.
+    cut = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.slice(F.col("w"), i * 60 + 1, F.lit(80)))
+    pieces = words.select("doc_id", "source", F.posexplode(cut).alias("piece", "w"))
     chunks = C.with_overlaps(pieces.withColumn("content", F.array_join("w", " ")).withColumn("tokens", F.size("w")).drop("w"), "doc_id", "piece", "content")
     return C.overlap_statistics(chunks, ["source"], "doc_id", "tokens", F.col("tokens") < 80)
 
