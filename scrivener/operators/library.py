@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as X
+from scrivener.session import Scratch
 
 
 def with_capabilities(df: DataFrame, wanted: Mapping[str, bool | None], **has: Column) -> DataFrame:
@@ -57,16 +58,35 @@ def locators(relations: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def local_document(citations: DataFrame, documents: DataFrame, least: int = 12) -> DataFrame:
     """citations (citation, text, doi), documents (document, title, doi): the first document whose title, of `least` signs or
-    more, stands in a citation's text as whole words, else one with its DOI. Titles meet texts on their first two words."""
-    words = lambda c: F.split(X.catalog_key(c), " ")
-    pad = lambda c: F.concat(F.lit(" "), X.catalog_key(c), F.lit(" "))
-    titles = documents.filter(F.length(X.catalog_key(F.col("title"))) >= least).select("document", pad(F.col("title")).alias("__p"), F.array_join(F.slice(words(F.col("title")), 1, 2), " ").alias("__k"), F.size(words(F.col("title"))).alias("__n"))
-    w = citations.select("citation", pad(F.col("text")).alias("__t"), words(F.col("text")).alias("__w"))
-    pairs = F.flatten(F.array(F.transform("__w", lambda x, i: F.concat_ws(" ", x, F.get("__w", i + 1))), F.col("__w")))
-    hits = w.select("citation", "__t", F.explode(F.array_distinct(pairs)).alias("__k")).join(titles, "__k").filter(F.contains("__t", "__p"))
-    by_title = hits.groupBy("citation").agg(F.min("document").alias("__by_title"))
+    more, stands in a citation's text as whole words, else one with its DOI.
+
+    Distinct titles meet distinct texts by equality: a title's first words, as many as the largest power of two among its
+    words, are looked for at every place of a text; where they stand, the words of each length that such titles have.
+    """
+    scratch = Scratch(citations.sparkSession)
+    titles = documents.select("document", X.catalog_key(F.col("title")).alias("__p")).filter(F.length("__p") >= least).groupBy("__p").agg(F.min("document").alias("document"))
+    titles = titles.withColumn("__w", F.split("__p", " ")).withColumn("__n", F.size("__w")).withColumn("__half", F.expr("shiftleft(1, length(bin(__n)) - 1)"))
+    titles = scratch.save(titles.select("document", "__p", "__n", "__half", F.xxhash64(F.slice("__w", F.lit(1), F.col("__half"))).alias("__h")))
+    heads = titles.groupBy("__half", "__h").agg(F.collect_set("__n").alias("__lengths"))  # of a beginning, no more than it has words
+    halves = sorted(r["__half"] for r in titles.select("__half").distinct().collect())
+    texts = citations.select(X.catalog_key(F.col("text")).alias("__t")).filter("__t <> ''").distinct()
+    texts = scratch.save(texts.withColumn("__id", F.monotonically_increasing_id()))
+
+    def starts(p: int) -> Column:
+        w = F.col("__w")
+        run = lambda i: F.struct(F.lit(p).alias("half"), i.alias("at"), F.xxhash64(F.slice(w, i, F.lit(p))).alias("h"))
+        return F.when(F.size(w) >= p, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - p + 1, F.lit(1))), run)).otherwise(F.array().cast("array<struct<half:int,at:int,h:bigint>>"))
+
+    cut = texts.select("__id", F.split("__t", " ").alias("__w"))
+    places = cut.select("__id", F.explode(F.flatten(F.array(*map(starts, halves or [1])))).alias("s")).select("__id", F.col("s.half").alias("__half"), F.col("s.at").alias("__at"), F.col("s.h").alias("__h"))
+    runs = places.join(heads, ["__half", "__h"]).select("__id", "__at", F.explode("__lengths").alias("__n"))
+    of = runs.groupBy("__id").agg(F.collect_list(F.struct("__at", "__n")).alias("__r"))  # of one text
+    words = of.join(cut, "__id").select("__id", F.explode(F.array_distinct(F.transform("__r", lambda r: F.array_join(F.slice("__w", r["__at"], r["__n"]), " ")))).alias("__p"))
+    first = words.join(titles.select("__p", "document"), "__p").groupBy("__id").agg(F.min("document").alias("__by_title"))
+    named = scratch.save(first.join(texts, "__id").select("__t", "__by_title"))
+    by_title = citations.select("citation", X.catalog_key(F.col("text")).alias("__t")).join(named, "__t").groupBy("citation").agg(F.min("__by_title").alias("__by_title"))
     doi = lambda df, key: df.select(key, X.normalize_doi(F.col("doi")).alias("__d")).filter("__d <> ''")
-    by_doi = doi(citations, "citation").join(doi(documents, "document"), "__d").groupBy("citation").agg(F.min("document").alias("__by_doi"))
+    by_doi = doi(citations, "citation").join(doi(documents, "document").groupBy("__d").agg(F.min("document").alias("document")), "__d").groupBy("citation").agg(F.min("document").alias("__by_doi"))
     out = citations.select("citation").join(by_title, "citation", "left").join(by_doi, "citation", "left")
     return out.select("citation", F.coalesce("__by_title", "__by_doi").alias("document"))
 
