@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,16 +78,42 @@ def islands(df: DataFrame, partition: list[str], order: str, same: list[str]) ->
     return df.withColumn("__new", F.when(F.row_number().over(w) == 1, 0).otherwise(differs.cast("int"))).withColumn("island", F.sum("__new").over(w)).drop("__new")
 
 
-def _per_text(df: DataFrame, key: str, text: str, schema: str, f: Callable[[str], list[tuple]]) -> DataFrame:
-    """Rows that f makes of each text, with its key."""
-    kind, names = df.schema[key].dataType.simpleString(), [c.split()[0] for c in schema.split(", ")]
+#: Characters, and rows, of results that a task's Python holds before it hands them on.
+MOST_HELD, MOST_ROWS = 1 << 20, 4096
+ARROW = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+
+
+def in_small_batches(batches: Iterable[pa.RecordBatch], f: Callable[[str], Iterable[tuple]], names: list[str], types: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows that f makes of each text of batches (key, text), with its key. One text is opened at a time and results are handed
+    on as soon as there are some, so that what is held grows with the longest text, not with the batch."""
+    for batch in batches:
+        keys, texts = batch.column(0), batch.column(1)
+        owners: list[int] = []
+        rows: list[tuple] = []
+        held = 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, *r) for k, t in zip(pdf[key], pdf["__text"], strict=True) for r in f(t)]
-            yield pd.DataFrame(rows, columns=[key, *names])
+        def made(owners: list[int], rows: list[tuple], keys: pa.Array = keys) -> pa.RecordBatch:
+            values = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(owners, pa.int32())), *(pa.array(v, ARROW[t]) for v, t in zip(values, types, strict=True))], names=names)
 
-    return df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(run, f"{key} {kind}, {schema}")
+        for i, text in enumerate(texts):
+            for row in f(text.as_py()):
+                owners.append(i)
+                rows.append(row)
+                held += sum(len(x) for x in row if isinstance(x, str))
+                if held > MOST_HELD or len(rows) >= MOST_ROWS:
+                    yield made(owners, rows)
+                    owners, rows, held = [], [], 0
+        if rows:
+            yield made(owners, rows)
+
+
+def _per_text(df: DataFrame, key: str, text: str, schema: str, f: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """Rows that f makes of each text, with its key."""
+    kind, fields = df.schema[key].dataType.simpleString(), [c.split() for c in schema.split(", ")]
+    names, types = [key, *(n for n, _ in fields)], [t for _, t in fields]
+    cut = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    return cut.mapInArrow(lambda batches: in_small_batches(batches, f, names, types), f"{key} {kind}, {schema}")
 
 
 def weight(text: str) -> int:
@@ -192,8 +219,10 @@ def reference_entries(df: DataFrame, key: str, text: str) -> DataFrame:
 def citation_contexts(df: DataFrame, key: str, text: str, around: int = 180) -> DataFrame:
     """One row per cited number and place: its line and the text around it."""
 
-    def find(t: str) -> list[tuple[str, int, str]]:
-        return [(m.group(1), t.count("\n", 0, m.start()) + 1, " ".join(t[max(0, m.start() - around) : m.end() + around].split())) for m in CITATION.finditer(t)]
+    def find(t: str) -> Iterator[tuple[str, int, str]]:
+        ends = [m.start() for m in re.finditer("\n", t)]
+        for m in CITATION.finditer(t):
+            yield m.group(1), bisect_left(ends, m.start()) + 1, " ".join(t[max(0, m.start() - around) : m.end() + around].split())
 
     rows = _per_text(df, key, text, "marker string, line int, quote string", find)
     return rows.select(key, F.explode(X.expand_numbers(F.col("marker"))).alias("number"), "line", "quote")
