@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrivener.functions.text import let
+
 # Titles that say nothing of a topic, parts of titles that don't either, and labels of one word that are none.
 GENERIC_TITLES = (
     "additional ablation studies", "additional implementation details", "additional mathematical derivation", "abstract", "acknowledgments", "appendix",
@@ -47,21 +49,20 @@ def is_non_core(title: Column) -> Column:
     low = F.lower(F.btrim(F.regexp_replace(_without_number(title), r"\s+", " "), F.lit(" -_#:.")))
     # A part is looked for anywhere; those that hold another one needn't be tried.
     parts = "|".join(p for p in NON_CORE if not any(q != p and q in p for q in NON_CORE))
-    return (low == "") | low.isin(*GENERIC_TITLES) | _starts(low) | low.rlike(parts)
+    return let(low, lambda x: (x == "") | x.isin(*GENERIC_TITLES) | _starts(x) | x.rlike(parts))
 
 
 def topic(phrase: Column) -> Column:
     """A phrase as a topic, without its number or letter; null if it is none."""
     plain = F.btrim(F.regexp_replace(F.regexp_replace(_without_number(phrase), r"^[A-Z]\s+", ""), r"\s+", " "), F.lit(" -_#"))
-    low = F.lower(plain)
-    bad = low.isin("", *GENERIC_TITLES) | _starts(low) | is_non_core(plain) | low.isin(*VAGUE_WORDS) | (F.length(plain) < 3)
-    return F.when(~bad, plain)
+    bad = lambda p: (F.length(p) < 3) | let(F.lower(p), lambda low: low.isin("", *GENERIC_TITLES) | _starts(low) | low.isin(*VAGUE_WORDS)) | is_non_core(p)
+    return let(plain, lambda p: F.when(~bad(p), p))
 
 
 def is_generic_label(label: Column) -> Column:
     """Whether a label isn't a topic or is a word of those that any paper may have."""
     found = topic(label)
-    return found.isNull() | F.lower(found).isin(*LABEL_WORDS)
+    return let(found, lambda t: t.isNull() | F.lower(t).isin(*LABEL_WORDS))
 
 
 def specific(label: Column, candidates: Column) -> Column:

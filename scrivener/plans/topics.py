@@ -305,9 +305,14 @@ t AS (SELECT doc_id, plain, low FROM k WHERE NOT (low IN ('', {GENERIC_SQL}) OR
 @query("phrase_topics", f"{TOPIC_CTE} SELECT doc_id, count(*) AS topics, count(DISTINCT low) AS different, count(*) FILTER (low IN ({', '.join(repr(w) for w in B.LABEL_WORDS)})) AS generic FROM t GROUP BY doc_id")
 def phrase_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of whole texts that are topics, and how many of them are generic labels."""
-    phrases = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^,;:.()\n]+"), F.lit(0))).alias("phrase"))
-    found = phrases.select("doc_id", B.topic(F.col("phrase")).alias("topic"), B.is_generic_label(F.col("phrase")).alias("generic")).filter("topic is not null")
-    return found.groupBy("doc_id").agg(F.count("*").alias("topics"), F.countDistinct(F.lower("topic")).alias("different"), F.count_if("generic").alias("generic"))
+    phrases = F.regexp_extract_all("text", F.lit(r"[^,;:.()\n]+"), F.lit(0))
+    topics = F.filter(F.transform(phrases, lambda p: F.lower(B.topic(p))), lambda t: t.isNotNull())
+    # A text's topics stay one row; only its different ones are shuffled.
+    per = table(spark, sf_dir, "documents").select("doc_id", topics.alias("t"))
+    per = per.select("doc_id", F.size("t").alias("topics"), F.array_distinct("t").alias("low"), F.size(F.filter("t", lambda t: t.isin(*B.LABEL_WORDS))).alias("generic"))
+    found = per.groupBy("doc_id").agg(F.sum("topics").alias("topics"), F.size(F.array_distinct(F.flatten(F.collect_list("low")))).cast("long").alias("different"), F.sum("generic").alias("generic"))
+    # Not before the sums: a filter on topics would be pushed down and work them out twice.
+    return found.filter("topics > 0").select("doc_id", "topics", "different", "generic")
 
 
 @query(
