@@ -5,10 +5,10 @@ All are column expressions. A field that isn't found is null (authors: an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.functions.text import earliest_year
+from scrivener.functions.text import earliest_year, let
 
 # Fixed patterns and limits.
 DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
@@ -26,7 +26,7 @@ VENUE_LINES, LONGEST_ABSTRACT, SHORTEST_NAME = 120, 4000, 6
 
 def some(c: Column) -> Column:
     """c, or null where it is empty."""
-    return F.when(c != "", c)
+    return let(c, lambda x: F.when(x != "", x))
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -67,8 +67,16 @@ def reference_fields(text: Column) -> dict[str, Column]:
     The title is the first line that isn't a DOI, an address, an abstract or keywords, the authors are the second line
     unless it speaks of those.
     """
-    lines = F.filter(F.transform(_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    joined = F.array_join(lines, " ")
+    lines = _filled(text)
+    return _of_lines(lines, F.array_join(lines, " "))
+
+
+def _filled(text: Column) -> Column:
+    """The lines that aren't blank, without what is blank at their ends."""
+    return F.filter(F.transform(_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def _of_lines(lines: Column, joined: Column) -> dict[str, Column]:
     second = F.get(lines, F.lit(1))
     is_title = lambda x: ~F.lower(x).rlike(r"^(?:doi|http|abstract|keywords)")
     return {
@@ -83,9 +91,13 @@ def reference_fields(text: Column) -> dict[str, Column]:
 
 def venue(text: Column) -> Column:
     """The first of four patterns that finds a name of six to 180 characters in the first 120 lines."""
-    head = F.array_join(F.slice(_lines(text), 1, VENUE_LINES), "\n")
-    names = [stripped(F.regexp_replace(F.regexp_extract(head, p, 1), r"\s+", " "), " .,:;") for p in VENUES]
-    return F.coalesce(*(F.when(F.length(n).between(6, 180), n) for n in names))
+    return _venue(F.array_join(F.slice(_lines(text), 1, VENUE_LINES), "\n"))
+
+
+def _venue(head: Column) -> Column:
+    names = lambda h: [stripped(F.regexp_replace(F.regexp_extract(h, p, 1), r"\s+", " "), " .,:;") for p in VENUES]
+    able = lambda n: F.when(F.length(n).between(6, 180), n)
+    return let(head, lambda h: F.coalesce(*(let(n, able) for n in names(h))))
 
 
 def is_journal(name: Column) -> Column:
@@ -103,20 +115,34 @@ def _title_below(text: Column, first: int) -> Column:
     return F.get(F.filter(F.transform(F.slice(_lines(text), 1, first), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), able), F.lit(0))
 
 
-def _whole(text: Column, fields: dict[str, Column], lines: int) -> dict[str, Column]:
+def _whole(text: Column, fields: dict[str, Column], lines: int, place: Column | None = None) -> dict[str, Column]:
     """The fields with the abstract up to the keywords or the introduction, a title from the first lines, and the venue."""
     abstract = some(F.substring(one_line(F.regexp_extract(text, ABSTRACT, 1)), 1, LONGEST_ABSTRACT))
-    place = venue(text)
+    place = venue(text) if place is None else place
     return fields | {"abstract": F.coalesce(abstract, fields["abstract"]), "title": F.coalesce(fields["title"], _title_below(text, lines)), "venue": place, "journal": F.when(is_journal(place), place)}
 
 
 def markdown_fields(markdown: Column) -> dict[str, Column]:
     """Fields of a paper's Markdown: those of a reference, the earliest year near the start, and the venue."""
     text = plain_text(markdown)
-    fields = _whole(text, reference_fields(text), 20)
+    return _with_years(text, _whole(text, reference_fields(text), 20))
+
+
+def _with_years(text: Column, fields: dict[str, Column]) -> dict[str, Column]:
     return fields | {"doi": F.coalesce(F.rtrim(found(text, DOI), F.lit(".,;")), fields["doi"]), "year": F.coalesce(earliest_year(text), fields["year"])}
 
 
+def markdown_metadata(df: DataFrame, key: str, markdown: str) -> DataFrame:
+    """key, the markdown_fields of each text and how many were found, step by step: what several fields need is worked out once."""
+    plain = df.select(key, plain_text(F.col(markdown)).alias("__text"))
+    lines = plain.select(key, "__text", _filled(F.col("__text")).alias("__lines"), venue(F.col("__text")).alias("__place"))
+    joined = lines.withColumn("__joined", F.array_join("__lines", " "))
+    text, place = F.col("__text"), F.col("__place")
+    fields = _with_years(text, _whole(text, _of_lines(F.col("__lines"), F.col("__joined")), 20, place))
+    found = joined.select(key, *(c.alias(n) for n, c in fields.items()))
+    return found.select(key, *with_fields({n: F.col(n) for n in fields}))
+
+
 def pdf_fields(text: Column, title: Column, author: Column, subject: Column, created: Column) -> dict[str, Column]:
     """Fields of a PDF's text and metadata: a title of the metadata that says something comes first, and its authors."""
     fields, own = reference_fields(text), some(F.trim(F.coalesce(title, F.lit(""))))

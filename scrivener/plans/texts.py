@@ -284,7 +284,7 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("markdown_metadata")
 def markdown_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, authors, year, DOI, venue and abstract of papers in Markdown."""
-    return _papers(spark, sf_dir).select("doc_id", *D.with_fields(D.markdown_fields(F.col("text"))))
+    return D.markdown_metadata(_papers(spark, sf_dir), "doc_id", "text")
 
 
 @query("graph_windows")
