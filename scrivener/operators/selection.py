@@ -11,15 +11,20 @@ the ranking), `tokens` (distinct), `chars`, `relevance`, `locked`, and `support`
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as X
 from scrivener.session import Scratch
 
+#: Questions up to which their states are sent to the candidates, instead of those being dealt out by question.
+FEW_QUESTIONS = 100
+#: Candidates of a question that are looked at together, at first and at most.
+FIRST_BLOCK, MOST_BLOCK = 256, 2048
 SUPPORT = "array<struct<slot:string,status:string,confidence:double,period:string>>"
 
 
@@ -40,6 +45,11 @@ def _map(key: str, value: str, when: Column | None = None) -> Column:
     return F.map_from_entries(F.array_sort(F.collect_set(entry if when is None else F.when(when, entry))))
 
 
+def _sent(questions: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How what is known of questions meets their candidates: few are sent to them, as one question may have most of the rows."""
+    return F.broadcast if questions.limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS else lambda df: df
+
+
 def budgets(requirements: DataFrame, questions: DataFrame, least: int = 4, most: int = 12, chars: int = 18_000) -> DataFrame:
     """A budget per question: least, target, most, chars, and as maps what is needed: needs (direct evidence per slot),
     parents (a slot's requirement), sources and periods (distinct ones per requirement).
@@ -113,19 +123,23 @@ def select_covering(groups: DataFrame, budget: DataFrame, weights: Weights | Non
     hashed = groups.select("question", "grp", F.coalesce("record", F.lit("")).alias("record"), "ord", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"), "chars", F.coalesce("relevance", F.lit(0.0)).alias("relevance"), F.coalesce("locked", F.lit(False)).alias("locked"), F.coalesce(F.col("support"), _empty(SUPPORT)).alias("support"))
     all_ = scratch.save(hashed)
     limits = scratch.save(budget.withColumnRenamed("chars", "room"))
+    sent = _sent(limits)
     rounds = limits.agg(F.max("most").alias("m")).first()["m"] or 0
     pairs = "array<struct<parent:string,value:string>>"
     state = limits.select("question", _empty("array<string>").alias("taken"), _empty("array<array<bigint>>").alias("sets"), _empty("array<string>").alias("records"), _empty("array<string>").alias("covered"), _empty(pairs).alias("told"), _empty(pairs).alias("dated"), F.lit(0).cast("bigint").alias("spent"))
     out = None
     for place in range(rounds):
         now = state.join(limits, "question")
-        able = all_.join(now, "question").filter(~F.array_contains("taken", F.col("grp")) & (F.col("spent") + F.col("chars") <= F.col("room")) & (F.size("taken") < F.col("most")))
+        able = all_.join(sent(now), "question").filter(~F.array_contains("taken", F.col("grp")) & (F.col("spent") + F.col("chars") <= F.col("room")) & (F.size("taken") < F.col("most")))
         score, _ = _scored(w)
         # Locked ones go before all others, by their place; of the others the best score counts, then the place.
-        row = F.struct("grp", "record", "hashes", "chars", "support", "locked", "score")
+        row = F.struct("grp", "record", "chars", "support", "locked", "score")
         order = F.struct("locked", F.when(F.col("locked"), -F.col("ord").cast("double")).otherwise(F.col("score")), -F.col("ord"))
         best = able.withColumn("score", score).groupBy("question").agg(F.max_by(row, order).alias("b"))
-        best = best.join(now, "question")
+        # The best one's tokens are fetched afterwards: of the others they needn't be sorted.
+        key = scratch.save(best)
+        tokens = all_.select("question", "grp", "hashes").join(sent(key.select("question", F.col("b.grp").alias("grp"))), ["question", "grp"]).groupBy("question").agg(F.first("hashes").alias("hashes"))
+        best = key.join(tokens, "question").join(now, "question")
         n = F.size("taken")
         stop = F.when(F.size("needs") == 0, n >= F.col("target")).otherwise((_covered_all() & (n >= F.col("least"))) | (n >= F.col("target")) | ((F.col("b.score") <= 0) & (n >= F.col("least"))))
         best = best.filter(F.col("b.locked") | ~stop)
@@ -134,7 +148,7 @@ def select_covering(groups: DataFrame, budget: DataFrame, weights: Weights | Non
         dated = F.transform(counts, lambda s: F.struct(F.coalesce(F.col("parents")[s["slot"]], s["slot"]).alias("parent"), s["period"].alias("value")))
         some = lambda a: F.filter(a, lambda x: x["value"] != "")
         state = scratch.save(best.select(
-            "question", F.concat("taken", F.array("b.grp")).alias("taken"), F.concat("sets", F.array("b.hashes")).alias("sets"), F.array_union("records", F.filter(F.array("b.record"), lambda r: r != "")).alias("records"),
+            "question", F.concat("taken", F.array("b.grp")).alias("taken"), F.concat("sets", F.array("hashes")).alias("sets"), F.array_union("records", F.filter(F.array("b.record"), lambda r: r != "")).alias("records"),
             F.concat("covered", F.transform(counts, lambda s: s["slot"])).alias("covered"), F.array_union("told", some(told)).alias("told"), F.array_union("dated", some(dated)).alias("dated"), (F.col("spent") + F.col("b.chars")).alias("spent"),
         ))
         if state.isEmpty():
@@ -206,30 +220,42 @@ def assemble(members: DataFrame, cap: DataFrame, alike: float = 0.82, most_chunk
         F.first("record").alias("record"), F.bool_or("structured").alias("structured"), F.min("ord").alias("ord"), seed.alias("seed"),
         F.array_sort(F.collect_list(F.struct("seq", "chunk", F.col("chars").cast("long").alias("chars")))).alias("parts"), F.array_distinct(F.flatten(F.collect_list(F.transform("tokens", lambda t: F.xxhash64(t))))).alias("hashes"),
     )
-    groups = scratch.save(of.filter("ord is not null"))
-    state = scratch.save(cap.select("question", "cap", _empty("array<string>").alias("taken"), _empty("array<array<bigint>>").alias("sets"), _empty("array<string>").alias("records"), F.lit(most_chunks).alias("chunks"), F.lit(most_chars).cast("long").alias("chars_left")))
+    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["chars"])
+    groups = scratch.save(of.filter("ord is not null").withColumn("least", F.when(F.col("structured"), F.col("seed.chars")).otherwise(whole)))
+    state = scratch.save(cap.select("question", "cap", _empty("array<string>").alias("taken"), _empty("array<array<bigint>>").alias("sets"), _empty("array<string>").alias("records"), F.lit(most_chunks).alias("chunks"), F.lit(most_chars).cast("long").alias("chars_left"), F.lit(None).cast(groups.select(F.struct("ord", "grp").alias("s")).schema["s"].dataType).alias("seen")))
+    sent, size, out = _sent(state), FIRST_BLOCK, None
 
     @F.pandas_udf("struct<begin:int,stop:int>")
     def window(sizes: pd.Series, at: pd.Series, chunks: pd.Series, chars: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([fitted([int(x) for x in s], int(a), int(n), int(c)) for s, a, n, c in zip(sizes, at, chunks, chars, strict=True)], columns=["begin", "stop"])
 
-    out = None
-    for place in range(most_chunks):
-        able = groups.join(state, "question").filter(~F.array_contains("taken", F.col("grp")) & (F.col("chunks") > 0) & (_n(F.col("records"), F.col("record")) < F.col("cap")))
-        # What was refused once is refused ever after: caps, likeness and room only get tighter. So the first that may is next.
-        whole = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["chars"])
-        able = able.filter(F.when(F.col("structured"), F.col("seed.chars") <= F.col("chars_left")).otherwise(whole <= F.col("chars_left")))
-        able = able.filter(~F.exists("sets", lambda t: X.jaccard(F.col("hashes"), t) > alike))
-        first = able.groupBy("question").agg(F.min_by(F.struct("grp", "record", "hashes", "parts", "seed"), F.struct("ord", "grp")).alias("b")).join(state, "question")
-        at = F.array_position(F.transform("b.parts", lambda p: p["chunk"]), F.col("b.seed.chunk")) - 1
-        first = first.withColumn("w", window(F.transform("b.parts", lambda p: p["chars"]), at, F.col("chunks"), F.col("chars_left")))
-        kept = F.slice("b.parts", F.col("w.begin") + 1, F.col("w.stop") - F.col("w.begin"))
-        state = scratch.save(first.withColumn("kept", kept).select(
-            "question", "cap", F.concat("taken", F.array("b.grp")).alias("taken"), F.concat("sets", F.array("b.hashes")).alias("sets"), F.concat("records", F.array("b.record")).alias("records"),
-            (F.col("chunks") - F.size("kept")).alias("chunks"), (F.col("chars_left") - F.aggregate("kept", F.lit(0).cast("long"), lambda a, p: a + p["chars"])).alias("chars_left"), "kept",
-        ))
-        if state.isEmpty():
+    # What was refused once is refused ever after: caps, likeness and room only get tighter. So the first that may is next, and
+    # candidates are looked at in blocks, in their order; a block that was gone through isn't opened again.
+    may = ~F.array_contains("taken", F.col("grp")) & (F.col("chunks") > 0) & (_n(F.col("records"), F.col("record")) < F.col("cap")) & (F.col("least") <= F.col("chars_left"))
+    while not state.filter("chunks > 0").isEmpty():
+        ahead = groups.select("question", "grp", "record", "ord", "least").join(sent(state.drop("sets")), "question").filter(may & (F.col("seen").isNull() | (F.struct("ord", "grp") > F.col("seen"))))
+        next_ = ahead.select("question", "grp", "ord").withColumn("__n", F.row_number().over(Window.partitionBy("question").orderBy("ord", "grp"))).filter(F.col("__n") <= size)
+        block = scratch.save(groups.join(sent(next_.select("question", "grp")), ["question", "grp"]))
+        if block.isEmpty():
             break
-        part = state.select("question", F.element_at("taken", -1).alias("grp"), F.explode("kept").alias("p"), F.lit(place).alias("place")).select("question", "grp", F.col("p.chunk").alias("chunk"), "place")
-        out, state = part if out is None else out.unionByName(part), state.drop("kept")
+        found = False
+        while True:
+            able = block.join(sent(state), "question").filter(may).filter(~F.exists("sets", lambda t: X.jaccard(F.col("hashes"), t) > alike))
+            first = able.groupBy("question").agg(F.min_by(F.struct("grp", "record", "hashes", "parts", "seed"), F.struct("ord", "grp")).alias("b")).join(state, "question")
+            at = F.array_position(F.transform("b.parts", lambda p: p["chunk"]), F.col("b.seed.chunk")) - 1
+            first = first.withColumn("w", window(F.transform("b.parts", lambda p: p["chars"]), at, F.col("chunks"), F.col("chars_left")))
+            kept = F.slice("b.parts", F.col("w.begin") + 1, F.col("w.stop") - F.col("w.begin"))
+            new = scratch.save(first.withColumn("kept", kept).select(
+                "question", "cap", F.concat("taken", F.array("b.grp")).alias("taken"), F.concat("sets", F.array("b.hashes")).alias("sets"), F.concat("records", F.array("b.record")).alias("records"),
+                (F.col("chunks") - F.size("kept")).alias("chunks"), (F.col("chars_left") - F.aggregate("kept", F.lit(0).cast("long"), lambda a, p: a + p["chars"])).alias("chars_left"), "seen", "kept",
+            ))
+            if new.isEmpty():
+                break
+            found = True
+            part = new.select("question", F.element_at("taken", -1).alias("grp"), F.explode("kept").alias("p"), (F.size("taken") - 1).alias("place")).select("question", "grp", F.col("p.chunk").alias("chunk"), "place")
+            out = part if out is None else out.unionByName(part)
+            state = scratch.save(state.join(new.select("question"), "question", "left_anti").unionByName(new.drop("kept")))
+        ends = block.groupBy("question").agg(F.max(F.struct("ord", "grp")).alias("__end"))
+        state = scratch.save(state.join(ends, "question", "left").withColumn("seen", F.coalesce("__end", "seen")).drop("__end"))
+        size = size if found else min(2 * size, MOST_BLOCK)
     return out if out is not None else members.select("question", "grp", "chunk", F.lit(0).alias("place")).limit(0)
