@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions.markdown import FENCE
-from scrivener.functions.tables import SENTENCE, WEIGHED, _per_text, continuity, hard_split, islands, weight
+from scrivener.functions.tables import SENTENCE, WEIGHED, _per_text, continuity, hard_split, islands, pack_weighed, weighed_units, weight
 
 #: The path of text without headings, what joins summaries, and their longest.
 NO_HEADING, GLUE, LONGEST_SUMMARY = "正文", "；", 500
@@ -102,17 +102,11 @@ def packed(texts: list[str], target: int, most: int, overlap: int) -> list[list[
 
 
 def shared(before: list[str], after: list[str], most: int) -> int:
-    """How many of the last tokens of `before` are the first of `after`, `most` at most: the longest border of the one put
-    before the other, by the prefix function."""
+    """How many of the last tokens of `before` are the first of `after`, `most` at most. Slices are only compared where their
+    first and last tokens are equal."""
     head, end = after[:most], before[-most:] if most else []
-    line: list[str | None] = [*head, None, *end]
-    border = [0] * len(line)
-    for i in range(1, len(line)):
-        k = border[i - 1]
-        while k and line[i] != line[k]:
-            k = border[k - 1]
-        border[i] = k + (line[i] is not None and line[i] == line[k])
-    return border[-1] if head and end else 0
+    lengths = range(min(len(head), len(end)), 0, -1)
+    return next((k for k in lengths if head[k - 1] == end[-1] and end[-k] == head[0] and end[-k:] == head[:k]), 0)
 
 
 def tokens(text: str) -> list[str]:
@@ -188,19 +182,37 @@ def structured_chunks(blocks: DataFrame, key: str, target: int = 500, most: int
 def overlap_of(before: Column, after: Column, most: int = 80) -> Column:
     """How many of the last tokens of one text are the first of the next, by comparing slices of the arrays of tokens."""
     n = F.least(F.size(before), F.size(after), F.lit(most))
-    # Slices are only compared where their last tokens are equal.
-    last = F.try_element_at(before, F.lit(-1))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & (F.get(after, k - 1) == last) & (F.slice(before, -k, k) == F.slice(after, F.lit(1), k)))
+    first, last = F.get(after, F.lit(0)), F.try_element_at(before, F.lit(-1))
+    # Slices are only compared where their first and last tokens are equal.
+    ends = lambda word, i: (word == last) & (F.get(before, F.size(before) - i - 1) == first)
+    same = F.transform(F.slice(after, F.lit(1), n), lambda word, i: F.when(ends(word, i) & (F.slice(before, -i - 1, i + 1) == F.slice(after, F.lit(1), i + 1)), i + 1))
     return F.when(n >= 1, F.coalesce(F.array_max(same), F.lit(0))).otherwise(0)
 
 
 def with_overlaps(chunks: DataFrame, key: str, order: str, text: str, most: int = 80) -> DataFrame:
-    """chunks with shared: the tokens that each shares with the one before it, in the order of its key."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WEIGHED.pattern), F.lit(0))
-    # Only the tokens at the ends go through the window.
-    ends = chunks.withColumn("__t", found).withColumn("__head", F.slice("__t", 1, most)).withColumn("__tail", F.reverse(F.slice(F.reverse("__t"), 1, most))).drop("__t")
-    before = F.lag("__tail").over(Window.partitionBy(key).orderBy(order))
-    return ends.withColumn("__before", before).withColumn("shared", F.when(F.col("__before").isNull(), 0).otherwise(overlap_of(F.col("__before"), F.col("__head"), most))).drop("__head", "__tail", "__before")
+    """chunks with shared: the tokens that each shares with the one before it, in the order of its key. text is a string, or an
+    array of the tokens."""
+    listed = chunks.schema[text].dataType.typeName() == "array"
+    found = F.coalesce(F.col(text), F.array().cast("array<string>")) if listed else F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WEIGHED.pattern), F.lit(0))
+    # Only the tokens at the ends go through the window, and those that are in both ends once.
+    last = lambda c: F.slice(c, F.greatest(F.size(c) - most + 1, F.lit(1)), F.lit(most))
+    ends = chunks.withColumn("__t", found).withColumn("__t", F.when(F.size("__t") <= 2 * most, F.col("__t")).otherwise(F.concat(F.slice("__t", 1, most), last(F.col("__t")))))
+    before = F.lag("__t").over(Window.partitionBy(key).orderBy(order))
+    return ends.withColumn("__before", before).withColumn("shared", F.when(F.col("__before").isNull(), 0).otherwise(overlap_of(F.col("__before"), F.col("__t"), most))).drop("__t", "__before")
+
+
+def measured_chunks(df: DataFrame, key: str, text: str, target: int = 500, most: int = 700, overlap: int = 80, longest: int = 80) -> DataFrame:
+    """key, chunk, tokens, overlap_tokens and shared of token_chunks: what with_overlaps finds, but measured where a text is cut,
+    as its chunks stand side by side there; neither they nor their tokens become rows."""
+
+    def pack(t: str) -> Iterator[tuple[int, int, int, int]]:
+        before: list[str] = []
+        for i, (held, size, carried) in enumerate(pack_weighed(weighed_units(t, most), target, most, overlap)):
+            now = [token for _, _, found in held for token in found]
+            yield i, size, carried, shared(before, now, longest)
+            before = now
+
+    return _per_text(df, key, text, "chunk int, tokens int, overlap_tokens int, shared int", pack)
 
 
 def overlap_statistics(chunks: DataFrame, by: list[str], key: str, tokens_column: str, structure: Column) -> DataFrame:

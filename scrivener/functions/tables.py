@@ -6,10 +6,10 @@ fold over one text at a time, in Arrow batches; a text is never spread over task
 
 from __future__ import annotations
 
-import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from scrivener.functions import text as X
 
 HEADING = r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
-WEIGHED = re.compile(r"[㐀-䶿一-鿿]|[A-Za-z0-9]+(?:[+._/\-][A-Za-z0-9]+)*|[^\s]")
+# Nothing is given back: in Java, runs like a.b.c of thousands of parts would fill the stack otherwise.
+WEIGHED = re.compile(r"[㐀-䶿一-鿿]|[A-Za-z0-9]++(?:[+._/\-][A-Za-z0-9]++)*+|[^\s]")
 SENTENCE = re.compile(r".+?(?:[。！？!?；;.](?=\s|$)|$)", re.S)
 
 
@@ -116,57 +117,94 @@ def _per_text(df: DataFrame, key: str, text: str, schema: str, f: Callable[[str]
     return cut.mapInArrow(lambda batches: in_small_batches(batches, f, names, types), f"{key} {kind}, {schema}")
 
 
+def weighed(tokens: list[str]) -> int:
+    """The estimate of listed tokens: a run of letters and digits is one for four characters, any other token is one character."""
+    return sum([(len(t) + 3) >> 2 for t in tokens])
+
+
 def weight(text: str) -> int:
     """Estimated tokens of a text."""
-    return sum(math.ceil(len(t) / 4) if t[0].isascii() and t[0].isalnum() else 1 for t in WEIGHED.findall(text))
+    return weighed(WEIGHED.findall(text))
 
 
 def hard_split(text: str, limit: int) -> list[str]:
     """A text in parts of at most `limit` tokens; a longer token in parts of four characters each."""
-    found = list(WEIGHED.finditer(text))
-    spans = [(m.start() + i, min(m.end(), m.start() + i + 4 * limit)) for m in found for i in range(0, len(m.group()), 4 * limit)]
-    sums = np.cumsum([0, *(weight(text[a:b]) for a, b in spans)])
+    most = 4 * limit
+    spans = [(i, min(m.end(), i + most), m.end() - m.start() <= most) for m in WEIGHED.finditer(text) for i in range(m.start(), m.end(), most)]
+    # A whole token weighs by its length; what is cut from one may be several.
+    sums = list(accumulate(((b - a + 3) >> 2 if whole else weight(text[a:b]) for a, b, whole in spans), initial=0))
     out, first = [], 0
     while first < len(spans):
         # As many tokens as fit, by their running sum; one at the least.
-        last = max(first + 1, int(np.searchsorted(sums, sums[first] + limit, "right")) - 1)
+        last = max(first + 1, bisect_right(sums, sums[first] + limit) - 1)
         out.append(text[spans[first][0] : spans[last - 1][1]].strip())
         first = last
     return [p for p in out if p]
 
 
-def semantic_units(text: str, limit: int) -> list[str]:
-    """Paragraphs; where one is too long its sentences; where one of those is, parts of it."""
-    out: list[str] = []
+#: A unit of a text, its estimated tokens, and these as they are listed.
+Unit = tuple[str, int, list[str]]
+
+
+def weighed_units(text: str, limit: int) -> Iterator[Unit]:
+    """Paragraphs; where one is too long its sentences; where one of those is, parts of it. Tokens are listed once: a blank
+    follows a sentence's end, so a paragraph has the tokens of its sentences."""
     for paragraph in filter(str.strip, re.split(r"\n\s*\n", text)):
-        for piece in [paragraph] if weight(paragraph) <= limit else SENTENCE.findall(paragraph):
-            if piece.strip():
-                out += [piece.strip()] if weight(piece) <= limit else hard_split(piece, limit)
-    return out
+        listed = ((m.group(), WEIGHED.findall(m.group())) for m in SENTENCE.finditer(paragraph))
+        sentences = ((piece, weighed(found), found) for piece, found in listed)
+        begin, size = [], 0
+        while size <= limit and (unit := next(sentences, None)):
+            begin.append(unit)
+            size += unit[1]
+        if size <= limit:
+            yield paragraph.strip(), size, [t for _, _, found in begin for t in found]
+            continue
+        for piece, size, found in chain(begin, sentences):
+            if size > limit:
+                yield from ((part, weighed(ts), ts) for part in hard_split(piece, limit) for ts in [WEIGHED.findall(part)])
+            elif piece := piece.strip():
+                yield piece, size, found
+
+
+def semantic_units(text: str, limit: int) -> list[str]:
+    """The units alone."""
+    return [unit for unit, _, _ in weighed_units(text, limit)]
+
+
+def pack_weighed(units: Iterable[Unit], target: int, most: int, overlap: int) -> Iterator[tuple[list[Unit], int, int]]:
+    """Chunks of units up to the target and never over the limit, one new unit at the least; each starts with the tail of the
+    one before, whole units of `overlap` tokens at most that leave room for the next one. The units of a chunk, its tokens
+    and those of its tail; one chunk is held at a time."""
+    held: list[Unit] = []
+    size = carried = fresh_ = 0
+    for unit in units:
+        if fresh_ and (size >= target or size + unit[1] > most):
+            yield held, size, carried
+            first = 0
+            while first < len(held) and (size > overlap or size + unit[1] > most):
+                size -= held[first][1]
+                first += 1
+            held, carried, fresh_ = held[first:], size, 0
+        held.append(unit)
+        size += unit[1]
+        fresh_ += 1
+    if held:
+        yield held, size, carried
 
 
 def pack_units(units: list[str], target: int, most: int, overlap: int) -> list[tuple[str, int, int]]:
-    """Chunks of units up to the target and never over the limit; each starts with the tail of the one before, whole
-    units of `overlap` tokens at most. Text, tokens and tokens of the tail; all sums are differences of running sums."""
-    sums, out = np.cumsum([0, *map(weight, units)]), []
-    first, fresh_ = 0, 0  # where the chunk starts, and its first unit that no chunk had before
-    while fresh_ < len(units):
-        # Units are added while the chunk is below the target and the next one fits; one new unit at the least.
-        below = int(np.searchsorted(sums, sums[first] + target, "left"))
-        fits = int(np.searchsorted(sums, sums[first] + most, "right")) - 1
-        last = min(max(fresh_ + 1, min(below, fits)), len(units))
-        out.append(("\n\n".join(units[first:last]), int(sums[last] - sums[first]), int(sums[fresh_] - sums[first])))
-        if last == len(units):
-            break
-        tail = int(np.searchsorted(sums, sums[last] - overlap, "left"))  # the tail has `overlap` tokens or fewer
-        room = int(np.searchsorted(sums, sums[last + 1] - most, "left"))  # and leaves room for the next unit
-        first, fresh_ = min(last, max(first, tail, room)), last
-    return out
+    """Text, tokens and tokens of the tail of each chunk."""
+    return [("\n\n".join(u for u, _, _ in held), size, carried) for held, size, carried in pack_weighed(((u, weight(u), []) for u in units), target, most, overlap)]
 
 
 def token_chunks(df: DataFrame, key: str, text: str, target: int = 500, most: int = 700, overlap: int = 80) -> DataFrame:
     """key, chunk, content, tokens and overlap_tokens: each text packed into chunks with controlled overlap."""
-    return _per_text(df, key, text, "chunk int, content string, tokens int, overlap_tokens int", lambda t: [(i, *c) for i, c in enumerate(pack_units(semantic_units(t, most), target, most, overlap))])
+
+    def pack(t: str) -> Iterator[tuple[int, str, int, int]]:
+        for i, (held, size, carried) in enumerate(pack_weighed(weighed_units(t, most), target, most, overlap)):
+            yield i, "\n\n".join(u for u, _, _ in held), size, carried
+
+    return _per_text(df, key, text, "chunk int, content string, tokens int, overlap_tokens int", pack)
 
 
 BREAKS = {"paragraph": re.compile(r"\n\n"), "sentence": re.compile(r"。|\. ")}

@@ -248,8 +248,8 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chunk_overlaps")
 def chunk_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that each packed chunk shares with the one before it, as measured on the texts."""
-    chunks = T.token_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
-    return C.with_overlaps(chunks, "doc_id", "chunk", "content").select("doc_id", "chunk", "tokens", F.col("overlap_tokens").alias("carried"), "shared")
+    chunks = C.measured_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    return chunks.select("doc_id", "chunk", "tokens", F.col("overlap_tokens").alias("carried"), "shared")
 
 
 PIECES_SQL = "SELECT doc_id, source, i AS piece, list_slice(w, 60 * i + 1, 60 * i + 80) AS w FROM (SELECT doc_id, source, w, unnest(range(0, greatest(ceil((len(w) - 20) / 60.0), 1)::INT)) AS i FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[㐀-䶿一-鿿]|[A-Za-z0-9]+(?:[+._/\\-][A-Za-z0-9]+)*|[^ \\t\\n\\x0B\\f\\r]') AS w FROM documents) WHERE len(w) > 0)"
@@ -264,12 +264,14 @@ SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents, round(av
 def measured_overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of pieces of eighty tokens that begin every sixty, as measured on their texts: more where a text repeats itself."""
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.WEIGHED.pattern), F.lit(0))
-    words = table(spark, sf_dir, "documents").select("doc_id", "source", found.alias("w")).filter(F.size("w") > 0)
-    many = F.greatest(F.ceil((F.size("w") - 20) / 60), F.lit(1)).cast("int")
-    # Texts are cut before they become rows: a row has its piece alone, not all words of its text.
-    cut = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.slice(F.col("w"), i * 60 + 1, F.lit(80)))
+    words = table(spark, sf_dir, "documents").select("doc_id", "source", found.alias("w"))
+    n = F.size("w")
+    # Texts are cut before they become rows: a row has its piece alone, not all words of its text, and each word is looked up
+    # once per piece. A text without words has no pieces; as a filter that would be pushed down to list the words twice.
+    piece = lambda i: F.transform(F.sequence(i * 60, F.least(i * 60 + 79, n - 1)), lambda j: F.get("w", j))
+    cut = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((n - 20) / 60), F.lit(1)).cast("int") - 1), piece))
     pieces = words.select("doc_id", "source", F.posexplode(cut).alias("piece", "w"))
-    chunks = C.with_overlaps(pieces.withColumn("content", F.array_join("w", " ")).withColumn("tokens", F.size("w")).drop("w"), "doc_id", "piece", "content")
+    chunks = C.with_overlaps(pieces.withColumn("tokens", F.size("w")), "doc_id", "piece", "w")
     return C.overlap_statistics(chunks, ["source"], "doc_id", "tokens", F.col("tokens") < 80)
 
 
