@@ -264,7 +264,8 @@ SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents, round(av
 def measured_overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of pieces of eighty tokens that begin every sixty, as measured on their texts: more where a text repeats itself."""
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.WEIGHED.pattern), F.lit(0))
-    words = table(spark, sf_dir, "documents").select("doc_id", "source", found.alias("w"))
+    # Texts are dealt out by document before they are cut, as they are smaller than their pieces; the window takes them as dealt.
+    words = table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition("doc_id").select("doc_id", "source", found.alias("w"))
     n = F.size("w")
     # Texts are cut before they become rows: a row has its piece alone, not all words of its text, and each word is looked up
     # once per piece. A text without words has no pieces; as a filter that would be pushed down to list the words twice.
