@@ -81,7 +81,7 @@ def islands(df: DataFrame, partition: list[str], order: str, same: list[str]) ->
 
 #: Characters, and rows, of results that a task's Python holds before it hands them on.
 MOST_HELD, MOST_ROWS = 1 << 20, 4096
-ARROW = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+ARROW = {"int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
 def in_small_batches(batches: Iterable[pa.RecordBatch], f: Callable[[str], Iterable[tuple]], names: list[str], types: list[str]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def in_small_batches(batches: Iterable[pa.RecordBatch], f: Callable[[str], Itera
             for row in f(text.as_py()):
                 owners.append(i)
                 rows.append(row)
-                held += sum(len(x) for x in row if isinstance(x, str))
+                held += sum(len(x) for x in row if isinstance(x, (str, list)))
                 if held > MOST_HELD or len(rows) >= MOST_ROWS:
                     yield made(owners, rows)
                     owners, rows, held = [], [], 0

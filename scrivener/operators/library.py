@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from scrivener.functions import text as X
 from scrivener.session import Scratch
 
+#: Titles that are sent to the texts; more of them are merged with what the texts have.
+MOST_SENT = 50_000
+
 
 def with_capabilities(df: DataFrame, wanted: Mapping[str, bool | None], **has: Column) -> DataFrame:
     """Rows whose capabilities are as wanted; one that isn't asked for may be either way."""
@@ -62,11 +65,15 @@ def local_document(citations: DataFrame, documents: DataFrame, least: int = 12)
 
     Distinct titles meet distinct texts by equality: a title's first words, as many as the largest power of two among its
     words, are looked for at every place of a text; where they stand, the words of each length that such titles have.
+
+    Written texts and titles are much smaller on disk than in memory, so what grows with the tables is merged, where Spark would
+    go by the files and send it through the driver. Few titles are sent to the texts.
     """
     scratch = Scratch(citations.sparkSession)
     titles = documents.select("document", X.catalog_key(F.col("title")).alias("__p")).filter(F.length("__p") >= least).groupBy("__p").agg(F.min("document").alias("document"))
     titles = titles.withColumn("__w", F.split("__p", " ")).withColumn("__n", F.size("__w")).withColumn("__half", F.expr("shiftleft(1, length(bin(__n)) - 1)"))
     titles = scratch.save(titles.select("document", "__p", "__n", "__half", F.xxhash64(F.slice("__w", F.lit(1), F.col("__half"))).alias("__h")))
+    sent = F.broadcast if titles.count() <= MOST_SENT else lambda df: df.hint("merge")
     heads = titles.groupBy("__half", "__h").agg(F.collect_set("__n").alias("__lengths"))  # of a beginning, no more than it has words
     halves = sorted(r["__half"] for r in titles.select("__half").distinct().collect())
     texts = citations.select(X.catalog_key(F.col("text")).alias("__t")).filter("__t <> ''").distinct()
@@ -79,14 +86,14 @@ def local_document(citations: DataFrame, documents: DataFrame, least: int = 12)
 
     cut = texts.select("__id", F.split("__t", " ").alias("__w"))
     places = cut.select("__id", F.explode(F.flatten(F.array(*map(starts, halves or [1])))).alias("s")).select("__id", F.col("s.half").alias("__half"), F.col("s.at").alias("__at"), F.col("s.h").alias("__h"))
-    runs = places.join(heads, ["__half", "__h"]).select("__id", "__at", F.explode("__lengths").alias("__n"))
+    runs = places.join(sent(heads), ["__half", "__h"]).select("__id", "__at", F.explode("__lengths").alias("__n"))
     of = runs.groupBy("__id").agg(F.collect_list(F.struct("__at", "__n")).alias("__r"))  # of one text
-    words = of.join(cut, "__id").select("__id", F.explode(F.array_distinct(F.transform("__r", lambda r: F.array_join(F.slice("__w", r["__at"], r["__n"]), " ")))).alias("__p"))
-    first = words.join(titles.select("__p", "document"), "__p").groupBy("__id").agg(F.min("document").alias("__by_title"))
-    named = scratch.save(first.join(texts, "__id").select("__t", "__by_title"))
-    by_title = citations.select("citation", X.catalog_key(F.col("text")).alias("__t")).join(named, "__t").groupBy("citation").agg(F.min("__by_title").alias("__by_title"))
+    words = of.join(cut.hint("merge"), "__id").select("__id", F.explode(F.array_distinct(F.transform("__r", lambda r: F.array_join(F.slice("__w", r["__at"], r["__n"]), " ")))).alias("__p"))
+    first = words.join(sent(titles.select("__p", "document")), "__p").groupBy("__id").agg(F.min("document").alias("__by_title"))
+    named = scratch.save(first.join(texts.hint("merge"), "__id").select("__t", "__by_title"))
+    by_title = citations.select("citation", X.catalog_key(F.col("text")).alias("__t")).join(named.hint("merge"), "__t").groupBy("citation").agg(F.min("__by_title").alias("__by_title"))
     doi = lambda df, key: df.select(key, X.normalize_doi(F.col("doi")).alias("__d")).filter("__d <> ''")
-    by_doi = doi(citations, "citation").join(doi(documents, "document").groupBy("__d").agg(F.min("document").alias("document")), "__d").groupBy("citation").agg(F.min("document").alias("__by_doi"))
+    by_doi = doi(citations, "citation").join(doi(documents, "document").groupBy("__d").agg(F.min("document").alias("document")).hint("merge"), "__d").groupBy("citation").agg(F.min("document").alias("__by_doi"))
     out = citations.select("citation").join(by_title, "citation", "left").join(by_doi, "citation", "left")
     return out.select("citation", F.coalesce("__by_title", "__by_doi").alias("document"))
 

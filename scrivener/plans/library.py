@@ -331,7 +331,7 @@ def _cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = named.groupBy("lang", "source").agg(F.min_by("title", "doc_id").alias("cited_title"))
     body = F.regexp_replace("text", r"[.]\n", " [2, 4-5], as Lee et al. (2001) say [1].\n## Part\n")
     refs = F.concat(F.lit("[1] Miller, J. 1999. "), "cited_title", F.lit(". In Proceedings\n[2] Lee, Ann: A study of "), "source", F.lit(" things 2001. doi:10.1/x"), F.lit("\n[3]  Third 2010. doi:10.1000/no."), "source")
-    return named.join(one, ["lang", "source"]).select("doc_id", "title", "cited_title", body.alias("body"), refs.alias("refs"))
+    return named.join(F.broadcast(one), ["lang", "source"]).select("doc_id", "title", "cited_title", body.alias("body"), refs.alias("refs"))
 
 
 @query("document_citations")
