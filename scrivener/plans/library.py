@@ -339,7 +339,7 @@ def document_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of documents, what they are, and how often the text cites them; read from whole texts."""
     docs = _cited_documents(spark, sf_dir)
     library = docs.select(F.col("doc_id").alias("record"), "title", F.lit("").alias("doi"), F.lit(None).cast("int").alias("year"), F.array().cast("array<string>").alias("authors"))
-    return C.citations_of(docs, library, "doc_id", "body", "refs").select("doc_id", "number", "title", "authors", "year", "doi", "document", "source", "quality", "contexts")
+    return C.citations_of(docs, library, "doc_id", "body", "refs").select("doc_id", "number", "title", "authors", "year", "doi", "document", "source", "quality", "contexts", "cited")
 
 
 @query(
